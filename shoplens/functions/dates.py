@@ -59,4 +59,4 @@ def months_between_periods(later, earlier) -> Column:
 
 def whole_days(start, end) -> Column:
     """Whole days from start to end (floor for end >= start)."""
-    return F.timestampdiff("DAY", col_(start), col_(end))
+    return F.timestamp_diff("DAY", col_(start), col_(end))

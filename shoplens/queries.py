@@ -9,17 +9,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shoplens.operators import clean as C
+from shoplens.operators import advanced as A
 from shoplens.operators import marts as M
+from shoplens.operators import rules as R
+from shoplens.operators import signals as G
 from shoplens.registry import ORACLE, QUERIES, clean_fact, clean_fact_uncached, register, with_oc
 from shoplens.schema import CLEAN_COLUMNS
 from shoplens.sources.testdata import raw_from_testdata
 
 # A fixed dashboard filter set used by the *_filtered queries.
-FILTERS = dict(start_date="1996-01-01", end_date="1997-12-31", state="FRANCE",
+FILTERS = dict(start_date="1996-01-01", end_date="1997-12-31", state="NATION_7",
                min_revenue=100000.0)
 FILTER_SQL = ("WHERE CAST(order_date AS DATE) >= DATE '1996-01-01' "
               "AND CAST(order_date AS DATE) <= DATE '1997-12-31' "
-              "AND customer_state = 'FRANCE' AND CAST(payment_value AS DOUBLE) >= 100000.0")
+              "AND customer_state = 'NATION_7' AND CAST(payment_value AS DOUBLE) >= 100000.0")
 CATEGORY_FILTER = dict(category="standard", max_revenue=300000.0)
 CATEGORY_FILTER_SQL = ("WHERE product_category_name = 'standard' "
                        "AND CAST(payment_value AS DOUBLE) <= 300000.0")
@@ -176,6 +179,309 @@ def q_filter_states(spark, sf_dir):
     return M.distinct_values(oc(spark, sf_dir), "customer_state")
 
 
+# ---- signals and rules --------------------------------------------------------------
+
+DAILY_CTE = """
+dr AS (SELECT CAST(order_date AS DATE) AS date, COALESCE(SUM(payment_value), 0) AS revenue
+       FROM oc {where} GROUP BY 1)"""
+TREND_CTE = DAILY_CTE + """,
+rk AS (SELECT date, revenue, ROW_NUMBER() OVER (ORDER BY date DESC) AS recency_rank FROM dr),
+trend AS (SELECT
+    COALESCE(CAST(SUM(CASE WHEN recency_rank BETWEEN 1 AND 7 THEN revenue END) AS DOUBLE)
+             / COUNT(CASE WHEN recency_rank BETWEEN 1 AND 7 THEN revenue END), 0.0) AS last_7_avg,
+    COALESCE(CAST(SUM(CASE WHEN recency_rank BETWEEN 8 AND 14 THEN revenue END) AS DOUBLE)
+             / COUNT(CASE WHEN recency_rank BETWEEN 8 AND 14 THEN revenue END), 0.0) AS previous_7_avg
+  FROM rk)"""
+WEEK_CTE = """
+week AS (SELECT
+    COALESCE(CAST(SUM(CASE WHEN dayofweek(order_date) IN (0, 6) THEN payment_value END) AS DOUBLE)
+             / COUNT(CASE WHEN dayofweek(order_date) IN (0, 6) THEN payment_value END), 0.0) AS weekend_avg,
+    COALESCE(CAST(SUM(CASE WHEN dayofweek(order_date) BETWEEN 1 AND 5 THEN payment_value END) AS DOUBLE)
+             / COUNT(CASE WHEN dayofweek(order_date) BETWEEN 1 AND 5 THEN payment_value END), 0.0) AS weekday_avg
+  FROM oc {where})"""
+TOP_CTE = """
+cr AS (SELECT product_category_name, COALESCE(SUM(payment_value), 0) AS revenue FROM oc {where} GROUP BY 1),
+tr AS (SELECT COALESCE(SUM(revenue), 0) AS total_revenue FROM cr),
+topc AS (SELECT product_category_name, CAST(revenue AS DOUBLE) AS revenue,
+                CAST(total_revenue AS DOUBLE) AS total_revenue,
+                CASE WHEN total_revenue = 0 THEN 0.0
+                     ELSE CAST(revenue AS DOUBLE) / CAST(total_revenue AS DOUBLE) END AS revenue_share
+         FROM cr CROSS JOIN tr ORDER BY revenue DESC, product_category_name LIMIT 1)"""
+ANOM_CTE = DAILY_CTE.replace("dr AS", "da AS") + """,
+st AS (SELECT COUNT(*) AS n, SUM(revenue) AS s, SUM(revenue * revenue) AS ss FROM da),
+sc AS (SELECT CAST(s AS DOUBLE) / n AS mean_revenue,
+              SQRT(GREATEST(CAST(n * ss - s * s AS DOUBLE) / (CAST(n AS DOUBLE) * n), 0.0)) AS std_revenue FROM st),
+z AS (SELECT date, revenue, mean_revenue, std_revenue,
+             CASE WHEN std_revenue = 0 THEN 0.0
+                  ELSE (CAST(revenue AS DOUBLE) - mean_revenue) / std_revenue END AS z_score
+      FROM da CROSS JOIN sc),
+anom AS (SELECT CAST(COUNT(CASE WHEN ABS(z_score) > 2.5 THEN 1 END) AS BIGINT) AS anomaly_count FROM z)"""
+CTX_CTE = ",\n".join(x.strip() for x in (TREND_CTE, WEEK_CTE, TOP_CTE, ANOM_CTE)) + """,
+ctx AS (SELECT last_7_avg, previous_7_avg, weekend_avg, weekday_avg,
+               COALESCE((SELECT MAX(product_category_name) FROM topc), 'Unknown') AS top_category,
+               COALESCE((SELECT MAX(revenue_share) FROM topc), 0.0) AS top_category_share,
+               anomaly_count
+        FROM trend CROSS JOIN week CROSS JOIN anom)"""
+INSIGHT_CTE = CTX_CTE + """,
+ins_slots AS (
+  SELECT 1 AS slot, CASE WHEN last_7_avg > previous_7_avg AND previous_7_avg > 0 THEN 'Revenue is trending upward 📈'
+                         WHEN previous_7_avg > last_7_avg AND last_7_avg > 0 THEN 'Revenue is trending downward ⚠️'
+                         ELSE 'Revenue is broadly stable' END AS insight FROM ctx
+  UNION ALL
+  SELECT 2, CASE WHEN weekend_avg > weekday_avg AND weekday_avg > 0 THEN 'Weekend sales are higher than weekday sales'
+                 WHEN weekday_avg > weekend_avg AND weekend_avg > 0 THEN 'Weekday sales outperform weekends' END FROM ctx
+  UNION ALL
+  SELECT 3, CASE WHEN top_category_share >= 0.25 THEN top_category || ' contributes the largest revenue share'
+                 WHEN top_category <> 'Unknown' THEN top_category || ' is the top revenue category' END FROM ctx
+  UNION ALL
+  SELECT 4, CASE WHEN anomaly_count > 0 THEN CAST(anomaly_count AS VARCHAR) || ' revenue anomalies need review ⚠️' END
+  FROM ctx),
+ins AS (SELECT CAST(ROW_NUMBER() OVER (ORDER BY slot) - 1 AS INTEGER) AS position, insight
+        FROM ins_slots WHERE insight IS NOT NULL)"""
+RECO_CTE = INSIGHT_CTE + """,
+txt AS (SELECT LOWER(STRING_AGG(insight, ' ' ORDER BY position)) AS t FROM ins),
+reco_slots AS (
+  SELECT 1 AS slot, CASE WHEN contains(t, 'weekend sales are higher') THEN 'Focus promotions and ad spend on weekends'
+                         WHEN contains(t, 'weekday sales outperform')
+                              THEN 'Prioritize weekday campaigns and operational coverage' END AS recommendation FROM txt
+  UNION ALL
+  SELECT 2, CASE WHEN contains(t, 'top revenue category') OR contains(t, 'largest revenue share')
+                 THEN 'Expand inventory and merchandising around top-performing categories' END FROM txt
+  UNION ALL
+  SELECT 3, CASE WHEN contains(t, 'anomalies need review')
+                 THEN 'Investigate revenue anomalies before scaling campaigns' END FROM txt
+  UNION ALL
+  SELECT 4, CASE WHEN contains(t, 'trending downward')
+                      THEN 'Review recent pricing, stock availability, and campaign performance'
+                 WHEN contains(t, 'trending upward')
+                      THEN 'Protect current growth by monitoring fulfillment capacity and stock levels' END FROM txt),
+reco AS (SELECT slot, recommendation FROM reco_slots WHERE recommendation IS NOT NULL
+         UNION ALL
+         SELECT 5, 'Continue monitoring revenue, category mix, and anomaly signals'
+         WHERE NOT EXISTS (SELECT 1 FROM reco_slots WHERE recommendation IS NOT NULL))"""
+
+
+def _ctes(template: str, where: str = "") -> str:
+    return template.replace("{where}", where)
+
+
+@register("trend_signal", with_oc("SELECT * FROM trend", _ctes(TREND_CTE)))
+def q_trend_signal(spark, sf_dir):
+    return G.trend_signal(oc(spark, sf_dir))
+
+
+@register("weekpart_signal", with_oc("SELECT * FROM week", _ctes(WEEK_CTE)))
+def q_weekpart_signal(spark, sf_dir):
+    return G.weekpart_signal(oc(spark, sf_dir))
+
+
+@register("top_category", with_oc("SELECT * FROM topc", _ctes(TOP_CTE)))
+def q_top_category(spark, sf_dir):
+    return G.top_category(oc(spark, sf_dir))
+
+
+@register("anomaly_count", with_oc("SELECT * FROM anom", _ctes(ANOM_CTE)))
+def q_anomaly_count(spark, sf_dir):
+    return G.anomaly_count(oc(spark, sf_dir))
+
+
+@register("signal_context", with_oc("SELECT * FROM ctx", _ctes(CTX_CTE)))
+def q_signal_context(spark, sf_dir):
+    return G.signal_context(oc(spark, sf_dir))
+
+
+@register("signal_context_filtered", with_oc("SELECT * FROM ctx", _ctes(CTX_CTE, FILTER_SQL)))
+def q_signal_context_filtered(spark, sf_dir):
+    return G.signal_context(oc(spark, sf_dir), **FILTERS)
+
+
+@register("insights", with_oc("SELECT position, insight FROM ins", _ctes(INSIGHT_CTE)))
+def q_insights(spark, sf_dir):
+    return R.insights(G.signal_context(oc(spark, sf_dir)))
+
+
+@register("insights_filtered", with_oc("SELECT position, insight FROM ins", _ctes(INSIGHT_CTE, CATEGORY_FILTER_SQL)))
+def q_insights_filtered(spark, sf_dir):
+    return R.insights(G.signal_context(oc(spark, sf_dir), **CATEGORY_FILTER))
+
+
+@register("recommendations", with_oc("""
+SELECT CAST(ROW_NUMBER() OVER (ORDER BY slot) - 1 AS INTEGER) AS position, recommendation FROM reco""",
+                                     _ctes(RECO_CTE)))
+def q_recommendations(spark, sf_dir):
+    return R.recommendations(G.signal_context(oc(spark, sf_dir)))
+
+
+# ---- customer analytics ------------------------------------------------------------------
+
+def orders7(spark, sf_dir):
+    """P9 over the clean fact (seven columns)."""
+    return C.prepare_orders(clean_fact(spark, sf_dir))
+
+
+ORDERS_CTE = """
+o AS (SELECT order_id, customer_id, order_date, payment_value, product_category_name, customer_state,
+             CAST(review_score AS DOUBLE) AS review_score
+      FROM oc WHERE order_date IS NOT NULL AND customer_id <> 'Unknown')"""
+COHORT_CTE = ORDERS_CTE + """,
+cm AS (SELECT DISTINCT customer_id, CAST(date_trunc('month', order_date) AS DATE) AS order_month FROM o),
+fp AS (SELECT customer_id, MIN(order_month) AS cohort_month FROM cm GROUP BY customer_id),
+act AS (SELECT fp.cohort_month,
+               (year(cm.order_month) - year(fp.cohort_month)) * 12
+                 + (month(cm.order_month) - month(fp.cohort_month)) AS period_number,
+               COUNT(*) AS active_customers
+        FROM cm JOIN fp ON cm.customer_id = fp.customer_id GROUP BY 1, 2),
+sz AS (SELECT cohort_month, COUNT(*) AS cohort_size FROM fp GROUP BY 1),
+r AS (SELECT act.cohort_month, act.period_number,
+             CAST(active_customers AS DOUBLE) / cohort_size * 100.0 AS retention_pct
+      FROM act JOIN sz ON act.cohort_month = sz.cohort_month),
+grid AS (SELECT cohort_month, UNNEST(generate_series(0, (SELECT MAX(period_number) FROM r))) AS period_number
+         FROM (SELECT DISTINCT cohort_month FROM r)),
+long AS (SELECT strftime(grid.cohort_month, '%Y-%m') AS cohort_month,
+                CAST(grid.period_number AS INTEGER) AS period_number,
+                CASE WHEN grid.period_number = 0 THEN 100.0
+                     ELSE ROUND_EVEN(COALESCE(r.retention_pct, 0.0), 2) END AS retention_pct
+         FROM grid LEFT JOIN r ON grid.cohort_month = r.cohort_month AND grid.period_number = r.period_number)"""
+
+
+@register("cohort_retention_long", with_oc("SELECT * FROM long ORDER BY cohort_month, period_number",
+                                           COHORT_CTE))
+def q_cohort_retention_long(spark, sf_dir):
+    return A.cohort_retention_long(orders7(spark, sf_dir))
+
+
+@register("cohort_retention", with_oc("""
+SELECT cohort_month, LIST(retention_pct ORDER BY period_number) AS retention
+FROM long GROUP BY cohort_month ORDER BY cohort_month""", COHORT_CTE))
+def q_cohort_retention(spark, sf_dir):
+    return A.cohort_retention(orders7(spark, sf_dir))
+
+
+@register("revenue_decomposition", with_oc("""
+SELECT CASE WHEN n0c = 0 OR n1c = 0 OR r0 = 0 THEN 0.0 ELSE ROUND_EVEN((r1 - r0) / r0 * 100.0, 2) END
+         AS total_change_pct,
+       CASE WHEN n0c = 0 OR n1c = 0 OR r0 = 0 THEN 0.0 ELSE ROUND_EVEN((n1 - n0) * (r0 / n0) / r0 * 100.0, 2) END
+         AS order_contribution_pct,
+       CASE WHEN n0c = 0 OR n1c = 0 OR r0 = 0 THEN 0.0
+            ELSE ROUND_EVEN(n1 * (r1 / n1 - r0 / n0) / r0 * 100.0, 2) END AS aov_contribution_pct,
+       r0 AS previous_revenue, r1 AS current_revenue,
+       CAST(n0c AS BIGINT) AS previous_orders, CAST(n1c AS BIGINT) AS current_orders
+FROM (SELECT *, CAST(GREATEST(n0c, 1) AS DOUBLE) AS n0, CAST(GREATEST(n1c, 1) AS DOUBLE) AS n1 FROM tot)""",
+                                           ORDERS_CTE + """,
+b AS (SELECT MIN(order_date) AS s, MAX(order_date) AS e FROM o),
+t AS (SELECT o.*, 2 * date_diff('microsecond', b.s, o.order_date) <= date_diff('microsecond', b.s, b.e) AS prev
+      FROM o CROSS JOIN b),
+po AS (SELECT order_id, MAX(CAST(prev AS INTEGER)) AS has_prev, MAX(CAST(NOT prev AS INTEGER)) AS has_cur,
+              SUM(CASE WHEN prev THEN payment_value END) AS rev_prev,
+              SUM(CASE WHEN NOT prev THEN payment_value END) AS rev_cur
+       FROM t GROUP BY order_id),
+tot AS (SELECT COALESCE(SUM(has_prev), 0) AS n0c, COALESCE(SUM(has_cur), 0) AS n1c,
+               CAST(COALESCE(SUM(rev_prev), 0) AS DOUBLE) AS r0, CAST(COALESCE(SUM(rev_cur), 0) AS DOUBLE) AS r1
+        FROM po)"""))
+def q_revenue_decomposition(spark, sf_dir):
+    return A.revenue_decomposition(orders7(spark, sf_dir))
+
+
+CHURN_CTE = ORDERS_CTE + """,
+ad AS (SELECT MAX(order_date) AS analysis_date FROM o),
+t AS (SELECT o.*, ad.analysis_date, o.order_date > ad.analysis_date - INTERVAL 30 DAY AS cur,
+             o.order_date > ad.analysis_date - INTERVAL 60 DAY
+               AND o.order_date <= ad.analysis_date - INTERVAL 30 DAY AS prev
+      FROM o CROSS JOIN ad),
+po AS (SELECT customer_id, order_id, MAX(order_date) AS last_date, MAX(analysis_date) AS analysis_date,
+              SUM(payment_value) AS spend, MAX(CAST(cur AS INTEGER)) AS in_cur, MAX(CAST(prev AS INTEGER)) AS in_prev,
+              SUM(CASE WHEN cur THEN payment_value END) AS spend_cur,
+              SUM(CASE WHEN prev THEN payment_value END) AS spend_prev
+       FROM t GROUP BY customer_id, order_id),
+cu AS (SELECT customer_id, MAX(last_date) AS last_order_date, MAX(analysis_date) AS analysis_date,
+              SUM(spend) AS total_spent, COUNT(*) AS total_orders, SUM(in_cur) AS current_orders,
+              SUM(in_prev) AS previous_orders, COALESCE(SUM(spend_cur), 0) AS current_spend,
+              COALESCE(SUM(spend_prev), 0) AS previous_spend
+       FROM po GROUP BY customer_id),
+cc AS (SELECT customer_id, last_order_date,
+              CAST(date_diff('microsecond', last_order_date, analysis_date) // 86400000000 AS BIGINT)
+                AS days_since_last_purchase,
+              CAST(total_spent AS DOUBLE) AS total_spent, CAST(total_orders AS BIGINT) AS total_orders,
+              CAST(current_orders AS BIGINT) AS current_orders, CAST(previous_orders AS BIGINT) AS previous_orders,
+              CAST(current_spend AS DOUBLE) AS current_spend, CAST(previous_spend AS DOUBLE) AS previous_spend,
+              CASE WHEN total_orders > 0 THEN CAST(total_spent AS DOUBLE) / total_orders ELSE 0.0 END
+                AS avg_order_value
+       FROM cu),
+churn AS (SELECT *, days_since_last_purchase > 30
+                    AND (current_orders < previous_orders OR current_spend < previous_spend) AS is_high_risk,
+                 GREATEST(previous_spend, avg_order_value) AS potential_loss
+          FROM cc)"""
+
+
+@register("churn_customers", with_oc("SELECT * FROM churn", CHURN_CTE))
+def q_churn_customers(spark, sf_dir):
+    return A.churn_customers(orders7(spark, sf_dir))
+
+
+@register("churn_risk", with_oc("""
+SELECT CAST(COUNT(*) AS BIGINT) AS high_risk_customers,
+       ROUND_EVEN(COALESCE(SUM(potential_loss), 0.0), 2) AS potential_revenue_loss
+FROM churn WHERE is_high_risk""", CHURN_CTE))
+def q_churn_risk(spark, sf_dir):
+    return A.churn_risk(orders7(spark, sf_dir))
+
+
+LTV_CTE = ORDERS_CTE + """,
+po AS (SELECT customer_id, order_id, SUM(payment_value) AS spend, MIN(order_date) AS first_date,
+              MAX(order_date) AS last_date FROM o GROUP BY customer_id, order_id),
+cu AS (SELECT customer_id, CAST(SUM(spend) AS DOUBLE) AS total_spent, CAST(COUNT(*) AS BIGINT) AS total_orders,
+              MIN(first_date) AS first_order_date, MAX(last_date) AS last_order_date FROM po GROUP BY customer_id),
+cv AS (SELECT *, CAST(GREATEST(date_diff('microsecond', first_order_date, last_order_date) // 86400000000, 1)
+                      AS BIGINT) AS active_days FROM cu),
+lv AS (SELECT *, CASE WHEN total_orders > 0 THEN total_spent / total_orders ELSE 0.0 END AS avg_order_value,
+              CASE WHEN active_days > 0 THEN total_orders / active_days ELSE 0.0 END AS purchase_frequency
+       FROM cv)"""
+
+
+@register("customer_ltv", with_oc("""
+SELECT customer_id, ROUND_EVEN(avg_order_value * purchase_frequency * active_days, 2) AS ltv,
+       total_spent, total_orders, active_days, avg_order_value, purchase_frequency
+FROM lv ORDER BY avg_order_value * purchase_frequency * active_days DESC, customer_id LIMIT 10""", LTV_CTE))
+def q_customer_ltv(spark, sf_dir):
+    return A.customer_ltv(orders7(spark, sf_dir), 10)
+
+
+def root_cause_sql(dim: str, prefix: str) -> str:
+    return f"""
+{prefix}_d AS (SELECT CAST(order_date AS DATE) AS order_day, {dim} AS label, SUM(payment_value) AS rev
+               FROM o GROUP BY 1, 2),
+{prefix}_t AS (SELECT label, SUM(rev) AS s, COUNT(*) AS n FROM {prefix}_d GROUP BY label),
+{prefix}_top AS (SELECT * FROM (SELECT {prefix}_d.*, ROW_NUMBER() OVER (PARTITION BY order_day
+                                                     ORDER BY rev DESC, label) AS rn
+                               FROM {prefix}_d WHERE order_day IN (SELECT order_day FROM days)) WHERE rn = 1),
+{prefix}_res AS (SELECT x.order_day, x.label AS top_{prefix},
+   ROUND_EVEN(CASE WHEN base IS NULL THEN NULL
+                   WHEN base <= 0 THEN CASE WHEN CAST(rev AS DOUBLE) <= 0 THEN 0.0 ELSE 100.0 END
+                   ELSE (CAST(rev AS DOUBLE) - base) / base * 100.0 END, 2) AS {prefix}_increase_pct
+   FROM (SELECT t.order_day, t.label, t.rev,
+                CASE WHEN tt.n > 1 THEN CAST(tt.s - t.rev AS DOUBLE) / (tt.n - 1) END AS base
+         FROM {prefix}_top t JOIN {prefix}_t tt ON t.label = tt.label) x)"""
+
+
+ROOT_CAUSE_CTE = ORDERS_CTE + """,
+da AS (SELECT CAST(order_date AS DATE) AS order_day, SUM(payment_value) AS revenue FROM o GROUP BY 1),
+st AS (SELECT COUNT(*) AS n, SUM(revenue) AS s, SUM(revenue * revenue) AS ss FROM da),
+sc AS (SELECT CAST(s AS DOUBLE) / n AS mean_revenue,
+              SQRT(GREATEST(CAST(n * ss - s * s AS DOUBLE) / (CAST(n AS DOUBLE) * n), 0.0)) AS std_revenue FROM st),
+z AS (SELECT order_day, CASE WHEN std_revenue = 0 THEN 0.0
+                             ELSE (CAST(revenue AS DOUBLE) - mean_revenue) / std_revenue END AS z_score
+      FROM da CROSS JOIN sc),
+days AS (SELECT order_day FROM z WHERE ABS(z_score) > 2.5 AND (SELECT COUNT(*) FROM da) > 1),""" + \
+    root_cause_sql("product_category_name", "category") + "," + root_cause_sql("customer_state", "state")
+
+
+@register("anomaly_root_cause", with_oc("""
+SELECT c.order_day AS date, top_category, category_increase_pct, top_state, state_increase_pct
+FROM category_res c JOIN state_res s ON c.order_day = s.order_day ORDER BY date""", ROOT_CAUSE_CTE))
+def q_anomaly_root_cause(spark, sf_dir):
+    return A.anomaly_root_cause(orders7(spark, sf_dir))
+
+
 def all_queries():
     return dict(QUERIES)
 
