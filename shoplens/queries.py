@@ -13,8 +13,9 @@ from shoplens.operators import advanced as A
 from shoplens.operators import marts as M
 from shoplens.operators import rules as R
 from shoplens.operators import signals as G
+from shoplens.plans import timeseries as TS
 from shoplens.registry import ORACLE, QUERIES, clean_fact, clean_fact_uncached, register, with_oc
-from shoplens.schema import CLEAN_COLUMNS
+from shoplens.schema import CLEAN_COLUMNS, FEATURE_COLUMNS
 from shoplens.sources.testdata import raw_from_testdata
 
 # A fixed dashboard filter set used by the *_filtered queries.
@@ -482,6 +483,145 @@ def q_anomaly_root_cause(spark, sf_dir):
     return A.anomaly_root_cause(orders7(spark, sf_dir))
 
 
+# ---- time series ------------------------------------------------------------------------
+
+SERIES_CTE = """
+obs AS (SELECT CAST(order_date AS DATE) AS date, CAST(COALESCE(SUM(payment_value), 0) AS DOUBLE) AS daily_revenue
+        FROM oc WHERE order_date IS NOT NULL GROUP BY 1),
+cal AS (SELECT CAST(UNNEST(generate_series(MIN(date), MAX(date), INTERVAL 1 DAY)) AS DATE) AS date FROM obs),
+gj AS (SELECT cal.date, obs.daily_revenue FROM cal LEFT JOIN obs ON cal.date = obs.date),
+nb AS (SELECT date, daily_revenue,
+         LAST_VALUE(daily_revenue IGNORE NULLS) OVER (ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS y0,
+         LAST_VALUE(CASE WHEN daily_revenue IS NOT NULL THEN date END IGNORE NULLS)
+           OVER (ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS x0,
+         FIRST_VALUE(daily_revenue IGNORE NULLS) OVER (ORDER BY date ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS y1,
+         FIRST_VALUE(CASE WHEN daily_revenue IS NOT NULL THEN date END IGNORE NULLS)
+           OVER (ORDER BY date ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS x1
+       FROM gj),
+series AS (SELECT date,
+             CASE WHEN daily_revenue IS NOT NULL THEN daily_revenue
+                  WHEN y0 IS NOT NULL AND y1 IS NOT NULL
+                    THEN y0 + (y1 - y0) / date_diff('day', x0, x1) * date_diff('day', x0, date)
+                  ELSE COALESCE(y0, y1, 0.0) END AS daily_revenue
+           FROM nb)"""
+
+_W = "OVER (ORDER BY date{frame})"
+
+
+def _win(frame: str = "") -> str:
+    return _W.format(frame=(" ROWS BETWEEN " + frame) if frame else "")
+
+
+FEATURES_CTE = SERIES_CTE + f""",
+rawf AS (SELECT date, daily_revenue,
+   CAST(isodow(date) - 1 AS DOUBLE) AS day_of_week, CAST(dayofmonth(date) AS DOUBLE) AS day_of_month,
+   CAST(month(date) AS DOUBLE) AS month, CAST(quarter(date) AS DOUBLE) AS quarter,
+   CASE WHEN isodow(date) - 1 IN (5, 6) THEN 1.0 ELSE 0.0 END AS is_weekend,
+   LAG(daily_revenue, 1) {_win()} AS lag_1, LAG(daily_revenue, 2) {_win()} AS lag_2,
+   LAG(daily_revenue, 3) {_win()} AS lag_3, LAG(daily_revenue, 7) {_win()} AS lag_7,
+   AVG(daily_revenue) {_win("3 PRECEDING AND 1 PRECEDING")} AS rolling_mean_3,
+   AVG(daily_revenue) {_win("7 PRECEDING AND 1 PRECEDING")} AS rolling_mean_7,
+   AVG(daily_revenue) {_win("14 PRECEDING AND 1 PRECEDING")} AS rolling_mean_14,
+   CASE WHEN COUNT(daily_revenue) {_win("7 PRECEDING AND 1 PRECEDING")} >= 2
+        THEN STDDEV_POP(daily_revenue) {_win("7 PRECEDING AND 1 PRECEDING")} ELSE 0.0 END AS rolling_std_7,
+   LAG(daily_revenue, 1) {_win()} - LAG(daily_revenue, 2) {_win()} AS revenue_change_1
+ FROM series),
+features AS (SELECT date, daily_revenue, """ + ",\n ".join(
+    f"CAST(COALESCE({c}, LAST_VALUE({c} IGNORE NULLS) {_win('UNBOUNDED PRECEDING AND CURRENT ROW')}, "
+    f"FIRST_VALUE({c} IGNORE NULLS) {_win('CURRENT ROW AND UNBOUNDED FOLLOWING')}, 0.0) AS DOUBLE) AS {c}"
+    for c in FEATURE_COLUMNS) + " FROM rawf)"
+
+
+@register("daily_series", with_oc("SELECT date, daily_revenue FROM series ORDER BY date", SERIES_CTE))
+def q_daily_series(spark, sf_dir):
+    return TS.daily_series(oc(spark, sf_dir))
+
+
+def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:
+    """Round DOUBLE columns half-even: window sums in two engines differ in the last ulp."""
+    return df.select(*[F.bround(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+@register("time_features", with_oc("SELECT date, ROUND_EVEN(daily_revenue, 6) AS daily_revenue, " + ", ".join(
+    f"ROUND_EVEN({c}, 6) AS {c}" for c in FEATURE_COLUMNS) + " FROM features ORDER BY date", FEATURES_CTE))
+def q_time_features(spark, sf_dir):
+    return round_doubles(TS.feature_frame(oc(spark, sf_dir)))
+
+
+NEXT_DAY_CTE = SERIES_CTE + """,
+rk AS (SELECT date, daily_revenue, ROW_NUMBER() OVER (ORDER BY date DESC) AS rn FROM series),
+ag AS (SELECT MAX(date) AS last_date, COUNT(*) AS n,
+              MAX(CASE WHEN rn = 1 THEN daily_revenue END) AS v1, MAX(CASE WHEN rn = 2 THEN daily_revenue END) AS v2,
+              MAX(CASE WHEN rn = 3 THEN daily_revenue END) AS v3, MAX(CASE WHEN rn = 7 THEN daily_revenue END) AS v7,
+              ARG_MIN(daily_revenue, date) AS first_v,
+              AVG(CASE WHEN rn <= 3 THEN daily_revenue END) AS m3, AVG(CASE WHEN rn <= 7 THEN daily_revenue END) AS m7,
+              AVG(CASE WHEN rn <= 14 THEN daily_revenue END) AS m14,
+              STDDEV_POP(CASE WHEN rn <= 7 THEN daily_revenue END) AS s7,
+              COUNT(CASE WHEN rn <= 7 THEN daily_revenue END) AS c7
+       FROM rk),
+nd AS (SELECT CAST(last_date + INTERVAL 1 DAY AS DATE) AS date, * FROM ag)"""
+
+
+@register("next_day_features", with_oc("""
+SELECT date, CAST(isodow(date) - 1 AS DOUBLE) AS day_of_week, CAST(dayofmonth(date) AS DOUBLE) AS day_of_month,
+       CAST(month(date) AS DOUBLE) AS month, CAST(quarter(date) AS DOUBLE) AS quarter,
+       CASE WHEN isodow(date) - 1 IN (5, 6) THEN 1.0 ELSE 0.0 END AS is_weekend,
+       v1 AS lag_1, CASE WHEN n >= 2 THEN v2 ELSE v1 END AS lag_2, CASE WHEN n >= 3 THEN v3 ELSE v1 END AS lag_3,
+       CASE WHEN n >= 7 THEN v7 ELSE first_v END AS lag_7,
+       m3 AS rolling_mean_3, m7 AS rolling_mean_7, m14 AS rolling_mean_14,
+       CASE WHEN c7 >= 2 THEN s7 ELSE 0.0 END AS rolling_std_7,
+       CASE WHEN n >= 2 THEN v1 - v2 ELSE 0.0 END AS revenue_change_1
+FROM nd""", NEXT_DAY_CTE))
+def q_next_day_features(spark, sf_dir):
+    return TS.next_day_features(TS.daily_series(oc(spark, sf_dir)))
+
+
+@register("training_split", with_oc("""
+SELECT date, daily_revenue, position,
+       CASE WHEN n < 5 OR position <= LEAST(GREATEST(FLOOR(n * 0.8), 1), n - 1) THEN 'train' ELSE 'test' END AS split
+FROM (SELECT date, daily_revenue, ROW_NUMBER() OVER (ORDER BY date) AS position, COUNT(*) OVER () AS n
+      FROM features WHERE daily_revenue IS NOT NULL)""", FEATURES_CTE))
+def q_training_split(spark, sf_dir):
+    split = TS.time_split(TS.clean_training(TS.feature_frame(oc(spark, sf_dir))))
+    return split.select("date", "daily_revenue", "position", "split")
+
+
+@register("anomalies", with_oc("""
+SELECT date, ROUND_EVEN(daily_revenue, 6) AS revenue, ROUND_EVEN((daily_revenue - mu) / sd, 6) AS z_score
+FROM series CROSS JOIN (SELECT AVG(daily_revenue) AS mu, STDDEV_POP(daily_revenue) AS sd FROM series)
+WHERE sd <> 0 AND ABS((daily_revenue - mu) / sd) > 2.5 ORDER BY date""", SERIES_CTE))
+def q_anomalies(spark, sf_dir):
+    return round_doubles(TS.detect_anomalies(TS.daily_series(oc(spark, sf_dir))))
+
+
+@register("state_daily_series", with_oc("""
+SELECT customer_state, date, daily_revenue FROM sseries""", """
+sobs AS (SELECT customer_state, CAST(order_date AS DATE) AS date,
+                CAST(COALESCE(SUM(payment_value), 0) AS DOUBLE) AS daily_revenue
+         FROM oc GROUP BY 1, 2),
+scal AS (SELECT customer_state, CAST(UNNEST(generate_series(MIN(date), MAX(date), INTERVAL 1 DAY)) AS DATE) AS date
+         FROM sobs GROUP BY customer_state),
+sj AS (SELECT scal.customer_state, scal.date, sobs.daily_revenue FROM scal
+       LEFT JOIN sobs ON scal.customer_state = sobs.customer_state AND scal.date = sobs.date),
+snb AS (SELECT customer_state, date, daily_revenue,
+   LAST_VALUE(daily_revenue IGNORE NULLS) OVER (PARTITION BY customer_state ORDER BY date
+     ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS y0,
+   LAST_VALUE(CASE WHEN daily_revenue IS NOT NULL THEN date END IGNORE NULLS) OVER (PARTITION BY customer_state
+     ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS x0,
+   FIRST_VALUE(daily_revenue IGNORE NULLS) OVER (PARTITION BY customer_state ORDER BY date
+     ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS y1,
+   FIRST_VALUE(CASE WHEN daily_revenue IS NOT NULL THEN date END IGNORE NULLS) OVER (PARTITION BY customer_state
+     ORDER BY date ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS x1
+   FROM sj),
+sseries AS (SELECT customer_state, date,
+   CASE WHEN daily_revenue IS NOT NULL THEN daily_revenue
+        WHEN y0 IS NOT NULL AND y1 IS NOT NULL THEN y0 + (y1 - y0) / date_diff('day', x0, x1) * date_diff('day', x0, date)
+        ELSE COALESCE(y0, y1, 0.0) END AS daily_revenue FROM snb)"""))
+def q_state_daily_series(spark, sf_dir):
+    """F1 with keys: one gap-filled series per customer state (scales out by key)."""
+    return TS.daily_series(oc(spark, sf_dir), ["customer_state"])
+
+
 def all_queries():
     return dict(QUERIES)
 
