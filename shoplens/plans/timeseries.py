@@ -83,6 +83,34 @@ def _calendar_features(d: Column) -> dict[str, Column]:
     }
 
 
+def _count_of(xs: list[Column]) -> Column:
+    total = F.lit(0)
+    for x in xs:
+        total = total + F.when(x.isNotNull(), 1).otherwise(0)
+    return total
+
+
+def _sum_of(xs: list[Column]) -> Column:
+    total = F.coalesce(xs[0], F.lit(0.0))
+    for x in xs[1:]:
+        total = total + F.coalesce(x, F.lit(0.0))
+    return total
+
+
+def _mean_of(xs: list[Column]) -> Column:
+    """Mean of the non-NULL values (NULL when all are NULL), min_periods = 1."""
+    n = _count_of(xs)
+    return F.when(n > 0, _sum_of(xs) / n)
+
+
+def _pop_std_of(xs: list[Column]) -> Column:
+    """Population std of the non-NULL values; 0 with fewer than two."""
+    n = _count_of(xs)
+    mean = _sum_of(xs) / n
+    sq = [F.when(x.isNotNull(), (x - mean) * (x - mean)) for x in xs]
+    return F.when(n >= 2, F.sqrt(_sum_of(sq) / n)).otherwise(F.lit(0.0))
+
+
 def time_features(series: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """the 14 features in fixed order.
 
@@ -97,12 +125,13 @@ def time_features(series: DataFrame, keys: list[str] | None = None) -> DataFrame
     feats: dict[str, Column] = _calendar_features(F.col("date"))
     for k in LAGS:
         feats[f"lag_{k}"] = F.lag(r, k).over(w)
+    # rolling statistics over the previous n days, written as an explicit
+    # left-to-right sum of lags: the same arithmetic on every engine and run
+    lags = {k: F.lag(r, k).over(w) for k in range(1, max(*ROLLING_MEANS, ROLLING_STD_WINDOW) + 1)}
     for n in ROLLING_MEANS:
-        feats[f"rolling_mean_{n}"] = F.avg(r).over(w.rowsBetween(-n, -1))
-    sw = w.rowsBetween(-ROLLING_STD_WINDOW, -1)
-    feats[f"rolling_std_{ROLLING_STD_WINDOW}"] = F.when(F.count(r).over(sw) >= 2,
-                                                        F.stddev_pop(r).over(sw)).otherwise(F.lit(0.0))
-    feats["revenue_change_1"] = F.lag(r, 1).over(w) - F.lag(r, 2).over(w)
+        feats[f"rolling_mean_{n}"] = _mean_of([lags[k] for k in range(1, n + 1)])
+    feats[f"rolling_std_{ROLLING_STD_WINDOW}"] = _pop_std_of([lags[k] for k in range(1, ROLLING_STD_WINDOW + 1)])
+    feats["revenue_change_1"] = lags[1] - lags[2]
     raw = base.select(*keys, "date", TARGET_COLUMN, *[feats[c].alias(c) for c in FEATURE_COLUMNS])
     before = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     after = w.rowsBetween(Window.currentRow, Window.unboundedFollowing)

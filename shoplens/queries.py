@@ -512,6 +512,29 @@ def _win(frame: str = "") -> str:
     return _W.format(frame=(" ROWS BETWEEN " + frame) if frame else "")
 
 
+def _sql_lag(k: int) -> str:
+    return f"LAG(daily_revenue, {k}) {_win()}"
+
+
+def _sql_cnt(n: int) -> str:
+    return "(" + " + ".join(f"CASE WHEN {_sql_lag(k)} IS NOT NULL THEN 1 ELSE 0 END" for k in range(1, n + 1)) + ")"
+
+
+def _sql_sum(terms: list[str]) -> str:
+    return "(" + " + ".join(f"COALESCE({t}, 0.0)" for t in terms) + ")"
+
+
+def _sql_mean(n: int) -> str:
+    return f"CASE WHEN {_sql_cnt(n)} > 0 THEN {_sql_sum([_sql_lag(k) for k in range(1, n + 1)])} / {_sql_cnt(n)} END"
+
+
+def _sql_std(n: int) -> str:
+    mean = f"({_sql_sum([_sql_lag(k) for k in range(1, n + 1)])} / {_sql_cnt(n)})"
+    sq = [f"CASE WHEN {_sql_lag(k)} IS NOT NULL THEN ({_sql_lag(k)} - {mean}) * ({_sql_lag(k)} - {mean}) END"
+          for k in range(1, n + 1)]
+    return f"CASE WHEN {_sql_cnt(n)} >= 2 THEN SQRT({_sql_sum(sq)} / {_sql_cnt(n)}) ELSE 0.0 END"
+
+
 FEATURES_CTE = SERIES_CTE + f""",
 rawf AS (SELECT date, daily_revenue,
    CAST(isodow(date) - 1 AS DOUBLE) AS day_of_week, CAST(dayofmonth(date) AS DOUBLE) AS day_of_month,
@@ -519,11 +542,8 @@ rawf AS (SELECT date, daily_revenue,
    CASE WHEN isodow(date) - 1 IN (5, 6) THEN 1.0 ELSE 0.0 END AS is_weekend,
    LAG(daily_revenue, 1) {_win()} AS lag_1, LAG(daily_revenue, 2) {_win()} AS lag_2,
    LAG(daily_revenue, 3) {_win()} AS lag_3, LAG(daily_revenue, 7) {_win()} AS lag_7,
-   AVG(daily_revenue) {_win("3 PRECEDING AND 1 PRECEDING")} AS rolling_mean_3,
-   AVG(daily_revenue) {_win("7 PRECEDING AND 1 PRECEDING")} AS rolling_mean_7,
-   AVG(daily_revenue) {_win("14 PRECEDING AND 1 PRECEDING")} AS rolling_mean_14,
-   CASE WHEN COUNT(daily_revenue) {_win("7 PRECEDING AND 1 PRECEDING")} >= 2
-        THEN STDDEV_POP(daily_revenue) {_win("7 PRECEDING AND 1 PRECEDING")} ELSE 0.0 END AS rolling_std_7,
+   {_sql_mean(3)} AS rolling_mean_3, {_sql_mean(7)} AS rolling_mean_7, {_sql_mean(14)} AS rolling_mean_14,
+   {_sql_std(7)} AS rolling_std_7,
    LAG(daily_revenue, 1) {_win()} - LAG(daily_revenue, 2) {_win()} AS revenue_change_1
  FROM series),
 features AS (SELECT date, daily_revenue, """ + ",\n ".join(
@@ -542,10 +562,10 @@ def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*[F.bround(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
-@register("time_features", with_oc("SELECT date, ROUND_EVEN(daily_revenue, 6) AS daily_revenue, " + ", ".join(
-    f"ROUND_EVEN({c}, 6) AS {c}" for c in FEATURE_COLUMNS) + " FROM features ORDER BY date", FEATURES_CTE))
+@register("time_features", with_oc(f"SELECT date, daily_revenue, {', '.join(FEATURE_COLUMNS)} "
+                                   "FROM features ORDER BY date", FEATURES_CTE))
 def q_time_features(spark, sf_dir):
-    return round_doubles(TS.feature_frame(oc(spark, sf_dir)))
+    return TS.feature_frame(oc(spark, sf_dir))
 
 
 NEXT_DAY_CTE = SERIES_CTE + """,
