@@ -13,7 +13,14 @@ from shoplens.operators import advanced as A
 from shoplens.operators import marts as M
 from shoplens.operators import rules as R
 from shoplens.operators import signals as G
+from shoplens.operators import validate as V
 from shoplens.plans import timeseries as TS
+from shoplens.registry import clean_table_path
+from shoplens.session import work_dir
+from shoplens.sources import batches as B
+from shoplens.sources.clean_store import read_clean, write_clean
+from shoplens.sources.upsert import upsert
+from shoplens.streaming.loader import committed_batches, upsert_stream
 from shoplens.registry import ORACLE, QUERIES, clean_fact, clean_fact_uncached, register, with_oc
 from shoplens.schema import CLEAN_COLUMNS, FEATURE_COLUMNS
 from shoplens.sources.testdata import raw_from_testdata
@@ -642,6 +649,118 @@ def q_state_daily_series(spark, sf_dir):
     return TS.daily_series(oc(spark, sf_dir), ["customer_state"])
 
 
+# ---- batches, validation, upsert, streaming -----------------------------------------------
+
+BATCH_SIZE = 1000
+ROWNUM_SQL = ("ROW_NUMBER() OVER (ORDER BY order_date, order_id, product_id, customer_id)")
+
+
+@register("row_batches", with_oc(f"""
+SELECT order_id, product_id, order_date, CAST(({ROWNUM_SQL} - 1) // {BATCH_SIZE} AS INTEGER) AS batch_id FROM oc"""))
+def q_row_batches(spark, sf_dir):
+    """S4 over the whole clean fact (distributed numbering)."""
+    return B.split_row_batches(oc(spark, sf_dir), BATCH_SIZE).select("order_id", "product_id", "order_date", "batch_id")
+
+
+@register("daily_batches", with_oc("""
+SELECT batch_id, CAST(COUNT(*) AS BIGINT) AS rows, MIN(CAST(order_date AS DATE)) AS day
+FROM (SELECT order_date, CAST(DENSE_RANK() OVER (ORDER BY CAST(order_date AS DATE)) - 1 AS INTEGER) AS batch_id FROM oc)
+GROUP BY batch_id"""))
+def q_daily_batches(spark, sf_dir):
+    """S5, summarised per batch."""
+    b = B.split_daily_batches(oc(spark, sf_dir))
+    return b.groupBy("batch_id").agg(F.count(F.lit(1)).cast("bigint").alias("rows"),
+                                     F.min(F.to_date("order_date")).alias("day"))
+
+
+@register("check_clean", with_oc("""
+SELECT CAST(COUNT(*) AS BIGINT) AS rows, CAST(COUNT(*) FILTER (WHERE order_id IS NULL) AS BIGINT) AS null_order_ids,
+       CAST(COUNT(*) FILTER (WHERE order_date IS NULL) AS BIGINT) AS invalid_dates,
+       CAST(COUNT(*) - (SELECT COUNT(*) FROM (SELECT DISTINCT order_id, product_id, order_date FROM oc)) AS BIGINT)
+         AS duplicate_rows,
+       COUNT(*) > 0 AND COUNT(*) FILTER (WHERE order_id IS NULL) = 0 AND COUNT(*) FILTER (WHERE order_date IS NULL) = 0
+         AND COUNT(*) = (SELECT COUNT(*) FROM (SELECT DISTINCT order_id, product_id, order_date FROM oc)) AS passed
+FROM oc"""))
+def q_check_clean(spark, sf_dir):
+    return V.check_clean(oc(spark, sf_dir))
+
+
+@register("check_batches", with_oc(f"""
+SELECT CAST(COUNT(*) AS BIGINT) AS total_batches, CAST(SUM(rows) AS BIGINT) AS total_rows,
+       MIN(batch_id) AS first_id, CAST(0 AS BIGINT) AS gaps, CAST(0 AS BIGINT) AS empty_batches,
+       CAST(COUNT(*) FILTER (WHERE batch_id < (SELECT MAX(batch_id) FROM bs) AND rows <> {BATCH_SIZE}) AS BIGINT)
+         AS wrong_size,
+       CAST(MAX(CASE WHEN batch_id = (SELECT MAX(batch_id) FROM bs) THEN rows END) AS BIGINT) AS last_batch_size,
+       (SELECT CAST(COUNT(*) AS BIGINT) FROM oc) AS source_rows,
+       TRUE AS passed
+FROM bs""", f"""
+bs AS (SELECT CAST((rn - 1) // {BATCH_SIZE} AS INTEGER) AS batch_id, COUNT(*) AS rows
+       FROM (SELECT {ROWNUM_SQL} AS rn FROM oc) GROUP BY 1)"""))
+def q_check_batches(spark, sf_dir):
+    """V2 over batches written to and read back from storage."""
+    fact = oc(spark, sf_dir)
+    path = work_dir(spark, "batches")
+    B.write_batches(B.split_row_batches(fact, BATCH_SIZE), path)
+    return V.check_batches(spark.read.parquet(path), fact, BATCH_SIZE)
+
+
+@register("check_table", with_oc("""
+SELECT CAST((SELECT COUNT(*) FROM oc) AS BIGINT) AS row_count,
+       CAST(COUNT(*) AS BIGINT) AS duplicate_pk_groups
+FROM (SELECT order_id FROM oc GROUP BY order_id, product_id, order_date HAVING COUNT(*) > 1)"""))
+def q_check_table(spark, sf_dir):
+    return V.check_table(oc(spark, sf_dir))
+
+
+UPSERT_MONTH = "1996-03"
+
+
+@register("upsert_changes", with_oc(f"""
+SELECT order_id, customer_id, product_id, order_date,
+       CASE WHEN strftime(order_date, '%Y-%m') = '{UPSERT_MONTH}' THEN price + 1 ELSE price END AS price,
+       freight_value, payment_value,
+       CASE WHEN strftime(order_date, '%Y-%m') = '{UPSERT_MONTH}' THEN 5 ELSE review_score END AS review_score,
+       product_category_name, customer_city, customer_state
+FROM oc
+UNION ALL
+SELECT order_id, customer_id, product_id || '-n', order_date, price, freight_value, payment_value, review_score,
+       product_category_name, customer_city, customer_state
+FROM oc WHERE strftime(order_date, '%Y-%m') = '{UPSERT_MONTH}'"""))
+def q_upsert_changes(spark, sf_dir):
+    """One month of updated rows plus as many new keys, applied to a copy
+    of the whole clean table, then applied a second time (replay)."""
+    fact = oc(spark, sf_dir).select(*CLEAN_COLUMNS)
+    target = work_dir(spark, "upsert-target")
+    write_clean(fact, target)
+    month = F.date_format("order_date", "yyyy-MM") == UPSERT_MONTH
+    touched = fact.where(month)
+    changed = touched.withColumn("price", (F.col("price") + 1).cast("decimal(12,2)")).withColumn(
+        "review_score", F.lit(5))
+    new_rows = touched.withColumn("product_id", F.concat("product_id", F.lit("-n")))
+    batch = changed.unionByName(new_rows)
+    upsert(spark, target, batch)
+    upsert(spark, target, batch)  # replay: same result
+    return read_clean(spark, target, keep_partition=False)
+
+
+STREAM_BATCH_SIZE = 20000
+
+
+@register("stream_ingest", with_oc(f"SELECT {', '.join(CLEAN_COLUMNS)} FROM oc"))
+def q_stream_ingest(spark, sf_dir):
+    """X1..X3: cut the clean fact into batches, stream them through P8 + S7
+    into an empty table, return the table after the last commit."""
+    fact = oc(spark, sf_dir).select(*CLEAN_COLUMNS)
+    batch_dir = work_dir(spark, "stream-batches")
+    B.write_batches(B.split_row_batches(fact, STREAM_BATCH_SIZE), batch_dir)
+    target, ckpt = work_dir(spark, "stream-target"), work_dir(spark, "stream-ckpt")
+    q = upsert_stream(spark, batch_dir, target, ckpt, files_per_trigger=1)
+    q.awaitTermination()
+    if committed_batches(spark, ckpt) == 0:
+        raise RuntimeError("stream committed no batch")
+    return read_clean(spark, target, keep_partition=False)
+
+
 def all_queries():
     return dict(QUERIES)
 
