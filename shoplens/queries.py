@@ -14,6 +14,7 @@ from shoplens.operators import marts as M
 from shoplens.operators import rules as R
 from shoplens.operators import signals as G
 from shoplens.operators import validate as V
+from shoplens.plans import forecast as FC
 from shoplens.plans import timeseries as TS
 from shoplens.registry import clean_table_path
 from shoplens.session import work_dir
@@ -22,7 +23,7 @@ from shoplens.sources.clean_store import read_clean, write_clean
 from shoplens.sources.upsert import upsert
 from shoplens.streaming.loader import committed_batches, upsert_stream
 from shoplens.registry import ORACLE, QUERIES, clean_fact, clean_fact_uncached, register, with_oc
-from shoplens.schema import CLEAN_COLUMNS, FEATURE_COLUMNS
+from shoplens.schema import CLEAN_COLUMNS, FEATURE_COLUMNS, TARGET_COLUMN
 from shoplens.sources.testdata import raw_from_testdata
 
 # A fixed dashboard filter set used by the *_filtered queries.
@@ -761,6 +762,88 @@ def q_stream_ingest(spark, sf_dir):
     return read_clean(spark, target, keep_partition=False)
 
 
+# ---- forecast ------------------------------------------------------------------------------
+
+_MODEL_CACHE: dict = {}
+
+
+def training_frames(spark, sf_dir):
+    """(split features, next-day features) for the whole series."""
+    fact = oc(spark, sf_dir)
+    series = TS.daily_series(fact)
+    split = TS.time_split(TS.clean_training(TS.time_features(series)))
+    return split, TS.next_day_features(series)
+
+
+def trained(spark, sf_dir):
+    """F6 once per session and data folder; the model is saved (F12) and reloaded."""
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+    if key not in _MODEL_CACHE:
+        split, nxt = training_frames(spark, sf_dir)
+        split = split.checkpoint(eager=True)  # small (one row per day); cut the lineage
+        model = FC.train_forecast(split)
+        metrics = FC.forecast_metrics(model, split)
+        importance = FC.feature_importance(model, split.where(F.col("split") == "train"))
+        path = work_dir(spark, "model")
+        FC.save_model(model, metrics, importance, path)
+        _MODEL_CACHE[key] = (path, split, nxt)
+    path, split, nxt = _MODEL_CACHE[key]
+    return FC.load_model(path), split, nxt, path
+
+
+BASELINE_SQL = """
+SELECT ROUND_EVEN(AVG(ABS(daily_revenue - lag_1)), 6) AS baseline_mae,
+       ROUND_EVEN(SQRT(AVG((daily_revenue - lag_1) * (daily_revenue - lag_1))), 6) AS baseline_rmse,
+       ROUND_EVEN(COALESCE(AVG(CASE WHEN daily_revenue <> 0 THEN ABS((daily_revenue - lag_1) / daily_revenue) END)
+                           * 100.0, 0.0), 6) AS baseline_mape,
+       CAST(COUNT(*) AS BIGINT) AS test_rows
+FROM (SELECT daily_revenue, lag_1, ROW_NUMBER() OVER (ORDER BY date) AS position, COUNT(*) OVER () AS n
+      FROM features WHERE daily_revenue IS NOT NULL)
+WHERE NOT (n < 5 OR position <= LEAST(GREATEST(FLOOR(n * 0.8), 1), n - 1))"""
+
+
+@register("baseline_metrics", with_oc(BASELINE_SQL, FEATURES_CTE))
+def q_baseline_metrics(spark, sf_dir):
+    """F7's lag_1 baseline on the test days (no model needed, SQL-checkable)."""
+    split, _ = training_frames(spark, sf_dir)
+    test = split.where(F.col("split") == "test")
+    y, b = F.col(TARGET_COLUMN), F.col("lag_1")
+    e = y - b
+    return test.agg(F.bround(F.avg(F.abs(e)), 6).alias("baseline_mae"),
+                    F.bround(F.sqrt(F.avg(e * e)), 6).alias("baseline_rmse"),
+                    F.bround(F.coalesce(F.avg(F.when(y != 0, F.abs(e / y))) * 100.0, F.lit(0.0)), 6)
+                    .alias("baseline_mape"),
+                    F.count(F.lit(1)).cast("bigint").alias("test_rows"))
+
+
+@register("forecast_metrics")
+def q_forecast_metrics(spark, sf_dir):
+    """F6 + F7 + F12: metrics stored with the model, read back."""
+    _, _, _, path = trained(spark, sf_dir)
+    return FC.load_metrics(spark, path)
+
+
+@register("next_day_prediction")
+def q_next_day_prediction(spark, sf_dir):
+    """F8."""
+    model, split, nxt, path = trained(spark, sf_dir)
+    return FC.predict_next(model, nxt, FC.load_metrics(spark, path))
+
+
+@register("feature_importance")
+def q_feature_importance(spark, sf_dir):
+    """F9 (occlusion impact, not SHAP)."""
+    _, _, _, path = trained(spark, sf_dir)
+    return spark.read.json(f"{path}/importance")
+
+
+@register("prediction_drivers")
+def q_prediction_drivers(spark, sf_dir):
+    """top-5 drivers of the next-day prediction."""
+    model, split, nxt, _ = trained(spark, sf_dir)
+    return FC.prediction_drivers(model, nxt, split.where(F.col("split") == "train"))
+
+
 def all_queries():
     return dict(QUERIES)
 
