@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from shoplens.operators import clean as C
 from shoplens.operators import advanced as A
 from shoplens.operators import marts as M
+from shoplens.operators import presentation as P
 from shoplens.operators import rules as R
 from shoplens.operators import signals as G
 from shoplens.operators import validate as V
@@ -844,6 +845,69 @@ def q_prediction_drivers(spark, sf_dir):
     return FC.prediction_drivers(model, nxt, split.where(F.col("split") == "train"))
 
 
+# ---- presentation relations ---------------------------------------------------------------
+
+@register("top_categories_chart", with_oc("""
+SELECT REPLACE(product_category_name, '_', ' ') AS category, CAST(COALESCE(SUM(payment_value), 0) AS DOUBLE) AS revenue
+FROM oc GROUP BY product_category_name ORDER BY revenue DESC, product_category_name LIMIT 10"""))
+def q_top_categories_chart(spark, sf_dir):
+    return P.top_categories_chart(M.category_analysis(oc(spark, sf_dir)))
+
+
+@register("top_states_chart", with_oc("""
+SELECT CASE WHEN rk = 1 THEN state || ' (Top)' ELSE state END AS state, revenue, CAST(rk AS INTEGER) AS rank
+FROM (SELECT state, revenue, ROW_NUMBER() OVER (ORDER BY revenue DESC, state) AS rk
+      FROM (SELECT customer_state AS state, CAST(COALESCE(SUM(payment_value), 0) AS DOUBLE) AS revenue
+            FROM oc GROUP BY customer_state))
+WHERE rk <= 10"""))
+def q_top_states_chart(spark, sf_dir):
+    return P.top_states_chart(M.geo_analysis(oc(spark, sf_dir)))
+
+
+@register("weekday_chart", with_oc("""
+SELECT CAST(dayofweek(order_date) AS INTEGER) AS day,
+       ['Sun', 'Mon', 'Tue', 'Wed', 'Thu', 'Fri', 'Sat'][dayofweek(order_date) + 1] AS label,
+       COALESCE(CAST(SUM(payment_value) AS DOUBLE) / COUNT(payment_value), 0.0) AS avg_revenue
+FROM oc GROUP BY 1, 2"""))
+def q_weekday_chart(spark, sf_dir):
+    return P.weekday_chart(M.weekday_analysis(oc(spark, sf_dir)))
+
+
+@register("latest_anomalies", with_oc("""
+SELECT date, ROUND_EVEN(daily_revenue, 6) AS revenue, ROUND_EVEN((daily_revenue - mu) / sd, 6) AS z_score
+FROM series CROSS JOIN (SELECT AVG(daily_revenue) AS mu, STDDEV_POP(daily_revenue) AS sd FROM series)
+WHERE sd <> 0 AND ABS((daily_revenue - mu) / sd) > 2.5 ORDER BY date DESC LIMIT 3""", SERIES_CTE))
+def q_latest_anomalies(spark, sf_dir):
+    return round_doubles(P.latest_anomalies(TS.detect_anomalies(TS.daily_series(oc(spark, sf_dir)))))
+
+
+@register("segment_shares", with_oc("""
+SELECT segment, segment_order, count,
+       CAST(CASE WHEN total > 0 THEN FLOOR(count * 100.0 / total + 0.5) END AS INTEGER) AS share_pct
+FROM (SELECT *, SUM(count) OVER () AS total FROM (""" + SEGMENTS_BODY.replace("ORDER BY segment_order", "") + "))",
+                                    SEGMENTS_SQL.format(where="")))
+def q_segment_shares(spark, sf_dir):
+    return P.segment_shares(M.customer_segments(oc(spark, sf_dir)))
+
+
+@register("retention_bands", with_oc("""
+SELECT cohort_month, period_number, retention_pct,
+       CASE WHEN retention_pct >= 75 THEN 'very_high' WHEN retention_pct >= 50 THEN 'high'
+            WHEN retention_pct >= 25 THEN 'medium' WHEN retention_pct > 0 THEN 'low' ELSE 'none' END AS band
+FROM long WHERE cohort_month IN (SELECT DISTINCT cohort_month FROM long ORDER BY cohort_month LIMIT 12)""",
+                                     COHORT_CTE))
+def q_retention_bands(spark, sf_dir):
+    return P.retention_bands(A.cohort_retention_long(orders7(spark, sf_dir)))
+
+
+@register("top_root_causes", with_oc("""
+SELECT c.order_day AS date, top_category, category_increase_pct, top_state, state_increase_pct
+FROM category_res c JOIN state_res s ON c.order_day = s.order_day ORDER BY date LIMIT 5""", ROOT_CAUSE_CTE))
+def q_top_root_causes(spark, sf_dir):
+    """K7: the first five anomaly explanations."""
+    return P.first_n(A.anomaly_root_cause(orders7(spark, sf_dir)), ["date"], 5)
+
+
 def all_queries():
     return dict(QUERIES)
 
