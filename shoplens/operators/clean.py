@@ -4,12 +4,11 @@ Plan shape (what Catalyst sees):
 
 * payments and reviews are aggregated to one row per order *before* they
   are joined (A1, A2) so the fact never multiplies;
-* orders ⋈ items ⟕ payments ⟕ reviews all key on ``order_id`` and share one
-  hash partitioning;
-* products/translations and customers are left-joined on their keys; AQE
-  turns these into broadcast joins when the runtime size is under the
-  broadcast threshold and keeps a sort-merge join otherwise, and splits a
-  hot key on the fact side (skew join);
+* customers join the orders and products join the items (AQE broadcasts a
+  dimension whose runtime size is under the threshold, keeps a sort-merge
+  join otherwise, and splits a hot customer / product on the big side);
+* order rows ⋈ item rows ⟕ payments ⟕ reviews all key on ``order_id`` and
+  share one hash partitioning, which the de-duplication reuses;
 * the review median is a one-row aggregate (frequency map over the few
   distinct scores) attached by a broadcast cross join of that single row;
 * de-duplication is a hash aggregate with map-side combine, keeping the
@@ -60,18 +59,29 @@ def translate_products(products: DataFrame, translations: DataFrame) -> DataFram
 
 
 def join_sources(raw: dict[str, DataFrame]) -> DataFrame:
-    """J2..J6: the unified, not yet cleaned, order-item rows."""
-    orders = raw["orders"].select("order_id", "customer_id", "order_purchase_timestamp")
-    items = raw["order_items"].select("order_id", "product_id", "price", "freight_value")
+    """J2..J6: the unified, not yet cleaned, order-item rows.
+
+    Same rows as ``orders ⋈ items ⟕ products ⟕ payments ⟕ reviews ⟕
+    customers`` (left joins on one side's key commute with the inner join),
+    ordered so each dimension meets the smaller table it belongs to and the
+    last shuffle of the fact is on ``order_id``: customers join the orders,
+    products join the items, then order rows meet item rows and the two
+    order-level aggregates on ``order_id``. The de-duplication key contains
+    ``order_id``, so it needs no further shuffle, and a hot customer or
+    product only skews a join whose output is re-shuffled anyway (AQE can
+    split it without adding an exchange).
+    """
+    customers = raw["customers"].select("customer_id", "customer_city", "customer_state")
+    orders = (raw["orders"].select("order_id", "customer_id", "order_purchase_timestamp")
+              .join(customers, "customer_id", "left"))
     products = translate_products(raw["products"], raw["translations"])
+    items = (raw["order_items"].select("order_id", "product_id", "price", "freight_value")
+             .join(products, "product_id", "left"))
     pay = payments_per_order(raw["payments"])
     rev = reviews_per_order(raw["reviews"])
-    customers = raw["customers"].select("customer_id", "customer_city", "customer_state")
     return (orders.join(items, "order_id", "inner")
-            .join(products, "product_id", "left")
             .join(pay, "order_id", "left")
-            .join(rev, "order_id", "left")
-            .join(customers, "customer_id", "left"))
+            .join(rev, "order_id", "left"))
 
 
 # ---- P1..P7 ------------------------------------------------------------------

@@ -26,8 +26,16 @@ from shoplens.schema import (
 )
 
 
-def _w(keys: list[str]) -> Window:
-    return Window.partitionBy(*keys).orderBy("date") if keys else Window.orderBy("date")
+def _w(keys: list[str], descending: bool = False) -> Window:
+    order = F.desc("date") if descending else F.col("date")
+    return Window.partitionBy(*keys).orderBy(order) if keys else Window.orderBy(order)
+
+
+def _running(keys: list[str], descending: bool = False) -> Window:
+    """A running frame (start .. current row). A frame reaching *forward* to
+    the end would be re-aggregated per row (quadratic); looking back over the
+    reversed order gives "next non-NULL value" in one linear pass."""
+    return _w(keys, descending).rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
 def observed_daily(oc: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -49,13 +57,11 @@ def fill_gaps(series: DataFrame, keys: list[str] | None = None, value: str = TAR
     """W8 + W9: linear interpolation between the nearest observed neighbours,
     then forward fill, back fill, and 0."""
     keys = list(keys or [])
-    w = _w(keys)
-    before = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    after = w.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    before, after = _running(keys), _running(keys, descending=True)
     v = F.col(value)
     seen = F.when(v.isNotNull(), F.col("date"))
     y0, x0 = F.last(v, True).over(before), F.last(seen, True).over(before)
-    y1, x1 = F.first(v, True).over(after), F.first(seen, True).over(after)
+    y1, x1 = F.last(v, True).over(after), F.last(seen, True).over(after)
     slope = (y1 - y0) / F.datediff(x1, x0)
     interp = y0 + slope * F.datediff(F.col("date"), x0)
     filled = (F.when(v.isNotNull(), v)
@@ -133,11 +139,12 @@ def time_features(series: DataFrame, keys: list[str] | None = None) -> DataFrame
     feats[f"rolling_std_{ROLLING_STD_WINDOW}"] = _pop_std_of([lags[k] for k in range(1, ROLLING_STD_WINDOW + 1)])
     feats["revenue_change_1"] = lags[1] - lags[2]
     raw = base.select(*keys, "date", TARGET_COLUMN, *[feats[c].alias(c) for c in FEATURE_COLUMNS])
-    before = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    after = w.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    return raw.select(*keys, "date", TARGET_COLUMN, *[
-        F.coalesce(F.col(c), F.last(c, True).over(before), F.first(c, True).over(after), F.lit(0.0))
-        .cast("double").alias(c) for c in FEATURE_COLUMNS])
+    before, after = _running(keys), _running(keys, descending=True)
+    filled = raw.select(*keys, "date", TARGET_COLUMN, *[
+        F.coalesce(F.col(c), F.last(c, True).over(before)).alias(c) for c in FEATURE_COLUMNS])
+    return filled.select(*keys, "date", TARGET_COLUMN, *[
+        F.coalesce(F.col(c), F.last(c, True).over(after), F.lit(0.0)).cast("double").alias(c)
+        for c in FEATURE_COLUMNS])
 
 
 def feature_frame(oc: DataFrame, keys: list[str] | None = None) -> DataFrame:

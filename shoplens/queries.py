@@ -15,6 +15,7 @@ from shoplens.operators import presentation as P
 from shoplens.operators import rules as R
 from shoplens.operators import signals as G
 from shoplens.operators import validate as V
+from shoplens.plans import bundle as BU
 from shoplens.plans import forecast as FC
 from shoplens.plans import timeseries as TS
 from shoplens.registry import clean_table_path
@@ -908,6 +909,22 @@ def q_top_root_causes(spark, sf_dir):
     return P.first_n(A.anomaly_root_cause(orders7(spark, sf_dir)), ["date"], 5)
 
 
+# ---- marts bundle ---------------------------------------------------------------------------
+
+@register("marts_bundle")
+def q_marts_bundle(spark, sf_dir):
+    """Every mart written for one filter set; returns (mart, status, rows)."""
+    out = work_dir(spark, "marts")
+    status = BU.materialize_marts(spark, oc(spark, sf_dir), out, **CATEGORY_FILTER)
+    parts = [spark.read.parquet(f"{out}/{name}").groupBy().count()
+             .select(F.lit(name).alias("mart"), F.lit(st).alias("status"), F.col("count").alias("rows"))
+             for name, st in status.items() if st == "ok"]
+    result = parts[0]
+    for p in parts[1:]:
+        result = result.unionByName(p)
+    return result
+
+
 def all_queries():
     return dict(QUERIES)
 
