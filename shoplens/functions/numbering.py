@@ -60,9 +60,12 @@ def exact_percentiles(df: DataFrame, value: str | Column, fractions: dict[str, f
     NULL values are ignored; empty input gives NULLs.
     """
     v = F.col(value) if isinstance(value, str) else value
-    vals = df.select(v.cast("double").alias("_v")).where(F.col("_v").isNotNull())
+    # the row hash breaks ties: a value shared by a third of all rows can
+    # still be range-partitioned over many tasks
+    vals = (df.select(v.cast("double").alias("_v"), F.xxhash64(*df.columns).alias("_tie"))
+            .where(F.col("_v").isNotNull()))
     n = vals.agg(F.count(F.lit(1)).alias("_cnt"))  # exactly one row
-    numbered = global_row_number(vals, ["_v"], "_rn").crossJoin(F.broadcast(n))
+    numbered = global_row_number(vals, ["_v", "_tie"], "_rn").crossJoin(F.broadcast(n))
     aggs = []
     wanted = F.lit(False)
     for alias, p in fractions.items():

@@ -40,12 +40,12 @@ def with_partition(df: DataFrame) -> DataFrame:
 def write_clean(oc: DataFrame, path: str, mode: str = "overwrite") -> None:
     """S2 + K1: month partitions, rows sorted by (date, key) inside each file.
 
-    ``repartition(order_month)`` sends one month to one writer; at very large
-    scale a salted variant (``repartition(month, salt)``) spreads a hot month
-    over several files without changing the result.
+    ``rebalance`` on the month lets AQE split an oversized month (one month
+    may hold a third of all rows) across several writers and files instead
+    of sending it to one task, and merges small months.
     """
     (with_partition(oc)
-     .repartition(PARTITION_COLUMN)
+     .hint("rebalance", PARTITION_COLUMN)
      .sortWithinPartitions("order_date", "order_id", "product_id")
      .write.mode(mode).partitionBy(PARTITION_COLUMN).parquet(path))
 

@@ -52,24 +52,29 @@ def upsert(spark: SparkSession, target_path: str, batch: DataFrame, keys: list[s
     keys = keys or PK_COLUMNS
     batch = batch.select(*CLEAN_COLUMNS).persist()
     try:
-        rows_in = batch.count()
         clean = with_partition(dedup_batch(batch, keys))
-        # months the batch touches: a handful of values, bounded by the calendar
-        months = [r[0] for r in clean.select(PARTITION_COLUMN).distinct().collect()]
+        # one small job: row count, distinct keys and the months the batch
+        # touches (a handful of values, bounded by the calendar)
+        st = (with_partition(batch)
+              .agg(F.count(F.lit(1)).alias("rows_in"),
+                   F.count_distinct(*[F.col(k) for k in keys]).alias("rows_out"),
+                   F.collect_set(PARTITION_COLUMN).alias("months"))
+              .first())
+        months = list(st["months"])
         if _has_table(spark, target_path):
             touched = spark.read.parquet(target_path).where(F.col(PARTITION_COLUMN).isin(months))
             merged = merge_frames(touched.select(*CLEAN_COLUMNS, PARTITION_COLUMN), clean, keys)
+            stage = work_dir(spark, "upsert-stage")
+            (merged.hint("rebalance", PARTITION_COLUMN).sortWithinPartitions("order_date", "order_id", "product_id")
+             .write.mode("overwrite").partitionBy(PARTITION_COLUMN).parquet(stage))
+            source = spark.read.parquet(stage).select(*CLEAN_COLUMNS, PARTITION_COLUMN)
         else:
-            merged = clean
-        stage = work_dir(spark, "upsert-stage")
-        (merged.repartition(PARTITION_COLUMN).sortWithinPartitions("order_date", "order_id", "product_id")
-         .write.mode("overwrite").partitionBy(PARTITION_COLUMN).parquet(stage))
-        (spark.read.parquet(stage).select(*CLEAN_COLUMNS, PARTITION_COLUMN)
-         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+            source = (clean.hint("rebalance", PARTITION_COLUMN)
+                      .sortWithinPartitions("order_date", "order_id", "product_id"))
+        (source.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy(PARTITION_COLUMN).parquet(target_path))
-        rows_out = clean.count()
-        return {"rows_in": rows_in, "rows_upserted": rows_out,
-                "duplicate_keys_dropped": rows_in - rows_out, "months_touched": len(months)}
+        return {"rows_in": st["rows_in"], "rows_upserted": st["rows_out"],
+                "duplicate_keys_dropped": st["rows_in"] - st["rows_out"], "months_touched": len(months)}
     finally:
         batch.unpersist()
 
