@@ -32,49 +32,57 @@ def customer_months(orders: DataFrame) -> DataFrame:
 
 
 def cohort_activity(orders: DataFrame) -> DataFrame:
-    """(cohort_month, period_number, active_customers, cohort_size, retention_pct)."""
+    """(cohort_month, period_number, active_customers, cohort_size, retention_pct).
+
+    One linear pipeline: distinct (customer, month) pairs, the customer's
+    first month by a window over those pairs (a customer has at most one
+    row per month, so even a very hot customer is a small window), counts
+    per (cohort, period). Every customer is active in period 0 of its own
+    cohort, so the cohort size is the period-0 count.
+    """
     cm = customer_months(orders)
-    first = cm.groupBy("customer_id").agg(F.min("order_month").alias("cohort_month"))
-    active = (cm.join(first, "customer_id")
+    first = F.min("order_month").over(Window.partitionBy("customer_id"))
+    active = (cm.withColumn("cohort_month", first)
               .withColumn("period_number", months_between_periods("order_month", "cohort_month"))
               .groupBy("cohort_month", "period_number")
               .agg(F.count(F.lit(1)).alias("active_customers")))
-    sizes = first.groupBy("cohort_month").agg(F.count(F.lit(1)).alias("cohort_size"))
-    return (active.join(sizes, "cohort_month", "left")
+    # the remaining windows run over (cohort x period) rows: bounded by months squared
+    size = F.max(F.when(F.col("period_number") == 0, F.col("active_customers"))).over(
+        Window.partitionBy("cohort_month"))
+    return (active.withColumn("cohort_size", F.coalesce(size, F.lit(0)))
             .withColumn("retention_pct",
                         F.when(F.col("cohort_size") > 0,
                                F.col("active_customers").cast("double") / F.col("cohort_size") * 100.0)
                         .otherwise(F.lit(0.0))))
 
 
-def cohort_retention_long(orders: DataFrame, rounded: bool = True) -> DataFrame:
-    """A16, long form: every cohort x period 0..max period (global), 0-filled;
-    period 0 is forced to 100.0; values rounded half-even to 2 places."""
-    act = cohort_activity(orders)
-    max_p = act.agg(F.max("period_number").alias("_max"))  # one row
-    cohorts = act.select("cohort_month").distinct()
-    grid = (cohorts.crossJoin(F.broadcast(max_p))
-            .select("cohort_month", F.explode(F.sequence(F.lit(0), F.col("_max"))).alias("period_number")))
-    pct = F.coalesce(F.col("retention_pct"), F.lit(0.0))
-    if rounded:
-        pct = half_even(pct, 2)
-    return (grid.join(act.select("cohort_month", "period_number", "retention_pct"),
-                      ["cohort_month", "period_number"], "left")
-            .select(month_label("cohort_month").alias("cohort_month"),
-                    F.col("period_number").cast("int").alias("period_number"),
-                    F.when(F.col("period_number") == 0, F.lit(100.0)).otherwise(pct).alias("retention_pct"))
-            .orderBy("cohort_month", "period_number"))
+def cohort_retention(orders: DataFrame, rounded: bool = True) -> DataFrame:
+    """A16, API form: one row per cohort with the dense retention array over
+    periods 0 .. global max period, 0-filled, period 0 forced to 100.0,
+    values rounded half-even to 2 places."""
+    act = cohort_activity(orders).withColumn(
+        "_max", F.max("period_number").over(Window.partitionBy()))  # small table, see above
+    by_cohort = (act.groupBy("cohort_month")
+                 .agg(F.map_from_entries(F.collect_list(F.struct("period_number", "retention_pct"))).alias("_m"),
+                      F.max("_max").alias("_max")))
 
+    def cell(p):
+        v = F.coalesce(F.element_at(F.col("_m"), p), F.lit(0.0))
+        return F.when(p == 0, F.lit(100.0)).otherwise(half_even(v, 2) if rounded else v)
 
-def cohort_retention(orders: DataFrame) -> DataFrame:
-    """A16, API form: one row per cohort with the dense retention array."""
-    long = cohort_retention_long(orders)
-    return (long.groupBy("cohort_month")
-            .agg(F.array_sort(F.collect_list(F.struct("period_number", "retention_pct"))).alias("_p"))
-            .select("cohort_month", F.transform("_p", lambda s: s["retention_pct"]).alias("retention"))
+    dense = F.transform(F.sequence(F.lit(0), F.col("_max")), cell)
+    return (by_cohort.select(month_label("cohort_month").alias("cohort_month"), dense.alias("retention"))
             .orderBy("cohort_month"))
 
 
+def cohort_retention_long(orders: DataFrame, rounded: bool = True) -> DataFrame:
+    """A16, long form: (cohort_month, period_number, retention_pct)."""
+    return (cohort_retention(orders, rounded)
+            .select("cohort_month", F.posexplode("retention").alias("period_number", "retention_pct"))
+            .withColumn("period_number", F.col("period_number").cast("int"))
+            .orderBy("cohort_month", "period_number"))
+
+
 # ---- A17 revenue decomposition ------------------------------------------------------
 
 def _zeros_if(cond: Column, value: Column) -> Column:
