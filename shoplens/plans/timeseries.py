@@ -206,7 +206,7 @@ def time_split(clean: DataFrame, keys: list[str] | None = None,
     whole = Window.partitionBy(*keys) if keys else Window.partitionBy()
     n = F.count(F.lit(1)).over(whole)
     cut = F.least(F.greatest(F.floor(n * F.lit(float(fraction))), F.lit(1)), n - 1)
-    return (clean.withColumn("position", F.row_number().over(w))
+    return (clean.withColumn("position", F.row_number().over(w).cast("bigint"))
             .withColumn("_n", n)
             .withColumn("split", F.when((F.col("_n") < MIN_ROWS_FOR_SPLIT) | (F.col("position") <= cut),
                                         F.lit("train")).otherwise(F.lit("test")))

@@ -595,7 +595,7 @@ nd AS (SELECT CAST(last_date + INTERVAL 1 DAY AS DATE) AS date, * FROM ag)"""
 @register("next_day_features", with_oc("""
 SELECT date, CAST(isodow(date) - 1 AS DOUBLE) AS day_of_week, CAST(dayofmonth(date) AS DOUBLE) AS day_of_month,
        CAST(month(date) AS DOUBLE) AS month, CAST(quarter(date) AS DOUBLE) AS quarter,
-       CASE WHEN isodow(date) - 1 IN (5, 6) THEN 1.0 ELSE 0.0 END AS is_weekend,
+       CAST(CASE WHEN isodow(date) - 1 IN (5, 6) THEN 1.0 ELSE 0.0 END AS DOUBLE) AS is_weekend,
        v1 AS lag_1, CASE WHEN n >= 2 THEN v2 ELSE v1 END AS lag_2, CASE WHEN n >= 3 THEN v3 ELSE v1 END AS lag_3,
        CASE WHEN n >= 7 THEN v7 ELSE first_v END AS lag_7,
        m3 AS rolling_mean_3, m7 AS rolling_mean_7, m14 AS rolling_mean_14,
@@ -720,7 +720,8 @@ UPSERT_MONTH = "1996-03"
 
 @register("upsert_changes", with_oc(f"""
 SELECT order_id, customer_id, product_id, order_date,
-       CASE WHEN strftime(order_date, '%Y-%m') = '{UPSERT_MONTH}' THEN price + 1 ELSE price END AS price,
+       CAST(CASE WHEN strftime(order_date, '%Y-%m') = '{UPSERT_MONTH}' THEN price + 1 ELSE price END
+            AS DECIMAL(12,2)) AS price,
        freight_value, payment_value,
        CASE WHEN strftime(order_date, '%Y-%m') = '{UPSERT_MONTH}' THEN 5 ELSE review_score END AS review_score,
        product_category_name, customer_city, customer_state

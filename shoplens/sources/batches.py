@@ -51,6 +51,21 @@ def read_batch(spark: SparkSession, batch_dir: str, batch_idx: int) -> DataFrame
     return spark.read.parquet(batch_dir).where(F.col(BATCH_COLUMN) == int(batch_idx)).drop(BATCH_COLUMN)
 
 
+# FIXED VALUE: file names of a batch folder written one CSV per batch
+BATCH_FILE_PATTERN = r"batch_(\d+)\.csv"
+
+
+def read_batch_files(spark: SparkSession, batch_dir: str) -> DataFrame:
+    """Batch folders laid out as ``batch_<n>.csv`` files: all rows, with the
+    batch index taken from each row's file name (``regexp_extract``).
+    A file whose name does not follow the pattern gets a NULL index, which
+    ``check_batch_files`` reports."""
+    df = (spark.read.option("header", True).option("inferSchema", False)
+          .csv(f"{batch_dir.rstrip('/')}/batch_*.csv"))
+    name = F.regexp_extract(F.col("_metadata.file_name"), f"^{BATCH_FILE_PATTERN}$", 1)
+    return df.withColumn(BATCH_COLUMN, F.when(name != "", name.cast("int")))
+
+
 def batch_sizes(spark: SparkSession, batch_dir: str) -> DataFrame:
     return spark.read.parquet(batch_dir).groupBy(BATCH_COLUMN).agg(F.count(F.lit(1)).alias("rows"))
 

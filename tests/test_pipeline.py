@@ -101,3 +101,20 @@ def test_check_clean_flags_duplicates(spark):
     assert r.duplicate_rows == 1 and not r.passed
     with pytest.raises(ValueError):
         V.raise_if_failed(V.check_clean(df), "clean")
+
+
+def test_batch_csv_files_and_create_table(spark, tmp_dir):
+    import os
+    from shoplens.sources.clean_store import create_table
+    for i, rows in enumerate([["o1", "o2"], ["o3"]]):
+        with open(os.path.join(tmp_dir, f"batch_{i}.csv"), "w") as f:
+            f.write("order_id,payment_value\n" + "".join(f"{r},1\n" for r in rows))
+    with open(os.path.join(tmp_dir, "batch_x.csv"), "w") as f:
+        f.write("order_id,payment_value\nz,1\n")
+    got = sorted((r.order_id, r.batch_id) for r in B.read_batch_files(spark, tmp_dir).collect())
+    assert got == [("o1", 0), ("o2", 0), ("o3", 1), ("z", None)]
+    loc = os.path.join(tmp_dir, "tbl")
+    t1 = create_table(spark, "oc_test_tbl", loc)
+    t2 = create_table(spark, "oc_test_tbl", loc)  # idempotent
+    assert t1.columns == t2.columns and "order_month" in t1.columns
+    spark.sql("DROP TABLE IF EXISTS oc_test_tbl")
