@@ -34,10 +34,13 @@ def batch_summary(batched: DataFrame) -> DataFrame:
 
 def check_batches(batched: DataFrame, source: DataFrame, batch_size: int) -> DataFrame:
     """V2: ids contiguous from 0; every batch non-empty; non-final batches
-    exactly ``batch_size``; the final one at most that; totals equal the source."""
+    exactly ``batch_size``; the final one at most that; totals equal the
+    source; no rows from a file whose name carries no batch index."""
     if batch_size <= 0:
         raise ValueError("expected_batch_size must be greater than 0")
-    sizes = batch_summary(batched)
+    named = batched.where(F.col(BATCH_COLUMN).isNotNull())
+    invalid = batched.agg(F.count(F.when(F.col(BATCH_COLUMN).isNull(), 1)).alias("invalid_names"))
+    sizes = batch_summary(named)
     w = Window.orderBy(BATCH_COLUMN)  # one row per batch
     flagged = (sizes.withColumn("_is_last", F.lead(BATCH_COLUMN).over(w).isNull())
                .withColumn("_prev", F.lag(BATCH_COLUMN).over(w)))
@@ -50,10 +53,10 @@ def check_batches(batched: DataFrame, source: DataFrame, batch_size: int) -> Dat
         F.count(F.when(F.col("rows") == 0, 1)).alias("empty_batches"),
         F.count(F.when(~F.col("_is_last") & (F.col("rows") != batch_size), 1)).alias("wrong_size"),
         F.max(F.when(F.col("_is_last"), F.col("rows"))).alias("last_batch_size"))
-    return (res.crossJoin(src)
+    return (res.crossJoin(src).crossJoin(invalid)
             .withColumn("passed", (F.col("total_batches") > 0) & (F.col("first_id") == 0) & (F.col("gaps") == 0)
                         & (F.col("empty_batches") == 0) & (F.col("wrong_size") == 0)
-                        & (F.col("last_batch_size") <= batch_size)
+                        & (F.col("last_batch_size") <= batch_size) & (F.col("invalid_names") == 0)
                         & (F.col("total_rows") == F.col("source_rows"))))
 
 

@@ -695,6 +695,7 @@ SELECT CAST(COUNT(*) AS BIGINT) AS total_batches, CAST(SUM(rows) AS BIGINT) AS t
          AS wrong_size,
        CAST(MAX(CASE WHEN batch_id = (SELECT MAX(batch_id) FROM bs) THEN rows END) AS BIGINT) AS last_batch_size,
        (SELECT CAST(COUNT(*) AS BIGINT) FROM oc) AS source_rows,
+       CAST(0 AS BIGINT) AS invalid_names,
        TRUE AS passed
 FROM bs""", f"""
 bs AS (SELECT CAST((rn - 1) // {BATCH_SIZE} AS INTEGER) AS batch_id, COUNT(*) AS rows
@@ -782,13 +783,9 @@ def trained(spark, sf_dir):
     """F6 once per session and data folder; the model is saved (F12) and reloaded."""
     key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
     if key not in _MODEL_CACHE:
-        split, nxt = training_frames(spark, sf_dir)
-        split = split.checkpoint(eager=True)  # small (one row per day); cut the lineage
-        model = FC.train_forecast(split)
-        metrics = FC.forecast_metrics(model, split)
-        importance = FC.feature_importance(model, split.where(F.col("split") == "train"))
         path = work_dir(spark, "model")
-        FC.save_model(model, metrics, importance, path)
+        FC.train_and_save(oc(spark, sf_dir), path)
+        split, nxt = training_frames(spark, sf_dir)
         _MODEL_CACHE[key] = (path, split, nxt)
     path, split, nxt = _MODEL_CACHE[key]
     return FC.load_model(path), split, nxt, path

@@ -62,3 +62,20 @@ def committed_batches(spark: SparkSession, checkpoint: str) -> int:
     names = [s.getPath().getName() for s in fs.listStatus(path)]
     ids = [int(n) for n in names if n.isdigit()]
     return (max(ids) + 1) if ids else 0
+
+
+def refresh_after_batch(marts_dir: str | None = None, model_dir: str | None = None, **filters) -> OnBatch:
+    """After each committed upsert, rewrite the marts and/or retrain the model
+    from the updated table (the dashboard and the forecast read the latest)."""
+    from shoplens.plans.bundle import materialize_marts
+    from shoplens.plans.forecast import train_and_save
+    from shoplens.sources.clean_store import read_clean
+
+    def callback(spark: SparkSession, target_path: str, epoch_id: int, stats: dict) -> None:
+        oc = read_clean(spark, target_path)
+        if marts_dir:
+            stats["marts"] = materialize_marts(spark, oc, marts_dir, **filters)
+        if model_dir:
+            train_and_save(oc, model_dir)
+
+    return callback

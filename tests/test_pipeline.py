@@ -118,3 +118,18 @@ def test_batch_csv_files_and_create_table(spark, tmp_dir):
     t2 = create_table(spark, "oc_test_tbl", loc)  # idempotent
     assert t1.columns == t2.columns and "order_month" in t1.columns
     spark.sql("DROP TABLE IF EXISTS oc_test_tbl")
+
+
+def test_run_local_pipeline_dry_and_real(spark):
+    from shoplens.plans.ingest import run_local_pipeline
+    from shoplens.sources.testdata import raw_from_testdata
+    from tests.conftest import SF_SMALL
+    work = work_dir(spark, "t-local")
+    raw = raw_from_testdata(spark, SF_SMALL)
+    dry = run_local_pipeline(spark, raw, work, dry_run=True, batch_size=2000)
+    assert dry["pointer"] == 0 and dry["dry_run_rows"] == 2000 and dry["clean"]["passed"]
+    real = run_local_pipeline(spark, raw, work, dry_run=False, batch_size=2000, retrain=False, marts=True)
+    n = dry["clean"]["rows"]
+    assert real["pointer"] == -(-n // 2000)
+    assert real["table"] == {"row_count": n, "duplicate_pk_groups": 0}
+    assert spark.read.parquet(f"{work}/marts/metrics").first().total_orders == n
