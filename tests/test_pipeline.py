@@ -133,3 +133,15 @@ def test_run_local_pipeline_dry_and_real(spark):
     assert real["pointer"] == -(-n // 2000)
     assert real["table"] == {"row_count": n, "duplicate_pk_groups": 0}
     assert spark.read.parquet(f"{work}/marts/metrics").first().total_orders == n
+
+
+def test_check_batches_detects_gap_and_bad_names(spark):
+    fact = clean_frame(spark, [row(f"o{i}", "c", "p", "2024-01-01", 1) for i in range(5)])
+    b = B.split_row_batches(fact, 2)
+    gap = b.withColumn("batch_id", F.when(F.col("batch_id") == 2, 5).otherwise(F.col("batch_id")))
+    r = V.check_batches(gap, fact, 2).first()
+    assert r.gaps == 3 and not r.passed  # ids 2, 3, 4 missing
+    bad = b.withColumn("batch_id", F.when(F.col("batch_id") == 2, F.lit(None)).otherwise(F.col("batch_id")))
+    r2 = V.check_batches(bad, fact, 2).first()
+    assert r2.invalid_names == 1 and not r2.passed
+    assert V.check_batches(b, fact, 2).first().passed
