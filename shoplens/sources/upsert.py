@@ -52,7 +52,6 @@ def upsert(spark: SparkSession, target_path: str, batch: DataFrame, keys: list[s
     keys = keys or PK_COLUMNS
     batch = batch.select(*CLEAN_COLUMNS).persist()
     try:
-        clean = with_partition(dedup_batch(batch, keys))
         # one small job: row count, distinct keys and the months the batch
         # touches (a handful of values, bounded by the calendar)
         st = (with_partition(batch)
@@ -61,6 +60,8 @@ def upsert(spark: SparkSession, target_path: str, batch: DataFrame, keys: list[s
                    F.collect_set(PARTITION_COLUMN).alias("months"))
               .first())
         months = list(st["months"])
+        # the key-level de-duplication (an aggregate) only when needed
+        clean = with_partition(batch if st["rows_in"] == st["rows_out"] else dedup_batch(batch, keys))
         if _has_table(spark, target_path):
             touched = spark.read.parquet(target_path).where(F.col(PARTITION_COLUMN).isin(months))
             merged = merge_frames(touched.select(*CLEAN_COLUMNS, PARTITION_COLUMN), clean, keys)
