@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import json
 
-from pyspark.ml import PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
@@ -174,6 +173,3 @@ def load_metrics(spark: SparkSession, path: str) -> DataFrame:
         return spark.sql(f"SELECT '{MODEL_TYPE}' AS model_type, {cols}, "
                          f"'{json.dumps(FEATURE_COLUMNS)}' AS features")
 
-
-__all__ = ["train_forecast", "forecast_metrics", "predict_next", "feature_importance", "prediction_drivers",
-           "save_model", "load_model", "load_metrics", "PipelineModel"]

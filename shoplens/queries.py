@@ -18,7 +18,6 @@ from shoplens.operators import validate as V
 from shoplens.plans import bundle as BU
 from shoplens.plans import forecast as FC
 from shoplens.plans import timeseries as TS
-from shoplens.registry import clean_table_path
 from shoplens.session import work_dir
 from shoplens.sources import batches as B
 from shoplens.sources.clean_store import read_clean, write_clean

@@ -8,7 +8,6 @@ month predicate so whole partitions are pruned at planning time.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from shoplens.functions.dates import month_start
 from shoplens.schema import CLEAN_COLUMNS, CLEAN_SCHEMA

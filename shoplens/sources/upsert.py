@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shoplens.session import work_dir
-from shoplens.schema import CLEAN_COLUMNS, PK_COLUMNS, UPDATE_COLUMNS
+from shoplens.schema import CLEAN_COLUMNS, PK_COLUMNS
 from shoplens.sources.clean_store import PARTITION_COLUMN, with_partition
 
 
@@ -79,5 +79,3 @@ def upsert(spark: SparkSession, target_path: str, batch: DataFrame, keys: list[s
     finally:
         batch.unpersist()
 
-
-__all__ = ["upsert", "merge_frames", "dedup_batch", "UPDATE_COLUMNS"]
