@@ -26,7 +26,13 @@ def test_date_filter_prunes_month_partitions_and_columns(spark):
 
 
 def test_clean_dedup_reuses_order_id_partitioning(spark):
-    plan = executed_plan(clean_fact_uncached(spark, SF_SMALL))
+    # with tiny test tables every join could be a broadcast; disable that to
+    # see the plan large inputs get (sort-merge joins on their keys)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = executed_plan(clean_fact_uncached(spark, SF_SMALL))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     # the four-key de-duplication needs no exchange of its own
     assert "hashpartitioning(order_id#" in plan
     assert "Exchange hashpartitioning(order_id" in plan
