@@ -135,16 +135,18 @@ def prediction_drivers(model: GBTRegressionModel, next_features: DataFrame, trai
             .select("feature", "value", "impact"))
 
 
-def train_and_save(oc: DataFrame, path: str) -> DataFrame:
+def train_and_save(oc: DataFrame, path: str, split: DataFrame | None = None) -> DataFrame:
     """F1..F9 + F12 in one call: series, features, split, fit, metrics,
-    importance, all saved under ``path``; returns the stored metrics."""
+    importance, all saved under ``path``; returns the stored metrics.
+    ``split`` may be passed when the caller already built (and cut) it."""
     from shoplens.plans import timeseries as TS
 
     spark = oc.sparkSession
-    series = TS.daily_series(oc)
-    # one row per calendar day; the checkpoint cuts the lineage before the
-    # many passes of the tree learner
-    split = TS.time_split(TS.clean_training(TS.time_features(series))).checkpoint(eager=True)
+    if split is None:
+        series = TS.daily_series(oc)
+        # one row per calendar day; the checkpoint cuts the lineage before the
+        # many passes of the tree learner
+        split = TS.time_split(TS.clean_training(TS.time_features(series))).checkpoint(eager=True)
     model = train_forecast(split)
     metrics = forecast_metrics(model, split)
     importance = feature_importance(model, split.where(F.col("split") == "train"))

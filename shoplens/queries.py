@@ -783,8 +783,10 @@ def trained(spark, sf_dir):
     key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
     if key not in _MODEL_CACHE:
         path = work_dir(spark, "model")
-        FC.train_and_save(oc(spark, sf_dir), path)
         split, nxt = training_frames(spark, sf_dir)
+        # one row per day: checkpoint once instead of re-deriving from the fact per query
+        split, nxt = split.checkpoint(eager=True), nxt.checkpoint(eager=True)
+        FC.train_and_save(oc(spark, sf_dir), path, split)
         _MODEL_CACHE[key] = (path, split, nxt)
     path, split, nxt = _MODEL_CACHE[key]
     return FC.load_model(path), split, nxt, path
