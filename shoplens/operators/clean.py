@@ -169,17 +169,18 @@ def build_orders_clean(raw: dict[str, DataFrame]) -> DataFrame:
 
 # ---- P8 / P9 -------------------------------------------------------------------
 
-def prepare_batch(batch: DataFrame) -> DataFrame:
-    """Load-side cleaning of one batch: NULL score -> 0, fractional -> truncated."""
+def prepare_batch(batch: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Load-side cleaning of one batch: NULL score -> 0, fractional -> truncated.
+    ``keep`` names extra columns carried through unchanged (e.g. the batch index)."""
     missing = [c for c in CLEAN_COLUMNS if c not in batch.columns]
     if missing:
         raise ValueError(f"Batch missing required columns: {missing}")
-    df = parse_dates(batch.select(*CLEAN_COLUMNS))
+    df = parse_dates(batch.select(*CLEAN_COLUMNS, *keep))
     df = df.dropna(subset=["order_date", "order_id", "customer_id", "product_id"])
     df = coerce_money(df)
     df = df.withColumn("review_score",
                        F.coalesce(try_double("review_score"), F.lit(0.0)).cast("int"))
-    return fill_unknown(df).select(*CLEAN_COLUMNS)
+    return fill_unknown(df).select(*CLEAN_COLUMNS, *keep)
 
 
 def prepare_orders(df: DataFrame) -> DataFrame:

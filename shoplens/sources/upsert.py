@@ -32,11 +32,14 @@ def _has_table(spark: SparkSession, path: str) -> bool:
     return any(not s.getPath().getName().startswith(("_", ".")) for s in fs.listStatus(hpath))
 
 
-def dedup_batch(batch: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """One row per key: the largest row by the updated columns (deterministic)."""
+def dedup_batch(batch: DataFrame, keys: list[str] | None = None, order_col: str | None = None) -> DataFrame:
+    """One row per key. With ``order_col`` (e.g. the batch index) the row with
+    the largest value wins — last write wins; ties, or no order column, fall
+    back to the largest row by the updated columns (deterministic)."""
     keys = keys or PK_COLUMNS
     rest = [c for c in CLEAN_COLUMNS if c not in keys]
-    return (batch.groupBy(*keys).agg(F.max(F.struct(*rest)).alias("_r"))
+    ranked = ([order_col] if order_col else []) + rest
+    return (batch.groupBy(*keys).agg(F.max(F.struct(*ranked)).alias("_r"))
             .select(*keys, *[F.col(f"_r.{c}").alias(c) for c in rest])
             .select(*CLEAN_COLUMNS))
 
@@ -48,9 +51,12 @@ def merge_frames(target: DataFrame, batch: DataFrame, keys: list[str] | None = N
     return kept.select(*batch.columns).unionByName(batch)
 
 
-def upsert(spark: SparkSession, target_path: str, batch: DataFrame, keys: list[str] | None = None) -> dict:
+def upsert(spark: SparkSession, target_path: str, batch: DataFrame, keys: list[str] | None = None,
+           order_col: str | None = None) -> dict:
+    """Upsert ``batch`` into the table at ``target_path``; ``order_col`` orders
+    rows of one key inside the batch (the largest value is applied last)."""
     keys = keys or PK_COLUMNS
-    batch = batch.select(*CLEAN_COLUMNS).persist()
+    batch = batch.select(*CLEAN_COLUMNS, *([order_col] if order_col else [])).persist()
     try:
         # one small job: row count, distinct keys and the months the batch
         # touches (a handful of values, bounded by the calendar)
@@ -61,7 +67,8 @@ def upsert(spark: SparkSession, target_path: str, batch: DataFrame, keys: list[s
               .first())
         months = list(st["months"])
         # the key-level de-duplication (an aggregate) only when needed
-        clean = with_partition(batch if st["rows_in"] == st["rows_out"] else dedup_batch(batch, keys))
+        clean = with_partition(batch.select(*CLEAN_COLUMNS) if st["rows_in"] == st["rows_out"]
+                               else dedup_batch(batch, keys, order_col))
         if _has_table(spark, target_path):
             touched = spark.read.parquet(target_path).where(F.col(PARTITION_COLUMN).isin(months))
             merged = merge_frames(touched.select(*CLEAN_COLUMNS, PARTITION_COLUMN), clean, keys)

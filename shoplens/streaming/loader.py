@@ -6,6 +6,10 @@
   done only after its micro-batch commits, and a restart resumes there.
 * X3 — ``foreachBatch`` cleans (P8) and upserts (S7). The upsert is keyed
   and idempotent, so a micro-batch replayed after a failure is harmless.
+  Inside one micro-batch a key present in several batch files takes the
+  row of the highest batch index. Across micro-batches files are taken in
+  modification-time order; batches cut from the de-duplicated clean table
+  never share a key, so their order does not change the result.
 * X4 — an optional callback after each committed upsert (refresh marts,
   retrain the model).
 """
@@ -41,7 +45,8 @@ def upsert_stream(spark: SparkSession, batch_dir: str, target_path: str, checkpo
     """X2 + X3 (+ X4): start the ingest; returns the running query."""
 
     def process(df: DataFrame, epoch_id: int) -> None:
-        stats = upsert(spark, target_path, prepare_batch(df.drop(BATCH_COLUMN)))
+        # several batch files in one micro-batch: the higher batch index wins a shared key
+        stats = upsert(spark, target_path, prepare_batch(df, keep=(BATCH_COLUMN,)), order_col=BATCH_COLUMN)
         if on_batch is not None:
             on_batch(spark, target_path, epoch_id, stats)
 

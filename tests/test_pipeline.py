@@ -145,3 +145,13 @@ def test_check_batches_detects_gap_and_bad_names(spark):
     r2 = V.check_batches(bad, fact, 2).first()
     assert r2.invalid_names == 1 and not r2.passed
     assert V.check_batches(b, fact, 2).first().passed
+
+
+def test_stream_later_batch_wins_inside_one_micro_batch(spark):
+    batch_dir = work_dir(spark, "t-overlap")
+    first = clean_frame(spark, [row("o1", "c", "p1", "2024-01-01", 10)]).withColumn("batch_id", F.lit(0))
+    second = clean_frame(spark, [row("o1", "c", "p1", "2024-01-01", 5)]).withColumn("batch_id", F.lit(1))
+    B.write_batches(first.unionByName(second), batch_dir)
+    target, ckpt = work_dir(spark, "t-overlap-target"), work_dir(spark, "t-overlap-ckpt")
+    upsert_stream(spark, batch_dir, target, ckpt, files_per_trigger=10).awaitTermination()
+    assert [str(r.payment_value) for r in read_clean(spark, target).collect()] == ["5.00"]
