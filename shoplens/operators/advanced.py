@@ -7,7 +7,8 @@ Every operator pre-aggregates before it shuffles on a customer or an order:
 * churn / LTV first group by (customer, order) — a shuffle on the pair,
   which spreads a hot customer — then by customer with map-side combine;
   distinct order counts fall out of the first step exactly;
-* root cause works on the (day, category) and (day, state) aggregates.
+* root cause works on the (day), (day, category) and (day, state)
+  aggregates, all produced by one GROUPING SETS pass over the fact.
 
 Global scalars (max date, midpoint, max period) are one-row aggregates
 attached with a broadcast cross join.
@@ -221,28 +222,30 @@ def customer_ltv(orders: DataFrame, limit: int = LTV_DEFAULT_LIMIT) -> DataFrame
 
 # ---- A20 anomaly root cause -------------------------------------------------------------------
 
-def observed_anomaly_days(orders: DataFrame, z: float = Z_THRESHOLD) -> DataFrame:
-    """Observed days (not the gap-filled calendar) with |z| > threshold."""
-    daily = (orders.groupBy(day("order_date").alias("order_day"))
-             .agg(F.sum("payment_value").alias("revenue")))
-    return zscore_days(daily).where(F.abs("z_score") > z).select("order_day")
+# grouping_id of each grouping set over (order_day, category, state):
+# a bit is set for each column the set aggregates away
+_GID_DAY, _GID_DAY_CATEGORY, _GID_DAY_STATE = 3, 1, 2
+
+
+def day_revenue_cube(orders: DataFrame) -> DataFrame:
+    """Revenue per day, per (day, category) and per (day, state) from ONE scan
+    of the fact (``GROUPING SETS``: Expand + map-side partial aggregation)."""
+    base = orders.select(day("order_date").alias("order_day"), "product_category_name", "customer_state",
+                         "payment_value")
+    return (base.groupingSets([["order_day"], ["order_day", "product_category_name"],
+                               ["order_day", "customer_state"]],
+                              "order_day", "product_category_name", "customer_state")
+            .agg(F.sum("payment_value").alias("rev"), F.grouping_id().alias("_gid")))
 
 
-def _top_with_baseline(orders: DataFrame, days: DataFrame, dim: str, prefix: str) -> DataFrame:
-    """For each day: top ``dim`` value (ties -> smallest label), its revenue that
-    day, and the mean daily revenue of that value over its *other* sales days."""
-    by_day = (orders.groupBy(day("order_date").alias("order_day"), F.col(dim).alias("label"))
-              .agg(F.sum("payment_value").alias("rev")))
-    totals = by_day.groupBy("label").agg(F.sum("rev").alias("_sum"), F.count(F.lit(1)).alias("_ndays"))
-    w = Window.partitionBy("order_day").orderBy(F.desc("rev"), F.asc("label"))
-    top = (by_day.join(days, "order_day", "left_semi")
-           .withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r"))
-    baseline = F.when(F.col("_ndays") > 1,
-                      (F.col("_sum") - F.col("rev")).cast("double") / (F.col("_ndays") - 1))
-    return (top.join(totals, "label")
-            .select("order_day",
-                    F.col("label").alias(f"top_{prefix}"),
-                    half_even(pct_increase(F.col("rev"), baseline), 2).alias(f"{prefix}_increase_pct")))
+def observed_anomaly_days(orders: DataFrame, z: float = Z_THRESHOLD, cube: DataFrame | None = None) -> DataFrame:
+    """Observed days (not the gap-filled calendar) with |z| > threshold."""
+    if cube is None:
+        daily = (orders.groupBy(day("order_date").alias("order_day"))
+                 .agg(F.sum("payment_value").alias("revenue")))
+    else:
+        daily = cube.where(F.col("_gid") == _GID_DAY).select("order_day", F.col("rev").alias("revenue"))
+    return zscore_days(daily).where(F.abs("z_score") > z).select("order_day")
 
 
 def anomaly_root_cause(orders: DataFrame, dates: list[str] | None = None, z: float = Z_THRESHOLD,
@@ -253,20 +256,53 @@ def anomaly_root_cause(orders: DataFrame, dates: list[str] | None = None, z: flo
     Days come from ``dates`` (normalised to calendar days), ``anomaly_days``
     (a DataFrame with ``order_day``) or the observed-day z-score detector.
     Days without orders, or when no other day exists, are skipped.
+
+    The fact is scanned once (``day_revenue_cube``); everything after runs on
+    that cube (days x labels rows) as one lineage of windows:
+    the day z-score against all days, each label's total and number of sales
+    days, and each day's label ranking (ties -> smallest label). The baseline
+    of a label is the mean over its *other* sales days: (total - day) / (n - 1).
     """
-    if anomaly_days is not None:
-        days = anomaly_days.select(F.col("order_day").cast("date").alias("order_day"))
-    elif dates:
-        days = (orders.sparkSession.createDataFrame([(d,) for d in dates], "d string")
-                .select(F.to_date(F.col("d").try_cast("timestamp_ntz")).alias("order_day")))
+    cube = day_revenue_cube(orders)
+    is_day = F.col("_gid") == _GID_DAY
+    label = F.when(F.col("_gid") == _GID_DAY_CATEGORY, F.col("product_category_name")).otherwise(F.col("customer_state"))
+    per_set = Window.partitionBy("_gid")
+    per_day = Window.partitionBy("order_day")
+    per_label = Window.partitionBy("_gid", "label")
+    ranked = Window.partitionBy("_gid", "order_day").orderBy(F.desc("rev"), F.asc("label"))
+    # day z-score (exact decimal sums, as zscore_days) on the day rows
+    n, s1 = F.count(F.lit(1)).over(per_set), F.sum("rev").over(per_set)
+    s2 = F.sum(F.col("rev") * F.col("rev")).over(per_set)
+    var = (n * s2 - s1 * s1).cast("double") / (n.cast("double") * n.cast("double"))
+    sigma = F.sqrt(F.greatest(var, F.lit(0.0)))
+    zc = F.when(sigma == 0, F.lit(0.0)).otherwise((F.col("rev").cast("double") - s1.cast("double") / n) / sigma)
+    scored = (cube.withColumn("label", label)
+              .withColumn("_z", F.when(is_day, zc))
+              .withColumn("_n", F.when(is_day, n)))
+    scored = (scored.withColumn("_day_z", F.max("_z").over(per_day))
+              .withColumn("_n_days", F.max("_n").over(per_day)))
+    labels = (scored.where(~is_day)
+              .withColumn("_sum", F.sum("rev").over(per_label))
+              .withColumn("_ndays", F.count(F.lit(1)).over(per_label))
+              .withColumn("_r", F.row_number().over(ranked))
+              .where((F.col("_r") == 1) & (F.col("_n_days") > 1)))
+    if anomaly_days is not None or dates:
+        if anomaly_days is not None:
+            chosen = anomaly_days.select(F.col("order_day").cast("date").alias("order_day"))
+        else:
+            chosen = (orders.sparkSession.createDataFrame([(d,) for d in dates], "d string")
+                      .select(F.to_date(F.col("d").try_cast("timestamp_ntz")).alias("order_day")))
+        labels = labels.join(chosen.distinct(), "order_day", "left_semi")
     else:
-        days = observed_anomaly_days(orders, z)
-    days = days.distinct()
-    n_days = orders.agg(F.countDistinct(day("order_date")).alias("_n_days"))  # one row
-    days = days.crossJoin(F.broadcast(n_days)).where(F.col("_n_days") > 1).select("order_day")
-    cat = _top_with_baseline(orders, days, "product_category_name", "category")
-    st = _top_with_baseline(orders, days, "customer_state", "state")
-    return (cat.join(st, "order_day")
+        labels = labels.where(F.abs("_day_z") > z)
+    baseline = F.when(F.col("_ndays") > 1, (F.col("_sum") - F.col("rev")).cast("double") / (F.col("_ndays") - 1))
+    pct = half_even(pct_increase(F.col("rev"), baseline), 2)
+    is_cat = F.col("_gid") == _GID_DAY_CATEGORY
+    return (labels.groupBy("order_day")
+            .agg(F.max(F.when(is_cat, F.col("label"))).alias("top_category"),
+                 F.max(F.when(is_cat, pct)).alias("category_increase_pct"),
+                 F.max(F.when(~is_cat, F.col("label"))).alias("top_state"),
+                 F.max(F.when(~is_cat, pct)).alias("state_increase_pct"))
             .select(F.col("order_day").alias("date"), "top_category", "category_increase_pct",
                     "top_state", "state_increase_pct")
             .orderBy("date"))
