@@ -106,6 +106,10 @@ def customer_segments(oc: DataFrame, approx: bool = False, **filters) -> DataFra
     (one pass, bounded memory) for very many customers.
     """
     spend = customer_spend(oc, **filters)
+    if not approx:
+        # the thresholds and the classification both read the per-customer
+        # spend: write it once instead of aggregating the fact twice
+        spend = spend.checkpoint(eager=True)
     if approx:
         th = spend.agg(F.percentile_approx(F.col("total_spend").cast("double"), [0.25, 0.75], 100000)
                        .alias("_p")).select(F.col("_p")[0].alias("p25"), F.col("_p")[1].alias("p75"))
