@@ -77,3 +77,13 @@ def raise_if_failed(check: DataFrame, what: str) -> dict:
     if not row.get("passed", True):
         raise ValueError(f"{what} validation failed: {row}")
     return row
+
+
+def check_translations(translations: DataFrame) -> DataFrame:
+    """A NULL raw category in the translation table would match NULL
+    categories in a pandas merge but never in a SQL join, so it is rejected
+    here (the clean step ignores such rows)."""
+    return (translations.agg(
+                F.count(F.lit(1)).alias("rows"),
+                F.count(F.when(F.col("product_category_name").isNull(), 1)).alias("null_keys"))
+            .withColumn("passed", F.col("null_keys") == 0))

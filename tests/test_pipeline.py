@@ -155,3 +155,11 @@ def test_stream_later_batch_wins_inside_one_micro_batch(spark):
     target, ckpt = work_dir(spark, "t-overlap-target"), work_dir(spark, "t-overlap-ckpt")
     upsert_stream(spark, batch_dir, target, ckpt, files_per_trigger=10).awaitTermination()
     assert [str(r.payment_value) for r in read_clean(spark, target).collect()] == ["5.00"]
+
+
+def test_translation_null_key_is_rejected(spark):
+    tr = spark.createDataFrame([("casa", "home"), (None, "misc")],
+                               "product_category_name string, product_category_name_english string")
+    r = V.check_translations(tr).first()
+    assert r.null_keys == 1 and not r.passed
+    assert V.check_translations(tr.where("product_category_name IS NOT NULL")).first().passed
