@@ -29,9 +29,10 @@ def run_local_pipeline(spark: SparkSession, raw: dict[str, DataFrame], work: str
     clean_path, batch_dir = f"{work}/clean", f"{work}/batches"
     table, ckpt = f"{work}/table", f"{work}/checkpoint"
 
+    translations = V.raise_if_failed(V.check_translations(raw["translations"]), "translation table")
     write_clean(build_orders_clean(raw), clean_path)
     clean = read_clean(spark, clean_path, keep_partition=False)
-    summary = {"clean": V.raise_if_failed(V.check_clean(clean), "clean table")}
+    summary = {"translations": translations, "clean": V.raise_if_failed(V.check_clean(clean), "clean table")}
 
     batched = B.split_row_batches(clean, batch_size) if mode == "row" else B.split_daily_batches(clean)
     B.write_batches(batched, batch_dir)
