@@ -623,8 +623,7 @@ def q_anomalies(spark, sf_dir):
     return round_doubles(TS.detect_anomalies(TS.daily_series(oc(spark, sf_dir))))
 
 
-@register("state_daily_series", with_oc("""
-SELECT customer_state, date, daily_revenue FROM sseries""", """
+STATE_SERIES_CTE = """
 sobs AS (SELECT customer_state, CAST(order_date AS DATE) AS date,
                 CAST(COALESCE(SUM(payment_value), 0) AS DOUBLE) AS daily_revenue
          FROM oc GROUP BY 1, 2),
@@ -645,12 +644,26 @@ snb AS (SELECT customer_state, date, daily_revenue,
 sseries AS (SELECT customer_state, date,
    CASE WHEN daily_revenue IS NOT NULL THEN daily_revenue
         WHEN y0 IS NOT NULL AND y1 IS NOT NULL THEN y0 + (y1 - y0) / date_diff('day', x0, x1) * date_diff('day', x0, date)
-        ELSE COALESCE(y0, y1, 0.0) END AS daily_revenue FROM snb)"""))
+        ELSE COALESCE(y0, y1, 0.0) END AS daily_revenue FROM snb)"""
+
+
+@register("state_daily_series", with_oc("SELECT customer_state, date, daily_revenue FROM sseries", STATE_SERIES_CTE))
 def q_state_daily_series(spark, sf_dir):
     """F1 with keys: one gap-filled series per customer state (scales out by key)."""
     return TS.daily_series(oc(spark, sf_dir), ["customer_state"])
 
 
+@register("state_anomalies", with_oc("""
+SELECT customer_state, date, ROUND_EVEN(daily_revenue, 6) AS revenue, ROUND_EVEN((daily_revenue - mu) / sd, 6) AS z_score
+FROM sseries JOIN (SELECT customer_state AS k, AVG(daily_revenue) AS mu, STDDEV_POP(daily_revenue) AS sd
+                   FROM sseries GROUP BY customer_state) st ON sseries.customer_state = st.k
+WHERE sd <> 0 AND ABS((daily_revenue - mu) / sd) > 2.5""", STATE_SERIES_CTE))
+def q_state_anomalies(spark, sf_dir):
+    """F11 with keys: z-score anomalies of every state's own gap-filled series."""
+    keys = ["customer_state"]
+    return round_doubles(TS.detect_anomalies(TS.daily_series(oc(spark, sf_dir), keys), keys))
+
+
 # ---- batches, validation, upsert, streaming -----------------------------------------------
 
 BATCH_SIZE = 1000
