@@ -10,8 +10,10 @@ Every operator pre-aggregates before it shuffles on a customer or an order:
 * root cause works on the (day), (day, category) and (day, state)
   aggregates, all produced by one GROUPING SETS pass over the fact.
 
-Global scalars (max date, midpoint, max period) are one-row aggregates
-attached with a broadcast cross join.
+Global scalars of the fact (max date, span midpoint) are one-row aggregates
+attached with a broadcast cross join; scalars of the small derived tables
+(max cohort period, per-day z-scores of the root-cause cube) are windows
+over those calendar-bounded tables.
 """
 
 from __future__ import annotations
@@ -238,13 +240,12 @@ def day_revenue_cube(orders: DataFrame) -> DataFrame:
             .agg(F.sum("payment_value").alias("rev"), F.grouping_id().alias("_gid")))
 
 
-def observed_anomaly_days(orders: DataFrame, z: float = Z_THRESHOLD, cube: DataFrame | None = None) -> DataFrame:
-    """Observed days (not the gap-filled calendar) with |z| > threshold."""
-    if cube is None:
-        daily = (orders.groupBy(day("order_date").alias("order_day"))
-                 .agg(F.sum("payment_value").alias("revenue")))
-    else:
-        daily = cube.where(F.col("_gid") == _GID_DAY).select("order_day", F.col("rev").alias("revenue"))
+def observed_anomaly_days(orders: DataFrame, z: float = Z_THRESHOLD) -> DataFrame:
+    """Observed days (not the gap-filled calendar) with |z| > threshold — the
+    day set ``anomaly_root_cause`` explains by default (it computes the same
+    z-scores inside its single pass)."""
+    daily = (orders.groupBy(day("order_date").alias("order_day"))
+             .agg(F.sum("payment_value").alias("revenue")))
     return zscore_days(daily).where(F.abs("z_score") > z).select("order_day")
 
 

@@ -80,3 +80,12 @@ def test_root_cause_baseline_excludes_only_that_day(spark):
             row("c", "c", "p", "2024-01-03", 500, cat="k")]
     r = A.anomaly_root_cause(orders(spark, rows), dates=["2024-01-03"]).first()
     assert r.category_increase_pct == 150.0   # 500 vs mean(100, 300)
+
+
+def test_observed_days_agree_with_root_cause_default(spark):
+    rows = [row(f"d{i}", "c", "p", f"2024-01-{i:02d}", 10) for i in range(1, 21)]
+    rows.append(row("big", "c", "p", "2024-01-07", 900))
+    o = orders(spark, rows)
+    days = sorted(str(r.order_day) for r in A.observed_anomaly_days(o).collect())
+    assert days == ["2024-01-07"]
+    assert [str(r.date) for r in A.anomaly_root_cause(o).collect()] == days
