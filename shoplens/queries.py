@@ -514,51 +514,58 @@ series AS (SELECT date,
                   ELSE COALESCE(y0, y1, 0.0) END AS daily_revenue
            FROM nb)"""
 
-_W = "OVER (ORDER BY date{frame})"
+def _win(frame: str = "", part: str = "") -> str:
+    by = f"PARTITION BY {part} " if part else ""
+    return f"OVER ({by}ORDER BY date" + ((" ROWS BETWEEN " + frame) if frame else "") + ")"
 
 
-def _win(frame: str = "") -> str:
-    return _W.format(frame=(" ROWS BETWEEN " + frame) if frame else "")
+def _sql_lag(k: int, part: str = "") -> str:
+    return f"LAG(daily_revenue, {k}) {_win(part=part)}"
 
 
-def _sql_lag(k: int) -> str:
-    return f"LAG(daily_revenue, {k}) {_win()}"
-
-
-def _sql_cnt(n: int) -> str:
-    return "(" + " + ".join(f"CASE WHEN {_sql_lag(k)} IS NOT NULL THEN 1 ELSE 0 END" for k in range(1, n + 1)) + ")"
+def _sql_cnt(n: int, part: str = "") -> str:
+    return "(" + " + ".join(f"CASE WHEN {_sql_lag(k, part)} IS NOT NULL THEN 1 ELSE 0 END"
+                            for k in range(1, n + 1)) + ")"
 
 
 def _sql_sum(terms: list[str]) -> str:
     return "(" + " + ".join(f"COALESCE({t}, 0.0)" for t in terms) + ")"
 
 
-def _sql_mean(n: int) -> str:
-    return f"CASE WHEN {_sql_cnt(n)} > 0 THEN {_sql_sum([_sql_lag(k) for k in range(1, n + 1)])} / {_sql_cnt(n)} END"
+def _sql_mean(n: int, part: str = "") -> str:
+    lags = [_sql_lag(k, part) for k in range(1, n + 1)]
+    return f"CASE WHEN {_sql_cnt(n, part)} > 0 THEN {_sql_sum(lags)} / {_sql_cnt(n, part)} END"
 
 
-def _sql_std(n: int) -> str:
-    mean = f"({_sql_sum([_sql_lag(k) for k in range(1, n + 1)])} / {_sql_cnt(n)})"
-    sq = [f"CASE WHEN {_sql_lag(k)} IS NOT NULL THEN ({_sql_lag(k)} - {mean}) * ({_sql_lag(k)} - {mean}) END"
-          for k in range(1, n + 1)]
-    return f"CASE WHEN {_sql_cnt(n)} >= 2 THEN SQRT({_sql_sum(sq)} / {_sql_cnt(n)}) ELSE 0.0 END"
+def _sql_std(n: int, part: str = "") -> str:
+    mean = f"({_sql_sum([_sql_lag(k, part) for k in range(1, n + 1)])} / {_sql_cnt(n, part)})"
+    sq = [f"CASE WHEN {_sql_lag(k, part)} IS NOT NULL THEN ({_sql_lag(k, part)} - {mean}) * "
+          f"({_sql_lag(k, part)} - {mean}) END" for k in range(1, n + 1)]
+    return f"CASE WHEN {_sql_cnt(n, part)} >= 2 THEN SQRT({_sql_sum(sq)} / {_sql_cnt(n, part)}) ELSE 0.0 END"
 
 
-FEATURES_CTE = SERIES_CTE + f""",
-rawf AS (SELECT date, daily_revenue,
+def features_cte(source: str, part: str = "", prefix: str = "") -> str:
+    """``<prefix>rawf`` / ``<prefix>features`` CTEs over a (key?, date, daily_revenue) series."""
+    key = f"{part}, " if part else ""
+    w = lambda frame="": _win(frame, part)
+    lag = lambda k: _sql_lag(k, part)
+    return f"""
+{prefix}rawf AS (SELECT {key}date, daily_revenue,
    CAST(isodow(date) - 1 AS DOUBLE) AS day_of_week, CAST(dayofmonth(date) AS DOUBLE) AS day_of_month,
    CAST(month(date) AS DOUBLE) AS month, CAST(quarter(date) AS DOUBLE) AS quarter,
    CASE WHEN isodow(date) - 1 IN (5, 6) THEN 1.0 ELSE 0.0 END AS is_weekend,
-   LAG(daily_revenue, 1) {_win()} AS lag_1, LAG(daily_revenue, 2) {_win()} AS lag_2,
-   LAG(daily_revenue, 3) {_win()} AS lag_3, LAG(daily_revenue, 7) {_win()} AS lag_7,
-   {_sql_mean(3)} AS rolling_mean_3, {_sql_mean(7)} AS rolling_mean_7, {_sql_mean(14)} AS rolling_mean_14,
-   {_sql_std(7)} AS rolling_std_7,
-   LAG(daily_revenue, 1) {_win()} - LAG(daily_revenue, 2) {_win()} AS revenue_change_1
- FROM series),
-features AS (SELECT date, daily_revenue, """ + ",\n ".join(
-    f"CAST(COALESCE({c}, LAST_VALUE({c} IGNORE NULLS) {_win('UNBOUNDED PRECEDING AND CURRENT ROW')}, "
-    f"FIRST_VALUE({c} IGNORE NULLS) {_win('CURRENT ROW AND UNBOUNDED FOLLOWING')}, 0.0) AS DOUBLE) AS {c}"
-    for c in FEATURE_COLUMNS) + " FROM rawf)"
+   {lag(1)} AS lag_1, {lag(2)} AS lag_2, {lag(3)} AS lag_3, {lag(7)} AS lag_7,
+   {_sql_mean(3, part)} AS rolling_mean_3, {_sql_mean(7, part)} AS rolling_mean_7,
+   {_sql_mean(14, part)} AS rolling_mean_14, {_sql_std(7, part)} AS rolling_std_7,
+   {lag(1)} - {lag(2)} AS revenue_change_1
+ FROM {source}),
+{prefix}features AS (SELECT {key}date, daily_revenue, """ + ",\n ".join(
+        f"CAST(COALESCE({c}, LAST_VALUE({c} IGNORE NULLS) {w('UNBOUNDED PRECEDING AND CURRENT ROW')}, "
+        f"FIRST_VALUE({c} IGNORE NULLS) {w('CURRENT ROW AND UNBOUNDED FOLLOWING')}, 0.0) AS DOUBLE) AS {c}"
+        for c in FEATURE_COLUMNS) + f" FROM {prefix}rawf)"
+
+
+FEATURES_CTE = SERIES_CTE + "," + features_cte("series")
 
 
 @register("daily_series", with_oc("SELECT date, daily_revenue FROM series ORDER BY date", SERIES_CTE))
@@ -664,6 +671,14 @@ def q_state_anomalies(spark, sf_dir):
     return round_doubles(TS.detect_anomalies(TS.daily_series(oc(spark, sf_dir), keys), keys))
 
 
+@register("state_time_features", with_oc(
+    f"SELECT customer_state, date, daily_revenue, {', '.join(FEATURE_COLUMNS)} FROM sfeatures",
+    STATE_SERIES_CTE + "," + features_cte("sseries", "customer_state", "s")))
+def q_state_time_features(spark, sf_dir):
+    """F2 with keys: every state's feature frame, windows partitioned by state."""
+    return TS.feature_frame(oc(spark, sf_dir), ["customer_state"])
+
+
 # ---- batches, validation, upsert, streaming -----------------------------------------------
 
 BATCH_SIZE = 1000
