@@ -120,3 +120,92 @@ def op10_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     from shoplens.llm.packing import pack_documents
 
     return pack_documents(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), "byte", END_ID, 1024)
+
+
+@_query
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shoplens.llm.common import shuffle_partitions
+    from shoplens.llm.fingerprints import compare_with_next
+
+    return compare_with_next(table(spark, sf_dir, "documents"), shuffle_partitions(spark))
+
+
+@_query
+def op3_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shoplens.llm.line_runs import drop_repeated_runs
+
+    return drop_repeated_runs(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+        "doc_id", F.col("run_lines").alias("n_lines"), F.col("run_removed").alias("n_removed"), "text")
+
+
+ORACLE["op3_line_runs"] = f"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
+                  unnest(range(len(string_split(text, chr(10))))) AS i FROM documents),
+k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS r, count(*) OVER (PARTITION BY doc_id) AS n,
+             lead(line) OVER (PARTITION BY doc_id ORDER BY i) AS line2,
+             lead(line, 2) OVER (PARTITION BY doc_id ORDER BY i) AS line3,
+             lead(i, 2) OVER (PARTITION BY doc_id ORDER BY i) AS third,
+             max(i) OVER (PARTITION BY doc_id) AS last
+      FROM l WHERE regexp_matches(line, '{WORD}')),
+w AS (SELECT doc_id, i AS a, coalesce(third, last) AS b, concat_ws(chr(10), line, line2, line3) AS run
+      FROM k WHERE r <= greatest(1, n - 2)),
+later AS (SELECT doc_id, a, b FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id, a) AS rn FROM w) WHERE rn > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(a, b + 1)) AS i FROM later),
+left_ AS (SELECT l.doc_id, l.line, l.i, gone.i IS NOT NULL AS removed
+          FROM l LEFT JOIN gone ON l.doc_id = gone.doc_id AND l.i = gone.i),
+agg AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (removed) AS n_removed,
+               coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT removed), '') AS text FROM left_ GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, agg.text
+FROM documents d LEFT JOIN agg USING (doc_id)
+"""
+
+
+@_query
+def op7_repeated_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shoplens.llm.units import drop_repeated_units
+
+    left = drop_repeated_units(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    spans = F.transform(F.arrays_zip("unit_starts", "unit_stops"), lambda x: F.concat_ws("-", x["unit_starts"], x["unit_stops"]))
+    return left.select("doc_id", F.coalesce(F.size("unit_starts"), F.lit(0)).cast("long").alias("n_removed"),
+                       F.coalesce(F.array_join(spans, " "), F.lit("")).alias("removed"), "text")
+
+
+ORACLE["op7_repeated_units"] = """
+WITH l AS (SELECT doc_id, length(text) AS n, unnest(string_split(text, chr(10))) AS line,
+                  unnest(range(len(string_split(text, chr(10))))) AS i FROM documents),
+p AS (SELECT *, CAST(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i) AS BIGINT) AS next FROM l),
+u AS (SELECT doc_id, i, line, next - length(line) - 1 AS start, least(next, n) AS stop,
+             trim(regexp_replace(lower(line), '\\s+', ' ', 'g')) AS norm FROM p),
+r AS (SELECT doc_id, i, row_number() OVER (PARTITION BY norm ORDER BY doc_id, i) AS rn
+      FROM u WHERE len(string_split(norm, ' ')) >= 5),
+m AS (SELECT u.*, coalesce(rn, 1) > 1 AS removed, n FROM u LEFT JOIN r ON u.doc_id = r.doc_id AND u.i = r.i
+      JOIN (SELECT doc_id, length(text) AS n FROM documents) t ON u.doc_id = t.doc_id),
+a AS (SELECT doc_id, count(*) FILTER (removed) AS n_removed,
+             coalesce(string_agg(start || '-' || stop, ' ' ORDER BY i) FILTER (removed), '') AS removed,
+             coalesce(string_agg(line || CASE WHEN stop > start + length(line) THEN chr(10) ELSE '' END, '' ORDER BY i)
+                      FILTER (NOT removed), '') AS text FROM m GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_removed, 0) AS n_removed, coalesce(removed, '') AS removed, a.text
+FROM documents d LEFT JOIN a USING (doc_id)
+"""
+
+
+#: score from which a document counts as good
+GOOD = 0.3
+
+
+@_query
+def op9_passage_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shoplens.llm.classifier import held_out, score, train
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = score(docs, train(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("quality_score").alias("score"),
+                         (F.col("quality_score") >= GOOD).cast("int").alias("predicted"))
+
+
+@_query
+def op8_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shoplens.llm.near_dups import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), 85, 100).select(
+        "doc_id", "n_shingles", "component_id", "kept")
