@@ -23,7 +23,7 @@ def _query(fn):
     return fn
 
 
-def _tokenizer(name: str) -> str:
+def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
@@ -34,7 +34,7 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from shoplens.llm.token_files import document_digests, write_packed
 
     path = f"{work_dir(spark, 'token_files')}/segments"
-    write_packed(table(spark, sf_dir, "documents"), path, _tokenizer("word_bpe_49k.json"), "space", END_ID)
+    write_packed(table(spark, sf_dir, "documents"), path, tokenizer_path("word_bpe_49k.json"), "space", END_ID)
     return document_digests(spark, path)
 
 
@@ -119,7 +119,7 @@ FROM q
 def op10_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     from shoplens.llm.packing import pack_documents
 
-    return pack_documents(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), "byte", END_ID, 1024)
+    return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), "byte", END_ID, 1024)
 
 
 @_query
@@ -209,3 +209,10 @@ def op8_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     return near_duplicates(table(spark, sf_dir, "documents"), 85, 100).select(
         "doc_id", "n_shingles", "component_id", "kept")
+
+
+@_query
+def op6_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shoplens.llm.context_mixing import score
+
+    return score(table(spark, sf_dir, "documents"))
