@@ -49,7 +49,7 @@ NEAR = (6, 4)
 MOST_NEAR = max(NEAR)
 #: slots of the word's table and of those of NEAR, as powers of 2
 SLOTS = (20, 20, 20)
-LEARN, BLOCK, PIECE, CHUNK = 16, 256, 1 << 18, 1 << 19
+LEARN, BLOCK, PIECE, CHUNK = 4, 256, 1 << 18, 1 << 19
 FREQUENT = 500_000
 END = 0x0A
 GATES, INPUTS = 64, 4  # inputs: tree node, word, NEAR
@@ -225,15 +225,15 @@ def _counted(code: Code, batches: Iterator) -> Iterator:
             c += np.bincount((s << np.uint32(1)) + b.bit, minlength=len(c)).astype(np.uint32)
 
     texts: list = []
-    size = 0
+    size, enough = 0, CHUNK >> 5  # the first rounds are short: later ones learn from their counts
     for batch in batches:
         for t in batch.column(0):
             for piece in pieces(spelled(t.as_py() or "")[0]):
                 texts.append(piece)
                 size += len(piece)
-                if size >= CHUNK:
+                if size >= enough:
                     add(texts)
-                    texts, size = [], 0
+                    texts, size, enough = [], 0, min(CHUNK, 2 * enough)
     if texts:
         add(texts)
     if not learned:
