@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shoplens.llm.classifier import score, train
-from shoplens.llm.common import n_words, table, written
+from shoplens.llm.common import boxed, n_words, table, unboxed, written
 from shoplens.llm.line_runs import drop_repeated_runs
 from shoplens.llm.mixing import mix, taken_text
 from shoplens.llm.near_dups import near_duplicates
@@ -50,10 +50,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     kept = (near_duplicates(docs, 80, 100).filter("kept")
             .select(F.col("doc_id").alias("kept_id"), F.col("key").alias("kept_key")).distinct())
-    keyed = docs.withColumn("near_key", F.xxhash64("text"))
-    stays = F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("near_key") == F.col("kept_key"))
-    return (keyed.join(kept, stays, "left_semi").dropDuplicates(["doc_id", "near_key"])
-            .select(*(F.col(f"`{c}`") for c in docs.columns)))
+    rows = boxed(docs, id=F.col("doc_id"), key=F.xxhash64("text"))
+    stays = F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("key") == F.col("kept_key"))
+    return unboxed(rows.join(kept, stays, "left_semi").dropDuplicates(["id", "key"]), docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

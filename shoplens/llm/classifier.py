@@ -210,7 +210,7 @@ def _scored(model: Model):
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with ``quality_score`` (0 to 1, higher: label 1 likelier); ``text`` is kept too."""
-    own = docs.columns
-    rows = docs.select(F.col("text").cast("string").alias("mil_text"), *(F.col(f"`{c}`") for c in own))
-    schema = docs.select(*(F.col(f"`{c}`") for c in own), F.lit(0.0).alias("quality_score")).schema
-    return rows.mapInArrow(_scored(model), schema)
+    own = [c for c in docs.columns if c != "quality_score"]
+    kept = [F.col(f"`{c}`") for c in own]
+    rows = docs.select(F.col("text").cast("string").alias("mil_text"), *kept)
+    return rows.mapInArrow(_scored(model), docs.select(*kept, F.lit(0.0).alias("quality_score")).schema)

@@ -39,3 +39,17 @@ def ascii_lower(text: Column) -> Column:
 def n_words(text: Column) -> Column:
     """Number of words of ``text`` (null: 0): places where a word begins."""
     return F.coalesce(F.regexp_count(text, F.lit(NOT_SPACE)), F.lit(0)).cast("long")
+
+
+def boxed(docs: DataFrame, **more: Column) -> DataFrame:
+    """``docs`` as one struct column ``row``, and ``more`` columns made from its
+    columns: no name of the input can clash with one that an operator uses."""
+    return docs.select(F.struct("*").alias("row"), *(c.alias(name) for name, c in more.items()))
+
+
+def unboxed(df: DataFrame, own: list[str], **more: Column) -> DataFrame:
+    """The columns ``own`` of the box, those in ``more`` replaced, other ones of ``more`` added."""
+    def picked(c: str) -> Column:
+        return more[c].alias(c) if c in more else F.col("row").getField(c).alias(c)
+
+    return df.select(*map(picked, own), *(v.alias(c) for c, v in more.items() if c not in own))

@@ -358,7 +358,7 @@ def _scored(mixer: Mixer, frequent: np.ndarray, logs: np.ndarray):
             n = len(spelt)
             out = pa.RecordBatch.from_arrays(
                 [pa.array(np.arange(row, row + n), pa.int64()), pa.array(ids, pa.int64()), pa.array(sizes + 1, pa.int64()),
-                 pa.array(n_known), pa.array(base), pa.array(bits / _LN10),
+                 pa.array(n_known, pa.int64()), pa.array(base.astype(float)), pa.array(bits / _LN10),
                  pa.array([len(raw) for raw, _ in spelt], pa.int64()),
                  pa.ListArray.from_arrays(offsets, pa.array(h[pair % max(1, len(codes))], pa.int64())),
                  pa.ListArray.from_arrays(offsets, pa.array(times, pa.int64()))],

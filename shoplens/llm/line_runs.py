@@ -29,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shoplens.llm.common import written
+from shoplens.llm.common import boxed, unboxed, written
 
 WINDOW = 3
 
@@ -58,11 +58,10 @@ def _windows(docs: DataFrame, window: int) -> DataFrame:
 
 def _grown(done: Column, x: Column) -> Column:
     """``done`` runs with window ``x`` after them: it lengthens the last or begins another."""
-    last = F.element_at(done, -1)
+    last = F.try_element_at(done, F.lit(-1))
     longer = F.concat(F.slice(done, 1, F.size(done) - 1),
                       F.array(F.struct(last["a"].alias("a"), F.greatest(last["b"], x["b"]).alias("b"))))
-    return F.when((F.size(done) > 0) & (x["a"] <= F.coalesce(F.try_element_at(done, F.lit(-1))["b"], F.lit(-2)) + 1), longer).otherwise(
-        F.concat(done, F.array(x)))
+    return F.when(x["a"] <= last["b"] + 1, longer).otherwise(F.concat(done, F.array(x)))
 
 
 def repeated_runs(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -86,17 +85,15 @@ def drop_repeated_runs(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """``docs`` with later repeated runs deleted from ``text``.
 
     Adds run_lines (lines before), run_removed (lines deleted, those without a
-    word included) and runs' places run_places (null: none).
+    word included) and the runs' places run_places (null: none); they replace
+    columns of these names.
     """
-    own = docs.columns
     runs = repeated_runs(docs.select("doc_id", "text"), window)
-    keyed = docs.withColumn("run_key", F.xxhash64("text"))
-    joined = keyed.join(runs, F.col("doc_id").eqNullSafe(F.col("run_id")) & (F.col("run_key") == F.col("run_text")), "left")
+    rows = boxed(docs, id=F.col("doc_id"), key=F.xxhash64("text"), text=F.col("text"))
+    joined = rows.join(runs, F.col("id").eqNullSafe(F.col("run_id")) & (F.col("key") == F.col("run_text")), "left")
     lines = F.split("text", "\n", -1)
     left = F.filter(lines, lambda x, i: ~F.exists("runs", lambda r: (i >= r["a"]) & (i <= r["b"])))
     gone = F.aggregate("runs", F.lit(0), lambda n, r: n + r["b"] - r["a"] + 1)
     text = F.when(F.col("runs").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
-    return joined.select(*(text.alias(c) if c == "text" else F.col(f"`{c}`") for c in own),
-                         F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("run_lines"),
-                         F.coalesce(gone, F.lit(0)).cast("long").alias("run_removed"),
-                         F.col("runs").alias("run_places"))
+    return unboxed(joined, docs.columns, text=text, run_lines=F.coalesce(F.size(lines), F.lit(0)).cast("long"),
+                   run_removed=F.coalesce(gone, F.lit(0)).cast("long"), run_places=F.col("runs"))

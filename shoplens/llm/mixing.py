@@ -16,7 +16,7 @@ source before a document's place in its bucket is looked up.
 Cases: a null text has size 0; a null source is a source of its own, last in
 order; null and repeated doc_ids are served row by row; a source without words
 has target 0; an empty table gives no rows; columns of the input are kept as
-they are, the operator's own begin with ``mix_``.
+they are, but for those whose names the added ``mix_`` columns have.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from shoplens.llm.common import shuffle_partitions, written
+from shoplens.llm.common import boxed, shuffle_partitions, unboxed, written
 
 WEIGHTS = (1, 2, 3)
 
@@ -65,13 +65,11 @@ def mix(docs: DataFrame, size: Column, weights: tuple = WEIGHTS, budget_share: f
     mix_bucket of its source), mix_copy (from 0), mix_finish and mix_taken, the
     words the mixture takes of it (0: it comes after the end).
     """
-    own = docs.columns
     digits = max(1, math.ceil(math.log(max(1, docs.count() / bucket_rows), 16)))
-    rows = docs.select(
-        "*", size.cast("long").alias("mix_size"), F.col("source").isNull().alias("mix_null"),
-        F.coalesce(F.col("source").cast("string"), F.lit("")).alias("mix_source"),
-        F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("mix_hash")
-    ).withColumn("mix_bucket", F.substring("mix_hash", 1, digits))
+    rows = boxed(
+        docs, id=F.col("doc_id"), mix_size=size.cast("long"), mix_null=F.col("source").isNull(),
+        mix_source=F.coalesce(F.col("source").cast("string"), F.lit("")),
+        mix_hash=F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))).withColumn("mix_bucket", F.substring("mix_hash", 1, digits))
     source = ["mix_null", "mix_source"]
     sums = written(rows.groupBy(*source, "mix_bucket").agg(F.sum("mix_size").alias("words")), "mix_sums")
     goals = targets(sums.groupBy(*source).agg(F.sum("words").alias("source_size")), weights, budget_share, max_passes)
@@ -79,7 +77,7 @@ def mix(docs: DataFrame, size: Column, weights: tuple = WEIGHTS, budget_share: f
     places = (sums.withColumn("mix_ahead", F.coalesce(F.sum("words").over(ahead), F.lit(0))).drop("words")
               .join(goals, source).withColumnsRenamed({"source_size": "mix_source_size", "target": "mix_target"}))
 
-    queue = W.partitionBy(*source, "mix_bucket").orderBy("mix_hash", "doc_id", "mix_size")
+    queue = W.partitionBy(*source, "mix_bucket").orderBy("mix_hash", "id", "mix_size")
     queued = (rows
               .withColumn("mix_row", F.row_number().over(queue))
               .withColumn("mix_in", F.sum("mix_size").over(queue.rowsBetween(W.unboundedPreceding, 0)) - F.col("mix_size"))
@@ -90,9 +88,10 @@ def mix(docs: DataFrame, size: Column, weights: tuple = WEIGHTS, budget_share: f
     finish = F.coalesce(F.try_divide((start + F.col("mix_size")).cast("double"), F.col("mix_target")), F.lit(0.0))
     taken = F.least(F.col("mix_size"), F.greatest(F.lit(0), F.floor("mix_target") - start))
     n = shuffle_partitions(docs.sparkSession)
-    return (served.select(*(F.col(f"`{c}`") for c in own), "mix_size", "mix_source_size", "mix_target", "mix_bucket",
-                          "mix_row", "mix_copy", finish.alias("mix_finish"), taken.cast("long").alias("mix_taken"))
-            .repartitionByRange(n, "mix_finish", "doc_id").sortWithinPartitions("mix_finish", "doc_id", "mix_copy"))
+    ordered = (served.withColumn("mix_finish", finish).withColumn("mix_taken", taken.cast("long"))
+               .repartitionByRange(n, "mix_finish", "id").sortWithinPartitions("mix_finish", "id", "mix_copy"))
+    added = ("mix_size", "mix_source_size", "mix_target", "mix_bucket", "mix_row", "mix_copy", "mix_finish", "mix_taken")
+    return unboxed(ordered, docs.columns, **{c: F.col(c) for c in added})
 
 
 def taken_text(text: Column, taken: Column, size: Column) -> Column:

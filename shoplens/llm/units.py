@@ -24,7 +24,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shoplens.llm.common import written
+from shoplens.llm.common import boxed, unboxed, written
 
 #: ends of units
 BREAKS = {"line": re.compile(r"\n"), "paragraph": re.compile(r"\n[\x20\t\r]*\n\s*")}
@@ -101,10 +101,11 @@ def repeated_units(docs: DataFrame, kind: str = "line", least_words: int = 5) ->
 
 def drop_repeated_units(docs: DataFrame, kind: str = "line", least_words: int = 5) -> DataFrame:
     """``docs`` (doc_id, text, ...) with repeated units removed from ``text``;
-    adds unit_starts and unit_stops, the removed offsets (null: none)."""
-    own = docs.columns
+    adds unit_starts and unit_stops, the removed offsets (null: none), which
+    replace columns of these names."""
     spans = repeated_units(docs.select("doc_id", "text"), kind, least_words)
-    joined = docs.withColumn("unit_key", F.xxhash64("text")).join(
-        spans, F.col("doc_id").eqNullSafe(F.col("unit_id")) & (F.col("unit_key") == F.col("unit_text")), "left")
-    rows = joined.select(*(F.col(f"`{c}`") for c in own), "unit_starts", "unit_stops")
-    return rows.mapInArrow(_cleaned(own.index("text")), rows.schema)
+    rows = boxed(docs, id=F.col("doc_id"), key=F.xxhash64("text"))
+    joined = rows.join(spans, F.col("id").eqNullSafe(F.col("unit_id")) & (F.col("key") == F.col("unit_text")), "left")
+    own = [c for c in docs.columns if c not in ("unit_starts", "unit_stops")]
+    found = unboxed(joined, own, unit_starts=F.col("unit_starts"), unit_stops=F.col("unit_stops"))
+    return found.mapInArrow(_cleaned(own.index("text")), found.schema)
