@@ -46,6 +46,8 @@ from shoplens.llm.common import written
 from shoplens.llm.components import components
 
 SHINGLE, K, SHORT = 5, 96, 8
+#: representatives whose keys may be broadcast
+FEW = 500_000
 
 _SETS = "doc_id long, key long, n int, cls binary, sketch array<long>"
 
@@ -224,7 +226,9 @@ def near_duplicates(docs: DataFrame, num: int = 80, den: int = 100, k: int = K)
     # full sets of the representatives that are in any list, from their texts
     alive = written(entries.join(lists.select("v"), "v", "left_semi").select("rid").distinct()
                     .join(reps.select("rid", "cls", "least_id", "least_key"), "rid"), "nd_alive")
-    found = (rows.join(alive, F.col("doc_id").eqNullSafe(F.col("least_id")) & (F.col("key") == F.col("least_key")))
+    # few of them: their keys go to the texts, at most about 50 MB; else the texts are shuffled to them
+    near = F.broadcast(alive) if alive.count() <= FEW else alive
+    found = (rows.join(near, F.col("doc_id").eqNullSafe(F.col("least_id")) & (F.col("key") == F.col("least_key")))
              .select("rid", "cls", "text")
              .mapInArrow(_full, "rid long, n int, full array<bigint>").dropDuplicates(["rid"]))
     full = written(found, "nd_full")
