@@ -11,12 +11,12 @@ row into one task. Instead:
    starting offset; that table is bounded by the partition count, so
    broadcasting it is safe.
 
-The tagged rows are written once with a reliable ``checkpoint()`` (into the
-shared ``spark.checkpoint.dir``) before they are counted and numbered: the
+The tagged rows are written once as Parquet (into the shared
+``spark.checkpoint.dir``) before they are counted and numbered: the
 count pass and the numbering pass must see the very same partitions, and
 two separately planned range shuffles need not coalesce alike under AQE
-(column pruning changes their sizes). The checkpoint also survives the
-loss of an executor.
+(column pruning changes their sizes). The files also survive the loss of an executor,
+and the count reads one column of them.
 
 Callers should pass a *total* order (add key tie-breakers) so the numbers
 themselves are reproducible from run to run.
@@ -32,14 +32,13 @@ _LOW_BITS = 33  # monotonically_increasing_id: partition id << 33 | record index
 
 def global_row_number(df: DataFrame, order_cols: list, name: str = "row_number") -> DataFrame:
     """Append a 1-based global position column following ``order_cols``."""
-    from shoplens.session import ensure_checkpoint_dir
+    from shoplens.session import materialize
 
-    ensure_checkpoint_dir(df.sparkSession)
-    tagged = (df.orderBy(*order_cols)
-              .withColumn("_mid", F.monotonically_increasing_id())
-              .withColumn("_pid", F.shiftright(F.col("_mid"), _LOW_BITS))
-              .withColumn("_local", F.col("_mid").bitwiseAND((1 << _LOW_BITS) - 1))
-              .checkpoint(eager=True))
+    tagged = materialize(df.orderBy(*order_cols)
+                         .withColumn("_mid", F.monotonically_increasing_id())
+                         .withColumn("_pid", F.shiftright(F.col("_mid"), _LOW_BITS))
+                         .withColumn("_local", F.col("_mid").bitwiseAND((1 << _LOW_BITS) - 1))
+                         .drop("_mid"), "numbered")
     counts = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     # rows = number of partitions, bounded by configuration
     offsets = counts.select(
@@ -48,7 +47,7 @@ def global_row_number(df: DataFrame, order_cols: list, name: str = "row_number")
                    F.lit(0)).alias("_offset"))
     return (tagged.join(F.broadcast(offsets), "_pid")
             .withColumn(name, F.col("_offset") + F.col("_local") + 1)
-            .drop("_mid", "_pid", "_local", "_offset"))
+            .drop("_pid", "_local", "_offset"))
 
 
 def exact_percentiles(df: DataFrame, value: str | Column, fractions: dict[str, float]) -> DataFrame:

@@ -10,8 +10,16 @@ from shoplens.functions.dates import col_
 
 
 def to_money(c) -> Column:
-    """Text or number -> DECIMAL(12,2); unparseable / NULL -> 0 (never raises)."""
-    return F.coalesce(col_(c).try_cast(MONEY), F.lit(0).cast(MONEY))
+    """Text or number -> DECIMAL(18,2); NULL and what is no number -> 0.
+
+    A number that doesn't fit raises: a silent 0 (or NULL) would lose revenue.
+    """
+    x = col_(c)
+    exact, number = x.try_cast(MONEY), x.try_cast("double")
+    out_of_range = F.raise_error(F.concat(F.lit("money value out of range: "), x.cast("string"))).cast(MONEY)
+    return (F.when(exact.isNotNull(), exact)
+            .when(number.isNull() | F.isnan(number), F.lit(0).cast(MONEY))
+            .otherwise(out_of_range))
 
 
 def try_double(c) -> Column:
@@ -23,17 +31,6 @@ def half_even(c, scale: int = 0) -> Column:
     return F.bround(col_(c), scale)
 
 
-def money_double(c) -> Column:
-    """Exact decimal aggregate -> DOUBLE at the output edge."""
-    return col_(c).cast("double")
-
-
-def ratio(num, den, default=0.0) -> Column:
-    """num/den as DOUBLE; ``default`` when den is 0 or NULL."""
-    d = col_(den).cast("double")
-    return F.when(d.isNull() | (d == 0), F.lit(default)).otherwise(col_(num).cast("double") / d)
-
-
 def pct_increase(current, baseline) -> Column:
     """Percentage increase over a baseline.
 

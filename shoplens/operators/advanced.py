@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from shoplens.functions.dates import day, month_label, month_start, months_between_periods, whole_days
 from shoplens.functions.numeric import half_even, pct_increase
 from shoplens.operators.signals import zscore_days
+from shoplens.session import materialize
 from shoplens.schema import CHURN_WINDOW_DAYS, LTV_DEFAULT_LIMIT, Z_THRESHOLD
 
 
@@ -258,48 +259,39 @@ def anomaly_root_cause(orders: DataFrame, dates: list[str] | None = None, z: flo
     (a DataFrame with ``order_day``) or the observed-day z-score detector.
     Days without orders, or when no other day exists, are skipped.
 
-    The fact is scanned once (``day_revenue_cube``); everything after runs on
-    that cube (days x labels rows) as one lineage of windows:
-    the day z-score against all days, each label's total and number of sales
-    days, and each day's label ranking (ties -> smallest label). The baseline
-    of a label is the mean over its *other* sales days: (total - day) / (n - 1).
+    The fact is scanned once: ``day_revenue_cube`` (days x labels rows) is
+    written, and read for the day z-scores, each label's total and number of
+    sales days, and each day's best label (ties -> smallest label). These are
+    aggregates with a partial step, so no task holds the (day, label) rows.
+    The baseline of a label is the mean over its *other* sales days:
+    (total - day) / (n - 1).
     """
-    cube = day_revenue_cube(orders)
-    is_day = F.col("_gid") == _GID_DAY
-    label = F.when(F.col("_gid") == _GID_DAY_CATEGORY, F.col("product_category_name")).otherwise(F.col("customer_state"))
-    per_set = Window.partitionBy("_gid")
-    per_day = Window.partitionBy("order_day")
-    per_label = Window.partitionBy("_gid", "label")
-    ranked = Window.partitionBy("_gid", "order_day").orderBy(F.desc("rev"), F.asc("label"))
-    # day z-score (exact decimal sums, as zscore_days) on the day rows
-    n, s1 = F.count(F.lit(1)).over(per_set), F.sum("rev").over(per_set)
-    s2 = F.sum(F.col("rev") * F.col("rev")).over(per_set)
-    var = (n * s2 - s1 * s1).cast("double") / (n.cast("double") * n.cast("double"))
-    sigma = F.sqrt(F.greatest(var, F.lit(0.0)))
-    zc = F.when(sigma == 0, F.lit(0.0)).otherwise((F.col("rev").cast("double") - s1.cast("double") / n) / sigma)
-    scored = (cube.withColumn("label", label)
-              .withColumn("_z", F.when(is_day, zc))
-              .withColumn("_n", F.when(is_day, n)))
-    scored = (scored.withColumn("_day_z", F.max("_z").over(per_day))
-              .withColumn("_n_days", F.max("_n").over(per_day)))
-    labels = (scored.where(~is_day)
-              .withColumn("_sum", F.sum("rev").over(per_label))
-              .withColumn("_ndays", F.count(F.lit(1)).over(per_label))
-              .withColumn("_r", F.row_number().over(ranked))
-              .where((F.col("_r") == 1) & (F.col("_n_days") > 1)))
-    if anomaly_days is not None or dates:
-        if anomaly_days is not None:
-            chosen = anomaly_days.select(F.col("order_day").cast("date").alias("order_day"))
-        else:
-            chosen = (orders.sparkSession.createDataFrame([(d,) for d in dates], "d string")
-                      .select(F.to_date(F.col("d").try_cast("timestamp_ntz")).alias("order_day")))
-        labels = labels.join(chosen.distinct(), "order_day", "left_semi")
+    cube = materialize(day_revenue_cube(orders), "day_cube")
+    days = cube.where(F.col("_gid") == _GID_DAY).select("order_day", F.col("rev").alias("revenue"))
+    if anomaly_days is not None:
+        chosen = anomaly_days.select(F.col("order_day").cast("date").alias("order_day"))
+    elif dates:
+        chosen = (orders.sparkSession.createDataFrame([(d,) for d in dates], "d string")
+                  .select(F.to_date(F.col("d").try_cast("timestamp_ntz")).alias("order_day")))
     else:
-        labels = labels.where(F.abs("_day_z") > z)
+        chosen = zscore_days(days).where(F.abs("z_score") > z).select("order_day")
+    several = days.agg(F.count(F.lit(1)).alias("_days")).where("_days > 1")  # one row or none
+    chosen = chosen.distinct().crossJoin(F.broadcast(several)).select("order_day")
+
+    is_cat = F.col("_gid") == _GID_DAY_CATEGORY
+    labels = cube.where(F.col("_gid") != _GID_DAY).select(
+        "_gid", "order_day", F.when(is_cat, F.col("product_category_name")).otherwise(F.col("customer_state")).alias("label"),
+        "rev")
+    totals = labels.groupBy("_gid", "label").agg(F.sum("rev").alias("_sum"), F.count(F.lit(1)).alias("_ndays"))
+    best = (labels.join(chosen, "order_day", "left_semi").groupBy("_gid", "order_day")
+            .agg(F.min(F.struct((-F.col("rev")).alias("minus"), F.col("label"))).alias("b"))
+            .select("_gid", "order_day", F.col("b.label").alias("label"), (-F.col("b.minus")).alias("rev")))
+    # a label may be NULL: match it with itself
+    t = totals.select(F.col("_gid").alias("_g"), F.col("label").alias("_l"), "_sum", "_ndays")
+    found = best.join(t, (F.col("_gid") == F.col("_g")) & F.col("label").eqNullSafe(F.col("_l")))
     baseline = F.when(F.col("_ndays") > 1, (F.col("_sum") - F.col("rev")).cast("double") / (F.col("_ndays") - 1))
     pct = half_even(pct_increase(F.col("rev"), baseline), 2)
-    is_cat = F.col("_gid") == _GID_DAY_CATEGORY
-    return (labels.groupBy("order_day")
+    return (found.groupBy("order_day")
             .agg(F.max(F.when(is_cat, F.col("label"))).alias("top_category"),
                  F.max(F.when(is_cat, pct)).alias("category_increase_pct"),
                  F.max(F.when(~is_cat, F.col("label"))).alias("top_state"),

@@ -9,10 +9,11 @@ Plan shape (what Catalyst sees):
   join otherwise, and splits a hot customer / product on the big side);
 * order rows ⋈ item rows ⟕ payments ⟕ reviews all key on ``order_id`` and
   share one hash partitioning, which the de-duplication reuses;
-* the review median is a one-row aggregate (frequency map over the few
-  distinct scores) attached by a broadcast cross join of that single row;
-* de-duplication is a hash aggregate with map-side combine, keeping the
-  smallest (price, freight_value, ...) row of each key — deterministic.
+* the review median is a one-row aggregate attached by a broadcast cross
+  join of that single row; it is taken over one row an order, weighted by the
+  order's items, so that the item join is not done twice;
+* de-duplication is an aggregate (sorted, with a partial step on the map
+  side) that keeps the smallest (price, freight_value, ...) row of each key.
 """
 
 from __future__ import annotations
@@ -28,7 +29,6 @@ from shoplens.schema import (
     CLEAN_COLUMNS,
     DEDUP_COLUMNS,
     LABEL_COLUMNS,
-    MONEY,
     MONEY_COLUMNS,
     PIPELINE_UNKNOWN,
 )
@@ -39,7 +39,7 @@ from shoplens.schema import (
 def payments_per_order(payments: DataFrame) -> DataFrame:
     """A1: total payment per order (DECIMAL, exact)."""
     return (payments.groupBy("order_id")
-            .agg(F.sum(F.col("payment_value").try_cast(MONEY)).alias("payment_value")))
+            .agg(F.sum(to_money("payment_value")).alias("payment_value")))
 
 
 def reviews_per_order(reviews: DataFrame) -> DataFrame:
@@ -94,7 +94,7 @@ def project_clean(df: DataFrame) -> DataFrame:
     })
     missing = [c for c in CLEAN_COLUMNS if c not in renamed.columns]
     if missing:
-        raise ValueError(f"Missing expected columns after join: {missing}")
+        raise ValueError(f"the joined sources lack {missing}")
     return renamed.select(*CLEAN_COLUMNS)
 
 
@@ -113,19 +113,51 @@ def parse_dates(df: DataFrame, column: str = "order_date") -> DataFrame:
 
 
 def coerce_money(df: DataFrame) -> DataFrame:
-    """Money columns -> DECIMAL(12,2), bad / NULL -> 0."""
+    """Money columns -> DECIMAL(18,2); no number / NULL -> 0, out of range raises."""
     return df.withColumns({c: to_money(c) for c in MONEY_COLUMNS})
 
 
-def impute_review_score(df: DataFrame) -> DataFrame:
+def _times(dimension: DataFrame, key: str) -> DataFrame | None:
+    """(key, times) of keys that a dimension holds more than once; None if there are none."""
+    times = dimension.groupBy(key).agg(F.count(F.lit(1)).alias("times")).where("times > 1")
+    return None if times.limit(1).count() == 0 else times
+
+
+def _weighted(rows: DataFrame, weight: str, dimension: DataFrame, key: str) -> DataFrame:
+    """``weight`` times the rows that a left join with ``dimension`` makes of each row."""
+    times = _times(dimension, key)
+    if times is None:
+        return rows
+    return rows.join(times, key, "left").withColumn(weight, F.col(weight) * F.coalesce("times", F.lit(1))).drop("times")
+
+
+def review_median(raw: dict[str, DataFrame]) -> DataFrame:
+    """The median review score over all joined rows (one row, ``_median``).
+
+    The score belongs to the order, so each order counts as often as the joins
+    repeat it: its item rows, times the rows that its dimensions hold for a key
+    (dimension keys are counted; a dimension with unique keys is not joined).
+    """
+    items = raw["order_items"].select("order_id", "product_id", F.lit(1).alias("n"))
+    items = _weighted(items, "n", translate_products(raw["products"], raw["translations"]), "product_id")
+    orders = raw["orders"].select("order_id", "customer_id", F.lit(1).alias("m"))
+    orders = _weighted(orders, "m", raw["customers"], "customer_id")
+    per_order = (orders.groupBy("order_id").agg(F.sum("m").alias("m"))
+                 .join(items.groupBy("order_id").agg(F.sum("n").alias("n")), "order_id")
+                 .join(reviews_per_order(raw["reviews"]), "order_id"))
+    return per_order.agg(F.expr("percentile(review_score, 0.5, m * n)").alias("_median"))
+
+
+def impute_review_score(df: DataFrame, med: DataFrame | None = None) -> DataFrame:
     """NULL score -> exact median of all rows (0 if all NULL), half-even, INT.
 
-    ``median`` keeps a value->count map, so with a handful of distinct scores
-    the one-row aggregate stays tiny however many rows there are.
+    ``med`` is the one-row median if the caller has it; a median keeps a
+    value->count map, so with a handful of distinct scores it stays tiny.
     """
     scored = df.withColumn("review_score", try_double("review_score"))
-    med = scored.agg(F.median("review_score").alias("_median"))  # exactly one row
-    return (scored.crossJoin(F.broadcast(med))
+    if med is None:
+        med = scored.agg(F.median("review_score").alias("_median"))
+    return (scored.crossJoin(F.broadcast(med))  # exactly one row
             .withColumn("review_score",
                         half_even(F.coalesce(F.col("review_score"), F.col("_median"), F.lit(0.0)), 0)
                         .cast("int"))
@@ -145,8 +177,8 @@ def drop_null_keys(df: DataFrame) -> DataFrame:
 def dedup_orders(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """One row per key; the survivor is the smallest (price, freight, ...).
 
-    A hash aggregate (partial + final) rather than a sorted window, so a hot
-    key is combined map-side.
+    An aggregate with a partial step rather than a window, so a hot key is
+    combined on the map side (Spark sorts for a minimum of structs).
     """
     keys = keys or DEDUP_COLUMNS
     rest = [c for c in df.columns if c not in keys]
@@ -161,7 +193,7 @@ def build_orders_clean(raw: dict[str, DataFrame]) -> DataFrame:
     df = project_clean(join_sources(raw))
     df = parse_dates(df)
     df = coerce_money(df)
-    df = impute_review_score(df)
+    df = impute_review_score(df, review_median(raw))
     df = fill_unknown(df)
     df = drop_null_keys(df)
     return dedup_orders(df)
@@ -174,7 +206,7 @@ def prepare_batch(batch: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     ``keep`` names extra columns carried through unchanged (e.g. the batch index)."""
     missing = [c for c in CLEAN_COLUMNS if c not in batch.columns]
     if missing:
-        raise ValueError(f"Batch missing required columns: {missing}")
+        raise ValueError(f"a batch needs the columns {missing}")
     df = parse_dates(batch.select(*CLEAN_COLUMNS, *keep))
     df = df.dropna(subset=["order_date", "order_id", "customer_id", "product_id"])
     df = coerce_money(df)
@@ -194,7 +226,7 @@ def prepare_orders(df: DataFrame) -> DataFrame:
             df = df.withColumn(c, F.lit(None).cast("string"))
     df = parse_dates(df)
     return (df.withColumns({
-                "payment_value": F.coalesce(F.col("payment_value").try_cast(MONEY), F.lit(0).cast(MONEY)),
+                "payment_value": to_money("payment_value"),
                 "review_score": try_double("review_score"),
                 "product_category_name": F.coalesce(F.col("product_category_name").cast("string"),
                                                     F.lit(ADVANCED_UNKNOWN)),

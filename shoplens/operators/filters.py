@@ -8,14 +8,25 @@ so whole partitions are skipped at planning time.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from decimal import ROUND_CEILING, ROUND_FLOOR, Decimal
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shoplens.functions.dates import day
+from shoplens.schema import MONEY
 
 PARTITION_COLUMN = "order_month"
 
 
+def _money_bound(bound: float, rounding: str) -> Column:
+    """``bound`` in cents, as a literal of the column's own type, so that the
+    comparison reaches the Parquet reader; beyond that type a wider one."""
+    cents = Decimal(repr(float(bound))).quantize(Decimal("0.01"), rounding=rounding)
+    fits = abs(cents) < Decimal(10) ** (MONEY.precision - MONEY.scale)
+    return F.lit(cents).cast(MONEY if fits else "decimal(38,2)")
+
+
 def apply_filters(oc: DataFrame, start_date: str | None = None, end_date: str | None = None,
                   category: str | None = None, state: str | None = None,
                   min_revenue: float | None = None, max_revenue: float | None = None) -> DataFrame:
@@ -39,7 +50,7 @@ def apply_filters(oc: DataFrame, start_date: str | None = None, end_date: str |
     if state:
         df = df.where(F.col("customer_state") == F.lit(state))
     if min_revenue is not None:
-        df = df.where(F.col("payment_value").cast("double") >= F.lit(float(min_revenue)))
+        df = df.where(F.col("payment_value") >= _money_bound(min_revenue, ROUND_CEILING))
     if max_revenue is not None:
-        df = df.where(F.col("payment_value").cast("double") <= F.lit(float(max_revenue)))
+        df = df.where(F.col("payment_value") <= _money_bound(max_revenue, ROUND_FLOOR))
     return df

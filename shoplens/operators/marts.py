@@ -16,6 +16,7 @@ from shoplens.functions.dates import day, sql_dow
 from shoplens.functions.numbering import exact_percentiles
 from shoplens.operators.filters import apply_filters
 from shoplens.schema import SEGMENT_ORDER
+from shoplens.session import materialize
 
 
 def revenue_sum(c: str = "payment_value") -> Column:
@@ -99,22 +100,12 @@ def segment_thresholds(spend: DataFrame) -> DataFrame:
     return exact_percentiles(spend, "total_spend", {"p25": 0.25, "p75": 0.75})
 
 
-def customer_segments(oc: DataFrame, approx: bool = False, **filters) -> DataFrame:
-    """High (> p75) / Low (< p25) / Medium customers; always three rows.
-
-    ``approx=True`` swaps the exact percentiles for ``percentile_approx``
-    (one pass, bounded memory) for very many customers.
-    """
-    spend = customer_spend(oc, **filters)
-    if not approx:
-        # the thresholds and the classification both read the per-customer
-        # spend: write it once instead of aggregating the fact twice
-        spend = spend.checkpoint(eager=True)
-    if approx:
-        th = spend.agg(F.percentile_approx(F.col("total_spend").cast("double"), [0.25, 0.75], 100000)
-                       .alias("_p")).select(F.col("_p")[0].alias("p25"), F.col("_p")[1].alias("p75"))
-    else:
-        th = segment_thresholds(spend)
+def customer_segments(oc: DataFrame, **filters) -> DataFrame:
+    """High (> p75) / Low (< p25) / Medium customers; always three rows."""
+    # the thresholds and the classification both read the per-customer
+    # spend: write it once instead of aggregating the fact twice
+    spend = materialize(customer_spend(oc, **filters), "customer_spend")
+    th = segment_thresholds(spend)
     s = F.col("total_spend").cast("double")
     seg = (spend.crossJoin(F.broadcast(th))  # one-row thresholds
            .select(F.when(s > F.col("p75"), "High").when(s < F.col("p25"), "Low")

@@ -13,6 +13,7 @@ from shoplens.functions.dates import day, is_sql_weekday, is_sql_weekend
 from shoplens.operators.filters import apply_filters
 from shoplens.operators.marts import exact_mean
 from shoplens.schema import UNKNOWN_TOP_CATEGORY, Z_THRESHOLD
+from shoplens.session import materialize
 
 
 def daily_revenue_exact(df: DataFrame, date_col: str = "date", value: str = "revenue") -> DataFrame:
@@ -64,29 +65,27 @@ def top_category(oc: DataFrame, **filters) -> DataFrame:
             .limit(1))
 
 
+def day_stats(daily: DataFrame, value: str = "revenue") -> DataFrame:
+    """One row: mean and population sigma of the days.
+
+    The mean comes from the exact sum; sigma from central moments in DOUBLE,
+    as squares of sums outgrow any decimal when days sell 10^13 and more.
+    """
+    return daily.agg(
+        (F.sum(value).cast("double") / F.count(F.lit(1))).alias("mean_revenue"),
+        F.coalesce(F.stddev_pop(F.col(value).cast("double")), F.lit(0.0)).alias("std_revenue"))
+
+
 def zscore_days(daily: DataFrame, value: str = "revenue") -> DataFrame:
     """Population z-score of every day against all days (0 when sigma is 0).
 
     Mean and sigma are one global aggregate (one row) joined back by a
     broadcast cross join instead of an ``OVER ()`` window, which would pull
-    every day into one task. Sigma is computed from exact decimal sums.
+    every day into one task.
     """
-    stats = daily.agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.sum(value).alias("_s"),
-        F.sum(F.col(value) * F.col(value)).alias("_ss"))
-    x = F.col(value).cast("double")
-    n = F.col("_n").cast("double")
-    mean = F.col("_s").cast("double") / n
-    # population variance = (n*Σx² - (Σx)²) / n², numerator exact in DECIMAL
-    var = ((F.col("_n") * F.col("_ss") - F.col("_s") * F.col("_s")).cast("double")) / (n * n)
-    sigma = F.sqrt(F.greatest(var, F.lit(0.0)))
-    return (daily.crossJoin(F.broadcast(stats))
-            .withColumn("mean_revenue", mean)
-            .withColumn("std_revenue", sigma)
+    return (daily.crossJoin(F.broadcast(day_stats(daily, value)))
             .withColumn("z_score", F.when(F.col("std_revenue") == 0, F.lit(0.0))
-                        .otherwise((x - F.col("mean_revenue")) / F.col("std_revenue")))
-            .drop("_n", "_s", "_ss"))
+                        .otherwise((F.col(value).cast("double") - F.col("mean_revenue")) / F.col("std_revenue"))))
 
 
 def anomaly_count(oc: DataFrame, z: float = Z_THRESHOLD, **filters) -> DataFrame:
@@ -114,40 +113,36 @@ def signal_context(oc: DataFrame, **filters) -> DataFrame:
     """One row with every signal and the reference defaults.
 
     Same values as ``trend_signal`` x ``weekpart_signal`` x ``top_category``
-    x ``anomaly_count``, but the fact is scanned once: the windows and the
-    final aggregate run over the per-day / per-category cube (calendar- and
-    label-bounded rows). Weekend / weekday means are exact: sum of the daily
-    decimal sums over the number of rows.
+    x ``anomaly_count``, but the fact is scanned once: the per-day and
+    per-category cube (calendar- and label-bounded rows) is written, and each
+    signal is a small aggregate of it. Weekend / weekday means are exact: sum
+    of the daily decimal sums over the number of rows.
     """
-    cube = signal_cube(oc, **filters)
-    is_day, is_cat = F.col("_gid") == _GID_DAY, F.col("_gid") == _GID_CATEGORY
-    per_set = Window.partitionBy("_gid")
-    n, s1 = F.count(F.lit(1)).over(per_set), F.sum("revenue").over(per_set)
-    s2 = F.sum(F.col("revenue") * F.col("revenue")).over(per_set)
-    nd = n.cast("double")
-    var = ((n * s2 - s1 * s1).cast("double")) / (nd * nd)
-    sigma = F.sqrt(F.greatest(var, F.lit(0.0)))
-    z = F.when(sigma == 0, F.lit(0.0)).otherwise((F.col("revenue").cast("double") - s1.cast("double") / nd) / sigma)
-    total = s1
-    share = F.when(total == 0, F.lit(0.0)).otherwise(F.col("revenue").cast("double") / total.cast("double"))
-    rows = (cube.withColumn("_recency", F.row_number().over(per_set.orderBy(F.desc("date"))))
-            .withColumn("_rank", F.row_number().over(per_set.orderBy(F.desc("revenue"),
-                                                                     F.asc("product_category_name"))))
-            .withColumn("_z", z)
-            .withColumn("_share", share))
+    cube = materialize(signal_cube(oc, **filters), "signal_cube")
+    days = cube.where(F.col("_gid") == _GID_DAY).select("date", "revenue", "rows")
+    categories = cube.where(F.col("_gid") == _GID_CATEGORY).select("product_category_name", "revenue")
+
+    rec = F.col("recency_rank")
+    trend = latest_days(days, 14).agg(
+        F.coalesce(exact_mean("revenue", rec.between(1, 7)), F.lit(0.0)).alias("last_7_avg"),
+        F.coalesce(exact_mean("revenue", rec.between(8, 14)), F.lit(0.0)).alias("previous_7_avg"))
 
     def day_mean(cond):
-        c = is_day & cond
-        return F.coalesce(F.sum(F.when(c, F.col("revenue"))).cast("double") / F.sum(F.when(c, F.col("rows"))),
+        return F.coalesce(F.sum(F.when(cond, F.col("revenue"))).cast("double") / F.sum(F.when(cond, F.col("rows"))),
                           F.lit(0.0))
 
-    rec, top = F.col("_recency"), is_cat & (F.col("_rank") == 1)
-    return rows.agg(
-        F.coalesce(exact_mean("revenue", is_day & rec.between(1, 7)), F.lit(0.0)).alias("last_7_avg"),
-        F.coalesce(exact_mean("revenue", is_day & rec.between(8, 14)), F.lit(0.0)).alias("previous_7_avg"),
+    scored = zscore_days(days).agg(
         day_mean(is_sql_weekend("date")).alias("weekend_avg"),
         day_mean(is_sql_weekday("date")).alias("weekday_avg"),
-        F.coalesce(F.max(F.when(top, F.col("product_category_name"))), F.lit(UNKNOWN_TOP_CATEGORY))
-        .alias("top_category"),
-        F.coalesce(F.max(F.when(top, F.col("_share"))), F.lit(0.0)).alias("top_category_share"),
-        F.count(F.when(is_day & (F.abs("_z") > Z_THRESHOLD), 1)).cast("bigint").alias("anomaly_count"))
+        F.count(F.when(F.abs("z_score") > Z_THRESHOLD, 1)).cast("bigint").alias("anomaly_count"))
+    total = categories.agg(F.sum("revenue").cast("double").alias("_total"))
+    top = (categories.orderBy(F.desc("revenue"), F.asc("product_category_name")).limit(1)
+           .crossJoin(F.broadcast(total))
+           .agg(F.coalesce(F.max("product_category_name"), F.lit(UNKNOWN_TOP_CATEGORY)).alias("top_category"),
+                F.coalesce(F.max(F.when(F.col("_total") == 0, F.lit(0.0))
+                                 .otherwise(F.col("revenue").cast("double") / F.col("_total"))), F.lit(0.0))
+                .alias("top_category_share")))
+    # each side is one row
+    return (trend.crossJoin(scored).crossJoin(top)
+            .select("last_7_avg", "previous_7_avg", "weekend_avg", "weekday_avg", "top_category", "top_category_share",
+                    "anomaly_count"))

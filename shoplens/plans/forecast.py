@@ -12,15 +12,19 @@ they are labelled ``occlusion_impact`` and are not SHAP values.
 
 from __future__ import annotations
 
-import json
+import datetime as dt
+from collections.abc import Callable
 
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shoplens.schema import FEATURE_COLUMNS, MODEL_SETTINGS, TARGET_COLUMN, TOP_DRIVERS
+from shoplens.session import materialize, path_exists
+
+#: rows with the feature columns -> the same rows with ``prediction``
+Score = Callable[[DataFrame], DataFrame]
 
 MODEL_TYPE = "GBTRegressor"
 METRIC_COLUMNS = ["mae", "rmse", "mape", "baseline_mae", "baseline_rmse", "baseline_mape",
@@ -43,7 +47,7 @@ def train_forecast(split: DataFrame) -> GBTRegressionModel:
     """fit on the ``split == 'train'`` rows (error if there are none)."""
     train = assembler().transform(split.where(F.col("split") == "train"))
     if train.limit(1).count() == 0:
-        raise ValueError("Cannot train model: no valid rows after cleaning.")
+        raise ValueError("no day is left to train on")
     return new_model().fit(train)
 
 
@@ -58,10 +62,15 @@ def _errors(y, p) -> list:
             F.coalesce(F.avg(F.when(nz, F.abs(e / y))) * 100.0, F.lit(0.0))]
 
 
-def forecast_metrics(model: GBTRegressionModel, split: DataFrame) -> DataFrame:
+def by_model(model: GBTRegressionModel) -> Score:
+    return lambda rows: predict(model, rows)
+
+
+def forecast_metrics(score: Score, split: DataFrame) -> DataFrame:
     """model and lag_1-baseline MAE / RMSE / MAPE on the test days,
-    improvement %, residual population std, row counts; zeros without test days."""
-    scored = predict(model, split.where(F.col("split") == "test"))
+    improvement %, residual population std, row counts; zeros without test days.
+    ``score`` adds ``prediction`` to rows with the features."""
+    scored = score(split.where(F.col("split") == "test"))
     y, p, b = F.col(TARGET_COLUMN), F.col("prediction"), F.col("lag_1")
     mae, rmse, mape = _errors(y, p)
     bmae, brmse, bmape = _errors(y, b)
@@ -82,9 +91,9 @@ def forecast_metrics(model: GBTRegressionModel, split: DataFrame) -> DataFrame:
                     F.col("training_rows").cast("bigint"), F.col("test_rows").cast("bigint")))
 
 
-def predict_next(model: GBTRegressionModel, next_features: DataFrame, metrics: DataFrame) -> DataFrame:
+def predict_next(score: Score, next_features: DataFrame, metrics: DataFrame) -> DataFrame:
     """F8: next-day prediction clamped at 0, band max(0, p - sigma) .. p + sigma."""
-    pred = predict(model, next_features)
+    pred = score(next_features)
     spread = metrics.select(F.coalesce(F.col("residual_std"), F.lit(0.0)).alias("_sd"))  # one row
     p = F.greatest(F.col("prediction"), F.lit(0.0))
     return (pred.crossJoin(F.broadcast(spread))
@@ -93,41 +102,35 @@ def predict_next(model: GBTRegressionModel, next_features: DataFrame, metrics: D
                     (p + F.col("_sd")).alias("upper_bound")))
 
 
-def _occluded(rows: DataFrame, means: DataFrame) -> DataFrame:
-    """One row per (input row, feature): that feature replaced by its mean."""
-    arr = F.array(*[F.col(c).cast("double") for c in FEATURE_COLUMNS])
-    mean_arr = F.array(*[F.col(f"_m_{c}") for c in FEATURE_COLUMNS])
-    base = (rows.withColumn("_row", F.monotonically_increasing_id())
-            .crossJoin(F.broadcast(means))  # one row of means
-            .select("_row", arr.alias("_x"), mean_arr.alias("_mu")))
-    exploded = base.select("_row", "_x", "_mu", F.posexplode(F.array_repeat(F.lit(0), len(FEATURE_COLUMNS)))
-                           .alias("_j", "_z"))
-    occl = F.transform("_x", lambda x, i: F.when(i == F.col("_j"), F.col("_mu")[i]).otherwise(x))
-    return exploded.select("_row", "_j", array_to_vector("_x").alias("_orig"), array_to_vector(occl).alias("features"))
-
-
-def _occlusion_effects(model: GBTRegressionModel, rows: DataFrame, reference: DataFrame) -> DataFrame:
+def _occlusion_effects(score: Score, rows: DataFrame, reference: DataFrame) -> DataFrame:
+    """One row per (input row, feature): the prediction, less the one with that
+    feature replaced by its mean over ``reference``."""
+    n = len(FEATURE_COLUMNS)
     means = reference.agg(*[F.avg(F.col(c).cast("double")).alias(f"_m_{c}") for c in FEATURE_COLUMNS])
-    occ = _occluded(rows, means)
-    scored = model.transform(occ, {model.predictionCol: "_p_occ"}).drop("features")
-    scored = model.transform(scored, {model.featuresCol: "_orig", model.predictionCol: "_p"})
+    doubles = [F.col(c).cast("double").alias(c) for c in FEATURE_COLUMNS]
+    whole = (score(rows.withColumn("_row", F.monotonically_increasing_id()).select("_row", *doubles))
+             .withColumnRenamed("prediction", "_p"))
+    each = whole.crossJoin(F.broadcast(means)).withColumn("_j", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    changed = [F.when(F.col("_j") == j, F.col(f"_m_{c}")).otherwise(F.col(c)).alias(c) for j, c in enumerate(FEATURE_COLUMNS)]
     names = F.array(*[F.lit(c) for c in FEATURE_COLUMNS])
-    return scored.select("_row", names[F.col("_j")].alias("feature"), F.col("_j").alias("feature_index"),
-                         (F.col("_p") - F.col("_p_occ")).alias("impact"))
+    return score(each.select("_row", "_j", "_p", *changed)).select(
+        "_row", names[F.col("_j")].alias("feature"), F.col("_j").alias("feature_index"),
+        (F.col("_p") - F.col("prediction")).alias("impact"))
 
 
-def feature_importance(model: GBTRegressionModel, train: DataFrame) -> DataFrame:
-    """mean |occlusion effect| per feature over the training days, ranked."""
-    eff = _occlusion_effects(model, train, train)
-    return (eff.groupBy("feature", "feature_index").agg(F.avg(F.abs("impact")).alias("occlusion_impact"))
-            .orderBy(F.desc("occlusion_impact"), "feature_index")
-            .select("feature", "occlusion_impact"))
+def feature_importance(score: Score, train: DataFrame, n: int | None = None) -> DataFrame:
+    """mean |occlusion effect| per feature over the training days, ranked; the first ``n`` if given."""
+    eff = _occlusion_effects(score, train, train)
+    ranked = (eff.groupBy("feature", "feature_index").agg(F.avg(F.abs("impact")).alias("occlusion_impact"))
+              .orderBy(F.desc("occlusion_impact"), "feature_index")
+              .select("feature", "occlusion_impact"))
+    return ranked.limit(int(n)) if n else ranked
 
 
-def prediction_drivers(model: GBTRegressionModel, next_features: DataFrame, train: DataFrame,
+def prediction_drivers(score: Score, next_features: DataFrame, train: DataFrame,
                        n: int = TOP_DRIVERS) -> DataFrame:
     """the ``n`` features with the largest |effect| on the next-day prediction."""
-    eff = _occlusion_effects(model, next_features, train)
+    eff = _occlusion_effects(score, next_features, train)
     values = next_features.select(F.posexplode(F.array(*[F.col(c).cast("double") for c in FEATURE_COLUMNS]))
                                   .alias("feature_index", "value"))
     return (eff.join(values, "feature_index")
@@ -135,30 +138,48 @@ def prediction_drivers(model: GBTRegressionModel, next_features: DataFrame, trai
             .select("feature", "value", "impact"))
 
 
+def training_split(oc: DataFrame) -> DataFrame:
+    """F1..F5 of the fact, written once: one row per calendar day, in one
+    partition, so that the learner's many passes are many small reads."""
+    from shoplens.plans import timeseries as TS
+
+    split = TS.time_split(TS.clean_training(TS.time_features(TS.daily_series(oc))))
+    return materialize(split.coalesce(1), "forecast_split")
+
+
 def train_and_save(oc: DataFrame, path: str, split: DataFrame | None = None) -> DataFrame:
     """F1..F9 + F12 in one call: series, features, split, fit, metrics,
     importance, all saved under ``path``; returns the stored metrics.
-    ``split`` may be passed when the caller already built (and cut) it."""
-    from shoplens.plans import timeseries as TS
-
+    ``split`` may be passed when the caller already built (and wrote) it."""
     spark = oc.sparkSession
     if split is None:
-        series = TS.daily_series(oc)
-        # one row per calendar day; the checkpoint cuts the lineage before the
-        # many passes of the tree learner
-        split = TS.time_split(TS.clean_training(TS.time_features(series))).checkpoint(eager=True)
-    model = train_forecast(split)
-    metrics = forecast_metrics(model, split)
-    importance = feature_importance(model, split.where(F.col("split") == "train"))
-    save_model(model, metrics, importance, path)
+        split = training_split(oc)
+    # rows are days, bounded by the calendar: kept in memory over the rounds of boosting
+    split = split.coalesce(1).persist()
+    try:
+        model = train_forecast(split)
+        metrics = forecast_metrics(by_model(model), split)
+        importance = feature_importance(by_model(model), split.where(F.col("split") == "train"))
+        save_model(model, metrics, importance, path)
+    finally:
+        split.unpersist()
     return load_metrics(spark, path)
 
 
 # ---- F12 persistence -------------------------------------------------------------------------
 
+METRICS_SCHEMA = ", ".join(["model_type string", *(f"{c} double" for c in METRIC_COLUMNS[:-2]), "training_rows bigint",
+                            "test_rows bigint", "model_version string", "features array<string>",
+                            "last_trained_at string"])
+
+
 def save_model(model: GBTRegressionModel, metrics: DataFrame, importance: DataFrame, path: str) -> None:
     model.write().overwrite().save(f"{path}/model")
-    metrics.coalesce(1).write.mode("overwrite").json(f"{path}/metrics")
+    now = dt.datetime.now(dt.timezone.utc)
+    (metrics.withColumns({"model_version": F.lit(f"{MODEL_TYPE}-{now:%Y%m%d%H%M%S}"),
+                          "features": F.array(*[F.lit(c) for c in FEATURE_COLUMNS]),
+                          "last_trained_at": F.lit(now.isoformat(timespec="seconds"))})
+     .coalesce(1).write.mode("overwrite").json(f"{path}/metrics"))
     importance.coalesce(1).write.mode("overwrite").json(f"{path}/importance")
 
 
@@ -166,12 +187,17 @@ def load_model(path: str) -> GBTRegressionModel:
     return GBTRegressionModel.load(f"{path}/model")
 
 
-def load_metrics(spark: SparkSession, path: str) -> DataFrame:
-    """Stored metrics, or one row of NULL metrics when nothing was trained."""
-    try:
-        return spark.read.json(f"{path}/metrics")
-    except Exception:  # noqa: BLE001 - a missing folder means "not trained"
-        cols = ", ".join(f"CAST(NULL AS DOUBLE) AS {c}" for c in METRIC_COLUMNS)
-        return spark.sql(f"SELECT '{MODEL_TYPE}' AS model_type, {cols}, "
-                         f"'{json.dumps(FEATURE_COLUMNS)}' AS features")
+def load_importance(spark: SparkSession, path: str, n: int | None = None) -> DataFrame:
+    """F9 as saved, largest first; the first ``n`` if given."""
+    df = (spark.read.schema("feature string, occlusion_impact double").json(f"{path}/importance")
+          .orderBy(F.desc("occlusion_impact"), "feature"))
+    return df.limit(int(n)) if n else df
 
+
+def load_metrics(spark: SparkSession, path: str) -> DataFrame:
+    """Stored metrics, or one row of NULL metrics when nothing was trained
+    (no folder). A store that is there and can't be read raises."""
+    if path_exists(spark, f"{path}/metrics"):
+        return spark.read.schema(METRICS_SCHEMA).option("mode", "FAILFAST").json(f"{path}/metrics")
+    row = {"model_type": MODEL_TYPE, "features": list(FEATURE_COLUMNS)}
+    return spark.createDataFrame([row], METRICS_SCHEMA)

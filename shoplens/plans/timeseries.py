@@ -46,13 +46,6 @@ def observed_daily(oc: DataFrame, keys: list[str] | None = None) -> DataFrame:
             .agg(F.coalesce(F.sum("payment_value"), F.lit(0)).cast("double").alias(TARGET_COLUMN)))
 
 
-def calendar(observed: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """Every day from the first to the last observed day (per key)."""
-    keys = list(keys or [])
-    bounds = observed.groupBy(*keys).agg(F.min("date").alias("_lo"), F.max("date").alias("_hi"))
-    return bounds.select(*keys, F.explode(F.sequence("_lo", "_hi", F.expr("INTERVAL 1 DAY"))).alias("date"))
-
-
 def fill_gaps(series: DataFrame, keys: list[str] | None = None, value: str = TARGET_COLUMN) -> DataFrame:
     """W8 + W9: linear interpolation between the nearest observed neighbours,
     then forward fill, back fill, and 0."""
@@ -201,7 +194,7 @@ def clean_training(features: DataFrame, keys: list[str] | None = None) -> DataFr
     need = FEATURE_COLUMNS + [TARGET_COLUMN]
     missing = [c for c in need if c not in features.columns]
     if missing:
-        raise ValueError(f"Missing columns required for training: {missing}")
+        raise ValueError(f"training needs the columns {missing}")
     cols = [c for c in (*keys, "date") if c in features.columns]
     return (features.select(*cols, *[finite_or_null(c).alias(c) for c in need])
             .dropna(subset=need))

@@ -5,6 +5,8 @@ Importing this module fills ``registry.QUERIES`` / ``registry.ORACLE``.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,13 +20,14 @@ from shoplens.operators import validate as V
 from shoplens.plans import bundle as BU
 from shoplens.plans import forecast as FC
 from shoplens.plans import timeseries as TS
-from shoplens.session import work_dir
+from shoplens.session import materialize, work_dir
 from shoplens.sources import batches as B
-from shoplens.sources.clean_store import read_clean, write_clean
+from shoplens.sources.clean_store import create_table, read_clean, write_clean
+from shoplens.sources.raw import read_raw
 from shoplens.sources.upsert import upsert
-from shoplens.streaming.loader import committed_batches, upsert_stream
+from shoplens.streaming.loader import batch_progress, ingest
 from shoplens.registry import ORACLE, QUERIES, clean_fact, clean_fact_uncached, register, with_oc
-from shoplens.schema import CLEAN_COLUMNS, FEATURE_COLUMNS, TARGET_COLUMN
+from shoplens.schema import CLEAN_COLUMNS, FEATURE_COLUMNS, RAW_FILES, TARGET_COLUMN
 from shoplens.sources.testdata import raw_from_testdata
 
 # A fixed dashboard filter set used by the *_filtered queries.
@@ -52,7 +55,7 @@ def q_orders_clean(spark, sf_dir):
 
 @register("payments_per_order", """
 SELECT CAST(l_orderkey AS VARCHAR) AS order_id,
-       CAST(SUM(CAST(l_extendedprice AS DECIMAL(12,2))) AS DOUBLE) AS payment_value
+       CAST(SUM(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS payment_value
 FROM lineitem GROUP BY l_orderkey""")
 def q_payments_per_order(spark, sf_dir):
     pay = C.payments_per_order(raw_from_testdata(spark, sf_dir)["payments"])
@@ -717,13 +720,16 @@ def q_check_clean(spark, sf_dir):
 
 @register("check_batches", with_oc(f"""
 SELECT CAST(COUNT(*) AS BIGINT) AS total_batches, CAST(SUM(rows) AS BIGINT) AS total_rows,
-       MIN(batch_id) AS first_id, CAST(0 AS BIGINT) AS gaps, CAST(0 AS BIGINT) AS empty_batches,
+       MIN(batch_id) AS first_id, CAST(MAX(batch_id) - MIN(batch_id) + 1 - COUNT(*) AS BIGINT) AS gaps,
+       CAST(COUNT(*) FILTER (WHERE rows = 0) AS BIGINT) AS empty_batches,
        CAST(COUNT(*) FILTER (WHERE batch_id < (SELECT MAX(batch_id) FROM bs) AND rows <> {BATCH_SIZE}) AS BIGINT)
          AS wrong_size,
        CAST(MAX(CASE WHEN batch_id = (SELECT MAX(batch_id) FROM bs) THEN rows END) AS BIGINT) AS last_batch_size,
        (SELECT CAST(COUNT(*) AS BIGINT) FROM oc) AS source_rows,
-       CAST(0 AS BIGINT) AS invalid_names,
-       TRUE AS passed
+       CAST(COUNT(*) FILTER (WHERE batch_id IS NULL) AS BIGINT) AS invalid_names,
+       MIN(batch_id) = 0 AND MAX(batch_id) + 1 = COUNT(*) AND MAX(rows) <= {BATCH_SIZE} AND MIN(rows) > 0
+         AND COUNT(*) FILTER (WHERE rows < {BATCH_SIZE} AND batch_id < (SELECT MAX(batch_id) FROM bs)) = 0
+         AND SUM(rows) = (SELECT COUNT(*) FROM oc) AS passed
 FROM bs""", f"""
 bs AS (SELECT CAST((rn - 1) // {BATCH_SIZE} AS INTEGER) AS batch_id, COUNT(*) AS rows
        FROM (SELECT {ROWNUM_SQL} AS rn FROM oc) GROUP BY 1)"""))
@@ -732,7 +738,114 @@ def q_check_batches(spark, sf_dir):
     fact = oc(spark, sf_dir)
     path = work_dir(spark, "batches")
     B.write_batches(B.split_row_batches(fact, BATCH_SIZE), path)
-    return V.check_batches(spark.read.parquet(path), fact, BATCH_SIZE)
+    return V.check_batches(B.read_batches(spark, path), fact, BATCH_SIZE)
+
+
+RECUT_SQL = with_oc(f"""
+SELECT batch_id, CAST(COUNT(*) AS BIGINT) AS rows, MIN(order_date) AS first_date, MAX(order_date) AS last_date
+FROM (SELECT order_date, CAST(({ROWNUM_SQL} - 1) // {BATCH_SIZE} AS INTEGER) AS batch_id FROM oc) GROUP BY batch_id""")
+
+
+@register("row_batches_recut", RECUT_SQL)
+def q_row_batches_recut(spark, sf_dir):
+    """A cut over an older, finer cut leaves none of its batches."""
+    fact = oc(spark, sf_dir)
+    path = work_dir(spark, "batches")
+    B.write_batches(B.split_row_batches(fact, BATCH_SIZE // 2), path)
+    B.write_batches(B.split_row_batches(fact, BATCH_SIZE), path)
+    return (B.read_batches(spark, path).groupBy("batch_id")
+            .agg(F.count(F.lit(1)).alias("rows"), F.min("order_date").alias("first_date"),
+                 F.max("order_date").alias("last_date")))
+
+
+@register("read_batch", with_oc(f"""
+SELECT order_id, product_id, order_date
+FROM (SELECT *, CAST(({ROWNUM_SQL} - 1) // {BATCH_SIZE} AS INTEGER) AS batch_id FROM oc) WHERE batch_id = 7"""))
+def q_read_batch(spark, sf_dir):
+    """One batch of the cut of the whole fact, read by its folder and statistics."""
+    path = work_dir(spark, "batches")
+    B.write_batches(B.split_row_batches(oc(spark, sf_dir), BATCH_SIZE), path)
+    return B.read_batch(spark, path, 7).select("order_id", "product_id", "order_date")
+
+
+@register("check_batches_damaged", with_oc(f"""
+SELECT CAST(COUNT(*) AS BIGINT) AS total_batches, CAST(SUM(rows) AS BIGINT) AS total_rows, MIN(batch_id) AS first_id,
+       CAST(MAX(batch_id) - MIN(batch_id) + 1 - COUNT(*) AS BIGINT) AS gaps,
+       CAST(COUNT(*) FILTER (WHERE rows = 0) AS BIGINT) AS empty_batches,
+       CAST(COUNT(*) FILTER (WHERE batch_id < (SELECT MAX(batch_id) FROM sizes) AND rows <> {BATCH_SIZE}) AS BIGINT) AS wrong_size,
+       CAST(MAX(CASE WHEN batch_id = (SELECT MAX(batch_id) FROM sizes) THEN rows END) AS BIGINT) AS last_batch_size,
+       (SELECT CAST(COUNT(*) AS BIGINT) FROM oc) AS source_rows,
+       (SELECT CAST(COUNT(*) AS BIGINT) FROM bad WHERE batch_id % 11 = 10) AS invalid_names,
+       COUNT(*) > 0 AND MIN(batch_id) = 0 AND MAX(batch_id) + 1 = COUNT(*) AND SUM(rows) = (SELECT COUNT(*) FROM oc)
+         AND (SELECT COUNT(*) FROM bad WHERE batch_id % 11 = 10) = 0 AS passed
+FROM sizes""", f"""
+bad AS (SELECT * FROM (SELECT CAST((rn - 1) // {BATCH_SIZE} AS INTEGER) AS batch_id, rn FROM (SELECT {ROWNUM_SQL} AS rn FROM oc))
+        WHERE batch_id % 7 <> 3 AND (batch_id % 5 <> 1 OR rn % 2 = 0)),
+sizes AS (SELECT batch_id, COUNT(*) AS rows FROM bad WHERE batch_id % 11 <> 10 GROUP BY batch_id)"""))
+def q_check_batches_damaged(spark, sf_dir):
+    """V2 over a damaged cut: missing batches, short ones, rows without a batch index."""
+    from shoplens.functions.numbering import global_row_number
+
+    fact = oc(spark, sf_dir)
+    rows = global_row_number(fact, B.BATCH_ORDER, "rn").withColumn("batch_id", F.floor((F.col("rn") - 1) / BATCH_SIZE).cast("int"))
+    bad = rows.where((F.col("batch_id") % 7 != 3) & ((F.col("batch_id") % 5 != 1) | (F.col("rn") % 2 == 0)))
+    return V.check_batches(bad.withColumn("batch_id", F.when(F.col("batch_id") % 11 != 10, F.col("batch_id"))), fact, BATCH_SIZE)
+
+
+@register("check_batch_files", with_oc("""
+SELECT CAST(COUNT(*) + 1 AS BIGINT) AS total_batches, CAST(SUM(rows) AS BIGINT) AS total_rows, MIN(batch_id) AS first_id,
+       CAST(0 AS BIGINT) AS gaps, CAST(1 AS BIGINT) AS empty_batches,
+       CAST(0 AS BIGINT) AS last_batch_size, (SELECT CAST(COUNT(*) AS BIGINT) FROM oc) AS source_rows
+FROM m""", """
+m AS (SELECT DENSE_RANK() OVER (ORDER BY strftime(order_date, '%Y-%m')) - 1 AS batch_id, COUNT(*) AS rows
+      FROM oc GROUP BY strftime(order_date, '%Y-%m'))"""))
+def q_check_batch_files(spark, sf_dir):
+    """V2 and the file-name index over ``batch_<n>.csv`` files: one file a month, and a last one without a row."""
+    fact = oc(spark, sf_dir).withColumn("m", F.date_format("order_date", "yyyy-MM"))
+    out = work_dir(spark, "batch_files")
+    fs = spark.sparkContext._jvm.org.apache.hadoop.fs
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    parts = f"{out}-parts"
+    (fact.select(*CLEAN_COLUMNS, "m").repartition("m").write.partitionBy("m").option("header", True).csv(parts))
+    root = fs.Path(parts).getFileSystem(conf)
+    root.mkdirs(fs.Path(out))
+    months = sorted(s.getPath().getName() for s in root.listStatus(fs.Path(parts)) if s.getPath().getName().startswith("m="))
+    for k, m in enumerate(months):  # a file a month of the calendar
+        file = [s.getPath() for s in root.listStatus(fs.Path(f"{parts}/{m}")) if s.getPath().getName().startswith("part-")][0]
+        root.rename(file, fs.Path(f"{out}/batch_{k}.csv"))
+    root.create(fs.Path(f"{out}/batch_{len(months)}.csv")).close()
+    return V.check_batch_files(spark, out, fact, None).select(
+        "total_batches", "total_rows", "first_id", "gaps", "empty_batches", "last_batch_size", "source_rows")
+
+
+@register("create_table", with_oc("""
+SELECT strftime(order_date, '%Y-%m') AS month, CAST(COUNT(*) AS BIGINT) AS rows FROM oc GROUP BY 1"""))
+def q_create_table(spark, sf_dir):
+    """The table over a folder that already holds the whole clean fact."""
+    name = "clean_" + uuid.uuid4().hex[:12]
+    path = work_dir(spark, "create_table")
+    write_clean(oc(spark, sf_dir), path)
+    rows = create_table(spark, name, path).groupBy(F.date_format("order_date", "yyyy-MM").alias("month")).agg(
+        F.count(F.lit(1)).alias("rows"))
+    found = materialize(rows, "create_table_rows")
+    spark.sql(f"DROP TABLE {name}")  # the folder stays: the table is external
+    return found
+
+
+@register("orders_clean_from_csv", with_oc(f"SELECT {', '.join(CLEAN_COLUMNS)} FROM oc"))
+def q_orders_clean_from_csv(spark, sf_dir):
+    """The raw tables as CSV files, review rows with whole document texts
+    (quotes and line ends) as comments, read back and cleaned."""
+    raw = raw_from_testdata(spark, sf_dir)
+    docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
+    n = docs.count()
+    comments = docs.select(F.col("doc_id").alias("k"), F.concat(F.lit('a "quoted" word, and:\n'), "text").alias("review_comment_message"))
+    reviews = raw["reviews"].withColumn("k", F.pmod(F.col("order_id").cast("long"), F.lit(max(1, n))))
+    raw["reviews"] = reviews.join(comments, "k", "left").select("order_id", "review_comment_message", "review_score")
+    base = work_dir(spark, "raw_csv")
+    for name, df in raw.items():
+        df.write.option("header", True).option("escape", '"').option("quoteAll", name == "reviews").csv(f"{base}/{RAW_FILES[name]}")
+    return C.build_orders_clean(read_raw(spark, base))
 
 
 @register("check_table", with_oc("""
@@ -743,30 +856,24 @@ def q_check_table(spark, sf_dir):
     return V.check_table(oc(spark, sf_dir))
 
 
-UPSERT_MONTH = "1996-03"
-
-
-@register("upsert_changes", with_oc(f"""
+@register("upsert_changes", with_oc("""
 SELECT order_id, customer_id, product_id, order_date,
-       CAST(CASE WHEN strftime(order_date, '%Y-%m') = '{UPSERT_MONTH}' THEN price + 1 ELSE price END
-            AS DECIMAL(12,2)) AS price,
-       freight_value, payment_value,
-       CASE WHEN strftime(order_date, '%Y-%m') = '{UPSERT_MONTH}' THEN 5 ELSE review_score END AS review_score,
+       CAST(CASE WHEN changed THEN price + 1 ELSE price END AS DECIMAL(18,2)) AS price,
+       freight_value, payment_value, CASE WHEN changed THEN 5 ELSE review_score END AS review_score,
        product_category_name, customer_city, customer_state
-FROM oc
+FROM t WHERE NOT late OR changed
 UNION ALL
 SELECT order_id, customer_id, product_id || '-n', order_date, price, freight_value, payment_value, review_score,
-       product_category_name, customer_city, customer_state
-FROM oc WHERE strftime(order_date, '%Y-%m') = '{UPSERT_MONTH}'"""))
+       product_category_name, customer_city, customer_state FROM t WHERE changed""", """
+t AS (SELECT *, CAST(order_id AS BIGINT) % 10 = 0 AS changed, strftime(order_date, '%Y') = '1998' AS late FROM oc)"""))
 def q_upsert_changes(spark, sf_dir):
-    """One month of updated rows plus as many new keys, applied to a copy
-    of the whole clean table, then applied a second time (replay)."""
+    """Every tenth order updated, and as many new keys, over all months; the
+    target lacks a whole year of them. Applied a second time (replay)."""
     fact = oc(spark, sf_dir).select(*CLEAN_COLUMNS)
     target = work_dir(spark, "upsert-target")
-    write_clean(fact, target)
-    month = F.date_format("order_date", "yyyy-MM") == UPSERT_MONTH
-    touched = fact.where(month)
-    changed = touched.withColumn("price", (F.col("price") + 1).cast("decimal(12,2)")).withColumn(
+    write_clean(fact.where(F.date_format("order_date", "yyyy") != "1998"), target)
+    touched = fact.where(F.col("order_id").cast("bigint") % 10 == 0)
+    changed = touched.withColumn("price", (F.col("price") + 1).cast("decimal(18,2)")).withColumn(
         "review_score", F.lit(5))
     new_rows = touched.withColumn("product_id", F.concat("product_id", F.lit("-n")))
     batch = changed.unionByName(new_rows)
@@ -780,19 +887,30 @@ STREAM_BATCH_SIZE = 20000
 
 @register("stream_ingest", with_oc(f"SELECT {', '.join(CLEAN_COLUMNS)} FROM oc"))
 def q_stream_ingest(spark, sf_dir):
-    """X1..X3: cut the clean fact into batches, stream them through P8 + S7
-    into an empty table, return the table after the last commit."""
+    """X1..X3: cut the clean fact into batches, stream them through P8 into the
+    log, merge it into an empty table (S7), return the table."""
     fact = oc(spark, sf_dir).select(*CLEAN_COLUMNS)
     batch_dir = work_dir(spark, "stream-batches")
     B.write_batches(B.split_row_batches(fact, STREAM_BATCH_SIZE), batch_dir)
     target, ckpt = work_dir(spark, "stream-target"), work_dir(spark, "stream-ckpt")
-    q = upsert_stream(spark, batch_dir, target, ckpt, files_per_trigger=1)
-    q.awaitTermination()
-    if committed_batches(spark, ckpt) == 0:
-        raise RuntimeError("stream committed no batch")
+    ingest(spark, batch_dir, target, ckpt, files_per_trigger=1)
     return read_clean(spark, target, keep_partition=False)
 
 
+@register("stream_progress", with_oc(f"""
+SELECT batch_id, CAST(COUNT(*) AS BIGINT) AS rows, CAST(COUNT(*) AS BIGINT) AS consumed,
+       (SELECT CAST((COUNT(*) - 1) // 1000 + 1 AS INTEGER) FROM oc) AS pointer
+FROM (SELECT CAST(({ROWNUM_SQL} - 1) // {BATCH_SIZE} AS INTEGER) AS batch_id FROM oc) GROUP BY batch_id"""))
+def q_stream_progress(spark, sf_dir):
+    """Rows consumed of each batch and the pointer, after an ingest at four
+    files per trigger and a second run that finds nothing new."""
+    batch_dir, target, ckpt = (work_dir(spark, f"progress-{x}") for x in ("batches", "target", "ckpt"))
+    B.write_batches(B.split_row_batches(oc(spark, sf_dir), BATCH_SIZE), batch_dir)
+    ingest(spark, batch_dir, target, ckpt, files_per_trigger=4)
+    pointer = ingest(spark, batch_dir, target, ckpt, files_per_trigger=4)
+    return batch_progress(spark, batch_dir, ckpt).withColumn("pointer", F.lit(pointer))
+
+
 # ---- forecast ------------------------------------------------------------------------------
 
 _MODEL_CACHE: dict = {}
@@ -812,12 +930,12 @@ def trained(spark, sf_dir):
     if key not in _MODEL_CACHE:
         path = work_dir(spark, "model")
         split, nxt = training_frames(spark, sf_dir)
-        # one row per day: checkpoint once instead of re-deriving from the fact per query
-        split, nxt = split.checkpoint(eager=True), nxt.checkpoint(eager=True)
+        # one row per day: written once instead of being derived from the fact by each query
+        split, nxt = materialize(split.coalesce(1), "split"), materialize(nxt, "next_day")
         FC.train_and_save(oc(spark, sf_dir), path, split)
         _MODEL_CACHE[key] = (path, split, nxt)
     path, split, nxt = _MODEL_CACHE[key]
-    return FC.load_model(path), split, nxt, path
+    return FC.by_model(FC.load_model(path)), split, nxt, path
 
 
 BASELINE_SQL = """
@@ -852,6 +970,57 @@ def q_forecast_metrics(spark, sf_dir):
     return FC.load_metrics(spark, path)
 
 
+def by_mean(rows):
+    """A fixed prediction in place of the model's: the mean of the last seven days."""
+    return rows.withColumn("prediction", F.col("rolling_mean_7"))
+
+
+SCORED_CTE = FEATURES_CTE + """,
+numbered_days AS (SELECT *, ROW_NUMBER() OVER (ORDER BY date) AS position, COUNT(*) OVER () AS n
+                  FROM features WHERE daily_revenue IS NOT NULL),
+parts AS (SELECT *, n < 5 OR position <= LEAST(GREATEST(FLOOR(n * 0.8), 1), n - 1) AS train FROM numbered_days),
+scored AS (SELECT AVG(ABS(daily_revenue - rolling_mean_7)) AS mae,
+                  SQRT(AVG((daily_revenue - rolling_mean_7) * (daily_revenue - rolling_mean_7))) AS rmse,
+                  COALESCE(AVG(CASE WHEN daily_revenue <> 0 THEN ABS((daily_revenue - rolling_mean_7) / daily_revenue) END) * 100, 0) AS mape,
+                  AVG(ABS(daily_revenue - lag_1)) AS baseline_mae,
+                  STDDEV_POP(daily_revenue - rolling_mean_7) AS residual_std, COUNT(*) AS test_rows
+           FROM parts WHERE NOT train),
+next_day AS (SELECT MAX(date) + 1 AS date FROM series),
+last_mean AS (SELECT AVG(daily_revenue) AS p FROM series WHERE date > (SELECT MAX(date) - 7 FROM series)),
+train_mean AS (SELECT AVG(rolling_mean_7) AS m, COUNT(*) AS training_rows FROM parts WHERE train)"""
+
+
+@register("forecast_metrics_fixed", with_oc("""
+SELECT ROUND_EVEN(mae, 6) AS mae, ROUND_EVEN(rmse, 6) AS rmse, ROUND_EVEN(mape, 6) AS mape,
+       ROUND_EVEN((baseline_mae - mae) / baseline_mae * 100, 6) AS baseline_improvement_pct,
+       ROUND_EVEN(residual_std, 6) AS residual_std, CAST(training_rows AS BIGINT) AS training_rows,
+       CAST(test_rows AS BIGINT) AS test_rows FROM scored, train_mean""", SCORED_CTE))
+def q_forecast_metrics_fixed(spark, sf_dir):
+    """F7 with a fixed prediction, which SQL can follow."""
+    split, _ = training_frames(spark, sf_dir)
+    return round_doubles(FC.forecast_metrics(by_mean, split).select(
+        "mae", "rmse", "mape", "baseline_improvement_pct", "residual_std", "training_rows", "test_rows"))
+
+
+@register("next_day_prediction_fixed", with_oc("""
+SELECT date, ROUND_EVEN(p, 6) AS predicted_revenue, ROUND_EVEN(GREATEST(p - residual_std, 0), 6) AS lower_bound,
+       ROUND_EVEN(p + residual_std, 6) AS upper_bound FROM next_day, last_mean, scored""", SCORED_CTE))
+def q_next_day_prediction_fixed(spark, sf_dir):
+    """F8 with a fixed prediction."""
+    split, nxt = training_frames(spark, sf_dir)
+    return round_doubles(FC.predict_next(by_mean, nxt, FC.forecast_metrics(by_mean, split)))
+
+
+@register("prediction_drivers_fixed", with_oc("""
+SELECT 'rolling_mean_7' AS feature, ROUND_EVEN(p, 6) AS value, ROUND_EVEN(p - m, 6) AS impact
+FROM last_mean, train_mean""", SCORED_CTE))
+def q_prediction_drivers_fixed(spark, sf_dir):
+    """F10 with a fixed prediction: only the mean itself drives it."""
+    split, nxt = training_frames(spark, sf_dir)
+    drivers = FC.prediction_drivers(by_mean, nxt, split.where(F.col("split") == "train"))
+    return round_doubles(drivers.where("impact <> 0"))
+
+
 @register("next_day_prediction")
 def q_next_day_prediction(spark, sf_dir):
     """F8."""
@@ -863,7 +1032,14 @@ def q_next_day_prediction(spark, sf_dir):
 def q_feature_importance(spark, sf_dir):
     """F9 (occlusion impact, not SHAP)."""
     _, _, _, path = trained(spark, sf_dir)
-    return spark.read.json(f"{path}/importance")
+    return FC.load_importance(spark, path)
+
+
+@register("top_importances")
+def q_top_importances(spark, sf_dir):
+    """K7: the five most important features."""
+    _, _, _, path = trained(spark, sf_dir)
+    return FC.load_importance(spark, path, 5)
 
 
 @register("prediction_drivers")
@@ -938,18 +1114,33 @@ def q_top_root_causes(spark, sf_dir):
 
 # ---- marts bundle ---------------------------------------------------------------------------
 
-@register("marts_bundle")
+BUNDLE = ["metrics", "daily_revenue", "daily_orders", "data_growth", "anomalies", "category_analysis",
+          "customer_segments", "weekday_analysis", "insights", "recommendations", "geo_analysis", "cohort_retention",
+          "revenue_decomposition", "churn_risk", "anomaly_root_cause", "customer_ltv", "filter_summary"]
+#: rows of the tables that come from the model, before one is trained
+UNTRAINED = {"prediction": 0, "model_metrics": 1, "prediction_explanation": 0}
+BUNDLE_SQL = "\nUNION ALL\n".join(
+    [f"SELECT '{name}' AS mart, 'ok' AS status, CAST(COUNT(*) AS BIGINT) AS rows FROM ({ORACLE[name]})" for name in BUNDLE]
+    + [f"SELECT '{name}', 'ok', CAST({n} AS BIGINT)" for name, n in UNTRAINED.items()])
+
+
+@register("marts_bundle", BUNDLE_SQL)
 def q_marts_bundle(spark, sf_dir):
-    """Every mart written for one filter set; returns (mart, status, rows)."""
+    """Every table written; returns each one's status and rows."""
     out = work_dir(spark, "marts")
-    status = BU.materialize_marts(spark, oc(spark, sf_dir), out, **CATEGORY_FILTER)
-    parts = [spark.read.parquet(f"{out}/{name}").groupBy().count()
-             .select(F.lit(name).alias("mart"), F.lit(st).alias("status"), F.col("count").alias("rows"))
-             for name, st in status.items() if st == "ok"]
-    result = parts[0]
-    for p in parts[1:]:
-        result = result.unionByName(p)
-    return result
+    return BU.mart_status(spark, out, BU.materialize_marts(spark, oc(spark, sf_dir), out))
+
+
+@register("refresh_after_ingest", with_oc("""
+SELECT CAST(COUNT(*) AS BIGINT) AS total_orders, CAST(COALESCE(SUM(payment_value), 0) AS DOUBLE) AS total_revenue FROM oc"""))
+def q_refresh_after_ingest(spark, sf_dir):
+    """The tables that the refresh wrote after an ingest of the whole fact."""
+    from shoplens.streaming.loader import refresh_after_batch
+
+    batch_dir, target, ckpt, marts = (work_dir(spark, f"refresh-{x}") for x in ("batches", "target", "ckpt", "marts"))
+    B.write_batches(B.split_row_batches(oc(spark, sf_dir).select(*CLEAN_COLUMNS), STREAM_BATCH_SIZE), batch_dir)
+    ingest(spark, batch_dir, target, ckpt, on_compact=refresh_after_batch(marts_dir=marts))
+    return spark.read.parquet(f"{marts}/metrics")
 
 
 def all_queries():

@@ -48,16 +48,16 @@ def clean_fact(spark: SparkSession, sf_dir: str, columns: list[str] | None = Non
 
 OC_SQL = """
 pay AS (SELECT CAST(l_orderkey AS VARCHAR) AS k,
-               SUM(CAST(l_extendedprice AS DECIMAL(12,2))) AS payment_value
+               SUM(CAST(l_extendedprice AS DECIMAL(18,2))) AS payment_value
         FROM lineitem GROUP BY l_orderkey),
 rev AS (SELECT CAST(l_orderkey AS VARCHAR) AS k,
                ROUND_EVEN(AVG(CAST(1 + l_linenumber % 5 AS DOUBLE)), 0) AS review_score
         FROM lineitem WHERE l_returnflag = 'R' GROUP BY l_orderkey),
 j AS (SELECT CAST(o_orderkey AS VARCHAR) AS order_id, CAST(o_custkey AS VARCHAR) AS customer_id,
              CAST(l_partkey AS VARCHAR) AS product_id, o_orderdate AS order_date,
-             CAST(l_extendedprice AS DECIMAL(12,2)) AS price,
-             CAST(l_quantity AS DECIMAL(12,2)) AS freight_value,
-             CAST(COALESCE(pay.payment_value, 0) AS DECIMAL(12,2)) AS payment_value,
+             CAST(l_extendedprice AS DECIMAL(18,2)) AS price,
+             CAST(l_quantity AS DECIMAL(18,2)) AS freight_value,
+             CAST(COALESCE(pay.payment_value, 0) AS DECIMAL(18,2)) AS payment_value,
              rev.review_score,
              CASE WHEN p_type <> 'ECONOMY' THEN LOWER(p_type) ELSE 'unknown' END AS product_category_name,
              COALESCE(c_mktsegment, 'unknown') AS customer_city,

@@ -44,7 +44,6 @@ DEDUP_COLUMNS = ["order_id", "customer_id", "product_id", "order_date"]
 
 MONEY_COLUMNS = ["price", "freight_value", "payment_value"]
 LABEL_COLUMNS = ["product_category_name", "customer_city", "customer_state"]
-UPDATE_COLUMNS = [c for c in CLEAN_COLUMNS if c not in PK_COLUMNS]
 
 # missing-label fill values: pipeline vs. advanced layer (kept distinct)
 PIPELINE_UNKNOWN = "unknown"
@@ -138,7 +137,8 @@ RETENTION_BANDS = [(75, "very_high"), (50, "high"), (25, "medium"), (0, "low")]
 
 # ---- schemas ----------------------------------------------------------------
 
-MONEY = T.DecimalType(12, 2)
+# wide enough for an order of 10^15; sums of it are DECIMAL(28,2)
+MONEY = T.DecimalType(18, 2)
 
 CLEAN_SCHEMA = T.StructType([
     T.StructField("order_id", T.StringType(), False),
@@ -164,7 +164,3 @@ RAW_REQUIRED_COLUMNS = {
     "customers": ["customer_id", "customer_city", "customer_state"],
     "translations": ["product_category_name", "product_category_name_english"],
 }
-
-
-def string_schema(columns: list[str]) -> T.StructType:
-    return T.StructType([T.StructField(c, T.StringType(), True) for c in columns])

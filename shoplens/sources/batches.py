@@ -1,17 +1,18 @@
 """Cut the clean fact into numbered batches and load one.
 
-Row batches need a global position. ``global_row_number`` sorts with range
-partitioning and numbers each partition from its offset — there is no
-single-partition window. Daily batches only number the distinct days (a
-calendar-bounded table) and join that index back.
-
-Batches are written ``partitionBy("batch_id")`` after a ``rebalance`` on
-the batch id, so AQE splits an oversized batch (a hot day) across writers.
+Row batches need a global position. The sorted rows are written once, each
+with its partition's number and its place in it; a count per partition then
+gives every row its position when the table is read. Daily batches only number
+the distinct days (a calendar-bounded table) and join that index back.
+
+On storage ``RANGE`` batches share a folder (``batch_range``), and
+``batch_id`` is a sorted column in it: a thousand times fewer folders than
+batches, and the reader still skips to one batch by the files' statistics.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shoplens.functions.dates import day
@@ -19,6 +20,8 @@ from shoplens.functions.numbering import global_row_number
 from shoplens.schema import DEFAULT_BATCH_SIZE
 
 BATCH_COLUMN = "batch_id"
+RANGE_COLUMN = "batch_range"
+RANGE = 1000
 # total order for numbering: date first, then the full de-duplication key
 BATCH_ORDER = ["order_date", "order_id", "product_id", "customer_id"]
 
@@ -42,39 +45,63 @@ def split_daily_batches(oc: DataFrame) -> DataFrame:
 
 
 def write_batches(batched: DataFrame, path: str) -> None:
-    (batched.hint("rebalance", BATCH_COLUMN)
-     .write.mode("overwrite").partitionBy(BATCH_COLUMN).parquet(path))
+    """Write a cut; whatever an earlier cut left in ``path`` goes."""
+    (batched.withColumn(RANGE_COLUMN, F.floor(F.col(BATCH_COLUMN) / F.lit(RANGE)).cast("int"))
+     .hint("rebalance", RANGE_COLUMN).sortWithinPartitions(BATCH_COLUMN)
+     .write.mode("overwrite").option("partitionOverwriteMode", "static")
+     .partitionBy(RANGE_COLUMN).parquet(path))
+
+
+def read_batches(spark: SparkSession, batch_dir: str) -> DataFrame:
+    """All rows of a cut, with their ``batch_id``."""
+    return spark.read.parquet(batch_dir).drop(RANGE_COLUMN)
 
 
 def read_batch(spark: SparkSession, batch_dir: str, batch_idx: int) -> DataFrame:
-    """One batch (partition pruning on ``batch_id``)."""
-    return spark.read.parquet(batch_dir).where(F.col(BATCH_COLUMN) == int(batch_idx)).drop(BATCH_COLUMN)
+    """One batch: its folder only, and in it the row groups that hold it."""
+    i = int(batch_idx)
+    return (spark.read.parquet(batch_dir).where((F.col(RANGE_COLUMN) == i // RANGE) & (F.col(BATCH_COLUMN) == i))
+            .drop(BATCH_COLUMN, RANGE_COLUMN))
 
 
 # FIXED VALUE: file names of a batch folder written one CSV per batch
 BATCH_FILE_PATTERN = r"batch_(\d+)\.csv"
 
 
+def _file_index(name: Column) -> Column:
+    index = F.regexp_extract(name, f"^{BATCH_FILE_PATTERN}$", 1)
+    return F.when(index != "", index.cast("int"))
+
+
 def read_batch_files(spark: SparkSession, batch_dir: str) -> DataFrame:
     """Batch folders laid out as ``batch_<n>.csv`` files: all rows, with the
     batch index taken from each row's file name (``regexp_extract``).
     A file whose name does not follow the pattern gets a NULL index, which
-    ``check_batch_files`` reports."""
-    df = (spark.read.option("header", True).option("inferSchema", False)
+    ``validate.check_batch_files`` reports."""
+    df = (spark.read.option("header", True).option("inferSchema", False).option("escape", '"')
           .csv(f"{batch_dir.rstrip('/')}/batch_*.csv"))
-    name = F.regexp_extract(F.col("_metadata.file_name"), f"^{BATCH_FILE_PATTERN}$", 1)
-    return df.withColumn(BATCH_COLUMN, F.when(name != "", name.cast("int")))
+    return df.withColumn(BATCH_COLUMN, _file_index(F.col("_metadata.file_name")))
+
 
+def batch_file_sizes(spark: SparkSession, batch_dir: str) -> DataFrame:
+    """(batch_id, rows) of each ``batch_*.csv`` file, those without a row included.
 
-def batch_sizes(spark: SparkSession, batch_dir: str) -> DataFrame:
-    return spark.read.parquet(batch_dir).groupBy(BATCH_COLUMN).agg(F.count(F.lit(1)).alias("rows"))
+    The names come from a listing, as Spark's readers pass over files of no
+    length; the readers list them on the driver all the same."""
+    pattern = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{batch_dir.rstrip('/')}/batch_*.csv")
+    fs = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    listed = spark.createDataFrame([(s.getPath().getName(),) for s in fs.globStatus(pattern)], "file string")
+    rows = (read_batch_files(spark, batch_dir).select(F.col("_metadata.file_name").alias("file"))
+            .groupBy("file").agg(F.count(F.lit(1)).alias("rows")))
+    return listed.join(rows, "file", "left").select(
+        _file_index(F.col("file")).alias(BATCH_COLUMN), F.coalesce("rows", F.lit(0)).alias("rows"))
 
 
 def load_batch(spark: SparkSession, batch_dir: str, batch_idx: int, target_path: str | None = None,
                dry_run: bool = False) -> int:
     """Dry run -> raw row count of the batch, nothing written; else upsert.
 
-    An empty (or missing) batch is an error.
+    An empty (or missing) batch is an error, and so is one without a valid row.
     """
     from shoplens.operators.clean import prepare_batch
     from shoplens.sources.upsert import upsert
@@ -82,10 +109,12 @@ def load_batch(spark: SparkSession, batch_dir: str, batch_idx: int, target_path:
     batch = read_batch(spark, batch_dir, batch_idx)
     n = batch.count()
     if n == 0:
-        raise ValueError(f"Batch {batch_idx} is empty or missing in {batch_dir}")
+        raise ValueError(f"batch {batch_idx} has no rows in {batch_dir}")
     if dry_run:
         return n
     if target_path is None:
         raise ValueError("target_path is required unless dry_run")
-    return upsert(spark, target_path, prepare_batch(batch))["rows_upserted"]
-
+    loaded = upsert(spark, target_path, prepare_batch(batch))["rows_upserted"]
+    if loaded == 0:
+        raise ValueError(f"batch {batch_idx} has no valid rows")
+    return loaded

@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from shoplens.functions.dates import month_start
-from shoplens.schema import CLEAN_COLUMNS, CLEAN_SCHEMA
+from shoplens.schema import CLEAN_COLUMNS
+from shoplens.session import path_exists
 
 PARTITION_COLUMN = "order_month"
 
@@ -20,9 +21,9 @@ CREATE TABLE IF NOT EXISTS {name} (
     customer_id STRING NOT NULL,
     product_id STRING NOT NULL,
     order_date TIMESTAMP_NTZ NOT NULL,
-    price DECIMAL(12,2) NOT NULL,
-    freight_value DECIMAL(12,2) NOT NULL,
-    payment_value DECIMAL(12,2) NOT NULL,
+    price DECIMAL(18,2) NOT NULL,
+    freight_value DECIMAL(18,2) NOT NULL,
+    payment_value DECIMAL(18,2) NOT NULL,
     review_score INT NOT NULL,
     product_category_name STRING NOT NULL,
     customer_city STRING NOT NULL,
@@ -46,7 +47,8 @@ def write_clean(oc: DataFrame, path: str, mode: str = "overwrite") -> None:
     (with_partition(oc)
      .hint("rebalance", PARTITION_COLUMN)
      .sortWithinPartitions("order_date", "order_id", "product_id")
-     .write.mode(mode).partitionBy(PARTITION_COLUMN).parquet(path))
+     .write.mode(mode).option("partitionOverwriteMode", "static")  # a full write leaves no old month behind
+     .partitionBy(PARTITION_COLUMN).parquet(path))
 
 
 def read_clean(spark: SparkSession, path: str, columns: list[str] | None = None,
@@ -60,10 +62,9 @@ def read_clean(spark: SparkSession, path: str, columns: list[str] | None = None,
 
 
 def create_table(spark: SparkSession, name: str, location: str) -> DataFrame:
-    """Idempotent CREATE TABLE IF NOT EXISTS over a location."""
+    """Idempotent CREATE TABLE IF NOT EXISTS over a location; months that
+    lie there already become the table's partitions."""
     spark.sql(DDL.format(name=name, location=location))
+    if path_exists(spark, location):
+        spark.sql(f"ALTER TABLE {name} RECOVER PARTITIONS")
     return spark.table(name)
-
-
-def empty_clean(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], CLEAN_SCHEMA)

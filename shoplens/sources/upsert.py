@@ -4,12 +4,14 @@
    that hits one key twice; we keep one row deterministically and report it);
 2. read only the target months the batch touches (partition pruning);
 3. ``target ▷ batch`` (left anti join on the key) ∪ batch;
-4. write that to a fresh staging folder, then overwrite just the touched
-   month partitions of the target from the staging copy (dynamic partition
-   overwrite). Reading and overwriting one path in one plan is never done.
+4. write that to ``<target>-stage``; Spark's ``_SUCCESS`` file says that it is
+   whole. Then overwrite just the touched month partitions of the target from
+   it (dynamic partition overwrite), and remove the stage.
 
-Replaying a batch gives the same table (idempotent), so a stream that
-restarts after a failure may safely re-run its last batch.
+A run that dies in step 4 leaves a whole stage behind; the next upsert (or
+:func:`finish_stage`, which readers may call) finishes it first, so no month is
+lost. A stage without ``_SUCCESS`` is overwritten: the target is untouched by
+then. Replaying a batch gives the same table.
 """
 
 from __future__ import annotations
@@ -17,21 +19,41 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shoplens.session import work_dir
 from shoplens.schema import CLEAN_COLUMNS, PK_COLUMNS
+from shoplens.session import materialize, path_exists, remove_path
 from shoplens.sources.clean_store import PARTITION_COLUMN, with_partition
 
 
 def _has_table(spark: SparkSession, path: str) -> bool:
     """True when ``path`` holds data (a folder with visible entries)."""
+    if not path_exists(spark, path):
+        return False
     jvm = spark.sparkContext._jvm
     hpath = jvm.org.apache.hadoop.fs.Path(path)
     fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(hpath):
-        return False
     return any(not s.getPath().getName().startswith(("_", ".")) for s in fs.listStatus(hpath))
 
 
+def _stage_path(target_path: str) -> str:
+    return f"{target_path.rstrip('/')}-stage"
+
+
+def _write_months(df: DataFrame, path: str, overwrite: str) -> None:
+    (df.hint("rebalance", PARTITION_COLUMN).sortWithinPartitions("order_date", "order_id", "product_id")
+     .write.mode("overwrite").option("partitionOverwriteMode", overwrite).partitionBy(PARTITION_COLUMN).parquet(path))
+
+
+def finish_stage(spark: SparkSession, target_path: str) -> bool:
+    """Move a whole stage into the target; False if there is none."""
+    stage = _stage_path(target_path)
+    if not path_exists(spark, f"{stage}/_SUCCESS"):
+        return False
+    if _has_table(spark, stage):
+        _write_months(spark.read.parquet(stage).select(*CLEAN_COLUMNS, PARTITION_COLUMN), target_path, "dynamic")
+    remove_path(spark, stage)
+    return True
+
+
 def dedup_batch(batch: DataFrame, keys: list[str] | None = None, order_col: str | None = None) -> DataFrame:
     """One row per key. With ``order_col`` (e.g. the batch index) the row with
     the largest value wins — last write wins; ties, or no order column, fall
@@ -56,33 +78,24 @@ def upsert(spark: SparkSession, target_path: str, batch: DataFrame, keys: list[s
     """Upsert ``batch`` into the table at ``target_path``; ``order_col`` orders
     rows of one key inside the batch (the largest value is applied last)."""
     keys = keys or PK_COLUMNS
-    batch = batch.select(*CLEAN_COLUMNS, *([order_col] if order_col else [])).persist()
-    try:
-        # one small job: row count, distinct keys and the months the batch
-        # touches (a handful of values, bounded by the calendar)
-        st = (with_partition(batch)
-              .agg(F.count(F.lit(1)).alias("rows_in"),
-                   F.count_distinct(*[F.col(k) for k in keys]).alias("rows_out"),
-                   F.collect_set(PARTITION_COLUMN).alias("months"))
-              .first())
-        months = list(st["months"])
+    finish_stage(spark, target_path)
+    batch = materialize(batch.select(*CLEAN_COLUMNS, *([order_col] if order_col else [])), "upsert_batch")
+    # one small job: row count, distinct keys and the months the batch
+    # touches (a handful of values, bounded by the calendar)
+    st = (with_partition(batch)
+          .agg(F.count(F.lit(1)).alias("rows_in"),
+               F.count_distinct(*[F.col(k) for k in keys]).alias("rows_out"),
+               F.collect_set(PARTITION_COLUMN).alias("months"))
+          .first())
+    months = list(st["months"])
+    if st["rows_in"]:
         # the key-level de-duplication (an aggregate) only when needed
         clean = with_partition(batch.select(*CLEAN_COLUMNS) if st["rows_in"] == st["rows_out"]
                                else dedup_batch(batch, keys, order_col))
         if _has_table(spark, target_path):
             touched = spark.read.parquet(target_path).where(F.col(PARTITION_COLUMN).isin(months))
-            merged = merge_frames(touched.select(*CLEAN_COLUMNS, PARTITION_COLUMN), clean, keys)
-            stage = work_dir(spark, "upsert-stage")
-            (merged.hint("rebalance", PARTITION_COLUMN).sortWithinPartitions("order_date", "order_id", "product_id")
-             .write.mode("overwrite").partitionBy(PARTITION_COLUMN).parquet(stage))
-            source = spark.read.parquet(stage).select(*CLEAN_COLUMNS, PARTITION_COLUMN)
-        else:
-            source = (clean.hint("rebalance", PARTITION_COLUMN)
-                      .sortWithinPartitions("order_date", "order_id", "product_id"))
-        (source.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy(PARTITION_COLUMN).parquet(target_path))
-        return {"rows_in": st["rows_in"], "rows_upserted": st["rows_out"],
-                "duplicate_keys_dropped": st["rows_in"] - st["rows_out"], "months_touched": len(months)}
-    finally:
-        batch.unpersist()
-
+            clean = merge_frames(touched.select(*CLEAN_COLUMNS, PARTITION_COLUMN), clean, keys)
+        _write_months(clean, _stage_path(target_path), "static")
+        finish_stage(spark, target_path)
+    return {"rows_in": st["rows_in"], "rows_upserted": st["rows_out"],
+            "duplicate_keys_dropped": st["rows_in"] - st["rows_out"], "months_touched": len(months)}

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import datetime as dt
+import os
+
+import pytest
 
 from pyspark.sql import functions as F
 
@@ -21,32 +24,43 @@ def test_train_predict_metrics_and_drivers(spark, tmp_dir):
     s = series(spark)
     split = TS.time_split(TS.clean_training(TS.time_features(s))).cache()
     model = FC.train_forecast(split)
-    metrics = FC.forecast_metrics(model, split)
+    metrics = FC.forecast_metrics(FC.by_model(model), split)
     m = metrics.first()
     assert m.training_rows == 32 and m.test_rows == 8 and m.mae >= 0 and m.residual_std >= 0
     nxt = TS.next_day_features(s)
-    pred = FC.predict_next(model, nxt, metrics).first()
+    pred = FC.predict_next(FC.by_model(model), nxt, metrics).first()
     assert pred.predicted_revenue >= 0 and pred.lower_bound <= pred.predicted_revenue <= pred.upper_bound
     fixed = spark.createDataFrame([(10.0,)], "residual_std double")
-    p2 = FC.predict_next(model, nxt, fixed).first()
+    p2 = FC.predict_next(FC.by_model(model), nxt, fixed).first()
     assert abs(p2.upper_bound - p2.predicted_revenue - 10.0) < 1e-9
-    imp = FC.feature_importance(model, split.where("split = 'train'")).collect()
+    imp = FC.feature_importance(FC.by_model(model), split.where("split = 'train'")).collect()
     assert sorted(r.feature for r in imp) == sorted(FEATURE_COLUMNS)
-    drivers = FC.prediction_drivers(model, nxt, split.where("split = 'train'"), 3).collect()
+    drivers = FC.prediction_drivers(FC.by_model(model), nxt, split.where("split = 'train'"), 3).collect()
     assert len(drivers) == 3 and all(r.feature in FEATURE_COLUMNS for r in drivers)
     FC.save_model(model, metrics, spark.createDataFrame(imp), f"{tmp_dir}/m")
-    assert FC.load_metrics(spark, f"{tmp_dir}/m").first().test_rows == 8
+    stored = FC.load_metrics(spark, f"{tmp_dir}/m").first()
+    assert stored.test_rows == 8 and stored.features == FEATURE_COLUMNS
+    assert stored.model_version.startswith("GBTRegressor-") and stored.last_trained_at
+    assert FC.load_importance(spark, f"{tmp_dir}/m", 5).count() == 5
     assert FC.load_model(f"{tmp_dir}/m").getNumTrees == 160
 
 
 def test_untrained_metrics_are_null(spark, tmp_dir):
     r = FC.load_metrics(spark, f"{tmp_dir}/none").first()
-    assert r.mae is None and r.model_type == "GBTRegressor"
+    assert r.mae is None and r.model_type == "GBTRegressor" and r.features == FEATURE_COLUMNS
+
+
+def test_broken_store_raises(spark, tmp_dir):
+    os.makedirs(f"{tmp_dir}/metrics")
+    with open(f"{tmp_dir}/metrics/part-0.json", "w") as f:
+        f.write('{"model_type": 1, "mae": "x"')
+    with pytest.raises(Exception, match="MALFORMED|FAILFAST|FAILED_READ"):
+        FC.load_metrics(spark, tmp_dir).collect()
 
 
 def test_no_test_rows_gives_zeros(spark):
     split = TS.time_split(TS.clean_training(TS.time_features(series(spark, 4))))
     model = FC.train_forecast(split)
-    m = FC.forecast_metrics(model, split).first()
+    m = FC.forecast_metrics(FC.by_model(model), split).first()
     assert m.test_rows == 0 and m.mae == 0.0 and m.training_rows == 4
     assert split.where(F.col("split") == "test").count() == 0

@@ -12,7 +12,7 @@ from shoplens.session import work_dir
 from shoplens.sources import batches as B
 from shoplens.sources.clean_store import read_clean, write_clean
 from shoplens.sources.upsert import upsert
-from shoplens.streaming.loader import committed_batches, upsert_stream
+from shoplens.streaming.loader import batch_progress, compact, ingest, log_stream, next_batch
 from tests.frames import clean_frame, row
 
 
@@ -52,8 +52,23 @@ def test_exact_percentiles_match_numpy(spark):
     assert r.p25 == np.percentile(vals, 25) and r.p75 == np.percentile(vals, 75) and r.p50 == np.median(vals)
 
 
-def test_pointer_default_zero(spark, tmp_dir):
-    assert committed_batches(spark, os.path.join(tmp_dir, "nothing")) == 0
+def test_pointer_default_zero(spark):
+    batch_dir = work_dir(spark, "t-pointer")
+    B.write_batches(B.split_row_batches(three_rows(spark), 1), batch_dir)
+    assert next_batch(spark, batch_dir, work_dir(spark, "t-no-checkpoint")) == 0
+
+
+def test_recut_leaves_no_old_batch(spark):
+    batch_dir = work_dir(spark, "t-recut")
+    B.write_batches(B.split_row_batches(three_rows(spark), 1), batch_dir)
+    B.write_batches(B.split_row_batches(three_rows(spark), 2), batch_dir)
+    got = sorted((r.batch_id, r.order_id) for r in B.read_batches(spark, batch_dir).collect())
+    assert got == [(0, "o1"), (0, "o2"), (1, "o3")]
+    assert [r.order_id for r in B.read_batch(spark, batch_dir, 1).collect()] == ["o3"]
+    target = work_dir(spark, "t-rewrite")
+    write_clean(three_rows(spark), target)
+    write_clean(clean_frame(spark, [row("o9", "c", "p", "2024-05-01", 1)]), target)
+    assert [r.order_id for r in read_clean(spark, target).collect()] == ["o9"]
 
 
 def test_upsert_idempotent_and_updates(spark):
@@ -85,16 +100,93 @@ def test_stream_ingest_end_to_end(spark):
     with pytest.raises(ValueError):
         B.load_batch(spark, batch_dir, 7, dry_run=True)
     target, ckpt = work_dir(spark, "t-target"), work_dir(spark, "t-ckpt")
-    seen = []
-    q = upsert_stream(spark, batch_dir, target, ckpt, on_batch=lambda s, t, e, st: seen.append(st["rows_in"]))
-    q.awaitTermination()
-    assert committed_batches(spark, ckpt) == 3 and seen == [1, 1, 1]
+    seen, merged = [], []
+    pointer = ingest(spark, batch_dir, target, ckpt, on_batch=lambda s, t, e, st: seen.append(st["rows_in"]),
+                     on_compact=lambda s, t, p, st: merged.append((p, st["rows_upserted"])))
+    assert pointer == 3 and sum(seen) == 3 and merged == [(3, 3)]
     assert sorted(r.order_id for r in read_clean(spark, target).collect()) == ["o1", "o2", "o3"]
     # restart from the same checkpoint: nothing new to do, table unchanged
-    upsert_stream(spark, batch_dir, target, ckpt).awaitTermination()
+    assert ingest(spark, batch_dir, target, ckpt) == 3
     assert read_clean(spark, target).count() == 3
 
 
+@pytest.mark.parametrize("files", [1, 4])
+def test_pointer_names_the_next_batch(spark, files):
+    fact = clean_frame(spark, [row(f"o{i}", "c", "p", f"2024-01-{i + 1:02d}", i) for i in range(12)])
+    batch_dir, ckpt = work_dir(spark, "t-files"), work_dir(spark, "t-files-ckpt")
+    cut = B.split_row_batches(fact, 2)
+    # several files, each with parts of several batches
+    (cut.withColumn("batch_range", F.lit(0)).repartition(6).write.partitionBy("batch_range").parquet(batch_dir))
+    assert ingest(spark, batch_dir, work_dir(spark, "t-files-target"), ckpt, files_per_trigger=files) == 6
+    assert batch_progress(spark, batch_dir, ckpt).where("rows <> consumed").count() == 0
+
+
+def test_stopped_half_way(spark):
+    """The stream dies in its second micro-batch; the next run takes up there."""
+    batch_dir, target, ckpt = work_dir(spark, "t-half"), work_dir(spark, "t-half-target"), work_dir(spark, "t-half-ckpt")
+    for k in range(3):
+        one = clean_frame(spark, [row(f"o{k}", "c", "p", "2024-01-01", k + 1)]).withColumn("batch_id", F.lit(k))
+        one.withColumn("batch_range", F.lit(0)).coalesce(1).write.mode("append").partitionBy("batch_range").parquet(batch_dir)
+
+    def die(s, t, epoch, st):
+        if epoch == 1:
+            raise RuntimeError("stop here")
+
+    with pytest.raises(Exception, match="stop here"):
+        log_stream(spark, batch_dir, ckpt, on_batch=die).awaitTermination()
+    assert next_batch(spark, batch_dir, ckpt) < 3
+    assert ingest(spark, batch_dir, target, ckpt) == 3
+    assert sorted(r.order_id for r in read_clean(spark, target).collect()) == ["o0", "o1", "o2"]
+    assert batch_progress(spark, batch_dir, ckpt).where("rows <> consumed").count() == 0
+
+
+def test_upsert_dies_between_stage_and_target(spark, monkeypatch):
+    """The months of the target are gone, the stage is whole: the next upsert restores them."""
+    from shoplens.sources import upsert as U
+    target = work_dir(spark, "t-crash")
+    write_clean(three_rows(spark), target)
+    batch = clean_frame(spark, [row("o1", "c", "p1", "2024-01-01", 99), row("o7", "c", "p7", "2024-02-01", 7)])
+
+    def die(s, path):
+        from shoplens.session import remove_path
+        remove_path(s, f"{path}/order_month=2024-01-01")
+        raise RuntimeError("died")
+
+    with monkeypatch.context() as m:
+        m.setattr(U, "finish_stage", lambda s, p: None if not U.path_exists(s, f"{U._stage_path(p)}/_SUCCESS") else die(s, p))
+        with pytest.raises(RuntimeError):
+            upsert(spark, target, batch)
+    assert not U.path_exists(spark, f"{target}/order_month=2024-01-01")
+    upsert(spark, target, batch)
+    got = sorted((r.order_id, str(r.payment_value)) for r in read_clean(spark, target).collect())
+    assert got == [("o1", "99.00"), ("o2", "20.00"), ("o3", "30.00"), ("o7", "7.00")]
+
+
+def test_batch_without_a_valid_row(spark):
+    batch_dir = work_dir(spark, "t-invalid")
+    bad = three_rows(spark).withColumn("order_date", F.lit(None).cast("timestamp_ntz")).withColumn("batch_id", F.lit(0))
+    B.write_batches(bad, batch_dir)
+    with pytest.raises(ValueError, match="no valid rows"):
+        B.load_batch(spark, batch_dir, 0, work_dir(spark, "t-invalid-target"))
+
+
+def test_empty_batch_file_is_found(spark, tmp_dir):
+    for i, text in enumerate(["order_id\no1\no2\n", "order_id\n", ""]):
+        with open(os.path.join(tmp_dir, f"batch_{i}.csv"), "w") as f:
+            f.write(text)
+    fact = clean_frame(spark, [row("o1", "c", "p", "2024-01-01", 1), row("o2", "c", "p", "2024-01-01", 1)])
+    r = V.check_batch_files(spark, tmp_dir, fact, 2).first()
+    assert (r.total_batches, r.empty_batches, r.total_rows, r.passed) == (3, 2, 2, False)
+
+
+def test_table_over_a_filled_folder(spark):
+    from shoplens.sources.clean_store import create_table
+    loc = work_dir(spark, "t-filled")
+    write_clean(three_rows(spark), loc)
+    assert create_table(spark, "oc_filled_tbl", loc).count() == 3
+    spark.sql("DROP TABLE oc_filled_tbl")
+
+
 def test_check_clean_flags_duplicates(spark):
     df = three_rows(spark).union(three_rows(spark).where("order_id = 'o1'"))
     r = V.check_clean(df).first()
@@ -121,18 +213,23 @@ def test_batch_csv_files_and_create_table(spark, tmp_dir):
 
 
 def test_run_local_pipeline_dry_and_real(spark):
-    from shoplens.plans.ingest import run_local_pipeline
+    from shoplens.plans.ingest import run_ingest
     from shoplens.sources.testdata import raw_from_testdata
     from tests.conftest import SF_SMALL
     work = work_dir(spark, "t-local")
     raw = raw_from_testdata(spark, SF_SMALL)
-    dry = run_local_pipeline(spark, raw, work, dry_run=True, batch_size=2000)
+    dry = run_ingest(spark, raw, work, dry_run=True, batch_size=2000)
     assert dry["pointer"] == 0 and dry["dry_run_rows"] == 2000 and dry["clean"]["passed"]
-    real = run_local_pipeline(spark, raw, work, dry_run=False, batch_size=2000, retrain=False, marts=True)
+    real = run_ingest(spark, raw, work, dry_run=False, batch_size=2000, retrain=False, marts=True)
     n = dry["clean"]["rows"]
     assert real["pointer"] == -(-n // 2000)
     assert real["table"] == {"row_count": n, "duplicate_pk_groups": 0}
     assert spark.read.parquet(f"{work}/marts/metrics").first().total_orders == n
+    again = run_ingest(spark, raw, work, dry_run=False, batch_size=2000, retrain=False)
+    assert again["status"] == "up to date" and again["pointer"] == real["pointer"] and again["table"] == real["table"]
+    assert run_ingest(spark, raw, work, dry_run=True, batch_size=2000)["dry_run_rows"] == 0
+    daily = run_ingest(spark, raw, work, dry_run=True, mode="daily")
+    assert daily["pointer"] == 0 and daily["status"] == "pending" and daily["batches"]["passed"]
 
 
 def test_check_batches_detects_gap_and_bad_names(spark):
@@ -147,13 +244,15 @@ def test_check_batches_detects_gap_and_bad_names(spark):
     assert V.check_batches(b, fact, 2).first().passed
 
 
-def test_stream_later_batch_wins_inside_one_micro_batch(spark):
+@pytest.mark.parametrize("files", [1, 10])
+def test_later_batch_wins(spark, files):
     batch_dir = work_dir(spark, "t-overlap")
     first = clean_frame(spark, [row("o1", "c", "p1", "2024-01-01", 10)]).withColumn("batch_id", F.lit(0))
     second = clean_frame(spark, [row("o1", "c", "p1", "2024-01-01", 5)]).withColumn("batch_id", F.lit(1))
     B.write_batches(first.unionByName(second), batch_dir)
     target, ckpt = work_dir(spark, "t-overlap-target"), work_dir(spark, "t-overlap-ckpt")
-    upsert_stream(spark, batch_dir, target, ckpt, files_per_trigger=10).awaitTermination()
+    ingest(spark, batch_dir, target, ckpt, files_per_trigger=files)
+    assert compact(spark, target, ckpt) is None
     assert [str(r.payment_value) for r in read_clean(spark, target).collect()] == ["5.00"]
 
 
