@@ -186,7 +186,9 @@ def churn_risk(orders: DataFrame, window_days: int = CHURN_WINDOW_DAYS) -> DataF
     risky = churn_customers(orders, window_days).where("is_high_risk")
     return risky.agg(
         F.count(F.lit(1)).cast("bigint").alias("high_risk_customers"),
-        half_even(F.coalesce(F.sum("potential_loss"), F.lit(0.0)), 2).alias("potential_revenue_loss"))
+        # each customer's loss as a decimal: the sum doesn't depend on the order of rows
+        half_even(F.coalesce(F.sum(F.col("potential_loss").cast("decimal(28,6)")).cast("double"), F.lit(0.0)), 2)
+        .alias("potential_revenue_loss"))
 
 
 # ---- A19 customer lifetime value -----------------------------------------------------------

@@ -147,19 +147,21 @@ def q_weekday_analysis(spark, sf_dir):
     return M.weekday_analysis(oc(spark, sf_dir))
 
 
+# quartiles by rank: the value at (n - 1) * q, between two ranks in proportion
 SEGMENTS_SQL = """
-cs AS (SELECT customer_id, COALESCE(SUM(payment_value), 0) AS total_spend FROM oc {where} GROUP BY customer_id),
-th AS (SELECT QUANTILE_CONT(CAST(total_spend AS DOUBLE), 0.25) AS p25,
-              QUANTILE_CONT(CAST(total_spend AS DOUBLE), 0.75) AS p75 FROM cs),
-seg AS (SELECT CASE WHEN CAST(total_spend AS DOUBLE) > p75 THEN 'High'
-                    WHEN CAST(total_spend AS DOUBLE) < p25 THEN 'Low' ELSE 'Medium' END AS segment
-        FROM cs CROSS JOIN th),
-spine AS (SELECT * FROM (VALUES ('High', 0), ('Medium', 1), ('Low', 2)) AS t(segment, segment_order))"""
+spend AS (SELECT CAST(COALESCE(SUM(payment_value), 0) AS DOUBLE) AS x FROM oc {where} GROUP BY customer_id),
+place AS (SELECT x, ROW_NUMBER() OVER (ORDER BY x) - 1 AS r, 0.25 * (COUNT(*) OVER () - 1) AS q1,
+                 0.75 * (COUNT(*) OVER () - 1) AS q3 FROM spend),
+quart AS (SELECT MAX(x) FILTER (r = FLOOR(q1)) + (MAX(q1) - FLOOR(MAX(q1)))
+                   * (MAX(x) FILTER (r = CEIL(q1)) - MAX(x) FILTER (r = FLOOR(q1))) AS low,
+                 MAX(x) FILTER (r = FLOOR(q3)) + (MAX(q3) - FLOOR(MAX(q3)))
+                   * (MAX(x) FILTER (r = CEIL(q3)) - MAX(x) FILTER (r = FLOOR(q3))) AS high FROM place),
+sized AS (SELECT COUNT(*) FILTER (x > high) AS n0, COUNT(*) FILTER (x < low) AS n2, COUNT(*) AS n FROM spend, quart)"""
 SEGMENTS_BODY = """
-SELECT spine.segment, CAST(spine.segment_order AS INTEGER) AS segment_order,
-       CAST(COUNT(seg.segment) AS BIGINT) AS count
-FROM spine LEFT JOIN seg ON seg.segment = spine.segment
-GROUP BY spine.segment, spine.segment_order ORDER BY segment_order"""
+SELECT * FROM (
+SELECT 'High' AS segment, CAST(0 AS INTEGER) AS segment_order, CAST(n0 AS BIGINT) AS count FROM sized
+UNION ALL SELECT 'Medium', 1, n - n0 - n2 FROM sized
+UNION ALL SELECT 'Low', 2, n2 FROM sized) ORDER BY segment_order"""
 
 
 @register("customer_segments", with_oc(SEGMENTS_BODY, SEGMENTS_SQL.format(where="")))
@@ -213,17 +215,15 @@ week AS (SELECT
              / COUNT(CASE WHEN dayofweek(order_date) BETWEEN 1 AND 5 THEN payment_value END), 0.0) AS weekday_avg
   FROM oc {where})"""
 TOP_CTE = """
-cr AS (SELECT product_category_name, COALESCE(SUM(payment_value), 0) AS revenue FROM oc {where} GROUP BY 1),
-tr AS (SELECT COALESCE(SUM(revenue), 0) AS total_revenue FROM cr),
-topc AS (SELECT product_category_name, CAST(revenue AS DOUBLE) AS revenue,
-                CAST(total_revenue AS DOUBLE) AS total_revenue,
-                CASE WHEN total_revenue = 0 THEN 0.0
-                     ELSE CAST(revenue AS DOUBLE) / CAST(total_revenue AS DOUBLE) END AS revenue_share
-         FROM cr CROSS JOIN tr ORDER BY revenue DESC, product_category_name LIMIT 1)"""
+ranked_cat AS (SELECT product_category_name, SUM(payment_value) AS rev, SUM(SUM(payment_value)) OVER () AS every,
+                      ROW_NUMBER() OVER (ORDER BY SUM(payment_value) DESC NULLS LAST, product_category_name) AS place
+               FROM oc {where} GROUP BY product_category_name),
+topc AS (SELECT product_category_name, COALESCE(CAST(rev AS DOUBLE), 0) AS revenue,
+                COALESCE(CAST(every AS DOUBLE), 0) AS total_revenue,
+                COALESCE(CAST(rev AS DOUBLE) / NULLIF(CAST(every AS DOUBLE), 0), 0.0) AS revenue_share
+         FROM ranked_cat WHERE place = 1)"""
 ANOM_CTE = DAILY_CTE.replace("dr AS", "da AS") + """,
-st AS (SELECT COUNT(*) AS n, SUM(revenue) AS s, SUM(revenue * revenue) AS ss FROM da),
-sc AS (SELECT CAST(s AS DOUBLE) / n AS mean_revenue,
-              SQRT(GREATEST(CAST(n * ss - s * s AS DOUBLE) / (CAST(n AS DOUBLE) * n), 0.0)) AS std_revenue FROM st),
+sc AS (SELECT CAST(SUM(revenue) AS DOUBLE) / COUNT(*) AS mean_revenue, STDDEV_POP(CAST(revenue AS DOUBLE)) AS std_revenue FROM da),
 z AS (SELECT date, revenue, mean_revenue, std_revenue,
              CASE WHEN std_revenue = 0 THEN 0.0
                   ELSE (CAST(revenue AS DOUBLE) - mean_revenue) / std_revenue END AS z_score
@@ -478,9 +478,7 @@ def root_cause_sql(dim: str, prefix: str) -> str:
 
 ROOT_CAUSE_CTE = ORDERS_CTE + """,
 da AS (SELECT CAST(order_date AS DATE) AS order_day, SUM(payment_value) AS revenue FROM o GROUP BY 1),
-st AS (SELECT COUNT(*) AS n, SUM(revenue) AS s, SUM(revenue * revenue) AS ss FROM da),
-sc AS (SELECT CAST(s AS DOUBLE) / n AS mean_revenue,
-              SQRT(GREATEST(CAST(n * ss - s * s AS DOUBLE) / (CAST(n AS DOUBLE) * n), 0.0)) AS std_revenue FROM st),
+sc AS (SELECT CAST(SUM(revenue) AS DOUBLE) / COUNT(*) AS mean_revenue, STDDEV_POP(CAST(revenue AS DOUBLE)) AS std_revenue FROM da),
 z AS (SELECT order_day, CASE WHEN std_revenue = 0 THEN 0.0
                              ELSE (CAST(revenue AS DOUBLE) - mean_revenue) / std_revenue END AS z_score
       FROM da CROSS JOIN sc),
