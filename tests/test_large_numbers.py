@@ -16,6 +16,7 @@ from shoplens.operators import clean as C
 from shoplens.operators import filters as FL
 from shoplens.operators import signals as G
 from shoplens.plans import bundle as BU
+from shoplens.schema import RAW_FILES
 from shoplens.session import work_dir
 from shoplens.sources.raw import read_raw
 from tests.frames import clean_frame, row
@@ -66,19 +67,19 @@ def test_revenue_bounds_reach_the_reader(spark):
 
 
 RAW = {
-    "olist_orders_dataset.csv": "order_id,customer_id,order_purchase_timestamp\no1,c1,2024-01-01 10:00:00\n",
-    "olist_order_items_dataset.csv": "order_id,product_id,price,freight_value\no1,p1,10,1\n",
-    "olist_order_payments_dataset.csv": "order_id,payment_value\no1,11\n",
-    "olist_order_reviews_dataset.csv": 'review_id,order_id,review_comment_message,review_score\nr1,o1,"said ""good""\no1,1 day, fine",5\n',
-    "olist_products_dataset.csv": "product_id,product_category_name\np1,casa\n",
-    "olist_customers_dataset.csv": 'customer_id,customer_city,customer_state\nc1,"a ""b"", c",SP\n',
-    "product_category_name_translation.csv": "product_category_name,product_category_name_english\ncasa,home\n",
+    "orders": "order_id,customer_id,order_purchase_timestamp\no1,c1,2024-01-01 10:00:00\n",
+    "order_items": "order_id,product_id,price,freight_value\no1,p1,10,1\n",
+    "payments": "order_id,payment_value\no1,11\n",
+    "reviews": 'review_id,order_id,review_comment_message,review_score\nr1,o1,"said ""good""\no1,1 day, fine",5\n',
+    "products": "product_id,product_category_name\np1,casa\n",
+    "customers": 'customer_id,customer_city,customer_state\nc1,"a ""b"", c",SP\n',
+    "translations": "product_category_name,product_category_name_english\ncasa,home\n",
 }
 
 
 def test_quotes_and_line_ends_in_raw_files(spark, tmp_dir):
     for name, text in RAW.items():
-        with open(os.path.join(tmp_dir, name), "w") as f:
+        with open(os.path.join(tmp_dir, RAW_FILES[name]), "w") as f:
             f.write(text)
     raw = read_raw(spark, tmp_dir)
     assert [(r.order_id, r.review_comment_message, r.review_score) for r in raw["reviews"].collect()] == [
