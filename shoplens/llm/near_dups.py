@@ -21,8 +21,8 @@ of their full sets reaches the threshold ``num / den``.
    all of these. Any other pair needs ``(F1+F2) / (2*(den+num))`` common
    differences, so what is left are inverted lists over differences: members
    with too few differences that anyone shares are done, the others enter the
-   lists of their rarest differences. Pairs from there are verified like others.
-   That is exact whatever the consensus is.
+   lists of their rarest differences, and the join of these lists lets a pair out
+   only if it has enough, once. That is exact whatever the consensus is.
 5. Links and classes give components (``components.py``).
 
 The result's links hold on full sets; a link can be missed only with the
@@ -94,11 +94,15 @@ def least_shared(k: int, num: int, den: int, miss: float = 1e-8) -> int:
     return 1
 
 
+#: rows whose sets a task holds at a time
+_ROWS = 500
+
+
 def _sketches(k: int):
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for b in batches:
+        for b in (b.slice(at, _ROWS) for b in batches for at in range(0, b.num_rows, _ROWS)):
             sets = [shingle_set(t.as_py() or "") for t in b.column(2)]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), pa.array([len(s) for s in sets], pa.int32()),
@@ -112,7 +116,7 @@ def _sketches(k: int):
 def _full(batches: Iterator) -> Iterator:
     import pyarrow as pa
 
-    for b in batches:
+    for b in (b.slice(at, _ROWS) for b in batches for at in range(0, b.num_rows, _ROWS)):
         sets = [shingle_set(t.as_py() or "") for t in b.column(2)]
         same = [len(s) > 0 and _digest(s) == c for s, c in zip(sets, b.column(1).to_pylist())]
         keep = pa.array(same, pa.bool_())
@@ -126,8 +130,11 @@ def _ceil_div(a: Column, b: int) -> Column:
 
 
 def _prefix_entries(df: DataFrame, lists: str, length: Column) -> DataFrame:
-    """The first ``length`` values of the sorted array ``lists`` of (count, value), as rows."""
-    return df.withColumn("value", F.explode(F.slice(F.col(lists), 1, F.greatest(length, F.lit(0)).cast("int")))).withColumn("value", F.col("value.v"))
+    """The first ``length`` values of the sorted array ``lists`` of (count, value), as
+    rows; ``left`` is the number of values from there on to the array's end."""
+    first = F.slice(F.col(lists), 1, F.greatest(length, F.lit(0)).cast("int"))
+    return (df.select("*", F.posexplode(first).alias("place", "at"))
+            .withColumn("value", F.col("at.v")).withColumn("left", F.size(lists) - F.col("place")))
 
 
 def _sketch_entries(reps: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -144,8 +151,8 @@ def _sketch_entries(reps: DataFrame, k: int, num: int, den: int) -> DataFrame:
     return entries.select(F.col("value").alias("v"), "rid")
 
 
-def _family_links(entries: DataFrame, long_lists: DataFrame, full: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
-    """Certain links and candidate pairs (a, b) among the members of long lists."""
+def _family_links(entries: DataFrame, long_lists: DataFrame, full: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (a, b) among the members of long lists, as many as their components need."""
     up, down = den + num, den - num
     members = written(entries.join(long_lists, "v").select("fam", "rid").distinct().join(full, "rid"), "nd_members")
     counts = members.groupBy("fam").agg(F.count("*").alias("members"))
@@ -178,12 +185,18 @@ def _family_links(entries: DataFrame, long_lists: DataFrame, full: DataFrame, nu
     partner = F.when(F.col("near"), F.col("f_far")).otherwise(F.col("f0"))
     able = able.withColumn("partner", partner).filter((F.col("f") <= F.col("g_most")) & (F.col("partner") <= F.col("g")))
     need = F.greatest(F.lit(1), _ceil_div(F.col("f") + F.col("partner"), 2 * up))
-    lists = _prefix_entries(able, "held", F.size("held") - need + 1).select("fam", "value", "rid", "f", "g", "near")
-    other = lists.toDF("fam", "value", "rid2", "f2", "g2", "near2")
-    pairs = (lists.join(other, ["fam", "value"])
-             .filter("rid < rid2 AND f <= g2 AND f2 <= g AND NOT (near AND near2)")
-             .select(F.col("rid").alias("a"), F.col("rid2").alias("b")))
-    return star, pairs
+    lists = _prefix_entries(able.withColumn("own", F.transform("held", lambda x: x["v"])), "held", F.size("held") - need + 1)
+    lists = lists.select("fam", "value", "rid", "f", "g", "near", "left", "own")
+    other = lists.toDF("fam", "value", "rid2", "f2", "g2", "near2", "left2", "own2")
+    # Only linked pairs leave the join: their common differences are counted there, which settles
+    # the Jaccard, and a pair comes out at the first of them. Before that the sizes decide: at the
+    # first one, both still have all the common ones ahead of them.
+    enough = f"{2 * up} >= f + f2"
+    linked = (lists.join(other, ["fam", "value"])
+              .filter(f"rid < rid2 AND f <= g2 AND f2 <= g AND NOT (near AND near2) AND least(left, left2) * {enough} "
+                      f"AND size(array_intersect(own, own2)) * {enough} AND get(array_intersect(own, own2), 0) = value")
+              .select(F.col("rid").alias("a"), F.col("rid2").alias("b")))
+    return star.union(linked)
 
 
 def _verified(pairs: DataFrame, reps: DataFrame, full: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -233,10 +246,8 @@ def near_duplicates(docs: DataFrame, num: int = 80, den: int = 100, k: int = K)
              .mapInArrow(_full, "rid long, n int, full array<bigint>").dropDuplicates(["rid"]))
     full = written(found, "nd_full")
 
-    star, more = _family_links(entries, long_lists, full, num, den)
-    star = written(star, "nd_star")
-    pairs = pairs.union(more).distinct()
-    links = star.union(_verified(pairs, reps, full, k, num, den))
+    in_families = written(_family_links(entries, long_lists, full, num, den), "nd_families")
+    links = in_families.union(_verified(pairs.distinct(), reps, full, k, num, den))
     roots = components(links)
 
     named = reps.select("cls", "rid", "least_id").join(roots, F.col("rid") == F.col("node"), "left")

@@ -29,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from shoplens.llm.common import written
@@ -146,9 +147,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, kind: str = "byte", end_id:
     if not seekers:
         moves = None
     else:
-        # the emptiest hosts of each partition, found by a bounded sort in Spark
-        from pyspark.sql import Window as W
-
+        # all seekers, and the emptiest hosts of each partition
         seek = F.col("size") * 2 <= capacity
         rank = F.row_number().over(W.partitionBy("part", seek).orderBy("size", "bin"))
         live = (bins.withColumn("rank", rank).filter(seek | (F.col("rank") <= seekers))
