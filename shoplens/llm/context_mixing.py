@@ -15,7 +15,7 @@ often the word and the longest context were seen. The weights learn online: over
 training texts, one bit in ``LEARN`` against the counts gathered so far by the
 same task (those bits are not in the counts yet), averaged over tasks; then,
 from there, over each text while it is scored, after each block of
-``BLOCK`` bytes. The score is the sum of the log10 probabilities of all bits.
+``BLOCK`` bytes, from one bit in ``EVERY``. The score is the sum of the log10 probabilities of all bits.
 
 All training texts are counted, in Spark: each task adds up its counts, slots
 are summed by blocks after a shuffle. The trees and tables have a fixed size
@@ -44,16 +44,18 @@ from pyspark.sql import functions as F
 
 from shoplens.llm.common import shuffle_partitions, written
 
-#: bytes before that make up a context; their longest
+#: bytes before that make up a context (6, 4 or both); their longest
 NEAR = (6, 4)
 MOST_NEAR = max(NEAR)
 #: slots of the word's table and of those of NEAR, as powers of 2
 SLOTS = (20, 20, 20)
-LEARN, BLOCK, PIECE, CHUNK = 4, 256, 1 << 18, 1 << 19
+LEARN, BLOCK, PIECE, CHUNK = 8, 256, 1 << 18, 1 << 17
 FREQUENT = 500_000
 END = 0x0A
 GATES, INPUTS = 64, 4  # inputs: tree node, word, NEAR
 PACE = 0.006
+#: bits to one that the weights of a text learn from
+EVERY = 4
 _SPAN = 4096  # slots a row of counts
 _LN10 = math.log(10.0)
 
@@ -106,65 +108,81 @@ class Code:
                 bits += [p[1] for p in path]
                 at += len(path)
         self.start, self.length = start.astype(np.int32), length.astype(np.int32)
-        self.nodes, self.bits = np.array(nodes, np.int32), np.array(bits, np.uint8)
+        self.steps = np.array(nodes, np.int32) * 2 + np.array(bits, np.int32)  # node and bit of each step of a path
         n0, n1 = self.node_counts.T
         self.logit = np.clip(np.log((n1 + 0.4) / (n0 + 0.4)), -8, 8).astype(np.float32)
 
 
-_K = 0x9E3779B97F4A7C15
+_K = 0x9E3779B1
 _POWERS: dict = {}
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd number and of its inverse modulo 2^64."""
+    """Powers of an odd number and of its inverse modulo 2^32."""
     if not _POWERS or len(_POWERS["up"]) < n:
-        for name, k in (("up", _K), ("down", pow(_K, -1, 1 << 64))):
-            p = np.full(n + 1, k, np.uint64)
+        for name, k in (("up", _K), ("down", pow(_K, -1, 1 << 32))):
+            p = np.full(n + 1, k, np.uint32)
             p[0] = 1
-            _POWERS[name] = np.multiply.accumulate(p)
+            _POWERS[name] = np.multiply.accumulate(p, dtype=np.uint32)
     return _POWERS["up"], _POWERS["down"]
 
 
+def _joined(a: np.ndarray, b: np.ndarray, shift: int) -> np.ndarray:
+    """At each place the hash of ``a`` there and of ``b`` that many places before."""
+    out = a * np.uint32(0x85EBCA6B)
+    out[shift:] += b[:-shift]
+    out ^= out >> np.uint32(15)
+    out *= np.uint32(0xC2B2AE3D)
+    return out
+
+
 class Bits:
     """The bits of many pieces, block after block of all of them, with their slots."""
 
-    def __init__(self, code: Code, texts: list[bytes]):
+    def __init__(self, code: Code, texts: list[bytes], in_blocks: bool = True):
         lead = bytes([END]) * MOST_NEAR
         raw = np.frombuffer(b"".join([lead + t for t in texts]), np.uint8)
         sizes = np.array([len(t) for t in texts])
         ends = np.cumsum(sizes + MOST_NEAR)
-        at = np.arange(len(raw))
+        at = np.arange(len(raw), dtype=np.int32)
         lane = np.repeat(np.arange(len(texts), dtype=np.int32), sizes + MOST_NEAR)
         place = at - np.repeat(ends - sizes, sizes + MOST_NEAR)
         up, down = _powers(len(raw) + 1)
-        with np.errstate(over="ignore"):
-            total = np.concatenate([[np.uint64(0)], np.cumsum((raw + np.uint64(1)) * down[:len(raw)])])[:-1]
-            breaks = np.concatenate([[True], (raw[:-1] == 0x20) | (raw[:-1] == END)])
-            begin = np.maximum.accumulate(np.where(breaks, at, 0))
-            word = (total - total[begin]) * up[begin]
-            word = ((word ^ (word >> np.uint64(31))) >> np.uint64(7)).astype(np.uint32) * np.uint32(0x9E3779B1)
-        wide = raw.astype(np.uint32)
-        last = {}
-        for n in NEAR:
-            last[n] = np.zeros(len(raw), np.uint32)
-            for k in range(n, 0, -1):
-                last[n][MOST_NEAR:] = (last[n][MOST_NEAR:] + wide[MOST_NEAR - k:len(raw) - k]) * np.uint32(0x85EBCA6B)
+        total = np.cumsum((raw.astype(np.uint32) + np.uint32(1)) * down[:len(raw)], dtype=np.uint32)
+        total = np.concatenate([np.zeros(1, np.uint32), total[:-1]])
+        breaks = np.concatenate([[True], (raw[:-1] == 0x20) | (raw[:-1] == END)])
+        begin = np.maximum.accumulate(np.where(breaks, at, np.int32(0)))
+        word = (total - total.take(begin)) * up.take(begin)  # the hash of the word so far, wherever it stands
+        word ^= word >> np.uint32(15)
+        one = np.concatenate([np.zeros(1, np.uint32), raw[:-1].astype(np.uint32)])
+        two = _joined(one, one, 1)
+        four = _joined(two, two, 2)
+        last = {4: four, 6: _joined(four, two, 4)}
         own = np.flatnonzero(place >= 0).astype(np.int32)
-        block = (place.take(own) // BLOCK).astype(np.uint16)
-        if len(texts) > 1:
-            own = own.take(np.argsort(block, kind="stable"))
-        step = np.concatenate([[0], np.cumsum(np.bincount(block))])
+        if in_blocks:
+            block = (place.take(own) // BLOCK).astype(np.uint16)
+            if len(texts) > 1:
+                own = own.take(np.argsort(block, kind="stable"))
+            step = np.concatenate([[0], np.cumsum(np.bincount(block))])
         which = raw.take(own - 1).astype(np.int32) * 256 + raw.take(own)
         n = code.length.take(which)
         before = np.concatenate([[0], np.cumsum(n)])
         of = np.repeat(np.arange(len(own), dtype=np.int32), n)
         path = (code.start.take(which) - before[:-1].astype(np.int32)).take(of) + np.arange(len(of), dtype=np.int32)
-        self.node, self.bit = code.nodes.take(path), code.bits.take(path)
+        self.node = code.steps.take(path)
+        self.bit = (self.node & 1).astype(np.uint8)
+        self.node >>= 1
         salt = self.node.astype(np.uint32) * np.uint32(0xC2B2AE35)
-        self.slots = [((ctx.take(own).take(of) + salt) * np.uint32(0x27D4EB2F)) >> np.uint32(32 - s)
-                      for ctx, s in zip((word, *last.values()), SLOTS)]
-        self.lane = lane.take(own).take(of)
-        self.steps = before[step].tolist()
+        self.slots = []
+        for ctx, s in zip((word, *(last[n] for n in NEAR)), SLOTS):
+            slot = ctx.take(own).take(of)
+            slot += salt
+            slot *= np.uint32(0x27D4EB2F)
+            slot >>= np.uint32(32 - s)
+            self.slots.append(slot)
+        if in_blocks:
+            self.lane = lane.take(own).take(of)
+            self.steps = before[step].tolist()
         self.lanes = len(texts)
 
 
@@ -183,25 +201,46 @@ def _packed(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
 
 
 def _start_weights() -> np.ndarray:
-    return np.full((GATES, INPUTS), 0.35, np.float32)
-
-
-def _inputs(code: Code, node: np.ndarray, packed: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Mixer inputs of bits, and the gate of each."""
-    x = np.empty((len(node), INPUTS), np.float32)
-    x[:, 0] = code.logit.take(node)
-    for k, v in enumerate(packed):
-        x[:, k + 1] = (v >> 3) * np.float32(1 / 240)
-    return x, (packed[0] & 7) * 8 + (packed[1] & 7)
-
-
-def _learned(w: np.ndarray, x: np.ndarray, gate: np.ndarray, bit: np.ndarray) -> np.ndarray:
-    for a in range(0, len(bit), 2048):
-        g, xs = gate[a:a + 2048], x[a:a + 2048]
-        p = 1 / (1 + np.exp(-np.clip((w[g] * xs).sum(1), -12, 12)))
-        err = (bit[a:a + 2048] - p) * np.float32(PACE)
+    return np.full((INPUTS, GATES), 0.35, np.float32)
+
+
+def _inputs(code: Code, node: np.ndarray, packed: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
+    """Mixer inputs of bits, one array each, and the gate of each bit."""
+    x = [code.logit.take(node)]
+    for v in packed:
+        logit = (v >> 3).astype(np.float32)
+        logit *= np.float32(1 / 240)
+        x.append(logit)
+    return x, (packed[0] & 7) * np.int16(8) + (packed[1] & 7)
+
+
+def _mixed(w: np.ndarray, row: np.ndarray, x: list[np.ndarray], bit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The probability of the bit that came, and the error times the pace. ``w`` has a row an input."""
+    sign = bit.astype(np.float32)
+    sign *= 2
+    sign -= 1
+    dot = w[0].take(row)
+    dot *= x[0]
+    for k in range(1, INPUTS):
+        part = w[k].take(row)
+        part *= x[k]
+        dot += part
+    dot *= sign
+    np.clip(dot, -12, 12, out=dot)
+    np.negative(dot, out=dot)
+    np.exp(dot, out=dot)
+    dot += 1
+    right = np.reciprocal(dot)
+    sign *= np.float32(PACE) - np.float32(PACE) * right
+    return right, sign
+
+
+def _learned(w: np.ndarray, x: list[np.ndarray], gate: np.ndarray, bit: np.ndarray) -> np.ndarray:
+    for a in range(0, len(bit), 4096):
+        part, g = [v[a:a + 4096] for v in x], gate[a:a + 4096]
+        err = _mixed(w, g, part, bit[a:a + 4096])[1]
         for k in range(INPUTS):
-            w[:, k] += np.bincount(g, err * xs[:, k], GATES)
+            w[k] += np.bincount(g, err * part[k], GATES)
     return w
 
 
@@ -214,18 +253,22 @@ def _counted(code: Code, batches: Iterator) -> Iterator:
 
     def add(texts: list[bytes]) -> None:
         nonlocal w, learned
-        b = Bits(code, texts)
-        if learned or counts[0].any():
+        b = Bits(code, texts, in_blocks=False)
+        if learned:
             some = slice(learned % LEARN, None, LEARN)
-            packed = [_packed(c[2 * s[some].astype(np.int64)].astype(float), c[2 * s[some].astype(np.int64) + 1].astype(float))
-                      for c, s in zip(counts, b.slots)]
+            packed = []
+            for c, s in zip(counts, b.slots):
+                both = c.reshape(-1, 2).take(s[some], axis=0).astype(np.float32)
+                packed.append(_packed(both[:, 0], both[:, 1]))
             w = _learned(w, *_inputs(code, b.node[some], packed), b.bit[some])
         learned += len(b.bit)
         for c, s in zip(counts, b.slots):
-            c += np.bincount((s << np.uint32(1)) + b.bit, minlength=len(c)).astype(np.uint32)
+            s <<= np.uint32(1)
+            s += b.bit
+            np.add.at(c, s, np.uint32(1))
 
     texts: list = []
-    size, enough = 0, CHUNK >> 5  # the first rounds are short: later ones learn from their counts
+    size, enough = 0, CHUNK >> 3  # the first rounds are short: later ones learn from their counts
     for batch in batches:
         for t in batch.column(0):
             for piece in pieces(spelled(t.as_py() or "")[0]):
@@ -275,20 +318,20 @@ class Mixer:
     def logs(self, texts: list[bytes]) -> np.ndarray:
         """Natural logarithm of the probability of each piece."""
         b = Bits(self.code, texts)
-        w = np.tile(self.weights, (b.lanes, 1)).astype(np.float32)
+        w = np.tile(self.weights, (1, b.lanes)).astype(np.float32)
         out = np.zeros(b.lanes)
         for a, z in zip(b.steps, b.steps[1:]):
             if a == z:
                 continue
             x, gate = _inputs(self.code, b.node[a:z], [t.take(s[a:z]) for t, s in zip(self.tables, b.slots)])
-            lane, bit = b.lane[a:z], b.bit[a:z]
-            row = lane * np.int32(GATES) + gate
-            dot = np.clip(np.einsum("ij,ij->i", w.take(row, axis=0), x), -12, 12)
-            p = 1 / (1 + np.exp(-dot))
-            out += np.bincount(lane, np.log(np.where(bit, p, 1 - p)), b.lanes)
-            err = (bit - p) * np.float32(PACE)
+            lane = b.lane[a:z]
+            row = lane * np.int32(GATES)
+            row += gate
+            right, err = _mixed(w, row, x, b.bit[a:z])
+            out += np.bincount(lane, np.log(right), b.lanes)
+            row, err = row[::EVERY], err[::EVERY] * np.float32(EVERY)
             for k in range(INPUTS):
-                w[:, k] += np.bincount(row, err * x[:, k], len(w))
+                w[k] += np.bincount(row, err * x[k][::EVERY], w.shape[1])
         return out
 
 
@@ -341,9 +384,10 @@ def _scored(mixer: Mixer, frequent: np.ndarray, logs: np.ndarray):
                 flat += pieces(raw)
                 cut.append(len(flat))
             bits = np.add.reduceat(mixer.logs(flat), cut[:-1])
-            codes: dict = {}
             sizes = np.array([len(words) for _, words in spelt])
-            code = np.fromiter((codes.setdefault(w, len(codes)) for _, words in spelt for w in words), np.int64, int(sizes.sum()))
+            every = [w for _, words in spelt for w in words]
+            codes = {w: k for k, w in enumerate(dict.fromkeys(every))}
+            code = np.fromiter(map(codes.__getitem__, every), np.int64, len(every))
             h = np.fromiter(map(xxhash.xxh3_64_intdigest, codes), np.uint64, len(codes)).view(np.int64)
             at = np.minimum(np.searchsorted(frequent, h), max(0, len(frequent) - 1))
             known = frequent[at] == h if len(frequent) else np.zeros(len(h), bool)
@@ -398,7 +442,7 @@ def fit(texts: DataFrame, pairs: np.ndarray) -> Mixer:
             tables[r.part][r.span * _SPAN:(r.span + 1) * _SPAN] = np.frombuffer(bytes(r.payload), np.int16)
         else:
             w = np.frombuffer(bytes(r.payload), "<f8")
-            weights = (w[:-1] / w[-1]).reshape(GATES, INPUTS).astype(np.float32)
+            weights = (w[:-1] / w[-1]).reshape(INPUTS, GATES).astype(np.float32)
     return Mixer(code, tables, weights)
 
 

@@ -83,7 +83,7 @@ def test_code_is_a_prefix_code():
     for before in (0, 97, 255):
         n = code.length[before * 256:before * 256 + 256].astype(float)
         assert (2.0 ** -n).sum() == pytest.approx(1.0)
-    assert (code.nodes < 65536).all() and (code.nodes >= 0).all()
+    assert (code.steps < 2 * 65536).all() and (code.steps >= 0).all()
 
 
 def test_bits_do_not_depend_on_their_neighbours():
@@ -124,7 +124,8 @@ def test_mixing_against_slow_loop():
             g = (v[0] & 7) * 8 + (v[1] & 7)
             p = 1 / (1 + math.exp(-min(12, max(-12, float(w[g] @ x)))))
             total += math.log(p if b.bit[i] else 1 - p)
-            change[g] += cm.PACE * (b.bit[i] - p) * x
+            if (i - a) % cm.EVERY == 0:
+                change[g] += cm.EVERY * cm.PACE * (b.bit[i] - p) * x
         w += change
     assert cm.Mixer(code, tables, cm._start_weights()).logs([text])[0] == pytest.approx(total, rel=1e-3)
 
