@@ -49,7 +49,7 @@ NEAR = (6, 4)
 MOST_NEAR = max(NEAR)
 #: slots of the word's table and of those of NEAR, as powers of 2
 SLOTS = (20, 20, 20)
-LEARN, BLOCK, PIECE, CHUNK = 8, 256, 1 << 18, 1 << 17
+LEARN, BLOCK, PIECE, CHUNK = 8, 512, 1 << 18, 1 << 17
 FREQUENT = 500_000
 END = 0x0A
 GATES, INPUTS = 64, 4  # inputs: tree node, word, NEAR
@@ -354,12 +354,14 @@ def _tokens(batches: Iterator) -> Iterator:
 
     words: Counter = Counter()
     pairs = np.zeros(65536, np.int64)
-    for b in batches:
+    for b in (b.slice(at, 500) for b in batches for at in range(0, b.num_rows, 500)):
+        texts = [bytes([END])]
         for t in b.column(0):
             raw, own = spelled(t.as_py() or "")
             words.update(own)
-            data = np.frombuffer(bytes([END]) + raw, np.uint8)
-            pairs += np.bincount(data[:-1].astype(np.int32) * 256 + data[1:], minlength=65536)
+            texts.append(raw)  # each ends with the byte that stands before the next
+        data = np.frombuffer(b"".join(texts), np.uint8)
+        pairs += np.bincount(data[:-1].astype(np.int32) * 256 + data[1:], minlength=65536)
         if len(words) > 400_000:
             yield from flush()
             words = Counter()
