@@ -6,20 +6,22 @@ that belongs to the byte before it, so that likely bytes take one or two bits.
 Four predictors give each bit a logit from counts of zeros and ones:
 
 * the tree node itself (so the byte before), counted exactly;
-* the word so far and the node, hashed into ``2 ** SLOTS[0]`` slots;
+* the word so far (46 bits of its hash) and the node;
 * the last ``NEAR[0]`` bytes and the node, and the last ``NEAR[1]`` bytes and
-  the node, hashed likewise.
+  the node, both as they are.
 
 A logistic mixer adds them up with weights; which weights is gated by how
 often the word and the longest context were seen. The weights learn online: over the
-training texts, one bit in ``LEARN`` against the counts gathered so far by the
-same task (those bits are not in the counts yet), averaged over tasks; then,
+training texts, one bit in ``LEARN`` against the counts of all other chunks
+of training text, averaged over tasks; then,
 from there, over each text while it is scored, after each block of
 ``BLOCK`` bytes, from one bit in ``EVERY``. The score is the sum of the log10 probabilities of all bits.
 
-All training texts are counted, in Spark: each task adds up its counts, slots
-are summed by blocks after a shuffle. The trees and tables have a fixed size
-whatever the input (about 10 MB), which bounds what is collected and broadcast.
+All training texts are counted, and each (context, node) has counts of its own,
+however many there are: texts are cut into chunks, each chunk sends its
+distinct keys with its own counts to the keys' shards, a shard adds them up and
+answers each chunk, and the answers meet the chunk's texts again. Nothing of this
+is collected or broadcast; the number of shards grows with the bytes.
 The unigram base counts every training token; words with at least one in
 ``FREQUENT`` of all tokens (so at most ``FREQUENT`` words) are broadcast, all
 others meet their counts in a join.
@@ -34,6 +36,7 @@ are not read.
 from __future__ import annotations
 
 import heapq
+import itertools
 import math
 from collections import Counter
 from collections.abc import Iterator
@@ -47,16 +50,17 @@ from shoplens.llm.common import shuffle_partitions, written
 #: bytes before that make up a context (6, 4 or both); their longest
 NEAR = (6, 4)
 MOST_NEAR = max(NEAR)
-#: slots of the word's table and of those of NEAR, as powers of 2
+#: slots of the tables of a mixer that is given its tables (the word's and those of NEAR), as powers of 2
 SLOTS = (20, 20, 20)
-LEARN, BLOCK, PIECE, CHUNK = 8, 512, 1 << 18, 1 << 17
+LEARN, BLOCK, PIECE, CHUNK = 8, 512, 1 << 18, 1 << 20
+#: texts a chunk at most; occurrences of keys a shard, about
+TEXTS, SHARD = 4096, 1 << 23
 FREQUENT = 500_000
 END = 0x0A
 GATES, INPUTS = 64, 4  # inputs: tree node, word, NEAR
 PACE = 0.006
 #: bits to one that the weights of a text learn from
 EVERY = 4
-_SPAN = 4096  # slots a row of counts
 _LN10 = math.log(10.0)
 
 
@@ -113,33 +117,42 @@ class Code:
         self.logit = np.clip(np.log((n1 + 0.4) / (n0 + 0.4)), -8, 8).astype(np.float32)
 
 
-_K = 0x9E3779B1
+_K = 0x9E3779B97F4A7C15
 _POWERS: dict = {}
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd number and of its inverse modulo 2^32."""
+    """Powers of an odd number and of its inverse modulo 2^64."""
     if not _POWERS or len(_POWERS["up"]) < n:
-        for name, k in (("up", _K), ("down", pow(_K, -1, 1 << 32))):
-            p = np.full(n + 1, k, np.uint32)
+        for name, k in (("up", _K), ("down", pow(_K, -1, 1 << 64))):
+            p = np.full(n + 1, k, np.uint64)
             p[0] = 1
-            _POWERS[name] = np.multiply.accumulate(p, dtype=np.uint32)
+            _POWERS[name] = np.multiply.accumulate(p)
     return _POWERS["up"], _POWERS["down"]
 
 
-def _joined(a: np.ndarray, b: np.ndarray, shift: int) -> np.ndarray:
-    """At each place the hash of ``a`` there and of ``b`` that many places before."""
-    out = a * np.uint32(0x85EBCA6B)
-    out[shift:] += b[:-shift]
-    out ^= out >> np.uint32(15)
-    out *= np.uint32(0xC2B2AE3D)
+def _behind(a: np.ndarray, b: np.ndarray, shift: int) -> np.ndarray:
+    """At each place ``a`` there and above its ``shift`` bytes ``b`` that many places before."""
+    out = a.copy()
+    out[shift:] |= b[:-shift] << np.uint64(8 * shift)
     return out
 
 
-class Bits:
-    """The bits of many pieces, block after block of all of them, with their slots."""
+def _keys(part: int, context: np.ndarray, node: np.ndarray) -> np.ndarray:
+    """64-bit keys of contexts (at most 54 bits, the byte before the lowest) and nodes; no two share one."""
+    k = (context << np.uint64(8)) | (node & 255).astype(np.uint64)
+    k |= np.uint64(part << 62)
+    k ^= k >> np.uint64(32)
+    k *= np.uint64(_K)
+    k ^= k >> np.uint64(29)
+    k *= np.uint64(0xBF58476D1CE4E5B9)
+    return k
 
-    def __init__(self, code: Code, texts: list[bytes], in_blocks: bool = True):
+
+class Spots:
+    """The bytes of many pieces, block after block of all of them if asked for, with their contexts."""
+
+    def __init__(self, texts: list[bytes], in_blocks: bool = True):
         lead = bytes([END]) * MOST_NEAR
         raw = np.frombuffer(b"".join([lead + t for t in texts]), np.uint8)
         sizes = np.array([len(t) for t in texts])
@@ -148,42 +161,86 @@ class Bits:
         lane = np.repeat(np.arange(len(texts), dtype=np.int32), sizes + MOST_NEAR)
         place = at - np.repeat(ends - sizes, sizes + MOST_NEAR)
         up, down = _powers(len(raw) + 1)
-        total = np.cumsum((raw.astype(np.uint32) + np.uint32(1)) * down[:len(raw)], dtype=np.uint32)
-        total = np.concatenate([np.zeros(1, np.uint32), total[:-1]])
+        total = np.cumsum((raw + np.uint64(1)) * down[:len(raw)], dtype=np.uint64)
+        total = np.concatenate([np.zeros(1, np.uint64), total[:-1]])
         breaks = np.concatenate([[True], (raw[:-1] == 0x20) | (raw[:-1] == END)])
         begin = np.maximum.accumulate(np.where(breaks, at, np.int32(0)))
         word = (total - total.take(begin)) * up.take(begin)  # the hash of the word so far, wherever it stands
-        word ^= word >> np.uint32(15)
-        one = np.concatenate([np.zeros(1, np.uint32), raw[:-1].astype(np.uint32)])
-        two = _joined(one, one, 1)
-        four = _joined(two, two, 2)
-        last = {4: four, 6: _joined(four, two, 4)}
+        word ^= word >> np.uint64(31)
+        word *= np.uint64(0x94D049BB133111EB)
+        word >>= np.uint64(18)
+        one = np.concatenate([np.zeros(1, np.uint64), raw[:-1].astype(np.uint64)])
+        two = _behind(one, one, 1)
+        four = _behind(two, two, 2)
+        last = {4: four, 6: _behind(four, two, 4)}
         own = np.flatnonzero(place >= 0).astype(np.int32)
         if in_blocks:
             block = (place.take(own) // BLOCK).astype(np.uint16)
             if len(texts) > 1:
                 own = own.take(np.argsort(block, kind="stable"))
-            step = np.concatenate([[0], np.cumsum(np.bincount(block))])
-        which = raw.take(own - 1).astype(np.int32) * 256 + raw.take(own)
-        n = code.length.take(which)
-        before = np.concatenate([[0], np.cumsum(n)])
-        of = np.repeat(np.arange(len(own), dtype=np.int32), n)
-        path = (code.start.take(which) - before[:-1].astype(np.int32)).take(of) + np.arange(len(of), dtype=np.int32)
+            self.step = np.concatenate([[0], np.cumsum(np.bincount(block))])
+        self.which = raw.take(own - 1).astype(np.int32) * 256 + raw.take(own)
+        self.contexts = [c.take(own) for c in (word << np.uint64(8) | one, *(last[n] for n in NEAR))]
+        self.own_lane = lane.take(own)
+        self.lanes = len(texts)
+
+
+class Bits(Spots):
+    """The bits of the bytes."""
+
+    def __init__(self, code: Code, texts: list[bytes], in_blocks: bool = True):
+        super().__init__(texts, in_blocks)
+        n = code.length.take(self.which)
+        self.before = np.concatenate([[0], np.cumsum(n)])
+        self.of = np.repeat(np.arange(len(n), dtype=np.int32), n)
+        path = (code.start.take(self.which) - self.before[:-1].astype(np.int32)).take(self.of) + np.arange(len(self.of), dtype=np.int32)
         self.node = code.steps.take(path)
         self.bit = (self.node & 1).astype(np.uint8)
         self.node >>= 1
-        salt = self.node.astype(np.uint32) * np.uint32(0xC2B2AE35)
-        self.slots = []
-        for ctx, s in zip((word, *(last[n] for n in NEAR)), SLOTS):
-            slot = ctx.take(own).take(of)
-            slot += salt
-            slot *= np.uint32(0x27D4EB2F)
-            slot >>= np.uint32(32 - s)
-            self.slots.append(slot)
         if in_blocks:
-            self.lane = lane.take(own).take(of)
-            self.steps = before[step].tolist()
-        self.lanes = len(texts)
+            self.lane = self.own_lane.take(self.of)
+            self.steps = self.before[self.step].tolist()
+
+    @property
+    def slots(self) -> list[np.ndarray]:
+        """Slots of tables of ``SLOTS``."""
+        return [(_keys(k, c.take(self.of), self.node) >> np.uint64(64 - s)).astype(np.uint32)
+                for k, (c, s) in enumerate(zip(self.contexts, SLOTS))]
+
+
+class Keys:
+    """The distinct keys of the bits of ``spots``, in order; how often a zero and a one came at each."""
+
+    def __init__(self, code: Code, spots: Spots):
+        self.starts, self.inverse, found, ones, times, at = [], [], [], [], [], 0
+        for part, context in enumerate(spots.contexts):
+            # the context ends with the byte before: all but its lowest byte, then (byte before, byte)
+            pairs, inverse, n = np.unique((context << np.uint64(8)) | (spots.which & 255).astype(np.uint64),
+                                          return_inverse=True, return_counts=True)
+            which = (pairs & np.uint64(0xFFFF)).astype(np.int32)
+            length = code.length.take(which)
+            starts = np.cumsum(length) - length
+            owner = np.repeat(np.arange(len(pairs)), length)
+            steps = code.steps.take((code.start.take(which) - starts).take(owner) + np.arange(len(owner)))
+            found.append(_keys(part, (pairs >> np.uint64(8)).take(owner), steps >> 1))
+            ones.append(steps & 1)
+            times.append(n.take(owner))
+            self.starts.append(starts + at)
+            self.inverse.append(inverse)
+            at += len(owner)
+        self.keys, self.place = np.unique(np.concatenate(found), return_inverse=True)
+        self.place = self.place.astype(np.int32)
+        self._seen = np.concatenate(ones), np.concatenate(times)
+
+    def counts(self) -> np.ndarray:
+        """Zeros and ones of each key."""
+        ones, times = self._seen
+        return np.bincount(self.place * np.int64(2) + ones, times, 2 * len(self.keys)).astype("<u4")
+
+    def slots(self, b: Bits) -> list[np.ndarray]:
+        """The place of each bit's key among the keys, for each context."""
+        step = np.arange(len(b.of)) - b.before.take(b.of)
+        return [self.place.take(starts.take(inverse).take(b.of) + step) for starts, inverse in zip(self.starts, self.inverse)]
 
 
 # ---- counts and weights --------------------------------------------------------
@@ -244,73 +301,106 @@ def _learned(w: np.ndarray, x: list[np.ndarray], gate: np.ndarray, bit: np.ndarr
     return w
 
 
-def _counted(code: Code, batches: Iterator) -> Iterator:
-    """Counts of this task's training texts, in rows of ``_SPAN`` slots, and its weights."""
+def _keyed(code: Code, shards: int):
+    """(shard, chunk, keys, counts) of each chunk: its distinct keys, with counts of 0 if it is held out."""
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for b in batches:
+            for chunk, learn, texts in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+                k = Keys(code, Spots(texts.as_py(), in_blocks=False))
+                counts = k.counts() if learn else np.zeros(2 * len(k.keys), "<u4")
+                bits = shards.bit_length() - 1
+                shard = (k.keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(k.keys), np.int64)
+                cut = np.searchsorted(shard, np.arange(shards + 1))
+                some = np.flatnonzero(np.diff(cut)).tolist()
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(some, pa.int32()), pa.array([chunk] * len(some), pa.int64()),
+                     pa.array([k.keys[cut[i]:cut[i + 1]].astype("<u8").tobytes() for i in some], pa.binary()),
+                     pa.array([counts[2 * cut[i]:2 * cut[i + 1]].tobytes() for i in some], pa.binary())],
+                    names=["shard", "chunk", "keys", "counts"])
+
+    return run
+
+
+def _groups(batches: Iterator) -> Iterator:
+    """Rows that follow each other with the same first column, as (its value, rows)."""
+    rows = (row for b in batches for row in zip(*(c.to_pylist() for c in b.columns)))
+    return itertools.groupby(rows, key=lambda row: row[0])
+
+
+def _answered(batches: Iterator) -> Iterator:
+    """(chunk, shard, all, others) of a shard's rows: logits of keys from all counts and from those of other chunks."""
     import pyarrow as pa
 
-    counts = [np.zeros(2 << s, np.uint32) for s in SLOTS]
-    w, learned = _start_weights(), 0
+    for shard, rows in _groups(batches):
+        _, chunks, keys, counts = zip(*rows)
+        keys = [np.frombuffer(k, "<u8") for k in keys]
+        cut = np.concatenate([[0], np.cumsum([len(k) for k in keys])])
+        _, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+        own = np.frombuffer(b"".join(counts), "<u4").reshape(-1, 2)
+        zeros, ones = (np.bincount(inverse, own[:, k]) for k in (0, 1))
+        whole = _packed(zeros, ones).take(inverse)
+        others = _packed(zeros.take(inverse) - own[:, 0], ones.take(inverse) - own[:, 1])
+        parts = [slice(a, z) for a, z in zip(cut, cut[1:])]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(chunks, pa.int64()), pa.array([shard] * len(parts), pa.int32()),
+             pa.array([whole[p].tobytes() for p in parts], pa.binary()),
+             pa.array([others[p].tobytes() if own[p].any() else b"" for p in parts], pa.binary())],
+            names=["chunk", "shard", "whole", "others"])
+
+
+def _assembled(batches: Iterator) -> Iterator:
+    """One row a chunk: its texts, and the answers of all shards, which are in the order of the chunk's keys."""
+    import pyarrow as pa
+
+    for chunk, rows in _groups(batches):
+        _, _, whole, others, learn, owners, texts = zip(*rows)  # the texts stand in the first row
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([learn[0]], pa.bool_()), pa.array([owners[0]], pa.list_(pa.int64())), pa.array([texts[0]], pa.list_(pa.binary())),
+             pa.array([b"".join(whole[1:])], pa.binary()), pa.array([b"".join(others[1:])], pa.binary())],
+            names=["learn", "owners", "texts", "whole", "others"])
+
+
+def _fitted(code: Code):
+    """The weights learned from this task's training chunks, times the bits seen, and that number."""
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
 
-    def add(texts: list[bytes]) -> None:
-        nonlocal w, learned
-        b = Bits(code, texts, in_blocks=False)
+        w, learned = _start_weights(), 0
+        for batch in batches:
+            for texts, others in zip(batch.column(0), batch.column(1)):
+                b = Bits(code, texts.as_py(), in_blocks=False)
+                values = np.frombuffer(others.as_py(), np.int16)
+                some = slice(None, None, LEARN)
+                packed = [values.take(s[some]) for s in Keys(code, b).slots(b)]
+                w = _learned(w, *_inputs(code, b.node[some], packed), b.bit[some])
+                learned += len(b.bit)
         if learned:
-            some = slice(learned % LEARN, None, LEARN)
-            packed = []
-            for c, s in zip(counts, b.slots):
-                both = c.reshape(-1, 2).take(s[some], axis=0).astype(np.float32)
-                packed.append(_packed(both[:, 0], both[:, 1]))
-            w = _learned(w, *_inputs(code, b.node[some], packed), b.bit[some])
-        learned += len(b.bit)
-        for c, s in zip(counts, b.slots):
-            s <<= np.uint32(1)
-            s += b.bit
-            np.add.at(c, s, np.uint32(1))
-
-    texts: list = []
-    size, enough = 0, CHUNK >> 3  # the first rounds are short: later ones learn from their counts
-    for batch in batches:
-        for t in batch.column(0):
-            for piece in pieces(spelled(t.as_py() or "")[0]):
-                texts.append(piece)
-                size += len(piece)
-                if size >= enough:
-                    add(texts)
-                    texts, size, enough = [], 0, min(CHUNK, 2 * enough)
-    if texts:
-        add(texts)
-    if not learned:
-        return
-    for k, c in enumerate(counts):
-        rows = c.reshape(-1, 2 * _SPAN)
-        for i in np.flatnonzero(rows.any(axis=1)).tolist():
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([i], pa.int32()),
-                                              pa.array([rows[i].astype("<u4").tobytes()], pa.binary())],
-                                             names=["part", "span", "payload"])
-    weights = np.append(w.astype(float).ravel() * learned, float(learned))
-    yield pa.RecordBatch.from_arrays([pa.array([len(SLOTS)], pa.int32()), pa.array([0], pa.int32()),
-                                      pa.array([weights.astype("<f8").tobytes()], pa.binary())],
-                                     names=["part", "span", "payload"])
-
-
-def _summed(batches: Iterator) -> Iterator:
-    """Sums of the rows of each (part, span) of a partition; logits of slots in 16 bits."""
-    import pyarrow as pa
+            weights = np.append(w.astype(float).ravel() * learned, float(learned))
+            yield pa.RecordBatch.from_arrays([pa.array([weights.astype("<f8").tobytes()], pa.binary())], names=["weights"])
 
-    sums: dict = {}
-    for b in batches:
-        for part, span, payload in zip(*(c.to_pylist() for c in b.columns)):
-            v = np.frombuffer(payload, "<f8" if part == len(SLOTS) else "<u4").astype(float)
-            sums[part, span] = sums[part, span] + v if (part, span) in sums else v
-    for (part, span), v in sums.items():
-        if part < len(SLOTS):
-            v = _packed(v[0::2], v[1::2])
-        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([span], pa.int32()),
-                                          pa.array([v.tobytes()], pa.binary())], names=["part", "span", "payload"])
+    return run
+
+
+def _probabilities(code: Code, weights: np.ndarray):
+    """(row, log): natural logarithms of the probabilities of a chunk's pieces, by row."""
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            for owners, texts, whole in zip(*batch.columns):
+                b = Bits(code, texts.as_py())
+                values = np.frombuffer(whole.as_py(), np.int16)
+                logs = Mixer(code, [values] * len(SLOTS), weights).logs_of(b, Keys(code, b).slots(b))
+                rows, at = np.unique(np.array(owners.as_py()), return_inverse=True)
+                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(np.bincount(at, logs))], names=["row", "log"])
+
+    return run
 
 
 class Mixer:
-    """The fitted model: code, logits of slots, starting weights."""
+    """A model: code, logits of slots, starting weights."""
 
     def __init__(self, code: Code, tables: list[np.ndarray], weights: np.ndarray):
         self.code, self.tables, self.weights = code, tables, weights
@@ -318,12 +408,16 @@ class Mixer:
     def logs(self, texts: list[bytes]) -> np.ndarray:
         """Natural logarithm of the probability of each piece."""
         b = Bits(self.code, texts)
+        return self.logs_of(b, b.slots)
+
+    def logs_of(self, b: Bits, slots: list[np.ndarray]) -> np.ndarray:
+        """The same for bits and their slots in the tables."""
         w = np.tile(self.weights, (1, b.lanes)).astype(np.float32)
         out = np.zeros(b.lanes)
         for a, z in zip(b.steps, b.steps[1:]):
             if a == z:
                 continue
-            x, gate = _inputs(self.code, b.node[a:z], [t.take(s[a:z]) for t, s in zip(self.tables, b.slots)])
+            x, gate = _inputs(self.code, b.node[a:z], [t.take(s[a:z]) for t, s in zip(self.tables, slots)])
             lane = b.lane[a:z]
             row = lane * np.int32(GATES)
             row += gate
@@ -370,22 +464,31 @@ def _tokens(batches: Iterator) -> Iterator:
     yield rows(1, seen, pairs[seen])
 
 
-def _scored(mixer: Mixer, frequent: np.ndarray, logs: np.ndarray):
-    """Per row: figures of the mixer and of frequent words; hashes and counts of its other words."""
+def _scored(frequent: np.ndarray, logs: np.ndarray):
+    """Per row: figures of frequent words; hashes and counts of its other words. Per chunk: its pieces."""
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
         import xxhash
         from pyspark import TaskContext
 
-        row = TaskContext.get().partitionId() << 33
+        types = {"long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "array<long>": pa.list_(pa.int64()),
+                 "array<binary>": pa.list_(pa.binary())}
+        schema = pa.schema([(name, types[kind]) for name, kind in (c.split() for c in _SCORED.split(", "))])
+        row = chunk = TaskContext.get().partitionId() << 33
+        enough = {True: CHUNK >> 6, False: CHUNK >> 6}  # the first chunks are short, so that a small input has several
+        waiting: dict = {True: [], False: []}
+        size = {True: 0, False: 0}
+
+        def chunked(learn: bool):
+            nonlocal chunk
+            owners, texts = zip(*waiting[learn])
+            out = pa.RecordBatch.from_pylist([{"chunk": chunk, "learn": learn, "n_chunk": size[learn], "owners": owners, "texts": texts}], schema)
+            chunk += 1
+            waiting[learn], size[learn], enough[learn] = [], 0, min(CHUNK, 2 * enough[learn])
+            return out
 
         def batch(ids: list, spelt: list):
             nonlocal row
-            cut, flat = [0], []
-            for raw, _ in spelt:
-                flat += pieces(raw)
-                cut.append(len(flat))
-            bits = np.add.reduceat(mixer.logs(flat), cut[:-1])
             sizes = np.array([len(words) for _, words in spelt])
             every = [w for _, words in spelt for w in words]
             codes = {w: k for k, w in enumerate(dict.fromkeys(every))}
@@ -404,48 +507,63 @@ def _scored(mixer: Mixer, frequent: np.ndarray, logs: np.ndarray):
             n = len(spelt)
             out = pa.RecordBatch.from_arrays(
                 [pa.array(np.arange(row, row + n), pa.int64()), pa.array(ids, pa.int64()), pa.array(sizes + 1, pa.int64()),
-                 pa.array(n_known, pa.int64()), pa.array(base.astype(float)), pa.array(bits / _LN10),
+                 pa.array(n_known, pa.int64()), pa.array(base.astype(float)),
                  pa.array([len(raw) for raw, _ in spelt], pa.int64()),
                  pa.ListArray.from_arrays(offsets, pa.array(h[pair % max(1, len(codes))], pa.int64())),
-                 pa.ListArray.from_arrays(offsets, pa.array(times, pa.int64()))],
-                names=["row", "doc_id", "n_tokens", "n_frequent", "log_frequent", "score", "n_bytes", "h", "tf"])
+                 pa.ListArray.from_arrays(offsets, pa.array(times, pa.int64())),
+                 *(pa.nulls(n, f.type) for f in list(schema)[8:])], schema=schema)
             row += n
             return out
 
-        ids, spelt, size = [], [], 0
+        ids, spelt, held = [], [], 0
         for b in batches:
-            for doc_id, t in zip(b.column(0).to_pylist(), b.column(1)):
+            for doc_id, t, learn in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist()):
                 ids.append(doc_id)
                 spelt.append(spelled(t.as_py() or ""))
-                size += len(spelt[-1][0])
-                if size >= CHUNK:
+                for piece in pieces(spelt[-1][0]):
+                    waiting[learn].append((row + len(ids) - 1, piece))
+                    size[learn] += len(piece)
+                    if size[learn] >= enough[learn] or len(waiting[learn]) >= TEXTS:
+                        yield chunked(learn)
+                held += len(spelt[-1][0])
+                if held >= CHUNK >> 3:
                     yield batch(ids, spelt)
-                    ids, spelt, size = [], [], 0
+                    ids, spelt, held = [], [], 0
         if ids:
             yield batch(ids, spelt)
+        for learn in (True, False):
+            if waiting[learn]:
+                yield chunked(learn)
 
     return run
 
 
-_SCORED = ("row long, doc_id long, n_tokens long, n_frequent long, log_frequent double, score double, n_bytes long, "
-           "h array<long>, tf array<long>")
-
-
-def fit(texts: DataFrame, pairs: np.ndarray) -> Mixer:
-    """The mixer from ``texts`` (text), all of which are counted; ``pairs`` are their byte pairs."""
-    code = Code(pairs)
-    n = shuffle_partitions(texts.sparkSession)
-    sums = (texts.mapInArrow(lambda it: _counted(code, it), "part int, span int, payload binary")
-            .repartition(n, "part", "span").mapInArrow(_summed, "part int, span int, payload binary"))
-    tables = [np.full(1 << s, _packed(np.zeros(1), np.zeros(1))[0], np.int16) for s in SLOTS]
-    weights = _start_weights()
-    for r in sums.collect():  # one row a span: a fixed number, 6 MB in all
-        if r.part < len(SLOTS):
-            tables[r.part][r.span * _SPAN:(r.span + 1) * _SPAN] = np.frombuffer(bytes(r.payload), np.int16)
-        else:
-            w = np.frombuffer(bytes(r.payload), "<f8")
-            weights = (w[:-1] / w[-1]).reshape(INPUTS, GATES).astype(np.float32)
-    return Mixer(code, tables, weights)
+_SCORED = ("row long, doc_id long, n_tokens long, n_frequent long, log_frequent double, n_bytes long, "
+           "h array<long>, tf array<long>, chunk long, learn boolean, n_chunk long, owners array<long>, texts array<binary>")
+
+
+def _logs(chunks: DataFrame, code: Code) -> DataFrame:
+    """(row, log) of the pieces of ``chunks`` (chunk, learn, n_chunk, owners, texts)."""
+    spark = chunks.sparkSession
+    n = shuffle_partitions(spark)
+    size = chunks.agg(F.sum("n_chunk")).first()[0] or 0
+    # about two bits a byte and three keys a bit; several shards a task, so that tasks are alike
+    shards = 1 << max(4 * n - 1, size * 7 // SHARD).bit_length()
+    code_ = spark.sparkContext.broadcast(code)
+    keyed = chunks.select("chunk", "learn", "texts").mapInArrow(
+        lambda it: _keyed(code_.value, shards)(it), "shard int, chunk long, keys binary, counts binary")
+    answers = (keyed.repartition(n, "shard").sortWithinPartitions("shard")
+               .mapInArrow(_answered, "chunk long, shard int, whole binary, others binary"))
+    texts = chunks.select("chunk", F.lit(-1).alias("shard"), "learn", "owners", "texts")
+    both = answers.unionByName(texts, allowMissingColumns=True).select("chunk", "shard", "whole", "others", "learn", "owners", "texts")
+    whole = written(both.repartition(n, "chunk").sortWithinPartitions("chunk", "shard").mapInArrow(
+        _assembled, "learn boolean, owners array<long>, texts array<binary>, whole binary, others binary"), "lm_chunks")
+    sums = [np.frombuffer(bytes(r.weights), "<f8") for r in whole.filter("learn").select("texts", "others").mapInArrow(
+        lambda it: _fitted(code_.value)(it), "weights binary").collect()]  # one short row a task
+    w = sum(sums)
+    weights = (w[:-1] / w[-1]).reshape(INPUTS, GATES).astype(np.float32) if sums else _start_weights()
+    return whole.select("owners", "texts", "whole").mapInArrow(
+        lambda it: _probabilities(code_.value, weights)(it), "row long, log double")
 
 
 def score(docs: DataFrame) -> DataFrame:
@@ -465,15 +583,18 @@ def score(docs: DataFrame) -> DataFrame:
     often = words.filter(F.col("c") * FREQUENT >= total).orderBy("h").toPandas()  # at most FREQUENT
     frequent, logs = often["h"].to_numpy(np.int64), np.log10(often["c"].to_numpy(float) + 1)
 
-    model = spark.sparkContext.broadcast((fit(learn, pairs), frequent, logs))
-    scored = written(rows.mapInArrow(lambda it: _scored(*model.value)(it), _SCORED), "lm_rows")
+    known = spark.sparkContext.broadcast((frequent, logs))
+    spelt = written(rows.withColumn("learn", in_training(F.col("doc_id"))).mapInArrow(lambda it: _scored(*known.value)(it), _SCORED), "lm_rows")
+    scored = spelt.filter("row IS NOT NULL").drop("chunk", "learn", "n_chunk", "owners", "texts")
+    chunks = spelt.filter("chunk IS NOT NULL").select("chunk", "learn", "n_chunk", "owners", "texts")
+    bits = written(_logs(chunks, Code(pairs)).groupBy("row").agg((F.sum("log") / _LN10).alias("score")), "lm_scores")
     rare = (scored.select("row", F.explode(F.arrays_zip("h", "tf")).alias("x")).select("row", "x.h", "x.tf")
             .join(words.filter(F.col("c") * FREQUENT < total), "h")
             .groupBy("row").agg(F.sum("tf").alias("n_rare"), F.sum(F.col("tf") * F.log10(F.col("c") + 1)).alias("log_rare")))
     each = math.log10(total + distinct + 1)
     known_end = F.lit(1 if ends else 0)
     base = F.col("log_frequent") + F.coalesce("log_rare", F.lit(0.0)) + F.lit(math.log10(ends + 1)) - F.col("n_tokens") * F.lit(each)
-    return scored.drop("h", "tf").join(rare, "row", "left").select(
+    return scored.drop("h", "tf").join(bits, "row").join(rare, "row", "left").select(
         "doc_id", (~in_training(F.col("doc_id"))).alias("held_out"), "n_tokens",
         (F.col("n_frequent") + F.coalesce("n_rare", F.lit(0)) + known_end).cast("long").alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), "score",

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import math
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -160,3 +161,62 @@ def test_long_texts_go_in_pieces(spark, monkeypatch):
     assert b"".join(cm.pieces(b"x" * 250)) == b"x" * 250 and len(cm.pieces(b"x" * 250)) == 3
     df = spark.createDataFrame([(1, "some words " * 50), (2, "")], "doc_id long, text string")
     assert {r.doc_id: r.n_tokens for r in cm.score(df).collect()} == {1: 101, 2: 1}
+
+
+def _brute_keys(code, texts: list[bytes]) -> dict:
+    """Zeros and ones of each (kind of context, context, node), one byte after the other."""
+    seen: dict = {}
+    for t in texts:
+        raw = bytes([cm.END]) * 6 + t
+        for i in range(6, len(raw)):
+            word = re.split(rb"[ \n]", raw[max(0, i - 60):i])[-1]
+            a = raw[i - 1] * 256 + raw[i]
+            for step in code.steps[code.start[a]:code.start[a] + code.length[a]].tolist():
+                for context in (("w", word), (6, raw[i - 6:i]), (4, raw[i - 4:i])):
+                    seen.setdefault((*context, step >> 1), [0, 0])[step & 1] += 1
+    return seen
+
+
+def test_each_context_has_counts_of_its_own():
+    """Many words: slots of a fixed table are shared by distinct contexts, keys are not."""
+    rnd = random.Random(4)
+    texts = [" ".join(f"{rnd.randrange(10 ** 9)}" for _ in range(1500)).encode() + b"\n" for _ in range(4)]
+    pairs = np.zeros((256, 256), int)
+    for t in texts:
+        np.add.at(pairs, (np.frombuffer(t[:-1], np.uint8), np.frombuffer(t[1:], np.uint8)), 1)
+    code = cm.Code(pairs)
+    want = _brute_keys(code, texts)
+    found = cm.Keys(code, cm.Spots(texts, in_blocks=False))
+    assert len(found.keys) == len(want)
+    assert sorted(map(tuple, found.counts().reshape(-1, 2).tolist())) == sorted(map(tuple, want.values()))
+    b = cm.Bits(code, texts)
+    found = cm.Keys(code, b)  # in the order of the bits' blocks
+    for k, (slots, places) in enumerate(zip(b.slots, found.slots(b))):
+        own = [key for key in want if key[0] == ("w", 6, 4)[k]]
+        assert len(np.unique(places)) == len(own) >= len(np.unique(slots))
+        assert np.array_equal(found.keys[places], cm._keys(k, b.contexts[k].take(b.of), b.node))
+    assert len(np.unique(b.slots[1])) < len([key for key in want if key[0] == 6])
+
+
+def test_answers_are_the_counts_of_all_chunks():
+    """Every key of every chunk is answered with the sums over all training chunks, and over the others."""
+    rnd = random.Random(5)
+    parts = [[" ".join(words(rnd, 80)).encode() + b"\n"] for _ in range(6)]
+    code = cm.Code(np.ones((256, 256), int))
+    rows = [(k, k != 2, sum(map(len, t)), [k] * len(t), t) for k, t in enumerate(parts)]
+    total: dict = {}
+    for k, learn, *_, t in rows:
+        for key, n in _brute_keys(code, t).items() if learn else ():
+            total[key] = np.add(total.get(key, [0, 0]), n)
+    own = _brute_keys(code, parts[0])
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pylist([{"chunk": r[0], "learn": r[1], "texts": r[4]} for r in rows],
+                                       pa.schema([("chunk", pa.int64()), ("learn", pa.bool_()), ("texts", pa.list_(pa.binary()))]))
+    sent = pa.Table.from_batches(cm._keyed(code, 8)([batch])).sort_by("shard")
+    got = pa.Table.from_batches(cm._answered(iter(sent.to_batches()))).sort_by([("chunk", "ascending"), ("shard", "ascending")]).to_pylist()
+    for name, counts in (("whole", [total[key] for key in own]), ("others", [np.subtract(total[key], n) for key, n in own.items()])):
+        want = np.array(counts, float)
+        values = np.frombuffer(b"".join(r[name] for r in got if r["chunk"] == 0), np.int16)
+        assert sorted(values.tolist()) == sorted(cm._packed(want[:, 0], want[:, 1]).tolist())
+    assert all(r["others"] == b"" for r in got if r["chunk"] == 2)
