@@ -52,7 +52,7 @@ NEAR = (6, 4)
 MOST_NEAR = max(NEAR)
 #: slots of the tables of a mixer that is given its tables (the word's and those of NEAR), as powers of 2
 SLOTS = (20, 20, 20)
-LEARN, BLOCK, PIECE, CHUNK = 8, 512, 1 << 18, 1 << 20
+LEARN, BLOCK, PIECE, CHUNK = 1, 256, 1 << 18, 1 << 20
 #: texts a chunk at most; occurrences of keys a shard, about
 TEXTS, SHARD = 4096, 1 << 23
 FREQUENT = 500_000
@@ -60,7 +60,7 @@ END = 0x0A
 GATES, INPUTS = 64, 4  # inputs: tree node, word, NEAR
 PACE = 0.006
 #: bits to one that the weights of a text learn from
-EVERY = 4
+EVERY = 1
 _LN10 = math.log(10.0)
 
 

@@ -220,3 +220,18 @@ def test_answers_are_the_counts_of_all_chunks():
         values = np.frombuffer(b"".join(r[name] for r in got if r["chunk"] == 0), np.int16)
         assert sorted(values.tolist()) == sorted(cm._packed(want[:, 0], want[:, 1]).tolist())
     assert all(r["others"] == b"" for r in got if r["chunk"] == 2)
+
+
+def test_weights_learn_from_every_bit():
+    """A text between 256 and 512 bytes is refined once, and each of its bits counts."""
+    assert cm.LEARN == cm.EVERY == 1 and cm.BLOCK <= 256
+    rng = np.random.default_rng(6)
+    code = cm.Code(rng.integers(0, 50, (256, 256)))
+    tables = [rng.integers(-3000, 3000, 1 << s).astype(np.int16) for s in cm.SLOTS]
+    text = " ".join(words(random.Random(2), 100)).encode()[:400] + b"\n"
+    assert len(cm.Bits(code, [text]).steps) == 3
+    model = cm.Mixer(code, tables, cm._start_weights())
+    refined = model.logs([text])[0]
+    b = cm.Bits(code, [text])
+    x, gate = cm._inputs(code, b.node, [t.take(s) for t, s in zip(tables, b.slots)])
+    assert np.log(cm._mixed(cm._start_weights(), gate, x, b.bit)[0]).sum() != pytest.approx(refined, rel=1e-4)
