@@ -12,7 +12,10 @@ occurrence in the order (doc_id, place) stays.
 
 So a line goes exactly if it lies in ``window`` consecutive lines that stand
 earlier. A document of fewer lines is one window of all its lines. Lines
-without a word don't count; within a run they go with it.
+without a word don't count; within a run they go with it. With ``words`` given,
+there is a second kind of window, that closes as soon as it has so many words:
+lines of fewer than ``window``, down to a single long one, go as well if they
+have that many words and stand earlier.
 
 A line that a third of all rows share makes no pairs: each group of equal
 windows is reduced to its earliest place before the join.
@@ -29,7 +32,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shoplens.llm.common import boxed, unboxed, written
+from shoplens.llm.common import boxed, n_words, unboxed, written
 
 WINDOW = 3
 
@@ -38,20 +41,35 @@ def _has_word(line: Column) -> Column:
     return line.rlike(r"[^\x20\x09-\x0D]")
 
 
-def _windows(docs: DataFrame, window: int) -> DataFrame:
+def _windows(docs: DataFrame, window: int, words: int | None = None) -> DataFrame:
     """A row for each selected line: run_id, run_text, anchor, windows (a, b, digest)."""
-    at = F.transform(F.split("text", "\n", -1), lambda x, i: F.when(_has_word(x), F.struct(F.xxhash64(x).alias("h"), (-i).alias("i"))))
+    at = F.transform(F.split("text", "\n", -1), lambda x, i: F.when(_has_word(x), F.struct(F.xxhash64(x).alias("h"), (-i).alias("i"),
+                                                                                      *([n_words(x).alias("n")] if words else []))))
     lines = docs.select(F.col("doc_id").alias("run_id"), F.xxhash64("text").alias("run_text"),
                         F.filter(at, lambda x: x.isNotNull()).alias("lines")).filter(F.size("lines") > 0)
     starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("lines") - (window - 1)))
 
-    def one(i: Column) -> Column:
-        part = F.slice("lines", i, window)
+    def whole(i: Column) -> Column:
+        return one(F.slice("lines", i, window))
+
+    def one(part: Column) -> Column:
         return F.struct(F.array_min(part).alias("least"),
                         F.struct((-F.element_at(part, 1)["i"]).alias("a"), (-F.element_at(part, -1)["i"]).alias("b"),
                                  F.xxhash64(F.transform(part, lambda x: x["h"])).alias("digest")).alias("w"))
 
-    return (lines.select("run_id", "run_text", F.explode(F.transform(starts, one)).alias("x"))
+    def short(i: Column) -> Column:
+        """The window from line ``i`` on that closes at ``words`` words before ``window`` lines, or null."""
+        closed = F.lit(None)
+        for k in range(window - 1, 0, -1):
+            part = F.slice("lines", i, k)
+            enough = (F.size(part) == k) & (F.aggregate(part, F.lit(0).cast("long"), lambda n, x: n + x["n"]) >= words)
+            closed = F.when(enough, one(part)).otherwise(closed)
+        return closed
+
+    found = F.transform(starts, whole)
+    if words:
+        found = F.concat(found, F.filter(F.transform(F.sequence(F.lit(1), F.size("lines")), short), lambda x: x.isNotNull()))
+    return (lines.select("run_id", "run_text", F.explode(found).alias("x"))
             .select("run_id", "run_text", F.col("x.least.h").alias("anchor"), (-F.col("x.least.i")).alias("place"),
                     F.col("x.w.a").alias("a"), F.col("x.w.b").alias("b"), F.col("x.w.digest").alias("digest")))
 
@@ -64,9 +82,9 @@ def _grown(done: Column, x: Column) -> Column:
     return F.when(x["a"] <= last["b"] + 1, longer).otherwise(F.concat(done, F.array(x)))
 
 
-def repeated_runs(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+def repeated_runs(docs: DataFrame, window: int = WINDOW, words: int | None = None) -> DataFrame:
     """(run_id, run_text, runs): line numbers a to b of each later repeated run of a document."""
-    found = written(_windows(docs, window), "line_windows")
+    found = written(_windows(docs, window, words), "line_windows")
     # selected places whose line is selected anywhere else: a place counts once, however many windows chose it
     several = (found.groupBy("anchor").agg(F.min(F.struct("run_id", "run_text", "place")).alias("p"),
                                            F.max(F.struct("run_id", "run_text", "place")).alias("q"))
@@ -81,14 +99,14 @@ def repeated_runs(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     return windows.select("run_id", "run_text", F.aggregate("w", none, _grown).alias("runs"))
 
 
-def drop_repeated_runs(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+def drop_repeated_runs(docs: DataFrame, window: int = WINDOW, words: int | None = None) -> DataFrame:
     """``docs`` with later repeated runs deleted from ``text``.
 
     Adds run_lines (lines before), run_removed (lines deleted, those without a
     word included) and the runs' places run_places (null: none); they replace
     columns of these names.
     """
-    runs = repeated_runs(docs.select("doc_id", "text"), window)
+    runs = repeated_runs(docs.select("doc_id", "text"), window, words)
     rows = boxed(docs, id=F.col("doc_id"), key=F.xxhash64("text"), text=F.col("text"))
     joined = rows.join(runs, F.col("id").eqNullSafe(F.col("run_id")) & (F.col("key") == F.col("run_text")), "left")
     lines = F.split("text", "\n", -1)

@@ -77,3 +77,16 @@ def test_units_against_brute_force(spark, docs, corpus, empty):
         assert got == want
     assert drop_repeated_units(empty).count() == 0
     assert drop_repeated_units(docs).columns == [*docs.columns, "unit_starts", "unit_stops"]
+
+
+def test_long_lines_are_windows_of_their_own(spark):
+    """One or two repeated lines of 50 words go with ``words``; what windows of lines find stays found."""
+    long = " ".join(f"a{k}" for k in range(60))
+    half = [" ".join(f"{c}{k}" for k in range(30)) for c in "bcde"]
+    rows = [(1, "\n".join(["x y", long, "z", *half])), (2, "\n".join(["other", long, "end"])), (3, long),
+            (4, "\n".join(["p", half[0], "", half[1], "q"])), (5, "\n".join(["r", half[0], "s"])), (6, "\n".join(half[:3])),
+            (7, "z\n" + half[0])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in drop_repeated_runs(df, 3, 50).collect()}
+    assert got == {1: rows[0][1], 2: "other\nend", 3: "", 4: "p\nq", 5: rows[4][1], 6: "", 7: rows[6][1]}
+    assert {r.doc_id for r in drop_repeated_runs(df).filter("run_removed > 0").collect()} == {6}
