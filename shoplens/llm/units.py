@@ -1,4 +1,4 @@
-"""Operator 7 — repeated lines or paragraphs, removed with their offsets retained.
+"""Operator 7 — repeated lines, paragraphs or sentences, removed with their offsets retained.
 
 Texts are cut into units; each unit of ``least_words`` words or more is
 normalised (lower case, white space as one space) and digested (128 bits).
@@ -9,6 +9,10 @@ by its code point offsets in the original text, its line end included.
 A unit that a third of all rows share is reduced to its earliest place before
 the join; the join's large side is split where one digest is too frequent.
 
+Only whole units are found: of kind line, a passage that begins or ends inside a
+line stays but for its whole lines; of kind sentence (ended by . ! or ? and a
+space, or by a line end), all but its two ends goes. Units of fewer words stay.
+
 Cases: null and empty texts have no units; a null doc_id comes first; rows
 alike in doc_id and text are one document (units stay or go alike in them);
 rows with the same doc_id and other texts are told apart; texts of any length
@@ -27,7 +31,8 @@ from pyspark.sql import functions as F
 from shoplens.llm.common import boxed, unboxed, written
 
 #: ends of units
-BREAKS = {"line": re.compile(r"\n"), "paragraph": re.compile(r"\n[\x20\t\r]*\n\s*")}
+BREAKS = {"line": re.compile(r"\n"), "paragraph": re.compile(r"\n[\x20\t\r]*\n\s*"),
+          "sentence": re.compile(r"\n|(?<=[.!?])[\x20\t]+")}
 
 _UNITS = "unit_id long, unit_text long, unit int, start int, stop int, digest binary"
 

@@ -90,3 +90,15 @@ def test_long_lines_are_windows_of_their_own(spark):
     got = {r.doc_id: r.text for r in drop_repeated_runs(df, 3, 50).collect()}
     assert got == {1: rows[0][1], 2: "other\nend", 3: "", 4: "p\nq", 5: rows[4][1], 6: "", 7: rows[6][1]}
     assert {r.doc_id for r in drop_repeated_runs(df).filter("run_removed > 0").collect()} == {6}
+
+
+def test_passages_inside_lines_go_by_sentences(spark):
+    said = [" ".join(f"{c}{k}" for k in range(20)) + end for c, end in zip("abc", ".!?")]
+    passage = " ".join(said)
+    texts = ["First line.\n" + passage + " Tail of the first line here.", "It begins inside of this line. " + passage + " And goes on in it."]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in drop_repeated_units(df, "sentence").collect()}
+    assert got[0].text == texts[0] and got[0].unit_starts is None
+    assert got[1].text == "It begins inside of this line. And goes on in it."
+    assert "".join(texts[1][a:z] for a, z in zip(got[1].unit_starts, got[1].unit_stops)) == passage + " "
+    assert all(r.unit_starts is None for r in drop_repeated_units(df).collect())
