@@ -7,7 +7,8 @@ between; all but the last return the columns of ``documents``.
 2. line_dedup   — operator 3: later repeated runs of lines are deleted; a
    document of which no word is left goes.
 3. near_dedup   — operator 8 (five words, Jaccard 0.8): the document with the
-   least id of each group stays; rows alike in doc_id and text count once.
+   least id of each group stays (of equal ids the least text hash, a null id
+   last); rows alike in doc_id and text count once.
 4. mix          — operator 5: sources 1 : 2 : 3 in turn, the total size as
    budget; a document comes once for each time it is taken, and one that is in
    service when the budget ends keeps its first words.
@@ -48,8 +49,10 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = (near_duplicates(docs, 80, 100).filter("kept")
-            .select(F.col("doc_id").alias("kept_id"), F.col("key").alias("kept_key")).distinct())
+    found = near_duplicates(docs, 80, 100)
+    least = found.filter("root IS NOT NULL").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("p"))
+    kept = (least.select("p.doc_id", "p.key").union(found.filter("root IS NULL").select("doc_id", "key").distinct())
+            .toDF("kept_id", "kept_key"))
     rows = boxed(docs, id=F.col("doc_id"), key=F.xxhash64("text"))
     stays = F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("key") == F.col("kept_key"))
     return unboxed(rows.join(kept, stays, "left_semi").dropDuplicates(["id", "key"]), docs.columns)

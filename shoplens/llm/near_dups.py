@@ -215,7 +215,9 @@ def _verified(pairs: DataFrame, reps: DataFrame, full: DataFrame, k: int, num: i
 
 
 def near_duplicates(docs: DataFrame, num: int = 80, den: int = 100, k: int = K) -> DataFrame:
-    """doc_id, key (xxhash64 of the text), n_shingles, component_id, kept of ``docs`` (doc_id, text).
+    """doc_id, key (xxhash64 of the text), n_shingles, component_id, kept, root of ``docs`` (doc_id, text).
+
+    ``root`` is one number for each group, also where ids are null or repeated (null: a text without shingles).
 
     Documents are linked from a Jaccard of ``num / den`` on.
     """
@@ -253,8 +255,8 @@ def near_duplicates(docs: DataFrame, num: int = 80, den: int = 100, k: int = K)
     named = reps.select("cls", "rid", "least_id").join(roots, F.col("rid") == F.col("node"), "left")
     named = named.select("cls", F.coalesce("root", "rid").alias("root"), "least_id")
     least = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    of_class = written(named.join(least, "root").select("cls", "component_id"), "nd_classes")
+    of_class = written(named.join(least, "root").select("cls", "component_id", "root"), "nd_classes")
     out = sets.select("doc_id", "key", F.col("n").cast("long").alias("n_shingles"), "cls").join(of_class, "cls", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "key", "n_shingles", component.alias("component_id"),
-                      component.eqNullSafe(F.col("doc_id")).alias("kept"))
+                      component.eqNullSafe(F.col("doc_id")).alias("kept"), F.when(F.col("n_shingles") > 0, F.col("root")).alias("root"))

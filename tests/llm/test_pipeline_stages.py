@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import random
 from collections import Counter
 
 import pytest
@@ -71,3 +72,15 @@ def test_stages_take_odd_rows(spark, docs, empty):
         for _, stage in cp.STAGES:
             df = written(stage(spark, df, SF), "odd")
         assert (df.count() > 0) == (start is odd)
+
+
+def test_near_stage_keeps_one_of_a_group_without_or_with_equal_ids(spark):
+    from tests.llm.conftest import prose
+
+    rnd = random.Random(3)
+    a, b, c = (prose(rnd, 12) for _ in range(3))
+    rows = [(None, a), (None, a + " more"), (5, b), (5, b + " more"), (9, b + " other"), (7, c), (None, c + " more"), (None, "x"), (4, "")]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r.doc_id, r.text) for r in cp.near_dedup(spark, df, SF).collect()]
+    assert sorted(str(i) for i, _ in got) == ["4", "5", "7", "None", "None"]
+    assert [t for i, t in got if i == 7] == [c] and (None, "x") in got
