@@ -76,7 +76,7 @@ def passages(text: str, most: int | None = None) -> np.ndarray:
         own = set(part)
         figures[k, 1:5] = (len(own) / len(part), len(own & before) / len(own), len(part) / PASSAGE,
                            sum(a == b for a, b in zip(part, part[1:])) / len(part))
-        before = before | own if len(before) < 20_000 else own
+        before |= own
     figures[:, 5] = np.log1p(sizes / (figures[:, 3] * PASSAGE))
     rate = sizes[:, None]
     x = np.concatenate([np.sqrt(counts / rate), figures, np.sqrt(profile / rate)], axis=1).astype(np.float32)

@@ -75,6 +75,13 @@ def test_classifier_cases(spark, docs, corpus, empty):
     assert mil.passages("").shape == (1, mil.FEATURES) and mil.passages("word " * 1000, 5).shape[0] == 5
 
 
+def test_repetition_is_seen_in_very_long_texts():
+    distinct = [f"w{k}" for k in range(30_000)]
+    x = mil.passages(" ".join(distinct * 2))
+    again = x[-(-len(distinct) // mil.PASSAGE):, mil._N_CLASSES + 2]
+    assert len(again) and (again == 1).all()
+
+
 # ---- context mixing ------------------------------------------------------------
 
 
