@@ -33,7 +33,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from shoplens.llm.common import written
-from shoplens.llm.tokens import encoder
+from shoplens.llm.tokens import encoded, encoder
 
 FAN = 8
 
@@ -82,8 +82,8 @@ def _pieces(tokenizer: str, kind: str, end_id: int, capacity: int):
         end = np.array([end_id], "<u4").tobytes()
         cols: list[list] = [[], [], [], [], []]
         for b in batches:
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1)):
-                ids = enc.one(text.as_py() or "") + end
+            for doc_id, own in zip(b.column(0).to_pylist(), encoded(enc, b.column(1))):
+                ids = own + end
                 n = len(ids) // 4
                 cut = [0, *range((n - 1) % capacity + 1, n + 1, capacity)]
                 for k, (s, e) in enumerate(zip(cut, cut[1:])):

@@ -34,7 +34,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from shoplens.llm.common import shuffle_partitions
-from shoplens.llm.tokens import encoder
+from shoplens.llm.tokens import encoded, encoder
 
 MAGIC, HEAD, BLOCK_IDS = b"PKB1", struct.Struct("<4sIIIQ"), 4096
 
@@ -118,10 +118,10 @@ def _segments(path: str, kind: str, end_id: int, segment_ids: int):
                 names=["shard", "segment", "first_id", "n_ids", "doc_ids", "doc_starts", "payload"])
 
         for b in batches:
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1)):
+            for doc_id, own in zip(b.column(0).to_pylist(), encoded(enc, b.column(1))):
                 docs.append(doc_id)
                 starts.append(n)
-                ids.append(enc.one(text.as_py() or ""))
+                ids.append(own)
                 ids.append(end)
                 n += len(ids[-2]) // 4 + 1
                 if n >= segment_ids:

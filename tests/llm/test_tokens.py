@@ -7,30 +7,53 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from shoplens.llm import token_files as tf
-from shoplens.llm.tokens import Encoder
+from shoplens.llm.tokens import Encoder, token_bytes
 
-FILES = {"space": "word_bpe_49k.json", "byte": "byte_bpe_50k.json"}
+FILES = {"space": "word_bpe_49k.json", "byte": "byte_bpe_50k.json", "piece": "piece_bpe_32k.model"}
 ODD = ["", " ", "\n\n a  b   c\n d", "It's 3.14 we'll\t\tgo", "a b c", "x\x1cy z", "é ́a", "ΑΣ ΟΔΟΣ", "a \n b",
        "  lead", "trail  ", "\r\n\r\nx", "İstanbul ǅ ﬁ", "a\u0085b 　 c", "'S 'LL don't", "日本語 テスト１２", "😀😀 ok", "\x00a \x0b b"]
 
 
-@pytest.mark.parametrize("kind", FILES)
-def test_like_the_library(kind, corpus):
+SPELLED = ["a<|endoftext|>b", "x <|startoftext|> y", "<|endoftext|>", "<0x41> ▁a ▁ b", "  ▁▁"]
+
+
+def library(kind: str, plain: bool):
+    """The named library's own whole-text call."""
     path = public_tokenizers.path(FILES[kind])
-    enc, lib = Encoder(path, kind, cache_units=300), Tokenizer.from_file(path)
-    lib.encode_special_tokens = True
+    if kind == "piece":
+        return sentencepiece.SentencePieceProcessor(model_file=path).encode
+    lib = Tokenizer.from_file(path)
+    lib.encode_special_tokens = not plain
+    return lambda t: lib.encode(t, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("kind,plain", [("space", True), ("space", False), ("byte", True), ("byte", False), ("piece", True)])
+def test_like_the_library(kind, plain, corpus):
+    enc, lib = Encoder(public_tokenizers.path(FILES[kind]), kind, cache_units=300, plain=plain), library(kind, plain)
     rnd = random.Random(1)
-    texts = ODD + [r[1] for r in corpus if r[1]]
-    texts += ["".join(rnd.choice(" \n\t\r\x0b\x0c ́'sTdL1٣é.,!|<>") for _ in range(rnd.randint(1, 30))) for _ in range(4000)]
-    for t in texts:
-        want = np.asarray(lib.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
-        assert enc.one(t) == want, t
-        assert enc.one(t) == want, t
+    texts = ODD + SPELLED + [r[1] for r in corpus if r[1]] + ["a" * 5000 + " b", " " * 3000]
+    texts += ["".join(rnd.choice(" \n\t\r\x0b\x0c\x01\x02▁ ́'sTdL1٣é.,!|<>ßÀÿª²ΣİВ😀") for _ in range(rnd.randint(1, 30))) for _ in range(4000)]
+    want = [np.asarray(lib(t), "<u4").tobytes() for t in texts]
+    assert enc.many(texts) == want
+    assert enc.many(texts) == want  # with units that are kept
+    assert [enc.one(t) for t in texts[:200]] == want[:200]
+
+
+@pytest.mark.parametrize("kind", ["byte", "piece"])
+def test_token_bytes(kind, corpus):
+    path = public_tokenizers.path(FILES[kind])
+    shown, enc = token_bytes(path, kind), Encoder(path, kind, plain=False)
+    lead = " " if kind == "piece" else ""
+    for t in [r[1] for r in corpus if r[1]] + SPELLED[:3] + ODD:
+        ids = np.frombuffer(enc.one(t), "<u4")
+        if t:
+            assert b"".join(shown[k] for k in ids) == (lead + t).encode()
 
 
 @given(st.lists(st.integers(0, 49_407), max_size=300), st.integers(1, 40), st.sampled_from([16, 17, 19, 32]))
@@ -57,7 +80,6 @@ def test_files(spark, docs, corpus, empty, shards, segment):
     path, where = public_tokenizers.path("word_bpe_49k.json"), tempfile.mkdtemp()
     tf.write_packed(docs, f"{where}/a", path, "space", 2, segment, shards)
     lib = Tokenizer.from_file(path)
-    lib.encode_special_tokens = True
     want, start = [], 0
     for r in sorted(corpus, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or "")):
         ids = np.array([*lib.encode(r[1] or "", add_special_tokens=False).ids, 2], "<u4")
