@@ -216,3 +216,11 @@ def op6_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from shoplens.llm.context_mixing import score
 
     return score(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op12_align_tokenizers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shoplens.llm.alignment import alignment
+
+    return alignment(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"),
+                     tokenizer_path("piece_bpe_32k.model"))
