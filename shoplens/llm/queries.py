@@ -224,3 +224,24 @@ def op12_align_tokenizers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     return alignment(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"),
                      tokenizer_path("piece_bpe_32k.model"))
+
+
+@_query
+def op13_seekable_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shoplens.llm.warc import read_records, write_bundles
+
+    path = f"{work_dir(spark, 'warc')}/bundles"
+    write_bundles(table(spark, sf_dir, "pages"), path)
+    return read_records(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+ORACLE["op13_seekable_warc"] = """
+WITH p AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes,
+                  sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT *, row_number() OVER (PARTITION BY payload_digest ORDER BY page_id NULLS LAST) AS k,
+             first_value(page_id) OVER (PARTITION BY payload_digest ORDER BY page_id NULLS LAST) AS least FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN k > 1 AND payload_bytes >= 100 THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN k > 1 AND payload_bytes >= 100 THEN least END AS refers_to
+FROM f
+"""
