@@ -245,3 +245,32 @@ SELECT page_id, payload_bytes, payload_digest,
        CASE WHEN k > 1 AND payload_bytes >= 100 THEN least END AS refers_to
 FROM f
 """
+
+
+@_query
+def op11_bit_sliced_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shoplens.llm.lexical import build_index, search
+
+    docs = table(spark, sf_dir, "documents")
+    return search(docs, build_index(docs), table(spark, sf_dir, "benchmark"))
+
+
+TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+ORACLE["op11_bit_sliced_search"] = f"""
+WITH t AS (SELECT doc_id, unnest(regexp_extract_all({_LOWER.format('text')}, '{TERM}')) AS term FROM documents),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY doc_id, term),
+n AS (SELECT doc_id, CAST(sum(tf) AS BIGINT) AS n FROM tf GROUP BY doc_id),
+c AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS len FROM n),
+m AS (SELECT doc_id, 100 - 25 + ((25 * n * docs) // len) AS m FROM n, c),
+q AS (SELECT item_id, term, count(*) AS k
+      FROM (SELECT item_id, unnest(regexp_extract_all({_LOWER.format('text')}, '{TERM}')) AS term FROM benchmark)
+      GROUP BY item_id, term),
+w AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w
+      FROM tf, c WHERE term IN (SELECT term FROM q) GROUP BY term, docs),
+s AS (SELECT item_id, doc_id, CAST(sum(k * w * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score
+      FROM q JOIN w USING (term) JOIN tf USING (term) JOIN m USING (doc_id) GROUP BY item_id, doc_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM r WHERE rank <= 20
+"""
