@@ -46,14 +46,13 @@ def mart_plans(oc: DataFrame, model_dir: str | None = None, **filters) -> dict[s
     def prediction() -> DataFrame:
         if not trained:
             return spark.createDataFrame([], PREDICTION_SCHEMA)
-        score = FC.by_model(FC.load_model(model_dir))
+        score = FC.by_model(FC.load_model(spark, model_dir))
         return FC.predict_next(score, TS.next_day_features(series()), FC.load_metrics(spark, model_dir))
 
     def explanation() -> DataFrame:
         if not trained:
             return spark.createDataFrame([], DRIVERS_SCHEMA)
-        score, split = FC.by_model(FC.load_model(model_dir)), TS.time_split(TS.clean_training(TS.time_features(series())))
-        return FC.prediction_drivers(score, TS.next_day_features(series()), split.where(F.col("split") == "train"))
+        return FC.prediction_drivers(FC.load_model(spark, model_dir), TS.next_day_features(series()))
 
     return {
         "metrics": lambda: M.metrics(oc, **filters),

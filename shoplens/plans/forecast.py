@@ -1,13 +1,11 @@
-"""Next-day revenue forecast (F6..F10, F12) with ``pyspark.ml``.
-
-The training table is one row per calendar day (bounded by the date span).
-The learner is Spark's gradient-boosted trees with the reference's settings
-(160 trees, depth 3, rate 0.05, 90% row sampling, 90% feature sampling,
-seed 42). Spark samples features per node, not per tree, so predictions
-are comparable in behaviour but not equal in value to the original
-boosted-tree library. Feature attributions are occlusion effects (replace
-one feature by its training mean, measure the change of the prediction);
-they are labelled ``occlusion_impact`` and are not SHAP values.
+"""Next-day revenue forecast (F6..F10, F12).
+
+The learner is ``plans.boosting`` with the reference's settings (160 trees,
+depth 3, rate 0.05, 90% of the rows and of the columns a tree, seed 42); its
+random draws are its own, so that predictions are comparable but not equal in
+value to another library's. Feature attributions are the Shapley values of the
+trees (``plans.attribution``). All functions take ``keys``: without any there is
+one series, with keys (e.g. the state) a model a series, trained in the same job.
 """
 
 from __future__ import annotations
@@ -15,44 +13,34 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shoplens.plans import attribution as AT
+from shoplens.plans import boosting as BO
 from shoplens.schema import FEATURE_COLUMNS, MODEL_SETTINGS, TARGET_COLUMN, TOP_DRIVERS
 from shoplens.session import materialize, path_exists
 
 #: rows with the feature columns -> the same rows with ``prediction``
 Score = Callable[[DataFrame], DataFrame]
 
-MODEL_TYPE = "GBTRegressor"
+MODEL_TYPE = "HistogramBoosting"
 METRIC_COLUMNS = ["mae", "rmse", "mape", "baseline_mae", "baseline_rmse", "baseline_mape",
                   "baseline_improvement_pct", "residual_std", "training_rows", "test_rows"]
 
 
-def assembler() -> VectorAssembler:
-    return VectorAssembler(inputCols=FEATURE_COLUMNS, outputCol="features", handleInvalid="error")
-
-
-def new_model() -> GBTRegressor:
-    m = MODEL_SETTINGS
-    return GBTRegressor(featuresCol="features", labelCol=TARGET_COLUMN, predictionCol="prediction",
-                        maxIter=m["n_trees"], maxDepth=m["max_depth"], stepSize=m["learning_rate"],
-                        subsamplingRate=m["row_sample"], featureSubsetStrategy=str(m["column_sample"]),
-                        seed=m["seed"], lossType="squared")
-
-
-def train_forecast(split: DataFrame) -> GBTRegressionModel:
-    """fit on the ``split == 'train'`` rows (error if there are none)."""
-    train = assembler().transform(split.where(F.col("split") == "train"))
+def train_forecast(split: DataFrame, keys: list[str] | None = None, settings: dict | None = None) -> DataFrame:
+    """the node table of a model a series, fitted on the ``split == 'train'``
+    rows (error if there are none) and written once."""
+    train = split.where(F.col("split") == "train")
     if train.limit(1).count() == 0:
         raise ValueError("no day is left to train on")
-    return new_model().fit(train)
+    nodes = BO.train(train, list(keys or []), FEATURE_COLUMNS, TARGET_COLUMN, {**MODEL_SETTINGS, **(settings or {})})
+    return materialize(nodes, "forest")
 
 
-def predict(model: GBTRegressionModel, rows: DataFrame) -> DataFrame:
-    return model.transform(assembler().transform(rows)).drop("features")
+def by_model(nodes: DataFrame, keys: list[str] | None = None) -> Score:
+    return BO.scorer(nodes, list(keys or []), FEATURE_COLUMNS)
 
 
 def _errors(y, p) -> list:
@@ -62,44 +50,40 @@ def _errors(y, p) -> list:
             F.coalesce(F.avg(F.when(nz, F.abs(e / y))) * 100.0, F.lit(0.0))]
 
 
-def by_model(model: GBTRegressionModel) -> Score:
-    return lambda rows: predict(model, rows)
-
-
-def forecast_metrics(score: Score, split: DataFrame) -> DataFrame:
+def forecast_metrics(score: Score, split: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """model and lag_1-baseline MAE / RMSE / MAPE on the test days,
     improvement %, residual population std, row counts; zeros without test days.
-    ``score`` adds ``prediction`` to rows with the features."""
+    ``score`` adds ``prediction`` to rows with the features. A row a series."""
+    keys = list(keys or [])
     scored = score(split.where(F.col("split") == "test"))
     y, p, b = F.col(TARGET_COLUMN), F.col("prediction"), F.col("lag_1")
     mae, rmse, mape = _errors(y, p)
     bmae, brmse, bmape = _errors(y, b)
-    test = scored.agg(mae.alias("mae"), rmse.alias("rmse"), mape.alias("mape"),
-                      bmae.alias("baseline_mae"), brmse.alias("baseline_rmse"), bmape.alias("baseline_mape"),
-                      F.stddev_pop(y - p).alias("residual_std"),
-                      F.count(F.lit(1)).alias("test_rows"))
-    train_n = split.agg(F.count(F.when(F.col("split") == "train", 1)).alias("training_rows"))
+    test = scored.groupBy(*keys).agg(
+        mae.alias("mae"), rmse.alias("rmse"), mape.alias("mape"),
+        bmae.alias("baseline_mae"), brmse.alias("baseline_rmse"), bmape.alias("baseline_mape"),
+        F.stddev_pop(y - p).alias("residual_std"), F.count(F.lit(1)).alias("test_rows"))
+    train_n = split.groupBy(*keys).agg(F.count(F.when(F.col("split") == "train", 1)).alias("training_rows"))
+    both = BO.on_series(train_n, test, keys, test.columns[len(keys):])
+    tests = F.coalesce("test_rows", F.lit(0))
     imp = F.when(F.col("baseline_mae") > 0,
                  (F.col("baseline_mae") - F.col("mae")) / F.col("baseline_mae") * 100.0).otherwise(F.lit(0.0))
-    zero = lambda c: F.when(F.col("test_rows") == 0, F.lit(0.0)).otherwise(F.coalesce(F.col(c), F.lit(0.0)))
-    return (test.crossJoin(train_n)
-            .select(F.lit(MODEL_TYPE).alias("model_type"),
-                    *[zero(c).alias(c) for c in ("mae", "rmse", "mape", "baseline_mae", "baseline_rmse",
-                                                 "baseline_mape")],
-                    F.when(F.col("test_rows") == 0, F.lit(0.0)).otherwise(imp).alias("baseline_improvement_pct"),
-                    zero("residual_std").alias("residual_std"),
-                    F.col("training_rows").cast("bigint"), F.col("test_rows").cast("bigint")))
+    zero = lambda c: F.when(tests == 0, F.lit(0.0)).otherwise(F.coalesce(F.col(c), F.lit(0.0)))
+    return both.select(*keys, F.lit(MODEL_TYPE).alias("model_type"),
+                       *[zero(c).alias(c) for c in ("mae", "rmse", "mape", "baseline_mae", "baseline_rmse", "baseline_mape")],
+                       F.when(tests == 0, F.lit(0.0)).otherwise(imp).alias("baseline_improvement_pct"),
+                       zero("residual_std").alias("residual_std"),
+                       F.col("training_rows").cast("bigint"), tests.cast("bigint").alias("test_rows"))
 
 
-def predict_next(score: Score, next_features: DataFrame, metrics: DataFrame) -> DataFrame:
+def predict_next(score: Score, next_features: DataFrame, metrics: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """F8: next-day prediction clamped at 0, band max(0, p - sigma) .. p + sigma."""
-    pred = score(next_features)
-    spread = metrics.select(F.coalesce(F.col("residual_std"), F.lit(0.0)).alias("_sd"))  # one row
-    p = F.greatest(F.col("prediction"), F.lit(0.0))
-    return (pred.crossJoin(F.broadcast(spread))
-            .select("date", p.alias("predicted_revenue"),
-                    F.greatest(p - F.col("_sd"), F.lit(0.0)).alias("lower_bound"),
-                    (p + F.col("_sd")).alias("upper_bound")))
+    keys = list(keys or [])
+    spread = metrics.select(*keys, F.coalesce(F.col("residual_std"), F.lit(0.0)).alias("_sd"))  # a row a series
+    p, sd = F.greatest(F.col("prediction"), F.lit(0.0)), F.coalesce("_sd", F.lit(0.0))
+    return (BO.on_series(score(next_features), spread, keys, ["_sd"])
+            .select(*keys, "date", p.alias("predicted_revenue"),
+                    F.greatest(p - sd, F.lit(0.0)).alias("lower_bound"), (p + sd).alias("upper_bound")))
 
 
 def _occlusion_effects(score: Score, rows: DataFrame, reference: DataFrame) -> DataFrame:
@@ -118,18 +102,9 @@ def _occlusion_effects(score: Score, rows: DataFrame, reference: DataFrame) -> D
         (F.col("_p") - F.col("prediction")).alias("impact"))
 
 
-def feature_importance(score: Score, train: DataFrame, n: int | None = None) -> DataFrame:
-    """mean |occlusion effect| per feature over the training days, ranked; the first ``n`` if given."""
-    eff = _occlusion_effects(score, train, train)
-    ranked = (eff.groupBy("feature", "feature_index").agg(F.avg(F.abs("impact")).alias("occlusion_impact"))
-              .orderBy(F.desc("occlusion_impact"), "feature_index")
-              .select("feature", "occlusion_impact"))
-    return ranked.limit(int(n)) if n else ranked
-
-
-def prediction_drivers(score: Score, next_features: DataFrame, train: DataFrame,
-                       n: int = TOP_DRIVERS) -> DataFrame:
-    """the ``n`` features with the largest |effect| on the next-day prediction."""
+def occlusion_drivers(score: Score, next_features: DataFrame, train: DataFrame, n: int = TOP_DRIVERS) -> DataFrame:
+    """For a predictor without trees: the ``n`` features whose replacement by
+    their training mean changes the next-day prediction most."""
     eff = _occlusion_effects(score, next_features, train)
     values = next_features.select(F.posexplode(F.array(*[F.col(c).cast("double") for c in FEATURE_COLUMNS]))
                                   .alias("feature_index", "value"))
@@ -138,43 +113,55 @@ def prediction_drivers(score: Score, next_features: DataFrame, train: DataFrame,
             .select("feature", "value", "impact"))
 
 
-def training_split(oc: DataFrame) -> DataFrame:
-    """F1..F5 of the fact, written once: one row per calendar day, in one
-    partition, so that the learner's many passes are many small reads."""
+def feature_importance(nodes: DataFrame, train: DataFrame, n: int | None = None, keys: list[str] | None = None) -> DataFrame:
+    """mean |Shapley value| of each feature over the training days, ranked; the first ``n`` if given."""
+    keys = list(keys or [])
+    ranked = (AT.mean_impact(nodes, train, keys, FEATURE_COLUMNS)
+              .orderBy(*keys, F.desc("mean_abs_shap"), "feature_index").select(*keys, "feature", "mean_abs_shap"))
+    return ranked.limit(int(n)) if n else ranked
+
+
+def prediction_drivers(nodes: DataFrame, next_features: DataFrame, n: int = TOP_DRIVERS,
+                       keys: list[str] | None = None) -> DataFrame:
+    """the ``n`` features with the largest |Shapley value| for the next-day prediction."""
+    keys = list(keys or [])
+    impacts = AT.row_impacts(nodes, next_features, keys, FEATURE_COLUMNS)
+    return AT.top_impacts(impacts, keys, n).select(*keys, "feature", "value", "impact")
+
+
+def training_split(oc: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """F1..F5 of the fact, written once: one row per series and calendar day."""
     from shoplens.plans import timeseries as TS
 
-    split = TS.time_split(TS.clean_training(TS.time_features(TS.daily_series(oc))))
-    return materialize(split.coalesce(1), "forecast_split")
+    split = TS.time_split(TS.clean_training(TS.time_features(TS.daily_series(oc, keys), keys), keys), keys)
+    return materialize(split if keys else split.coalesce(1), "forecast_split")
 
 
-def train_and_save(oc: DataFrame, path: str, split: DataFrame | None = None) -> DataFrame:
+def train_and_save(oc: DataFrame, path: str, split: DataFrame | None = None, keys: list[str] | None = None) -> DataFrame:
     """F1..F9 + F12 in one call: series, features, split, fit, metrics,
     importance, all saved under ``path``; returns the stored metrics.
     ``split`` may be passed when the caller already built (and wrote) it."""
-    spark = oc.sparkSession
     if split is None:
-        split = training_split(oc)
-    # rows are days, bounded by the calendar: kept in memory over the rounds of boosting
-    split = split.coalesce(1).persist()
-    try:
-        model = train_forecast(split)
-        metrics = forecast_metrics(by_model(model), split)
-        importance = feature_importance(by_model(model), split.where(F.col("split") == "train"))
-        save_model(model, metrics, importance, path)
-    finally:
-        split.unpersist()
-    return load_metrics(spark, path)
+        split = training_split(oc, keys)
+    nodes = train_forecast(split, keys)
+    metrics = forecast_metrics(by_model(nodes, keys), split, keys)
+    importance = feature_importance(nodes, split.where(F.col("split") == "train"), keys=keys)
+    save_model(nodes, metrics, importance, path)
+    return load_metrics(oc.sparkSession, path, keys)
 
 
 # ---- F12 persistence -------------------------------------------------------------------------
 
-METRICS_SCHEMA = ", ".join(["model_type string", *(f"{c} double" for c in METRIC_COLUMNS[:-2]), "training_rows bigint",
-                            "test_rows bigint", "model_version string", "features array<string>",
-                            "last_trained_at string"])
+
+def _metrics_schema(keys: list[str]) -> str:
+    return ", ".join([*(f"`{k}` string" for k in keys), "model_type string", *(f"{c} double" for c in METRIC_COLUMNS[:-2]),
+                      "training_rows bigint", "test_rows bigint", "model_version string", "features array<string>",
+                      "last_trained_at string"])
 
 
-def save_model(model: GBTRegressionModel, metrics: DataFrame, importance: DataFrame, path: str) -> None:
-    model.write().overwrite().save(f"{path}/model")
+def save_model(nodes: DataFrame, metrics: DataFrame, importance: DataFrame, path: str) -> None:
+    """The model's nodes, its metrics with version, features and time, and the importances."""
+    nodes.write.mode("overwrite").parquet(f"{path}/model")
     now = dt.datetime.now(dt.timezone.utc)
     (metrics.withColumns({"model_version": F.lit(f"{MODEL_TYPE}-{now:%Y%m%d%H%M%S}"),
                           "features": F.array(*[F.lit(c) for c in FEATURE_COLUMNS]),
@@ -183,21 +170,23 @@ def save_model(model: GBTRegressionModel, metrics: DataFrame, importance: DataFr
     importance.coalesce(1).write.mode("overwrite").json(f"{path}/importance")
 
 
-def load_model(path: str) -> GBTRegressionModel:
-    return GBTRegressionModel.load(f"{path}/model")
+def load_model(spark: SparkSession, path: str) -> DataFrame:
+    """The node table; raises if there is none."""
+    return spark.read.parquet(f"{path}/model")
 
 
 def load_importance(spark: SparkSession, path: str, n: int | None = None) -> DataFrame:
     """F9 as saved, largest first; the first ``n`` if given."""
-    df = (spark.read.schema("feature string, occlusion_impact double").json(f"{path}/importance")
-          .orderBy(F.desc("occlusion_impact"), "feature"))
+    df = (spark.read.schema("feature string, mean_abs_shap double").json(f"{path}/importance")
+          .orderBy(F.desc("mean_abs_shap"), "feature"))
     return df.limit(int(n)) if n else df
 
 
-def load_metrics(spark: SparkSession, path: str) -> DataFrame:
+def load_metrics(spark: SparkSession, path: str, keys: list[str] | None = None) -> DataFrame:
     """Stored metrics, or one row of NULL metrics when nothing was trained
     (no folder). A store that is there and can't be read raises."""
+    schema = _metrics_schema(list(keys or []))
     if path_exists(spark, f"{path}/metrics"):
-        return spark.read.schema(METRICS_SCHEMA).option("mode", "FAILFAST").json(f"{path}/metrics")
+        return spark.read.schema(schema).option("mode", "FAILFAST").json(f"{path}/metrics")
     row = {"model_type": MODEL_TYPE, "features": list(FEATURE_COLUMNS)}
-    return spark.createDataFrame([row], METRICS_SCHEMA)
+    return spark.createDataFrame([row], schema)

@@ -933,7 +933,7 @@ def trained(spark, sf_dir):
         FC.train_and_save(oc(spark, sf_dir), path, split)
         _MODEL_CACHE[key] = (path, split, nxt)
     path, split, nxt = _MODEL_CACHE[key]
-    return FC.by_model(FC.load_model(path)), split, nxt, path
+    return FC.load_model(spark, path), split, nxt, path
 
 
 BASELINE_SQL = """
@@ -1009,26 +1009,166 @@ def q_next_day_prediction_fixed(spark, sf_dir):
     return round_doubles(FC.predict_next(by_mean, nxt, FC.forecast_metrics(by_mean, split)))
 
 
-@register("prediction_drivers_fixed", with_oc("""
+@register("occlusion_drivers_fixed", with_oc("""
 SELECT 'rolling_mean_7' AS feature, ROUND_EVEN(p, 6) AS value, ROUND_EVEN(p - m, 6) AS impact
 FROM last_mean, train_mean""", SCORED_CTE))
-def q_prediction_drivers_fixed(spark, sf_dir):
-    """F10 with a fixed prediction: only the mean itself drives it."""
+def q_occlusion_drivers_fixed(spark, sf_dir):
+    """Drivers of a fixed prediction by occlusion: only the mean itself drives it."""
     split, nxt = training_frames(spark, sf_dir)
-    drivers = FC.prediction_drivers(by_mean, nxt, split.where(F.col("split") == "train"))
+    drivers = FC.occlusion_drivers(by_mean, nxt, split.where(F.col("split") == "train"))
     return round_doubles(drivers.where("impact <> 0"))
 
 
+# a fixed model: base 100 and two trees, one of which asks lag_1 twice on a path
+_F = FEATURE_COLUMNS.index
+FIXED_NODES = [
+    (0, 1, None, None, 100.0, 100.0),
+    (1, 1, _F("day_of_week"), 4.5, 100.0, None), (1, 2, _F("lag_1"), 5e6, 70.0, None), (1, 3, _F("day_of_month"), 15.5, 30.0, None),
+    (1, 4, None, None, 40.0, 10.0), (1, 5, None, None, 30.0, -4.0), (1, 6, None, None, 12.0, 7.0), (1, 7, None, None, 18.0, -20.0),
+    (2, 1, _F("lag_1"), 3e6, 100.0, None), (2, 2, _F("lag_1"), 1e6, 25.0, None), (2, 3, _F("month"), 6.5, 75.0, None),
+    (2, 4, None, None, 5.0, 3.0), (2, 5, None, None, 20.0, 1.5), (2, 6, None, None, 50.0, -2.0), (2, 7, None, None, 25.0, 8.25)]
+
+
+def fixed_forest(spark):
+    from shoplens.plans.boosting import NODE_FIELDS
+
+    return spark.createDataFrame(FIXED_NODES, NODE_FIELDS)
+
+
+def game_cte(rows: str) -> str:
+    """Shapley values of the fixed model from the definition: the value of every
+    set of its four features, and the mean gain of a feature over all sets."""
+    known = lambda bit, cond, share: f"CASE WHEN s & {bit} > 0 THEN CAST({cond} AS DOUBLE) ELSE {share} END"
+    dow, dom = known(1, "(day_of_week <= 4.5)::INT", "0.7"), known(2, "(day_of_month <= 15.5)::INT", "12 / 30.0")
+    month = known(4, "(month <= 6.5)::INT", "50 / 75.0")
+    lag = lambda at, share: known(8, f"(lag_1 <= {at})::INT", share)
+    return f"""
+share AS (SELECT r.date, r.day_of_week, r.day_of_month, r.month, r.lag_1, s, {dow} AS dow, {dom} AS dom, {month} AS mon,
+                 {lag('5e6', '40 / 70.0')} AS l5, {lag('3e6', '0.25')} AS l3, {lag('1e6', '5 / 25.0')} AS l1
+          FROM ({rows}) r CROSS JOIN (SELECT UNNEST(range(16)) AS s)),
+game AS (SELECT *, 100 + dow * (l5 * 10 + (1 - l5) * -4) + (1 - dow) * (dom * 7 + (1 - dom) * -20)
+                   + l3 * (l1 * 3 + (1 - l1) * 1.5) + (1 - l3) * (mon * -2 + (1 - mon) * 8.25) AS v FROM share),
+player AS (SELECT * FROM (VALUES (0, 'day_of_week', 0), (1, 'day_of_month', 1), (2, 'month', 2), (3, 'lag_1', 5)) t(bit, feature, idx)),
+shap AS (SELECT a.date, p.feature, p.idx,
+                SUM((b.v - a.v) * CASE bit_count(a.s) WHEN 0 THEN 1 / 4.0 WHEN 1 THEN 1 / 12.0 WHEN 2 THEN 1 / 12.0 ELSE 1 / 4.0 END) AS impact
+         FROM game a CROSS JOIN player p JOIN game b ON a.date = b.date AND (a.s >> p.bit) % 2 = 0 AND b.s = a.s + (1 << p.bit)
+         GROUP BY a.date, p.feature, p.idx)"""
+
+
+_USED = "('day_of_week', 'day_of_month', 'month', 'lag_1')"
+_UNUSED = [f for f in FEATURE_COLUMNS if f not in _USED]
+DAYS_CTE = FEATURES_CTE + """,
+numbered_days AS (SELECT *, ROW_NUMBER() OVER (ORDER BY date) AS position, COUNT(*) OVER () AS n
+                  FROM features WHERE daily_revenue IS NOT NULL),
+parts AS (SELECT *, n < 5 OR position <= LEAST(GREATEST(FLOOR(n * 0.8), 1), n - 1) AS train FROM numbered_days)"""
+
+
+@register("feature_importance_fixed", with_oc(f"""
+SELECT feature, ROUND_EVEN(AVG(ABS(impact)), 6) AS mean_abs_shap FROM shap GROUP BY feature
+UNION ALL SELECT UNNEST({_UNUSED}), 0.0""", DAYS_CTE + "," + game_cte("SELECT * FROM parts WHERE train")))
+def q_feature_importance_fixed(spark, sf_dir):
+    """F9 of a fixed forest over the training days; SQL takes the definition."""
+    split, _ = training_frames(spark, sf_dir)
+    return round_doubles(FC.feature_importance(fixed_forest(spark), split.where(F.col("split") == "train")))
+
+
+@register("prediction_drivers_fixed", with_oc(f"""
+SELECT feature, ROUND_EVEN(CASE feature WHEN 'day_of_week' THEN day_of_week WHEN 'day_of_month' THEN day_of_month
+                                        WHEN 'month' THEN month ELSE lag_1 END, 6) AS value, ROUND_EVEN(impact, 6) AS impact
+FROM shap JOIN nf USING (date) WHERE impact <> 0 ORDER BY ABS(impact) DESC, idx LIMIT 4""", NEXT_DAY_CTE + """,
+nf AS (SELECT date, CAST(isodow(date) - 1 AS DOUBLE) AS day_of_week, CAST(dayofmonth(date) AS DOUBLE) AS day_of_month,
+              CAST(month(date) AS DOUBLE) AS month, v1 AS lag_1 FROM nd),""" + game_cte("SELECT * FROM nf")))
+def q_prediction_drivers_fixed(spark, sf_dir):
+    """F10 of a fixed forest for the next day; SQL takes the definition."""
+    _, nxt = training_frames(spark, sf_dir)
+    return round_doubles(FC.prediction_drivers(fixed_forest(spark), nxt, 4).where("impact <> 0"))
+
+
+@register("model_roundtrip", with_oc("""
+SELECT date, CAST(ROUND_EVEN(p, 6) AS DOUBLE) AS prediction, ROUND_EVEN(AVG(ABS(daily_revenue - p)) OVER (), 4) AS mae,
+       CAST(COUNT(*) OVER () AS BIGINT) AS test_rows
+FROM (SELECT date, daily_revenue,
+             100 + CASE WHEN day_of_week <= 4.5 THEN CASE WHEN lag_1 <= 5e6 THEN 10 ELSE -4 END
+                        ELSE CASE WHEN day_of_month <= 15.5 THEN 7 ELSE -20 END END
+                 + CASE WHEN lag_1 <= 3e6 THEN CASE WHEN lag_1 <= 1e6 THEN 3 ELSE 1.5 END
+                        ELSE CASE WHEN month <= 6.5 THEN -2 ELSE 8.25 END END AS p FROM parts WHERE NOT train)""", DAYS_CTE))
+def q_model_roundtrip(spark, sf_dir):
+    """a fixed model and its metrics saved, loaded, and used on the test days."""
+    split, _ = training_frames(spark, sf_dir)
+    split, nodes, path = materialize(split.coalesce(1), "split"), fixed_forest(spark), work_dir(spark, "fixed-model")
+    FC.save_model(nodes, FC.forecast_metrics(FC.by_model(nodes), split),
+                  FC.feature_importance(nodes, split.where(F.col("split") == "train")), path)
+    scored = FC.by_model(FC.load_model(spark, path))(split.where(F.col("split") == "test"))
+    metrics = FC.load_metrics(spark, path).select(F.bround("mae", 4).alias("mae"), "test_rows")
+    return scored.select("date", F.bround("prediction", 6).alias("prediction")).crossJoin(F.broadcast(metrics))
+
+
+@register("attributions_add_up", with_oc("SELECT CAST(COUNT(*) AS BIGINT) AS days, CAST(0 AS BIGINT) AS off FROM parts", DAYS_CTE))
+def q_attributions_add_up(spark, sf_dir):
+    """F9 of the trained model over all days: a day's attributions and the
+    expected value are its prediction, to one part in 10^9."""
+    from shoplens.plans import attribution as AT
+
+    nodes, split, _, _ = trained(spark, sf_dir)
+    sums = AT.attributions(nodes, split, [], FEATURE_COLUMNS).groupBy("date").agg(F.sum("impact").alias("impacts"))
+    both = (FC.by_model(nodes)(split).select("date", "prediction").join(sums, "date")
+            .crossJoin(F.broadcast(AT.expected_value(nodes, []))))
+    gap = F.abs(F.col("prediction") - F.col("impacts") - F.col("expected"))
+    return both.agg(F.count(F.lit(1)).alias("days"), F.count(F.when(gap > 1e-9 * F.abs("prediction"), 1)).alias("off"))
+
+
+def state_frames(spark, sf_dir):
+    """(split features, next-day features) of every state."""
+    keys = ["customer_state"]
+    series = TS.daily_series(oc(spark, sf_dir), keys)
+    split = TS.time_split(TS.clean_training(TS.time_features(series, keys), keys), keys)
+    return split, TS.next_day_features(series, keys)
+
+
+STATE_METRICS = ["mae", "rmse", "mape", "baseline_improvement_pct", "residual_std", "training_rows", "test_rows"]
+
+
+@register("state_forecast_metrics_fixed", with_oc("""
+SELECT customer_state, ROUND_EVEN(COALESCE(mae, 0), 6) AS mae, ROUND_EVEN(COALESCE(rmse, 0), 6) AS rmse,
+       ROUND_EVEN(COALESCE(mape, 0), 6) AS mape,
+       ROUND_EVEN(CASE WHEN baseline_mae > 0 THEN (baseline_mae - mae) / baseline_mae * 100 ELSE 0 END, 6) AS baseline_improvement_pct,
+       ROUND_EVEN(COALESCE(residual_std, 0), 6) AS residual_std, training_rows, test_rows
+FROM (SELECT customer_state, AVG(ABS(e)) AS mae, SQRT(AVG(e * e)) AS rmse,
+             AVG(CASE WHEN daily_revenue <> 0 THEN ABS(e / daily_revenue) END) * 100 AS mape, AVG(ABS(b)) AS baseline_mae,
+             STDDEV_POP(e) AS residual_std, CAST(COUNT(*) - COUNT(e) AS BIGINT) AS training_rows, CAST(COUNT(e) AS BIGINT) AS test_rows
+      FROM (SELECT *, CASE WHEN NOT train THEN daily_revenue - rolling_mean_7 END AS e,
+                   CASE WHEN NOT train THEN daily_revenue - lag_1 END AS b FROM sparts) GROUP BY customer_state)""",
+    STATE_SERIES_CTE + "," + features_cte("sseries", "customer_state", "s") + """,
+snum AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY customer_state ORDER BY date) AS position,
+                COUNT(*) OVER (PARTITION BY customer_state) AS n FROM sfeatures WHERE daily_revenue IS NOT NULL),
+sparts AS (SELECT *, n < 5 OR position <= LEAST(GREATEST(FLOOR(n * 0.8), 1), n - 1) AS train FROM snum)"""))
+def q_state_forecast_metrics_fixed(spark, sf_dir):
+    """F7 of every state with a fixed prediction."""
+    split, _ = state_frames(spark, sf_dir)
+    return round_doubles(FC.forecast_metrics(by_mean, split, ["customer_state"]).select("customer_state", *STATE_METRICS))
+
+
+@register("state_forecast")
+def q_state_forecast(spark, sf_dir):
+    """F6, F7, F8 of every state: a model each, all trained by one job."""
+    keys = ["customer_state"]
+    split, nxt = state_frames(spark, sf_dir)
+    split = materialize(split, "state_split")
+    nodes = FC.train_forecast(split, keys)
+    metrics = materialize(FC.forecast_metrics(FC.by_model(nodes, keys), split, keys), "state_metrics")
+    return FC.predict_next(FC.by_model(nodes, keys), nxt, metrics, keys).join(metrics.select(*keys, *STATE_METRICS), keys)
+
+
 @register("next_day_prediction")
 def q_next_day_prediction(spark, sf_dir):
     """F8."""
-    model, split, nxt, path = trained(spark, sf_dir)
-    return FC.predict_next(model, nxt, FC.load_metrics(spark, path))
+    model, _, nxt, path = trained(spark, sf_dir)
+    return FC.predict_next(FC.by_model(model), nxt, FC.load_metrics(spark, path))
 
 
 @register("feature_importance")
 def q_feature_importance(spark, sf_dir):
-    """F9 (occlusion impact, not SHAP)."""
+    """mean size of the Shapley values over the training days."""
     _, _, _, path = trained(spark, sf_dir)
     return FC.load_importance(spark, path)
 
@@ -1043,8 +1183,8 @@ def q_top_importances(spark, sf_dir):
 @register("prediction_drivers")
 def q_prediction_drivers(spark, sf_dir):
     """top-5 drivers of the next-day prediction."""
-    model, split, nxt, _ = trained(spark, sf_dir)
-    return FC.prediction_drivers(model, nxt, split.where(F.col("split") == "train"))
+    model, _, nxt, _ = trained(spark, sf_dir)
+    return FC.prediction_drivers(model, nxt)
 
 
 # ---- presentation relations ---------------------------------------------------------------
@@ -1115,18 +1255,18 @@ def q_top_root_causes(spark, sf_dir):
 BUNDLE = ["metrics", "daily_revenue", "daily_orders", "data_growth", "anomalies", "category_analysis",
           "customer_segments", "weekday_analysis", "insights", "recommendations", "geo_analysis", "cohort_retention",
           "revenue_decomposition", "churn_risk", "anomaly_root_cause", "customer_ltv", "filter_summary"]
-#: rows of the tables that come from the model, before one is trained
-UNTRAINED = {"prediction": 0, "model_metrics": 1, "prediction_explanation": 0}
+#: rows of the tables that come from a trained model
+TRAINED = {"prediction": 1, "model_metrics": 1, "prediction_explanation": 5}
 BUNDLE_SQL = "\nUNION ALL\n".join(
     [f"SELECT '{name}' AS mart, 'ok' AS status, CAST(COUNT(*) AS BIGINT) AS rows FROM ({ORACLE[name]})" for name in BUNDLE]
-    + [f"SELECT '{name}', 'ok', CAST({n} AS BIGINT)" for name, n in UNTRAINED.items()])
+    + [f"SELECT '{name}', 'ok', CAST({n} AS BIGINT)" for name, n in TRAINED.items()])
 
 
 @register("marts_bundle", BUNDLE_SQL)
 def q_marts_bundle(spark, sf_dir):
-    """Every table written; returns each one's status and rows."""
-    out = work_dir(spark, "marts")
-    return BU.mart_status(spark, out, BU.materialize_marts(spark, oc(spark, sf_dir), out))
+    """Every table written, those of the trained model too; returns each one's status and rows."""
+    out, (_, _, _, model) = work_dir(spark, "marts"), trained(spark, sf_dir)
+    return BU.mart_status(spark, out, BU.materialize_marts(spark, oc(spark, sf_dir), out, model))
 
 
 @register("refresh_after_ingest", with_oc("""
