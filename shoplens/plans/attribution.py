@@ -70,7 +70,9 @@ def attributions(nodes: DataFrame, rows: DataFrame, keys: list[str], features: l
     ``row_id`` tells the rows of a series apart."""
     per_series = path_impacts(nodes, keys).groupBy(*keys).agg(F.collect_list(F.struct("conds", "impacts")).alias("_paths"))
     x = F.array(*(F.col(f).cast("double") for f in features)).alias("_x")
-    each = on_series(rows.select(*keys, row_id, x), per_series, keys, ["_paths"])
+    # few rows, each met by all paths of its series: spread by row, which the sum below needs as well
+    spread = rows.select(*keys, row_id, x).repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys, row_id)
+    each = on_series(spread, per_series, keys, ["_paths"])
     each = each.select(*keys, row_id, "_x", F.explode("_paths").alias("p"))
     places = F.filter(F.sequence(F.lit(0), F.size("p.conds")), lambda k: k < F.size("p.conds"))
     pattern = F.aggregate(places, F.lit(0), lambda acc, k: acc + F.when(
