@@ -1,28 +1,44 @@
-"""Keyed upsert into the month-partitioned clean table (Parquet has no MERGE).
-
-1. de-duplicate the batch on the key (the database would reject a batch
-   that hits one key twice; we keep one row deterministically and report it);
-2. read only the target months the batch touches (partition pruning);
-3. ``target ▷ batch`` (left anti join on the key) ∪ batch;
-4. write that to ``<target>-stage``; Spark's ``_SUCCESS`` file says that it is
-   whole. Then overwrite just the touched month partitions of the target from
-   it (dynamic partition overwrite), and remove the stage.
-
-A run that dies in step 4 leaves a whole stage behind; the next upsert (or
-:func:`finish_stage`, which readers may call) finishes it first, so no month is
-lost. A stage without ``_SUCCESS`` is overwritten: the target is untouched by
-then. Replaying a batch gives the same table.
+"""Keyed upsert into the month-partitioned clean table, file by file.
+
+Parquet has no MERGE. What is rewritten are the files that hold a key of the
+batch, not the months they lie in:
+
+1. the batch is written once and reduced to one row a key (the database would
+   reject a batch that hits one key twice; we keep one and report it);
+2. the keys of the touched months are read with their ``_metadata.file_path`` and
+   joined with the batch's keys: the files with a hit are the *old* files. New
+   keys alone touch no file. A month that has gathered more than ``SMALL_FILES``
+   small files has these rewritten along, so that appends don't pile up;
+3. the rows of the old files whose key isn't in the batch, and the batch, are
+   written to ``<target>-stage/data``; ``<target>-stage/old`` lists the old
+   files. Spark's ``_SUCCESS`` file in ``data``, written last, says that both are whole;
+4. :func:`finish_stage` moves the stage's files into the target, then deletes the
+   old files, then the stage.
+
+A run that dies before the stage is whole leaves the target as it was, and the
+next one starts anew. A run that dies in step 4 loses no row: the files that are
+still in the stage are moved, the old files that are still there deleted, by
+the next upsert or by a reader that calls :func:`finish_stage` (until then rows
+may stand twice). Replaying a batch gives the same table.
 """
 
 from __future__ import annotations
 
+from urllib.parse import unquote, urlsplit
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from shoplens.schema import CLEAN_COLUMNS, PK_COLUMNS
+from shoplens.schema import CLEAN_COLUMNS, CLEAN_SCHEMA, PK_COLUMNS
 from shoplens.session import materialize, path_exists, remove_path
 from shoplens.sources.clean_store import PARTITION_COLUMN, with_partition
 
+#: small files that a month may have before an upsert that touches it merges them
+SMALL_FILES, SMALL_BYTES = 16, 16 << 20
+
+STORED = T.StructType([*CLEAN_SCHEMA.fields, T.StructField(PARTITION_COLUMN, T.DateType())])
+
 
 def _has_table(spark: SparkSession, path: str) -> bool:
     """True when ``path`` holds data (a folder with visible entries)."""
@@ -38,19 +54,46 @@ def _stage_path(target_path: str) -> str:
     return f"{target_path.rstrip('/')}-stage"
 
 
-def _write_months(df: DataFrame, path: str, overwrite: str) -> None:
+def _write_months(df: DataFrame, path: str) -> None:
     (df.hint("rebalance", PARTITION_COLUMN).sortWithinPartitions("order_date", "order_id", "product_id")
-     .write.mode("overwrite").option("partitionOverwriteMode", overwrite).partitionBy(PARTITION_COLUMN).parquet(path))
+     .write.partitionBy(PARTITION_COLUMN).parquet(path))
+
+
+def _file_system(spark: SparkSession, path: str):
+    hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hpath, hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _data_files(spark: SparkSession, path: str) -> list[str]:
+    """``<month folder>/<file>`` of the data files below ``path``."""
+    hpath, fs = _file_system(spark, path)
+    found, walk = [], fs.listFiles(hpath, True)
+    while walk.hasNext():
+        at = walk.next().getPath()
+        if not at.getName().startswith(("_", ".")):
+            found.append(f"{at.getParent().getName()}/{at.getName()}")
+    return found
+
+
+def _move(spark: SparkSession, source: str, target: str) -> None:
+    from_path, fs = _file_system(spark, source)
+    to_path, _ = _file_system(spark, target)
+    fs.mkdirs(to_path.getParent())
+    if not fs.rename(from_path, to_path):
+        raise RuntimeError(f"could not move {source} to {target}")
 
 
 def finish_stage(spark: SparkSession, target_path: str) -> bool:
-    """Move a whole stage into the target; False if there is none."""
-    stage = _stage_path(target_path)
-    if not path_exists(spark, f"{stage}/_SUCCESS"):
+    """Bring a whole stage into the target; False if there is none."""
+    stage, target = _stage_path(target_path), target_path.rstrip("/")
+    if not path_exists(spark, f"{stage}/data/_SUCCESS"):
         return False
-    if _has_table(spark, stage):
-        _write_months(spark.read.parquet(stage).select(*CLEAN_COLUMNS, PARTITION_COLUMN), target_path, "dynamic")
+    for name in _data_files(spark, f"{stage}/data"):
+        _move(spark, f"{stage}/data/{name}", f"{target}/{name}")
+    for r in spark.read.schema("file string").json(f"{stage}/old").collect():  # a row a file
+        remove_path(spark, f"{target}/{r['file']}")
     remove_path(spark, stage)
+    spark.catalog.refreshByPath(target)
     return True
 
 
@@ -73,12 +116,37 @@ def merge_frames(target: DataFrame, batch: DataFrame, keys: list[str] | None = N
     return kept.select(*batch.columns).unionByName(batch)
 
 
+def _relative(uri: str) -> str:
+    """``<month folder>/<file>`` of a ``_metadata.file_path``."""
+    return "/".join(unquote(urlsplit(uri).path).split("/")[-2:])
+
+
+def old_files(spark: SparkSession, target_path: str, batch: DataFrame, months: list, keys: list[str]) -> dict:
+    """Files of the touched months: ``rewrite`` (a key of the batch lies there, or
+    one of too many small files) and ``keep``, as {relative name: bytes}. Only the key
+    columns are read."""
+    stored = spark.read.schema(STORED).parquet(target_path).where(F.col(PARTITION_COLUMN).isin(months))
+    there = stored.select(*keys, PARTITION_COLUMN, F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_size").alias("_bytes"))
+    hits = (there.join(batch.select(*keys, F.lit(1).alias("_hit")), keys, "left")
+            .groupBy(PARTITION_COLUMN, "_file", "_bytes").agg(F.max("_hit").alias("hit")).collect())  # a row a file
+    small: dict = {}
+    for r in hits:
+        if r["_bytes"] < SMALL_BYTES:
+            small[r[PARTITION_COLUMN]] = small.get(r[PARTITION_COLUMN], 0) + 1
+    out: dict = {"rewrite": {}, "keep": {}}
+    for r in hits:
+        many = r["_bytes"] < SMALL_BYTES and small[r[PARTITION_COLUMN]] > SMALL_FILES
+        out["rewrite" if r["hit"] or many else "keep"][_relative(r["_file"])] = r["_bytes"]
+    return out
+
+
 def upsert(spark: SparkSession, target_path: str, batch: DataFrame, keys: list[str] | None = None,
            order_col: str | None = None) -> dict:
     """Upsert ``batch`` into the table at ``target_path``; ``order_col`` orders
     rows of one key inside the batch (the largest value is applied last)."""
-    keys = keys or PK_COLUMNS
-    finish_stage(spark, target_path)
+    keys, target = keys or PK_COLUMNS, target_path.rstrip("/")
+    finish_stage(spark, target)
+    remove_path(spark, _stage_path(target))  # one that isn't whole
     batch = materialize(batch.select(*CLEAN_COLUMNS, *([order_col] if order_col else [])), "upsert_batch")
     # one small job: row count, distinct keys and the months the batch
     # touches (a handful of values, bounded by the calendar)
@@ -87,15 +155,21 @@ def upsert(spark: SparkSession, target_path: str, batch: DataFrame, keys: list[s
                F.count_distinct(*[F.col(k) for k in keys]).alias("rows_out"),
                F.collect_set(PARTITION_COLUMN).alias("months"))
           .first())
-    months = list(st["months"])
+    months, files = list(st["months"]), {"rewrite": {}, "keep": {}}
     if st["rows_in"]:
         # the key-level de-duplication (an aggregate) only when needed
         clean = with_partition(batch.select(*CLEAN_COLUMNS) if st["rows_in"] == st["rows_out"]
                                else dedup_batch(batch, keys, order_col))
-        if _has_table(spark, target_path):
-            touched = spark.read.parquet(target_path).where(F.col(PARTITION_COLUMN).isin(months))
-            clean = merge_frames(touched.select(*CLEAN_COLUMNS, PARTITION_COLUMN), clean, keys)
-        _write_months(clean, _stage_path(target_path), "static")
-        finish_stage(spark, target_path)
+        if _has_table(spark, target):
+            files = old_files(spark, target, clean, months, keys)
+        if files["rewrite"]:
+            touched = spark.read.schema(STORED).option("basePath", target).parquet(*(f"{target}/{f}" for f in files["rewrite"]))
+            clean = merge_frames(touched, clean, keys)
+        stage = _stage_path(target)
+        spark.createDataFrame([(f,) for f in files["rewrite"]], "file string").coalesce(1).write.json(f"{stage}/old")
+        _write_months(clean, f"{stage}/data")
+        finish_stage(spark, target)
     return {"rows_in": st["rows_in"], "rows_upserted": st["rows_out"],
-            "duplicate_keys_dropped": st["rows_in"] - st["rows_out"], "months_touched": len(months)}
+            "duplicate_keys_dropped": st["rows_in"] - st["rows_out"], "months_touched": len(months),
+            "files_rewritten": len(files["rewrite"]), "bytes_rewritten": sum(files["rewrite"].values()),
+            "files_kept": len(files["keep"])}

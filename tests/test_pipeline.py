@@ -140,26 +140,79 @@ def test_stopped_half_way(spark):
     assert batch_progress(spark, batch_dir, ckpt).where("rows <> consumed").count() == 0
 
 
-def test_upsert_dies_between_stage_and_target(spark, monkeypatch):
-    """The months of the target are gone, the stage is whole: the next upsert restores them."""
+def files_of(spark, target):
+    from shoplens.sources import upsert as U
+    return set(U._data_files(spark, target))
+
+
+def shown(spark, target):
+    return sorted((r.order_id, str(r.payment_value)) for r in read_clean(spark, target).collect())
+
+
+@pytest.mark.parametrize("step", range(7))
+def test_upsert_dies_at_any_step(spark, monkeypatch, step):
+    """Journal, data, each move, each delete: no row is lost, and the next upsert finishes."""
     from shoplens.sources import upsert as U
     target = work_dir(spark, "t-crash")
     write_clean(three_rows(spark), target)
-    batch = clean_frame(spark, [row("o1", "c", "p1", "2024-01-01", 99), row("o7", "c", "p7", "2024-02-01", 7)])
-
-    def die(s, path):
-        from shoplens.session import remove_path
-        remove_path(s, f"{path}/order_month=2024-01-01")
-        raise RuntimeError("died")
+    write_clean(clean_frame(spark, [row("o4", "c", "p4", "2024-03-01", 40)]), target, mode="append")
+    batch = clean_frame(spark, [row("o1", "c", "p1", "2024-01-01", 99), row("o4", "c", "p4", "2024-03-01", 41), row("o7", "c", "p7", "2024-02-01", 7)])
+    done = []
+
+    def dying(real):
+        def run(*args, **kw):
+            if len(done) == step:
+                raise RuntimeError("died")
+            done.append(args)
+            return real(*args, **kw)
+        return run
 
     with monkeypatch.context() as m:
-        m.setattr(U, "finish_stage", lambda s, p: None if not U.path_exists(s, f"{U._stage_path(p)}/_SUCCESS") else die(s, p))
-        with pytest.raises(RuntimeError):
+        for name in ("_write_months", "_move", "remove_path"):
+            m.setattr(U, name, dying(getattr(U, name)))
+        with pytest.raises(RuntimeError, match="died"):
             upsert(spark, target, batch)
-    assert not U.path_exists(spark, f"{target}/order_month=2024-01-01")
+    there = dict(shown(spark, target))
+    assert {"o2", "o3"} <= set(there) and {"o1", "o4"} <= set(there)  # old or new, never gone
     upsert(spark, target, batch)
-    got = sorted((r.order_id, str(r.payment_value)) for r in read_clean(spark, target).collect())
-    assert got == [("o1", "99.00"), ("o2", "20.00"), ("o3", "30.00"), ("o7", "7.00")]
+    assert shown(spark, target) == [("o1", "99.00"), ("o2", "20.00"), ("o3", "30.00"), ("o4", "41.00"), ("o7", "7.00")]
+    assert not U.path_exists(spark, U._stage_path(target))
+
+
+def test_a_reader_may_finish_the_stage(spark, monkeypatch):
+    from shoplens.sources import upsert as U
+    target = work_dir(spark, "t-reader")
+    write_clean(three_rows(spark), target)
+    with monkeypatch.context() as m:
+        m.setattr(U, "_move", lambda *a: (_ for _ in ()).throw(RuntimeError("died")))
+        with pytest.raises(RuntimeError):
+            upsert(spark, target, clean_frame(spark, [row("o1", "c", "p1", "2024-01-01", 99)]))
+    assert dict(shown(spark, target))["o1"] == "10.00"
+    assert U.finish_stage(spark, target) and not U.finish_stage(spark, target)
+    assert dict(shown(spark, target))["o1"] == "99.00" and len(shown(spark, target)) == 3
+
+
+def test_upsert_rewrites_touched_files_only(spark):
+    target = work_dir(spark, "t-files of") + "/a b%20c"  # names that a URI writes otherwise
+    rows = [row(f"o{k}", "c", "p", f"2024-0{1 + k % 2}-1{k}", k) for k in range(8)]
+    for r in rows:
+        write_clean(clean_frame(spark, [r]), target, mode="append")
+    before = files_of(spark, target)
+    assert len(before) == 8
+    stats = upsert(spark, target, clean_frame(spark, [row("o3", "c", "p", "2024-02-13", 99), row("new", "c", "p", "2024-01-05", 1)]))
+    after = files_of(spark, target)
+    assert (stats["files_rewritten"], stats["files_kept"], stats["months_touched"]) == (1, 7, 2)
+    assert len(before - after) == 1 and len(after - before) == 2
+    fresh = upsert(spark, target, clean_frame(spark, [row("only-new", "c", "p", "2024-01-06", 1)]))
+    assert fresh["files_rewritten"] == 0 and after < files_of(spark, target)
+    assert dict(shown(spark, target)) == {**{f"o{k}": f"{k}.00" for k in range(8)}, "o3": "99.00", "new": "1.00", "only-new": "1.00"}
+    # a month of many small files is merged by an upsert that touches it
+    for k in range(12):
+        write_clean(clean_frame(spark, [row(f"s{k}", "c", "p", "2024-01-20", 1)]), target, mode="append")
+    merged = upsert(spark, target, clean_frame(spark, [row("one-more", "c", "p", "2024-01-06", 1)]))
+    assert merged["files_rewritten"] > 16
+    assert len([f for f in files_of(spark, target) if f.startswith("order_month=2024-01-01")]) <= 2
+    assert len(shown(spark, target)) == 8 + 2 + 12 + 1
 
 
 def test_batch_without_a_valid_row(spark):
