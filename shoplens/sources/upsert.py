@@ -76,22 +76,32 @@ def _data_files(spark: SparkSession, path: str) -> list[str]:
 
 
 def _move(spark: SparkSession, source: str, target: str) -> None:
+    """Into a folder that exists."""
     from_path, fs = _file_system(spark, source)
-    to_path, _ = _file_system(spark, target)
-    fs.mkdirs(to_path.getParent())
-    if not fs.rename(from_path, to_path):
+    if not fs.rename(from_path, spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target)):
         raise RuntimeError(f"could not move {source} to {target}")
 
 
+def _note_old_files(spark: SparkSession, stage: str, files: list[str]) -> None:
+    hpath, fs = _file_system(spark, f"{stage}/old")
+    out = fs.create(hpath, True)
+    out.write(bytearray("".join(f"{f}\n" for f in files).encode("utf-8")))
+    out.close()
+
+
 def finish_stage(spark: SparkSession, target_path: str) -> bool:
     """Bring a whole stage into the target; False if there is none."""
     stage, target = _stage_path(target_path), target_path.rstrip("/")
     if not path_exists(spark, f"{stage}/data/_SUCCESS"):
         return False
-    for name in _data_files(spark, f"{stage}/data"):
+    names = _data_files(spark, f"{stage}/data")
+    for month in {name.split("/")[0] for name in names}:
+        hpath, fs = _file_system(spark, f"{target}/{month}")
+        fs.mkdirs(hpath)
+    for name in names:
         _move(spark, f"{stage}/data/{name}", f"{target}/{name}")
-    for r in spark.read.schema("file string").json(f"{stage}/old").collect():  # a row a file
-        remove_path(spark, f"{target}/{r['file']}")
+    for r in spark.read.text(f"{stage}/old").collect():  # a row a file
+        remove_path(spark, f"{target}/{r['value']}")
     remove_path(spark, stage)
     spark.catalog.refreshByPath(target)
     return True
@@ -166,7 +176,7 @@ def upsert(spark: SparkSession, target_path: str, batch: DataFrame, keys: list[s
             touched = spark.read.schema(STORED).option("basePath", target).parquet(*(f"{target}/{f}" for f in files["rewrite"]))
             clean = merge_frames(touched, clean, keys)
         stage = _stage_path(target)
-        spark.createDataFrame([(f,) for f in files["rewrite"]], "file string").coalesce(1).write.json(f"{stage}/old")
+        _note_old_files(spark, stage, list(files["rewrite"]))
         _write_months(clean, f"{stage}/data")
         finish_stage(spark, target)
     return {"rows_in": st["rows_in"], "rows_upserted": st["rows_out"],
