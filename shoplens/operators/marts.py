@@ -59,7 +59,11 @@ def data_growth(oc: DataFrame, **filters) -> DataFrame:
     The window runs over the per-day aggregate (one row per observed day, a
     calendar-bounded table), never over the fact itself.
     """
-    daily = daily_orders(oc, **filters)
+    return growth_of(daily_orders(oc, **filters))
+
+
+def growth_of(daily: DataFrame) -> DataFrame:
+    """W1 of a (date, order_count) table."""
     w = Window.orderBy("date").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return (daily.select("date", F.sum("order_count").over(w).cast("bigint").alias("cumulative_orders"))
             .orderBy("date"))
@@ -120,11 +124,16 @@ def customer_segments(oc: DataFrame, **filters) -> DataFrame:
 
 def filter_summary(oc: DataFrame) -> DataFrame:
     """A10: date and revenue bounds for the filter widgets ('' / 0 when empty)."""
-    return oc.agg(
-        F.coalesce(F.date_format(F.min("order_date"), "yyyy-MM-dd"), F.lit("")).alias("min_date"),
-        F.coalesce(F.date_format(F.max("order_date"), "yyyy-MM-dd"), F.lit("")).alias("max_date"),
-        F.coalesce(F.min("payment_value"), F.lit(0)).cast("double").alias("min_revenue"),
-        F.coalesce(F.max("payment_value"), F.lit(0)).cast("double").alias("max_revenue"))
+    return summary_of(oc, "order_date", "order_date", "payment_value", "payment_value")
+
+
+def summary_of(df: DataFrame, first: str, last: str, least: str, most: str) -> DataFrame:
+    """A10 from the columns that bound the dates and values."""
+    return df.agg(
+        F.coalesce(F.date_format(F.min(first), "yyyy-MM-dd"), F.lit("")).alias("min_date"),
+        F.coalesce(F.date_format(F.max(last), "yyyy-MM-dd"), F.lit("")).alias("max_date"),
+        F.coalesce(F.min(least), F.lit(0)).cast("double").alias("min_revenue"),
+        F.coalesce(F.max(most), F.lit(0)).cast("double").alias("max_revenue"))
 
 
 def distinct_values(oc: DataFrame, column: str) -> DataFrame:

@@ -118,7 +118,11 @@ def signal_context(oc: DataFrame, **filters) -> DataFrame:
     signal is a small aggregate of it. Weekend / weekday means are exact: sum
     of the daily decimal sums over the number of rows.
     """
-    cube = materialize(signal_cube(oc, **filters), "signal_cube")
+    return context_of(materialize(signal_cube(oc, **filters), "signal_cube"))
+
+
+def context_of(cube: DataFrame) -> DataFrame:
+    """R1 from the rows of :func:`signal_cube`."""
     days = cube.where(F.col("_gid") == _GID_DAY).select("date", "revenue", "rows")
     categories = cube.where(F.col("_gid") == _GID_CATEGORY).select("product_category_name", "revenue")
 

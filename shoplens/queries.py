@@ -26,7 +26,7 @@ from shoplens.sources.clean_store import create_table, read_clean, write_clean
 from shoplens.sources.raw import read_raw
 from shoplens.sources.upsert import upsert
 from shoplens.streaming.loader import batch_progress, ingest
-from shoplens.registry import ORACLE, QUERIES, clean_fact, clean_fact_uncached, register, with_oc
+from shoplens.registry import OC_SQL, ORACLE, QUERIES, clean_fact, clean_fact_uncached, register, with_oc
 from shoplens.schema import CLEAN_COLUMNS, FEATURE_COLUMNS, RAW_FILES, TARGET_COLUMN
 from shoplens.sources.testdata import raw_from_testdata
 
@@ -1270,15 +1270,62 @@ def q_marts_bundle(spark, sf_dir):
 
 
 @register("refresh_after_ingest", with_oc("""
-SELECT CAST(COUNT(*) AS BIGINT) AS total_orders, CAST(COALESCE(SUM(payment_value), 0) AS DOUBLE) AS total_revenue FROM oc"""))
+SELECT CAST(COUNT(*) AS BIGINT) AS total_orders, CAST(COALESCE(SUM(payment_value), 0) AS DOUBLE) AS total_revenue,
+       CAST(1 AS BIGINT) AS predictions, CAST(5 AS BIGINT) AS drivers FROM oc"""))
 def q_refresh_after_ingest(spark, sf_dir):
-    """The tables that the refresh wrote after an ingest of the whole fact."""
+    """The tables that the refresh wrote after an ingest of the whole fact, with a model trained on it."""
     from shoplens.streaming.loader import refresh_after_batch
 
-    batch_dir, target, ckpt, marts = (work_dir(spark, f"refresh-{x}") for x in ("batches", "target", "ckpt", "marts"))
+    batch_dir, target, ckpt, marts, model = (work_dir(spark, f"refresh-{x}") for x in ("batches", "target", "ckpt", "marts", "model"))
     B.write_batches(B.split_row_batches(oc(spark, sf_dir).select(*CLEAN_COLUMNS), STREAM_BATCH_SIZE), batch_dir)
-    ingest(spark, batch_dir, target, ckpt, on_compact=refresh_after_batch(marts_dir=marts))
-    return spark.read.parquet(f"{marts}/metrics")
+    ingest(spark, batch_dir, target, ckpt, on_compact=refresh_after_batch(marts_dir=marts, model_dir=model))
+    rows = lambda name, column: spark.read.parquet(f"{marts}/{name}").agg(F.count(F.lit(1)).alias(column))
+    return (spark.read.parquet(f"{marts}/metrics").crossJoin(F.broadcast(rows("prediction", "predictions")))
+            .crossJoin(F.broadcast(rows("prediction_explanation", "drivers"))))
+
+
+# corrections of two months, and new rows in them
+CORRECTED = OC_SQL.strip().replace("oc AS (SELECT", "fact AS (SELECT") + """,
+hit AS (SELECT * FROM fact WHERE strftime(order_date, '%Y-%m') IN ('1997-03', '1997-05') AND CAST(order_id AS BIGINT) % 3 = 0),
+oc AS (SELECT f.* REPLACE (CASE WHEN strftime(order_date, '%Y-%m') IN ('1997-03', '1997-05') AND CAST(order_id AS BIGINT) % 3 = 0
+                                THEN CAST(payment_value * 2 AS DECIMAL(18,2)) ELSE payment_value END AS payment_value) FROM fact f
+       UNION ALL SELECT * REPLACE (order_id || '-n' AS order_id, customer_id || '-n' AS customer_id) FROM hit)"""
+#: table -> (label, value) of its long form
+LONG = {
+    "metrics": ("'total_revenue'", "total_revenue"), "daily_revenue": ("CAST(date AS VARCHAR)", "total_revenue"),
+    "daily_orders": ("CAST(date AS VARCHAR)", "order_count"), "data_growth": ("CAST(date AS VARCHAR)", "cumulative_orders"),
+    "category_analysis": ("category", "revenue"), "geo_analysis": ("state", "revenue"), "weekday_analysis": ("CAST(day AS VARCHAR)", "avg_revenue"),
+    "customer_segments": ("segment", "count"), "churn_risk": ("'high_risk'", "high_risk_customers"), "customer_ltv": ("customer_id", "total_spent"),
+    "revenue_decomposition": ("'current_orders'", "current_orders"), "anomalies": ("CAST(date AS VARCHAR)", "revenue"),
+    "anomaly_root_cause": ("CONCAT(top_category, top_state)", "category_increase_pct"), "filter_summary": ("max_date", "max_revenue")}
+
+
+@register("incremental_marts", "\nUNION ALL\n".join(
+    f"SELECT '{name}' AS mart, {label} AS label, ROUND_EVEN(CAST({value} AS DOUBLE), 4) AS value FROM "
+    f"({ORACLE[name].replace(OC_SQL.strip(), CORRECTED)})" for name, (label, value) in LONG.items()))
+def q_incremental_marts(spark, sf_dir):
+    """The marts merged from monthly partials, of which an upsert of corrections
+    made two months anew; SQL computes them from the corrected fact."""
+    from shoplens.plans import partials as PT
+
+    fact = oc(spark, sf_dir).select(*CLEAN_COLUMNS)
+    target, partials, out = (work_dir(spark, f"incremental-{x}") for x in ("target", "partials", "marts"))
+    write_clean(fact, target)
+    PT.refresh(spark, target, partials)
+    hit = fact.where(F.date_format("order_date", "yyyy-MM").isin("1997-03", "1997-05") & (F.col("order_id").cast("bigint") % 3 == 0))
+    new = hit.withColumns({"order_id": F.concat("order_id", F.lit("-n")), "customer_id": F.concat("customer_id", F.lit("-n"))})
+    upsert(spark, target, hit.withColumn("payment_value", (F.col("payment_value") * 2).cast("decimal(18,2)")).unionByName(new))
+    made = PT.refresh(spark, target, partials)
+    if len(made) > 2:
+        raise RuntimeError(f"more months than the upsert touched: {made}")
+    BU.materialize_marts(spark, read_clean(spark, target), out, partials=partials)
+    long = [spark.read.parquet(f"{out}/{name}").selectExpr(
+        f"'{name}' AS mart", f"{label} AS label".replace("VARCHAR", "STRING"),
+        f"bround(CAST({value} AS DOUBLE), 4) AS value") for name, (label, value) in LONG.items()]
+    all_ = long[0]
+    for df in long[1:]:
+        all_ = all_.unionByName(df)
+    return all_
 
 
 def all_queries():

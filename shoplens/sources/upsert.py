@@ -75,6 +75,15 @@ def _data_files(spark: SparkSession, path: str) -> list[str]:
     return found
 
 
+def month_files(spark: SparkSession, path: str) -> dict[str, list[str]]:
+    """Month folder -> names of its data files."""
+    out: dict[str, list[str]] = {}
+    for name in _data_files(spark, path):
+        month, file = name.split("/")
+        out.setdefault(month, []).append(file)
+    return out
+
+
 def _move(spark: SparkSession, source: str, target: str) -> None:
     """Into a folder that exists."""
     from_path, fs = _file_system(spark, source)

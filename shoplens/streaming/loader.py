@@ -122,18 +122,25 @@ def next_batch(spark: SparkSession, batch_dir: str, checkpoint: str) -> int:
     return 0 if row[1] is None else row[1] + 1
 
 
-def refresh_after_batch(marts_dir: str | None = None, model_dir: str | None = None, **filters) -> OnBatch:
+def refresh_after_batch(marts_dir: str | None = None, model_dir: str | None = None, partials_dir: str | None = None,
+                        **filters) -> OnBatch:
     """After each compaction, rewrite the marts and/or retrain the model
-    from the updated table (the dashboard and the forecast read the latest)."""
+    from the updated table (the dashboard and the forecast read the latest).
+
+    Monthly partials (``partials_dir``, by default beside the marts) are made anew for
+    the months that the compaction touched; tables and series are merged from them."""
+    from shoplens.plans import partials as PT
     from shoplens.plans.bundle import materialize_marts
     from shoplens.plans.forecast import train_and_save
     from shoplens.sources.clean_store import read_clean
 
     def callback(spark: SparkSession, target_path: str, pointer: int, stats: dict) -> None:
-        oc = read_clean(spark, target_path)
+        partials = partials_dir or f"{(marts_dir or model_dir).rstrip('/')}-partials"
+        stats["months_refreshed"] = PT.refresh(spark, target_path, partials)
         if model_dir:
-            train_and_save(oc, model_dir)
+            train_and_save(PT.load(spark, partials)[0], model_dir)
         if marts_dir:
-            stats["marts"] = materialize_marts(spark, oc, marts_dir, model_dir=model_dir, **filters)
+            oc = read_clean(spark, target_path)
+            stats["marts"] = materialize_marts(spark, oc, marts_dir, model_dir=model_dir, partials=partials, **filters)
 
     return callback
