@@ -160,31 +160,41 @@ FROM documents d LEFT JOIN agg USING (doc_id)
 """
 
 
+#: words of repeated whole clauses from which a run counts: a passage of over 50 words
+#: keeps at most its two cut-off end clauses
+RUN_WORDS = 40
+
+
 @_query
 def op7_repeated_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from shoplens.llm.units import drop_repeated_units
+    from shoplens.llm.units import drop_repeated_runs_of_units
 
-    left = drop_repeated_units(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    left = drop_repeated_runs_of_units(table(spark, sf_dir, "documents").select("doc_id", "text"), "clause", RUN_WORDS)
     spans = F.transform(F.arrays_zip("unit_starts", "unit_stops"), lambda x: F.concat_ws("-", x["unit_starts"], x["unit_stops"]))
     return left.select("doc_id", F.coalesce(F.size("unit_starts"), F.lit(0)).cast("long").alias("n_removed"),
                        F.coalesce(F.array_join(spans, " "), F.lit("")).alias("removed"), "text")
 
 
-ORACLE["op7_repeated_units"] = """
-WITH l AS (SELECT doc_id, length(text) AS n, unnest(string_split(text, chr(10))) AS line,
-                  unnest(range(len(string_split(text, chr(10))))) AS i FROM documents),
-p AS (SELECT *, CAST(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i) AS BIGINT) AS next FROM l),
-u AS (SELECT doc_id, i, line, next - length(line) - 1 AS start, least(next, n) AS stop,
-             trim(regexp_replace(lower(line), '\\s+', ' ', 'g')) AS norm FROM p),
-r AS (SELECT doc_id, i, row_number() OVER (PARTITION BY norm ORDER BY doc_id, i) AS rn
-      FROM u WHERE len(string_split(norm, ' ')) >= 5),
-m AS (SELECT u.*, coalesce(rn, 1) > 1 AS removed, n FROM u LEFT JOIN r ON u.doc_id = r.doc_id AND u.i = r.i
-      JOIN (SELECT doc_id, length(text) AS n FROM documents) t ON u.doc_id = t.doc_id),
+#: a clause as one pattern: up to a line end, or up to marks and the spaces behind them
+CLAUSE = r"(?:[^\n.!?,;:]|[.!?,;:]+[^\n \t.!?,;:])*(?:[.!?,;:]+(?:[ \t]+|\n|$)|\n|$)"
+
+ORACLE["op7_repeated_units"] = rf"""
+WITH x AS (SELECT doc_id, regexp_extract_all(text, '{CLAUSE}') AS u FROM documents),
+l AS (SELECT * FROM (SELECT doc_id, unnest(u) AS unit, unnest(range(len(u))) AS i FROM x) WHERE unit <> ''),
+p AS (SELECT *, CAST(sum(length(unit)) OVER (PARTITION BY doc_id ORDER BY i) AS BIGINT) AS stop,
+             trim(regexp_replace(lower(unit), '\s+', ' ', 'g')) AS norm FROM l),
+w AS (SELECT *, len(string_split(norm, ' ')) AS words, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k,
+             lead(norm) OVER (PARTITION BY doc_id ORDER BY i) AS next FROM p WHERE norm <> ''),
+r AS (SELECT *, next IS NOT NULL AND row_number() OVER (PARTITION BY norm, next ORDER BY doc_id, i) > 1 AS pair,
+             words >= {RUN_WORDS} AND row_number() OVER (PARTITION BY norm ORDER BY doc_id, i) > 1 AS alone FROM w),
+f AS (SELECT *, pair OR alone OR coalesce(lag(pair) OVER (PARTITION BY doc_id ORDER BY k), false) AS later FROM r),
+g AS (SELECT *, sum((NOT later)::INT) OVER (PARTITION BY doc_id ORDER BY k) AS run FROM f),
+h AS (SELECT doc_id, i, later AND sum(CASE WHEN later THEN words END) OVER (PARTITION BY doc_id, run) >= {RUN_WORDS} AS removed FROM g),
+m AS (SELECT p.*, coalesce(removed, false) AS removed FROM p LEFT JOIN h ON p.doc_id = h.doc_id AND p.i = h.i),
 a AS (SELECT doc_id, count(*) FILTER (removed) AS n_removed,
-             coalesce(string_agg(start || '-' || stop, ' ' ORDER BY i) FILTER (removed), '') AS removed,
-             coalesce(string_agg(line || CASE WHEN stop > start + length(line) THEN chr(10) ELSE '' END, '' ORDER BY i)
-                      FILTER (NOT removed), '') AS text FROM m GROUP BY doc_id)
-SELECT d.doc_id, coalesce(n_removed, 0) AS n_removed, coalesce(removed, '') AS removed, a.text
+             coalesce(string_agg((stop - length(unit)) || '-' || stop, ' ' ORDER BY i) FILTER (removed), '') AS removed,
+             coalesce(string_agg(unit, '' ORDER BY i) FILTER (NOT removed), '') AS text FROM m GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_removed, 0) AS n_removed, coalesce(removed, '') AS removed, coalesce(a.text, d.text) AS text
 FROM documents d LEFT JOIN a USING (doc_id)
 """
 

@@ -2,8 +2,10 @@ from __future__ import annotations
 
 import re
 
+import pytest
+
 from shoplens.llm.line_runs import drop_repeated_runs
-from shoplens.llm.units import drop_repeated_units, units
+from shoplens.llm.units import drop_repeated_runs_of_units, drop_repeated_units, units
 
 
 def _order(corpus):
@@ -102,3 +104,61 @@ def test_passages_inside_lines_go_by_sentences(spark):
     assert got[1].text == "It begins inside of this line. And goes on in it."
     assert "".join(texts[1][a:z] for a, z in zip(got[1].unit_starts, got[1].unit_stops)) == passage + " "
     assert all(r.unit_starts is None for r in drop_repeated_units(df).collect())
+
+
+def plain_runs(rows, kind, least):
+    """The rule of runs by dictionaries, documents by rank."""
+    seen, out = {}, {}
+    for doc_id, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
+        own = [u for u in units(text or "", kind) if u[2].split()]
+        norm = [tuple(u[2].lower().split()) for u in own]
+        flag = [False] * len(own)
+        for k, w in enumerate(norm):
+            if len(w) >= least and not seen.setdefault(("alone", w), (doc_id, k)) == (doc_id, k):
+                flag[k] = True
+            if k + 1 < len(norm) and not seen.setdefault((w, norm[k + 1]), (doc_id, k)) == (doc_id, k):
+                flag[k] = flag[k + 1] = True
+        gone, at = [], 0
+        while at < len(own):
+            end = at
+            while end < len(own) and flag[end]:
+                end += 1
+            if sum(map(len, norm[at:end])) >= least:
+                gone += own[at:end]
+            at = end + 1
+        left, at = "", 0
+        for start, stop, _ in gone:
+            left, at = left + text[at:start], stop
+        out[doc_id] = (None if text is None else left + text[at:], [(s, e) for s, e, _ in gone])
+    return out
+
+
+@pytest.mark.parametrize("kind,least", [("clause", 40), ("clause", 12), ("line", 20), ("sentence", 1)])
+def test_runs_against_brute_force(spark, docs, corpus, empty, kind, least):
+    rows = {(r[0], r[1]) for r in corpus if r[0] is not None and r[0] != 3}  # rows alike are one document
+    got = {r.doc_id: (r.text, list(zip(r.unit_starts or [], r.unit_stops or [])))
+           for r in drop_repeated_runs_of_units(docs.filter("doc_id <> 3"), kind, least).collect()}
+    assert got == plain_runs(rows, kind, least)
+    whole = drop_repeated_runs_of_units(docs, kind, least)
+    assert whole.columns == [*docs.columns, "unit_starts", "unit_stops"] and whole.count() == docs.count()
+    assert drop_repeated_runs_of_units(empty, kind, least).count() == 0
+
+
+def test_passages_go_and_short_common_units_stay(spark):
+    """A passage inside lines, in short lines, as one line; common clauses, hot ids and null ids."""
+    words = [f"w{k}" for k in range(60)]
+    marked = " ".join(w + ("," if k % 5 == 4 else "") for k, w in enumerate(words))
+    lines = "\n".join(" ".join(words[k:k + 3]) for k in range(0, 60, 3))
+    rows = [(1, f"It begins, and {marked}. It ends here."), (2, f"Other words come first, {marked}, and go on."),
+            (3, f"a\n{lines}\nb"), (4, f"c\n{lines}\nd"), (5, " ".join(words)), (6, "x\n" + " ".join(words) + "\ny")]
+    rows += [(10 + k, f"Common words here. And these too. Doc {k} of its own. Common words here. And these too.") for k in range(50)]
+    rows += [(7, f"h{k} {k} " + marked) for k in range(20)] + [(None, f"n{k} {k}, " + marked) for k in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = drop_repeated_runs_of_units(df).collect()
+    one = {r.doc_id: r for r in got if r.doc_id not in (7, None)}
+    assert all(r.unit_starts is None for d, r in one.items() if d >= 10)  # 50 documents of common sentences stay
+    assert one[4].text == "c\nd" and one[6].text == "x\ny" and one[3].unit_starts is None and one[5].unit_starts is None
+    assert "w10" not in one[1].text and "w10" not in one[2].text and one[2].text.endswith("and go on.")
+    nulls = [r for r in got if r.doc_id is None]  # the null id ranks first: one of its rows keeps the passage
+    assert len(nulls) == 20 and sum("w10" in r.text for r in nulls) == 1
+    assert all(r.unit_starts is None or "w10" not in r.text for r in got if r.doc_id == 7)
