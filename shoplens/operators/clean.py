@@ -7,8 +7,13 @@ Plan shape (what Catalyst sees):
 * customers join the orders and products join the items (AQE broadcasts a
   dimension whose runtime size is under the threshold, keeps a sort-merge
   join otherwise, and splits a hot customer / product on the big side);
-* order rows ⋈ item rows ⟕ payments ⟕ reviews all key on ``order_id`` and
-  share one hash partitioning, which the de-duplication reuses;
+* payments and reviews meet the order rows, of which there are far fewer than
+  items; then order rows ⋈ item rows, the only join as large as the fact;
+* an order that holds a large part of all items (a heavy hitter, found by a
+  mergeable frequency sketch) is joined by (order, salt): its items are dealt
+  by product over ``SALTS`` tasks and its one order row is repeated for each. The
+  salt follows from order and product, so the de-duplication takes it among
+  its keys and needs no further shuffle;
 * the review median is a one-row aggregate attached by a broadcast cross
   join of that single row; it is taken over one row an order, weighted by the
   order's items, so that the item join is not done twice;
@@ -63,13 +68,12 @@ def join_sources(raw: dict[str, DataFrame]) -> DataFrame:
 
     Same rows as ``orders ⋈ items ⟕ products ⟕ payments ⟕ reviews ⟕
     customers`` (left joins on one side's key commute with the inner join),
-    ordered so each dimension meets the smaller table it belongs to and the
-    last shuffle of the fact is on ``order_id``: customers join the orders,
-    products join the items, then order rows meet item rows and the two
-    order-level aggregates on ``order_id``. The de-duplication key contains
-    ``order_id``, so it needs no further shuffle, and a hot customer or
-    product only skews a join whose output is re-shuffled anyway (AQE can
-    split it without adding an exchange).
+    ordered so each dimension meets the smaller table it belongs to:
+    customers and the two order-level aggregates join the orders, products
+    the items. The last shuffle of the fact is on ``order_id`` and ``_salt``
+    (0 but for heavy orders). A hot customer or product only skews a join
+    whose output is re-shuffled anyway (AQE can split it without adding an
+    exchange).
     """
     customers = raw["customers"].select("customer_id", "customer_city", "customer_state")
     orders = (raw["orders"].select("order_id", "customer_id", "order_purchase_timestamp")
@@ -79,15 +83,38 @@ def join_sources(raw: dict[str, DataFrame]) -> DataFrame:
              .join(products, "product_id", "left"))
     pay = payments_per_order(raw["payments"])
     rev = reviews_per_order(raw["reviews"])
-    return (orders.join(items, "order_id", "inner")
-            .join(pay, "order_id", "left")
-            .join(rev, "order_id", "left"))
+    orders = orders.join(pay, "order_id", "left").join(rev, "order_id", "left")
+    hot = F.broadcast(hot_orders(raw["order_items"]))  # HOT_ORDERS rows at most
+    dealt = F.when(F.col("_hot"), F.pmod(F.xxhash64("product_id"), F.lit(SALTS))).otherwise(F.lit(0)).cast("int")
+    every = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    items = items.join(hot, "order_id", "left").withColumn("_salt", dealt).drop("_hot")
+    orders = orders.join(hot, "order_id", "left").withColumn("_salt", F.explode(every)).drop("_hot")
+    return orders.join(items, ["order_id", "_salt"], "inner")
+
+
+#: orders that may be dealt over several tasks, the share of all items from which one is, and its tasks
+HOT_ORDERS, HOT_SHARE, SALTS = 1000, 1 / 1000, 256
+
+
+def hot_orders(items: DataFrame) -> DataFrame:
+    """(order_id, _hot): orders that hold ``HOT_SHARE`` of all items or more.
+
+    From a frequent-items sketch, which merges over partitions: one pass over
+    one column, no shuffle of it. It never misses an order of that share (it tracks
+    20 times as many), may name one a little smaller, and yields
+    ``HOT_ORDERS`` rows at most."""
+    tops = items.select("order_id").agg(F.expr(f"approx_top_k(order_id, {HOT_ORDERS}, {20 * HOT_ORDERS})").alias("top"),
+                                        F.count("order_id").alias("n"))
+    # tiny tables have no task that is too long
+    return (tops.where(F.col("n") >= 10 * HOT_ORDERS).select("n", F.explode("top").alias("t"))
+            .where((F.col("t.count") >= F.col("n") * F.lit(HOT_SHARE)) & F.col("t.item").isNotNull())
+            .select(F.col("t.item").alias("order_id"), F.lit(True).alias("_hot")))
 
 
 # ---- P1..P7 ------------------------------------------------------------------
 
-def project_clean(df: DataFrame) -> DataFrame:
-    """Rename two columns, keep the eleven clean columns, error on missing ones."""
+def project_clean(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Rename two columns, keep the eleven clean columns (and ``keep``), error on missing ones."""
     renamed = df.withColumnsRenamed({
         "order_purchase_timestamp": "order_date",
         "product_category_name_english": "product_category_name",
@@ -95,7 +122,7 @@ def project_clean(df: DataFrame) -> DataFrame:
     missing = [c for c in CLEAN_COLUMNS if c not in renamed.columns]
     if missing:
         raise ValueError(f"the joined sources lack {missing}")
-    return renamed.select(*CLEAN_COLUMNS)
+    return renamed.select(*CLEAN_COLUMNS, *keep)
 
 
 def to_timestamp_ntz(c: str, dtype: T.DataType) -> Column:
@@ -190,13 +217,13 @@ def dedup_orders(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
 
 def build_orders_clean(raw: dict[str, DataFrame]) -> DataFrame:
     """The whole clean step (J1..J6, A1, A2, P1..P7)."""
-    df = project_clean(join_sources(raw))
+    df = project_clean(join_sources(raw), keep=("_salt",))
     df = parse_dates(df)
     df = coerce_money(df)
     df = impute_review_score(df, review_median(raw))
     df = fill_unknown(df)
     df = drop_null_keys(df)
-    return dedup_orders(df)
+    return dedup_orders(df, [*DEDUP_COLUMNS, "_salt"]).drop("_salt")
 
 
 # ---- P8 / P9 -------------------------------------------------------------------

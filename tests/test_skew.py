@@ -89,3 +89,64 @@ def test_segments_and_numbering_with_a_hot_value(spark, skewed):
     r = exact_percentiles(spark.createDataFrame([(v,) for v in vals], "x double"), "x",
                           {"p25": 0.25, "p50": 0.5, "p90": 0.9}).first()
     assert (r.p25, r.p50, r.p90) == tuple(np.percentile(vals, [25, 50, 90]))
+
+
+# ---- J2 / P7 with an order that holds a third of all items ------------------------------------
+
+
+@pytest.fixture(scope="module")
+def raw_hot(spark):
+    """24,000 items, 8,000 of them in one order; repeated rows, and a dimension with a repeated key."""
+    rnd = random.Random(4)
+    orders = [(f"o{k}", f"c{k % 50}", "2024-01-05 10:00:00") for k in range(4000)]
+    items = [("o7" if k % 3 == 0 else f"o{rnd.randrange(4200)}", f"p{rnd.randrange(3000)}", str(rnd.randrange(100)), "1.5") for k in range(24000)]
+    return {
+        "orders": spark.createDataFrame(orders, "order_id string, customer_id string, order_purchase_timestamp string"),
+        "order_items": spark.createDataFrame(items + items[:500], "order_id string, product_id string, price string, freight_value string").repartition(6),
+        "payments": spark.createDataFrame([(f"o{k}", str(k)) for k in range(0, 4000, 2)], "order_id string, payment_value string"),
+        "reviews": spark.createDataFrame([(f"o{k}", str(1 + k % 5)) for k in range(0, 4000, 3)], "order_id string, review_score string"),
+        "products": spark.createDataFrame([(f"p{k}", f"k{k % 7}") for k in range(2900)] + [("p5", "k1")], "product_id string, product_category_name string"),
+        "customers": spark.createDataFrame([(f"c{k}", "city", f"S{k % 5}") for k in range(48)], "customer_id string, customer_city string, customer_state string"),
+        "translations": spark.createDataFrame([(f"k{k}", f"t{k}") for k in range(6)], "product_category_name string, product_category_name_english string")}
+
+
+def test_hot_order_is_found_and_spread(spark, raw_hot):
+    from pyspark.sql import functions as F
+
+    from shoplens.operators import clean as C
+
+    assert [r.order_id for r in C.hot_orders(raw_hot["order_items"]).collect()] == ["o7"]
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "64")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        joined = C.join_sources(raw_hot)
+        sizes = [r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect()]
+        assert max(sizes) < 0.05 * sum(sizes)  # a third of the rows would be in one task
+        plan = C.build_orders_clean(raw_hot)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    last = [line for line in plan.splitlines() if "Exchange hashpartitioning(order_id" in line and "_salt" in line]
+    assert len(last) == 2  # one for each side of the join; the de-duplication adds none
+
+
+def test_hot_order_changes_no_row(spark, raw_hot, monkeypatch):
+    from shoplens.operators import clean as C
+
+    salted = sorted(map(str, C.build_orders_clean(raw_hot).collect()))
+    monkeypatch.setattr(C, "HOT_SHARE", 2.0)  # nothing is hot
+    assert C.hot_orders(raw_hot["order_items"]).count() == 0
+    assert salted == sorted(map(str, C.build_orders_clean(raw_hot).collect())) and len(salted) > 14000
+
+
+def test_hot_orders_of_empty_and_null_items(spark, raw_hot):
+    from pyspark.sql import functions as F
+
+    from shoplens.operators import clean as C
+
+    items = raw_hot["order_items"]
+    assert C.hot_orders(items.limit(0)).count() == 0
+    assert C.hot_orders(items.withColumn("order_id", F.lit(None).cast("string"))).count() == 0
+    assert C.build_orders_clean({**raw_hot, "order_items": items.limit(0)}).count() == 0
