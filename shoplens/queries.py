@@ -909,6 +909,30 @@ def q_stream_progress(spark, sf_dir):
     return batch_progress(spark, batch_dir, ckpt).withColumn("pointer", F.lit(pointer))
 
 
+@register("live_kpis", with_oc("""
+SELECT date, total_revenue, order_count, CAST(SUM(order_count) OVER (ORDER BY date) AS BIGINT) AS cumulative_orders
+FROM (SELECT CAST(order_date AS DATE) AS date, CAST(SUM(payment_value) AS DOUBLE) AS total_revenue,
+             CAST(COUNT(*) AS BIGINT) AS order_count FROM oc GROUP BY 1)"""))
+def q_live_kpis(spark, sf_dir):
+    """A4, A5, W1 of a stream whose later batches overwrite keys of earlier ones, the
+    overwriting ones first; then restarted for batches that came meanwhile."""
+    from shoplens.streaming.kpis import kpi_stream, live_daily
+
+    fact = oc(spark, sf_dir).select(*CLEAN_COLUMNS)
+    batch_dir, ckpt = work_dir(spark, "live-batches"), work_dir(spark, "live-ckpt")
+    order = F.col("order_id").cast("bigint")
+    put = lambda df, k: (df.withColumn("batch_id", F.lit(k)).withColumn("batch_range", F.lit(k))
+                         .write.mode("append").partitionBy("batch_range").parquet(batch_dir))
+    put(fact.where(order % 3 == 0), 5)
+    kpi_stream(spark, batch_dir, ckpt).awaitTermination()
+    put(fact.where(order % 6 == 0).withColumn("payment_value", (F.col("payment_value") * 2).cast("decimal(18,2)")), 1)  # late, older
+    put(fact.where(order % 3 == 1).withColumn("payment_value", (F.col("payment_value") + 7).cast("decimal(18,2)")), 2)  # will be corrected
+    kpi_stream(spark, batch_dir, ckpt, files_per_trigger=100).awaitTermination()
+    put(fact.where(order % 3 != 0), 6)
+    kpi_stream(spark, batch_dir, ckpt, files_per_trigger=100).awaitTermination()
+    return live_daily(spark, ckpt)
+
+
 # ---- forecast ------------------------------------------------------------------------------
 
 _MODEL_CACHE: dict = {}
