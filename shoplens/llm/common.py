@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shoplens.session import work_dir
+from shoplens.session import remove_path, work_dir
 
 #: Words are runs of characters other than these six: space and U+0009-U+000D.
 NOT_SPACE = r"[^\x20\x09-\x0D]+"
@@ -28,7 +28,16 @@ def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFr
     path = f"{work_dir(df.sparkSession, name)}/table"
     writer = df.write.partitionBy(partition_by) if partition_by else df.write
     writer.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table_ = df.sparkSession.read.schema(df.schema).parquet(path)
+    table_.written_at = path
+    return table_
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables that :func:`written` made. Only those may go whose last reader has
+    itself been written: a lost executor then re-reads that one, not these."""
+    for t in tables:
+        remove_path(t.sparkSession, t.written_at)
 
 
 def ascii_lower(text: Column) -> Column:

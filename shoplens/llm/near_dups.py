@@ -18,7 +18,10 @@ of their full sets reaches the threshold ``num / den``.
    written as its difference from that. With ``F = (den+num)*|difference| -
    (den-num)*|set|``, two members whose F add up to 0 or less are linked for
    certain (triangle inequality on full sets): a star around the least F gives
-   all of these. Any other pair needs ``(F1+F2) / (2*(den+num))`` common
+   all of these. First the lists that overlap are one family together, so that each
+   representative's set is looked at once; most members are in the star of theirs.
+   What is left are lists with a member that isn't: each of these lists is a
+   family of its own. There any pair that isn't in the star needs ``(F1+F2) / (2*(den+num))`` common
    differences, so what is left are inverted lists over differences: members
    with too few differences that anyone shares are done, the others enter the
    lists of their rarest differences, and the join of these lists lets a pair out
@@ -42,7 +45,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shoplens.llm.common import written
+from shoplens.llm.common import discard, written
 from shoplens.llm.components import components
 
 SHINGLE, K, SHORT = 5, 96, 8
@@ -151,10 +154,10 @@ def _sketch_entries(reps: DataFrame, k: int, num: int, den: int) -> DataFrame:
     return entries.select(F.col("value").alias("v"), "rid")
 
 
-def _family_links(entries: DataFrame, long_lists: DataFrame, full: DataFrame, num: int, den: int) -> DataFrame:
-    """Links (a, b) among the members of long lists, as many as their components need."""
+def _apart(members: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """``members`` (fam, rid, n, full) as differences from their family's consensus:
+    (fam, rid, n, diff, f, f0, r0, near), and the written table (fam, rid, n, diff, f) in it."""
     up, down = den + num, den - num
-    members = written(entries.join(long_lists, "v").select("fam", "rid").distinct().join(full, "rid"), "nd_members")
     counts = members.groupBy("fam").agg(F.count("*").alias("members"))
     shared = members.select("fam", F.explode("full").alias("v")).groupBy("fam", "v").agg(F.count("*").alias("c"))
     consensus = (shared.join(counts, "fam").filter("c * 2 > members").groupBy("fam")
@@ -167,9 +170,39 @@ def _family_links(entries: DataFrame, long_lists: DataFrame, full: DataFrame, nu
         .withColumn("f", F.size("diff") * up - F.col("n") * down), "nd_apart")
     least = written(apart.groupBy("fam").agg(F.min(F.struct("f", "rid")).alias("x")), "nd_least").select(
         "fam", F.col("x.f").alias("f0"), F.col("x.rid").alias("r0"))
-    near = F.col("f") + F.col("f0") <= 0
-    placed = apart.join(least, "fam")
-    star = placed.filter(near & (F.col("rid") != F.col("r0"))).select(F.col("r0").alias("a"), F.col("rid").alias("b"))
+    return apart.join(least, "fam").withColumn("near", F.col("f") + F.col("f0") <= 0), apart
+
+
+def _star(placed: DataFrame) -> DataFrame:
+    return placed.filter(F.col("near") & (F.col("rid") != F.col("r0"))).select(F.col("r0").alias("a"), F.col("rid").alias("b"))
+
+
+def _family_links(entries: DataFrame, long_lists: DataFrame, full: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (a, b) among the members of long lists, as many as their components need."""
+    held = written(entries.join(long_lists, "v").select("v", "fam", "rid"), "nd_held")
+    # overlapping lists together: every representative is in one family
+    whole = components(held.select(F.col("fam").alias("a"), F.col("rid").alias("b")))
+    of = written(held.select("rid").distinct().join(whole, F.col("rid") == F.col("node"))
+                 .select("rid", F.col("root").alias("fam")).join(full, "rid"), "nd_members")
+    placed, apart = _apart(of, num, den)
+    placed = written(placed.select("rid", "r0", "near"), "nd_placed")
+    first = written(_star(placed), "nd_star")
+    discard(of, apart)
+    # lists that hold someone outside of the star: families of their own
+    far = written(held.join(placed.filter(~F.col("near")).select("rid"), "rid", "left_semi").select("v").distinct(), "nd_far")
+    members = written(held.join(far, "v", "left_semi").select("fam", "rid").distinct().join(full, "rid"), "nd_members")
+    discard(held, placed, far)
+    rest = written(_difference_links(members, num, den), "nd_rest")
+    discard(members)
+    return first.union(rest)
+
+
+def _difference_links(members: DataFrame, num: int, den: int) -> DataFrame:
+    """All links of ``members`` (fam, rid, n, full) within their families, those of a
+    star by its centre."""
+    up = den + num
+    placed, apart = _apart(members, num, den)
+    star, near = _star(placed), F.col("near")
 
     # differences that more than one member has; a member's differences are in their order of rarity
     common = written(apart.select("fam", F.explode("diff").alias("v")).groupBy("fam", "v").agg(F.count("*").alias("c"))
@@ -177,7 +210,7 @@ def _family_links(entries: DataFrame, long_lists: DataFrame, full: DataFrame, nu
     held = (apart.select("fam", "rid", F.explode("diff").alias("v")).join(common, ["fam", "v"])
             .groupBy("fam", "rid").agg(F.array_sort(F.collect_list(F.struct("c", "v"))).alias("held")))
     able = written(placed.join(held, ["fam", "rid"]).select(
-        "fam", "rid", "f", "f0", near.alias("near"), F.size("diff").alias("d"), "held",
+        "fam", "rid", "f", "f0", "near", F.size("diff").alias("d"), "held",
         (F.size("held") * (2 * up) - F.col("f")).alias("g")), "nd_able")
     # with f of the partner at most g, and of the two at least one not in the star
     reach = able.groupBy("fam").agg(F.max("g").alias("g_most"), F.min(F.when(~F.col("near"), F.col("f"))).alias("f_far"))
@@ -185,17 +218,21 @@ def _family_links(entries: DataFrame, long_lists: DataFrame, full: DataFrame, nu
     partner = F.when(F.col("near"), F.col("f_far")).otherwise(F.col("f0"))
     able = able.withColumn("partner", partner).filter((F.col("f") <= F.col("g_most")) & (F.col("partner") <= F.col("g")))
     need = F.greatest(F.lit(1), _ceil_div(F.col("f") + F.col("partner"), 2 * up))
-    lists = _prefix_entries(able.withColumn("own", F.transform("held", lambda x: x["v"])), "held", F.size("held") - need + 1)
-    lists = lists.select("fam", "value", "rid", "f", "g", "near", "left", "own")
-    other = lists.toDF("fam", "value", "rid2", "f2", "g2", "near2", "left2", "own2")
-    # Only linked pairs leave the join: their common differences are counted there, which settles
-    # the Jaccard, and a pair comes out at the first of them. Before that the sizes decide: at the
-    # first one, both still have all the common ones ahead of them.
+    narrow = written(_prefix_entries(able, "held", F.size("held") - need + 1)
+                     .select("fam", "value", "rid", "f", "g", "near", "left"), "nd_narrow")
+    # values that meet no other entry, or only members of the star, are done
+    met = narrow.groupBy("fam", "value").agg(F.count("*").alias("c"), F.min("near").alias("all_near")).filter("c > 1 AND NOT all_near")
+    lists = narrow.join(written(met.select("fam", "value"), "nd_met"), ["fam", "value"], "left_semi")
+    other = lists.toDF("fam", "value", "rid2", "f2", "g2", "near2", "left2")
+    # The sizes decide first: at their first common difference both still have all the common
+    # ones ahead of them. What passes is compared in full, each pair once.
     enough = f"{2 * up} >= f + f2"
-    linked = (lists.join(other, ["fam", "value"])
-              .filter(f"rid < rid2 AND f <= g2 AND f2 <= g AND NOT (near AND near2) AND least(left, left2) * {enough} "
-                      f"AND size(array_intersect(own, own2)) * {enough} AND get(array_intersect(own, own2), 0) = value")
-              .select(F.col("rid").alias("a"), F.col("rid2").alias("b")))
+    likely = written(lists.join(other, ["fam", "value"])
+                     .filter(f"rid < rid2 AND f <= g2 AND f2 <= g AND NOT (near AND near2) AND least(left, left2) * {enough}")
+                     .select("fam", "rid", "rid2", "f", "f2").distinct(), "nd_likely")
+    own = able.select("fam", "rid", F.transform("held", lambda x: x["v"]).alias("own"))
+    linked = (likely.join(own, ["fam", "rid"]).join(own.toDF("fam", "rid2", "own2"), ["fam", "rid2"])
+              .filter(f"size(array_intersect(own, own2)) * {enough}").select(F.col("rid").alias("a"), F.col("rid2").alias("b")))
     return star.union(linked)
 
 
@@ -249,7 +286,8 @@ def near_duplicates(docs: DataFrame, num: int = 80, den: int = 100, k: int = K)
     full = written(found, "nd_full")
 
     in_families = written(_family_links(entries, long_lists, full, num, den), "nd_families")
-    links = in_families.union(_verified(pairs.distinct(), reps, full, k, num, den))
+    links = written(in_families.union(_verified(pairs.distinct(), reps, full, k, num, den)), "nd_links")
+    discard(full, entries, lists, alive)
     roots = components(links)
 
     named = reps.select("cls", "rid", "least_id").join(roots, F.col("rid") == F.col("node"), "left")
