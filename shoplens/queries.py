@@ -680,6 +680,25 @@ def q_state_time_features(spark, sf_dir):
     return TS.feature_frame(oc(spark, sf_dir), ["customer_state"])
 
 
+@register("segment_thresholds_approx", with_oc("""
+SELECT UNNEST(['p25', 'p75']) AS threshold, TRUE AS within, customers
+FROM (SELECT CAST(COUNT(DISTINCT customer_id) AS BIGINT) AS customers FROM oc)"""))
+def q_segment_thresholds_approx(spark, sf_dir):
+    """A9 with a sketch: is the rank of each threshold within the stated error of its own?"""
+    spend = materialize(M.customer_spend(oc(spark, sf_dir)), "customer_spend")
+    th = M.segment_thresholds(spend, approx=True)
+    x = F.col("total_spend").cast("double")
+    count = lambda cond: F.count(F.when(cond, 1))
+    ranks = spend.crossJoin(F.broadcast(th)).agg(  # one row of thresholds
+        *(count(x < F.col(p)).alias(f"{p}_under") for p in ("p25", "p75")), *(count(x <= F.col(p)).alias(f"{p}_upto") for p in ("p25", "p75")),
+        F.count(F.lit(1)).alias("customers"))
+    within = lambda p, q: ((F.col(f"{p}_under") <= (q + M.RANK_ERROR) * F.col("customers"))
+                           & (F.col(f"{p}_upto") >= (q - M.RANK_ERROR) * F.col("customers")))
+    each = F.array(F.struct(F.lit("p25").alias("threshold"), within("p25", 0.25).alias("within")),
+                   F.struct(F.lit("p75").alias("threshold"), within("p75", 0.75).alias("within")))
+    return ranks.select(F.explode(each).alias("e"), "customers").select("e.threshold", "e.within", "customers")
+
+
 # ---- batches, validation, upsert, streaming -----------------------------------------------
 
 BATCH_SIZE = 1000

@@ -94,3 +94,19 @@ def test_signal_context_defaults_on_empty(spark):
 def test_anomaly_count_zero_variance(spark):
     rows = [row(f"o{i}", "c", "p", f"2024-03-{i:02d}", 5) for i in range(1, 10)]
     assert G.anomaly_count(clean_frame(spark, rows)).first().anomaly_count == 0
+
+
+def test_approximate_segments(spark):
+    """Thresholds from the sketch: ranks within the stated error, segments close to the exact ones."""
+    rows = [row(f"o{k}", f"c{k}", "p", "2024-01-01", (k * 7919) % 20011) for k in range(20000)]
+    oc = clean_frame(spark, rows).repartition(5)
+    spend = M.customer_spend(oc)
+    values = sorted(float(r.total_spend) for r in spend.collect())
+    th = M.segment_thresholds(spend, approx=True).first()
+    for got, q in ((th.p25, 0.25), (th.p75, 0.75)):
+        assert abs(sum(v <= got for v in values) / len(values) - q) <= M.RANK_ERROR
+    exact = {r.segment: r["count"] for r in M.customer_segments(oc).collect()}
+    near = {r.segment: r["count"] for r in M.customer_segments(oc, approx=True).collect()}
+    assert exact.keys() == near.keys() and all(abs(exact[s] - near[s]) <= 2 * M.RANK_ERROR * len(values) for s in exact)
+    none = M.customer_segments(oc.limit(0), approx=True).collect()
+    assert [r["count"] for r in none] == [0, 0, 0]
