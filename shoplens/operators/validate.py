@@ -6,11 +6,12 @@ one-row result into an exception for pipelines that must stop.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from shoplens.schema import PK_COLUMNS
 from shoplens.sources.batches import BATCH_COLUMN, batch_file_sizes
+from shoplens.sources.clean_store import read_clean, write_clean
 
 
 def check_clean(oc: DataFrame) -> DataFrame:
@@ -28,6 +29,23 @@ def check_clean(oc: DataFrame) -> DataFrame:
                         & (F.col("invalid_dates") == 0) & (F.col("duplicate_rows") == 0)))
 
 
+def write_checked(oc: DataFrame, path: str) -> DataFrame:
+    """Write the clean table (S2) and check it (V1) in flight: the row of
+    :func:`check_clean`, of which rows, NULL ids and bad dates are counted by the writing
+    tasks themselves. Only the duplicate test reads again, the key columns alone."""
+    seen = Observation()
+    write_clean(oc, path, watch=lambda df: df.observe(
+        seen, F.count(F.lit(1)).alias("rows"), F.count(F.when(F.col("order_id").isNull(), 1)).alias("null_order_ids"),
+        F.count(F.when(F.col("order_date").isNull(), 1)).alias("invalid_dates")))
+    counted = seen.get
+    stored = read_clean(oc.sparkSession, path, PK_COLUMNS, keep_partition=False) if counted["rows"] else oc.select(*PK_COLUMNS).limit(0)
+    keys = stored.groupBy(*PK_COLUMNS).agg(F.count(F.lit(1)).alias("n"))
+    return (keys.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicate_rows"))
+            .select(*(F.lit(counted[c]).cast("bigint").alias(c) for c in ("rows", "null_order_ids", "invalid_dates")), "duplicate_rows")
+            .withColumn("passed", (F.col("rows") > 0) & (F.col("null_order_ids") == 0)
+                        & (F.col("invalid_dates") == 0) & (F.col("duplicate_rows") == 0)))
+
+
 def batch_summary(batched: DataFrame) -> DataFrame:
     """Per-batch row counts (one row per batch)."""
     return batched.groupBy(BATCH_COLUMN).agg(F.count(F.lit(1)).alias("rows"))

@@ -20,7 +20,7 @@ from shoplens.operators.clean import build_orders_clean
 from shoplens.schema import CLEAN_COLUMNS, DEFAULT_BATCH_SIZE
 from shoplens.session import path_exists
 from shoplens.sources import batches as B
-from shoplens.sources.clean_store import read_clean, write_clean
+from shoplens.sources.clean_store import read_clean
 from shoplens.streaming.loader import ingest, next_batch, refresh_after_batch
 
 MODES = ("row", "daily")
@@ -53,9 +53,9 @@ def run_ingest(spark: SparkSession, raw: dict[str, DataFrame], work: str, dry_ru
     table, run_file = f"{work}/table", f"{work}/checkpoint"
 
     translations = V.raise_if_failed(V.check_translations(raw["translations"]), "translation table")
-    write_clean(build_orders_clean(raw), clean_path)
+    checked = V.write_checked(build_orders_clean(raw), clean_path)
+    summary = {"translations": translations, "clean": V.raise_if_failed(checked, "clean table")}
     clean = read_clean(spark, clean_path, keep_partition=False)
-    summary = {"translations": translations, "clean": V.raise_if_failed(V.check_clean(clean), "clean table")}
 
     size = batch_size if mode == "row" else None
     if not _cut_fits(spark, batch_dir, run_file, clean, size):

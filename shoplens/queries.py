@@ -735,6 +735,12 @@ def q_check_clean(spark, sf_dir):
     return V.check_clean(oc(spark, sf_dir))
 
 
+@register("check_clean_in_flight", ORACLE["check_clean"])
+def q_check_clean_in_flight(spark, sf_dir):
+    """V1 counted while the table is written."""
+    return V.write_checked(oc(spark, sf_dir).select(*CLEAN_COLUMNS), work_dir(spark, "checked"))
+
+
 @register("check_batches", with_oc(f"""
 SELECT CAST(COUNT(*) AS BIGINT) AS total_batches, CAST(SUM(rows) AS BIGINT) AS total_rows,
        MIN(batch_id) AS first_id, CAST(MAX(batch_id) - MIN(batch_id) + 1 - COUNT(*) AS BIGINT) AS gaps,

@@ -7,6 +7,8 @@ month predicate so whole partitions are pruned at planning time.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
 from shoplens.functions.dates import month_start
@@ -37,16 +39,17 @@ def with_partition(df: DataFrame) -> DataFrame:
     return df.withColumn(PARTITION_COLUMN, month_start("order_date"))
 
 
-def write_clean(oc: DataFrame, path: str, mode: str = "overwrite") -> None:
+def write_clean(oc: DataFrame, path: str, mode: str = "overwrite", watch: Callable[[DataFrame], DataFrame] = lambda df: df) -> None:
     """S2 + K1: month partitions, rows sorted by (date, key) inside each file.
 
     ``rebalance`` on the month lets AQE split an oversized month (one month
     may hold a third of all rows) across several writers and files instead
-    of sending it to one task, and merges small months.
+    of sending it to one task, and merges small months. ``watch`` may observe
+    the rows as they are written (in the writing tasks, so each row once).
     """
-    (with_partition(oc)
-     .hint("rebalance", PARTITION_COLUMN)
-     .sortWithinPartitions("order_date", "order_id", "product_id")
+    (watch(with_partition(oc)
+           .hint("rebalance", PARTITION_COLUMN)
+           .sortWithinPartitions("order_date", "order_id", "product_id"))
      .write.mode(mode).option("partitionOverwriteMode", "static")  # a full write leaves no old month behind
      .partitionBy(PARTITION_COLUMN).parquet(path))
 

@@ -116,3 +116,25 @@ def test_read_raw_csv_with_fallback(spark, tmp_dir):
     os.remove(os.path.join(fallback, RAW_FILES["order_items"]))
     with pytest.raises(FileNotFoundError):
         read_raw(spark, raw_dir, fallback)
+
+
+def test_checks_in_flight_are_those_of_the_table(spark):
+    """Rows, bad dates and duplicates counted while writing; an empty table fails."""
+    from pyspark.sql import functions as F
+
+    from shoplens.operators import validate as V
+    from shoplens.session import work_dir
+    from shoplens.sources.clean_store import read_clean
+    from tests.frames import clean_frame, row
+
+    rows = [row(f"o{k % 30}", "c", f"p{k % 4}", f"2024-0{1 + k % 3}-01", k) for k in range(90)]
+    bad = clean_frame(spark, rows).repartition(4)
+    bad = bad.withColumn("order_date", F.when(F.col("payment_value") != 7, F.col("order_date"))).withColumn(
+        "order_id", F.when(F.col("payment_value") != 9, F.col("order_id")))
+    for k, df in enumerate((clean_frame(spark, rows[:12]), bad, bad.limit(0))):
+        path = work_dir(spark, f"t-flight-{k}")
+        got = V.write_checked(df, path).first()
+        assert got == V.check_clean(df).first()
+        assert got.passed == (k == 0)
+        if k < 2:
+            assert read_clean(spark, path).count() == got.rows
