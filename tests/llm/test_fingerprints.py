@@ -62,3 +62,26 @@ def test_compare_with_next(spark, docs, corpus, empty):
         assert sorted(got, key=key) == sorted(want, key=key)
     assert fp.compare_with_next(empty, 4).count() == 0
     assert fp.fingerprints(docs).count() == len(corpus)
+
+
+def test_likeness_against_brute_force(spark, docs, corpus):
+    """near_edited and near_next from the texts' own chunks, as sets of bytes."""
+    def pieces(text):
+        raw, at, own = text.encode("utf-8"), 0, set()
+        for end in fp.chunks(raw):
+            own.add(raw[at:end])
+            at = end
+        return own
+
+    def share(a, b):
+        a, b = pieces(a), pieces(b)
+        return sum(map(len, a & b)) / sum(map(len, a)) if a else float(not b)
+
+    order = sorted(corpus, key=lambda r: (r[0] is None, -(r[0] or 0), r[1] or ""))
+    texts = [r[1] or "" for r in order]
+    want = []
+    for k, r in enumerate(order):
+        after = texts[(k + 1) % len(order)]
+        want.append((str(r[0]), len(texts[k]), round(share(texts[k], fp.edited(texts[k], after)), 9), round(share(texts[k], after), 9)))
+    got = [(str(r.doc_id), r.n_chars, round(r.near_edited, 9), round(r.near_next, 9)) for r in fp.compare_with_next(docs, 4).collect()]
+    assert sorted(got) == sorted(want)

@@ -242,3 +242,27 @@ def test_weights_learn_from_every_bit():
     b = cm.Bits(code, [text])
     x, gate = cm._inputs(code, b.node, [t.take(s) for t, s in zip(tables, b.slots)])
     assert np.log(cm._mixed(cm._start_weights(), gate, x, b.bit)[0]).sum() != pytest.approx(refined, rel=1e-4)
+
+
+def test_forward_against_slow_loop():
+    """Attention over the passages of each bag, passage by passage."""
+    import math
+
+    rng = np.random.default_rng(4)
+    bags = [rng.normal(size=(n, mil.FEATURES)) for n in (1, 4, 2)]
+    m = {"W": rng.normal(0, .2, (mil.FEATURES, 4)), "b": rng.normal(size=4), "V": rng.normal(size=(4, 3)),
+         "U": rng.normal(size=(4, 3)), "w": rng.normal(size=3), "c": rng.normal(size=4), "d": np.array(-0.3)}
+    sigmoid = lambda v: 1 / (1 + math.exp(-v))
+    want = []
+    for bag in bags:
+        encoded, energy = [], []
+        for passage in bag:
+            h = [math.tanh(sum(v * w for v, w in zip(passage, m["W"][:, k])) + m["b"][k]) for k in range(4)]
+            gates = [math.tanh(sum(h[i] * m["V"][i, k] for i in range(4))) * sigmoid(sum(h[i] * m["U"][i, k] for i in range(4))) for k in range(3)]
+            encoded.append(h)
+            energy.append(sum(g * w for g, w in zip(gates, m["w"])))
+        share = [math.exp(e) / sum(map(math.exp, energy)) for e in energy]
+        z = [sum(a * h[k] for a, h in zip(share, encoded)) for k in range(4)]
+        want.append(sigmoid(sum(v * c for v, c in zip(z, m["c"])) + float(m["d"])))
+    got = mil._forward(m, np.concatenate(bags), np.array([len(b) for b in bags]))["p"]
+    assert got == pytest.approx(want, abs=1e-12)
