@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
 from shoplens.llm.common import table, written
@@ -84,3 +85,16 @@ def test_near_stage_keeps_one_of_a_group_without_or_with_equal_ids(spark):
     got = [(r.doc_id, r.text) for r in cp.near_dedup(spark, df, SF).collect()]
     assert sorted(str(i) for i, _ in got) == ["4", "5", "7", "None", "None"]
     assert [t for i, t in got if i == 7] == [c] and (None, "x") in got
+
+
+def test_stages_with_clashing_columns_and_hot_ids(spark, docs, tmp_path):
+    """Extra columns whose names the operators use stay, and null and repeated ids run through all stages."""
+    hot = docs.limit(40).withColumn("doc_id", F.lit(None).cast("long")).unionByName(docs.limit(40).withColumn("doc_id", F.lit(9).cast("long")))
+    now = docs.unionByName(hot)
+    labels = docs.filter("doc_id IS NOT NULL").select("doc_id", (F.col("doc_id") % 7 != 0).cast("int").alias("quality"), F.lit(0).alias("toxic"))
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    for name, stage in cp.STAGES:
+        before, now = now, written(stage(spark, now, str(tmp_path)), "t-stage")
+        if name != "pack":
+            assert now.columns == before.columns and 0 < now.count()
+    assert now.count() > 0
