@@ -12,13 +12,16 @@ Plan shape (what Catalyst sees):
 * an order that holds a large part of all items (a heavy hitter, found by a
   mergeable frequency sketch) is joined by (order, salt): its items are dealt
   by product over ``SALTS`` tasks and its one order row is repeated for each. The
-  salt follows from order and product, so the de-duplication takes it among
-  its keys and needs no further shuffle;
+  salt follows from order and product;
 * the review median is a one-row aggregate attached by a broadcast cross
   join of that single row; it is taken over one row an order, weighted by the
   order's items, so that the item join is not done twice;
-* de-duplication is an aggregate (sorted, with a partial step on the map
-  side) that keeps the smallest (price, freight_value, ...) row of each key.
+* de-duplication is an aggregate that keeps the smallest (price,
+  freight_value, ...) row of each key. It works on either side of the last join,
+  on narrow rows: of a key's joined rows, which are all pairs of its item rows and its
+  order rows, the smallest one is the pair of the smallest item row and the
+  smallest order row. The aggregate of the items sorts as the join needs them,
+  so that the wide joined rows are neither sorted nor grouped again.
 """
 
 from __future__ import annotations
@@ -63,8 +66,9 @@ def translate_products(products: DataFrame, translations: DataFrame) -> DataFram
         "product_id", "product_category_name_english")
 
 
-def join_sources(raw: dict[str, DataFrame]) -> DataFrame:
-    """J2..J6: the unified, not yet cleaned, order-item rows.
+def join_sources(raw: dict[str, DataFrame], unique: bool = False) -> DataFrame:
+    """J2..J6: the unified, not yet cleaned, order-item rows; with ``unique`` one
+    row a key (P7, and P2, P3, P5 of the columns that decide which row stays).
 
     Same rows as ``orders ⋈ items ⟕ products ⟕ payments ⟕ reviews ⟕
     customers`` (left joins on one side's key commute with the inner join),
@@ -88,10 +92,27 @@ def join_sources(raw: dict[str, DataFrame]) -> DataFrame:
     dealt = F.when(F.col("_hot"), F.pmod(F.xxhash64("product_id"), F.lit(SALTS))).otherwise(F.lit(0)).cast("int")
     every = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
     items = items.join(hot, "order_id", "left").withColumn("_salt", dealt).drop("_hot")
+    if unique:
+        orders = dedup_orders(_ranked(orders, [], ["customer_city", "customer_state"]), ORDER_KEYS)
     orders = orders.join(hot, "order_id", "left").withColumn("_salt", F.explode(every)).drop("_hot")
+    if unique:
+        items = _ranked(items, ["price", "freight_value"], ["product_category_name_english"])
+        items = dedup_orders(items.repartition("order_id", "_salt"), ["order_id", "_salt", "product_id"])
     return orders.join(items, ["order_id", "_salt"], "inner")
 
 
+#: an order row's part of the de-duplication key; the item's is its product
+ORDER_KEYS = ["order_id", "customer_id", "order_purchase_timestamp"]
+
+
+def _ranked(side: DataFrame, money: list[str], labels: list[str]) -> DataFrame:
+    """Rows of one side of the last join that have its keys, with comparable values."""
+    keys = [c for c in (*ORDER_KEYS, "product_id") if c in side.columns]
+    if ORDER_KEYS[-1] in keys:
+        side = parse_dates(side, ORDER_KEYS[-1])
+    return side.dropna(subset=keys).withColumns({c: to_money(c) for c in money}).fillna(PIPELINE_UNKNOWN, subset=labels)
+
+
 #: orders that may be dealt over several tasks, the share of all items from which one is, and its tasks
 HOT_ORDERS, HOT_SHARE, SALTS = 1000, 1 / 1000, 256
 
@@ -217,13 +238,12 @@ def dedup_orders(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
 
 def build_orders_clean(raw: dict[str, DataFrame]) -> DataFrame:
     """The whole clean step (J1..J6, A1, A2, P1..P7)."""
-    df = project_clean(join_sources(raw), keep=("_salt",))
+    df = project_clean(join_sources(raw, unique=True))
     df = parse_dates(df)
     df = coerce_money(df)
     df = impute_review_score(df, review_median(raw))
     df = fill_unknown(df)
-    df = drop_null_keys(df)
-    return dedup_orders(df, [*DEDUP_COLUMNS, "_salt"]).drop("_salt")
+    return drop_null_keys(df)
 
 
 # ---- P8 / P9 -------------------------------------------------------------------

@@ -47,7 +47,7 @@ def split_daily_batches(oc: DataFrame) -> DataFrame:
 def write_batches(batched: DataFrame, path: str) -> None:
     """Write a cut; whatever an earlier cut left in ``path`` goes."""
     (batched.withColumn(RANGE_COLUMN, F.floor(F.col(BATCH_COLUMN) / F.lit(RANGE)).cast("int"))
-     .hint("rebalance", RANGE_COLUMN).sortWithinPartitions(BATCH_COLUMN)
+     .hint("rebalance", RANGE_COLUMN).sortWithinPartitions(RANGE_COLUMN, BATCH_COLUMN)
      .write.mode("overwrite").option("partitionOverwriteMode", "static")
      .partitionBy(RANGE_COLUMN).parquet(path))
 

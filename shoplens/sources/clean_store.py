@@ -44,12 +44,13 @@ def write_clean(oc: DataFrame, path: str, mode: str = "overwrite", watch: Callab
 
     ``rebalance`` on the month lets AQE split an oversized month (one month
     may hold a third of all rows) across several writers and files instead
-    of sending it to one task, and merges small months. ``watch`` may observe
+    of sending it to one task, and merges small months. The sort begins with
+    the month as the writer asks for, which would sort once more otherwise. ``watch`` may observe
     the rows as they are written (in the writing tasks, so each row once).
     """
     (watch(with_partition(oc)
            .hint("rebalance", PARTITION_COLUMN)
-           .sortWithinPartitions("order_date", "order_id", "product_id"))
+           .sortWithinPartitions(PARTITION_COLUMN, "order_date", "order_id", "product_id"))
      .write.mode(mode).option("partitionOverwriteMode", "static")  # a full write leaves no old month behind
      .partitionBy(PARTITION_COLUMN).parquet(path))
 

@@ -55,7 +55,7 @@ def _stage_path(target_path: str) -> str:
 
 
 def _write_months(df: DataFrame, path: str) -> None:
-    (df.hint("rebalance", PARTITION_COLUMN).sortWithinPartitions("order_date", "order_id", "product_id")
+    (df.hint("rebalance", PARTITION_COLUMN).sortWithinPartitions(PARTITION_COLUMN, "order_date", "order_id", "product_id")
      .write.partitionBy(PARTITION_COLUMN).parquet(path))
 
 
