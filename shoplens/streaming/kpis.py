@@ -1,84 +1,119 @@
 """Live KPIs (A3, A4, A5, W1) from the batch stream, with retractions for overwritten keys.
 
-The batches are keyed on the table's primary key. The state of a key is the row
-that stands for it now: the one of the highest batch index, whatever the order
-in which the files come (of one batch the largest by its other columns, as in
-the upsert). A row that replaces another one takes back its revenue; a new
-key adds one row and its revenue; a row that is older than the one that stands
-adds nothing. Of each micro-batch these changes are summed by day and written to a folder
-named after its epoch, which a repeated epoch overwrites, so that every change
-counts once through failures and restarts. The KPIs are sums over these folders: a
-few numbers a day and epoch.
-
-The state holds one small row for each key of the table, in the state store,
-partitioned by key. On a cluster choose the RocksDB store for it
-(``spark.sql.streaming.stateStore.providerClass``).
+The batches are keyed on the table's primary key. The row that stands for a key now
+is the one of the highest batch index, whatever the order in which the files come (of
+one batch the largest by its other columns, as in the upsert). A row that replaces
+another one takes back its revenue; a new key adds one row and its revenue; a row that
+is older than the one that stands adds nothing. Of each micro-batch these changes are
+summed by day and written to a folder named after its epoch, which a repeated epoch
+overwrites, so that every change counts once through failures and restarts. The KPIs are
+sums over these folders: a few numbers a day and epoch.
+
+The standing rows lie in Parquet *runs* beside the checkpoint, sorted by date. An epoch
+reads of the runs before it the days between its first and its last one, takes per key
+the largest row there and the largest of all, and writes the rows that stand newly as
+its own run. Every ``MERGE`` epochs their runs become one, every ``MERGE`` of these
+one again, so that a row is written again a few times (by the logarithm of the number of
+epochs) and an epoch reads a few runs. Which epochs a run covers follows from its number, and
+runs that are merged go when a later epoch comes, so that a repeated epoch finds
+what it found before.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from shoplens.functions.dates import day
 from shoplens.operators.clean import prepare_batch
 from shoplens.operators.marts import growth_of
 from shoplens.schema import CLEAN_COLUMNS, MONEY_COLUMNS, PK_COLUMNS
-from shoplens.session import path_exists
+from shoplens.session import path_exists, remove_path
 from shoplens.sources.batches import BATCH_COLUMN
 from shoplens.streaming.loader import stream_batches
 
 REST = [c for c in CLEAN_COLUMNS if c not in PK_COLUMNS]
-#: money in hundredths, exact in every language
-_TYPES = {c: "long" for c in MONEY_COLUMNS} | {"review_score": "int"}
-STANDS = ", ".join([f"{BATCH_COLUMN} int", *(f"{c} {_TYPES.get(c, 'string')}" for c in REST)])
+#: what orders the rows of a key
+RANK = [BATCH_COLUMN, *REST]
 CHANGES = "date date, rows long, cents long"
-
-
-def _changes(key: tuple, frames: Iterator, state: GroupState) -> Iterator:
-    """What a key's new rows change in its day's row count and revenue."""
-    import pandas as pd
-
-    stands = tuple(state.get) if state.exists else None
-    best = stands
-    for pdf in frames:
-        for row in pdf[[BATCH_COLUMN, *REST]].itertuples(index=False, name=None):
-            row = tuple(v.item() if hasattr(v, "item") else v for v in row)
-            if best is None or row > best:
-                best = row
-    if best == stands:
-        return
-    state.update(best)
-    at = 1 + REST.index("payment_value")
-    yield pd.DataFrame({"date": [key[PK_COLUMNS.index("order_date")].date()], "rows": [0 if stands else 1],
-                        "cents": [best[at] - (stands[at] if stands else 0)]})
+#: runs that are merged into one
+MERGE = 8
 
 
 def change_stream(spark: SparkSession, batch_dir: str, files_per_trigger: int = 1) -> DataFrame:
-    """(date, rows, cents): the change that each touched key of a micro-batch makes."""
+    """The cleaned rows of the batches, each with what it adds to its day (date, rows,
+    cents) if its key is new; :func:`stand` takes back what the row before it added."""
     rows = prepare_batch(stream_batches(spark, batch_dir, files_per_trigger), keep=(BATCH_COLUMN,))
-    cents = {c: (F.col(c) * 100).cast("long") for c in MONEY_COLUMNS}
-    return rows.withColumns(cents).groupBy(*PK_COLUMNS).applyInPandasWithState(
-        _changes, CHANGES, STANDS, "update", GroupStateTimeout.NoTimeout)
+    return rows.select(*PK_COLUMNS, BATCH_COLUMN, *((F.col(c) * 100).cast("long").alias(c) if c in MONEY_COLUMNS else c for c in REST),
+                       day("order_date").alias("date"), F.lit(1).cast("long").alias("rows"),
+                       (F.col("payment_value") * 100).cast("long").alias("cents"))
 
 
 def _log(checkpoint: str) -> str:
     return f"{checkpoint.rstrip('/')}-changes"
 
 
+def _run(checkpoint: str, epoch: int) -> str:
+    return f"{checkpoint.rstrip('/')}-runs/{'merged' if covered(epoch) > 1 else 'epoch'}={epoch}"
+
+
+def covered(epoch: int) -> int:
+    """How many epochs, up to this one, the run of ``epoch`` holds."""
+    n = 1
+    while (epoch + 1) % (n * MERGE) == 0:
+        n *= MERGE
+    return n
+
+
+def live_runs(epoch: int) -> list[int]:
+    """The runs that together hold all epochs up to ``epoch``, the latest first."""
+    found = []
+    while epoch >= 0:
+        found.append(epoch)
+        epoch -= covered(epoch)
+    return found
+
+
+def merged_runs(epoch: int) -> list[int]:
+    """The earlier runs that the run of ``epoch`` takes up."""
+    return [e for e in live_runs(epoch - 1) if e > epoch - covered(epoch)]
+
+
+def stand(rows: DataFrame, checkpoint: str, epoch: int) -> None:
+    """Write the standing rows that ``epoch`` brings, what they change by day, and its run."""
+    spark, own = rows.sparkSession, f"{checkpoint.rstrip('/')}-runs/epoch={epoch}"
+    if epoch:  # the epoch before this one has ended
+        gone = [_run(checkpoint, e) for e in merged_runs(epoch - 1)]
+        for path in [*gone, *([f"{checkpoint.rstrip('/')}-runs/epoch={epoch - 1}"] if covered(epoch - 1) > 1 else [])]:
+            remove_path(spark, path)
+    new = rows.select(*PK_COLUMNS, F.struct(*RANK).alias("row"))
+    read = lambda paths: spark.read.schema(new.schema).parquet(*paths)
+    there = lambda epochs: [x for x in (_run(checkpoint, e) for e in epochs) if path_exists(spark, x)]
+    every = new.withColumn("old", F.lit(False))  # of this epoch
+    if before := there(live_runs(epoch - 1)):
+        first, last = new.agg(*(f("order_date").cast("string") for f in (F.min, F.max))).first()
+        within = F.col("order_date").between(*(F.lit(x).cast("timestamp_ntz") for x in (first, last)))
+        every = every.unionByName(read(before).where(within).withColumn("old", F.lit(True)))
+    best = (every.repartition(*(F.col(c) for c in PK_COLUMNS)).groupBy(*PK_COLUMNS)  # no combining before: few keys repeat
+            .agg(F.max("row").alias("row"), F.max(F.when(F.col("old"), F.col("row"))).alias("was")))
+    stands = (best.where(F.col("was").isNull() | (F.col("row") > F.col("was")))
+              .select(*PK_COLUMNS, "row", F.col("was.payment_value").alias("before"), F.col("was").isNull().alias("first")))
+    stands.sortWithinPartitions("order_date").write.mode("overwrite").parquet(own)
+    stands = spark.read.schema(stands.schema).parquet(own)
+    (stands.groupBy(day("order_date").alias("date"))
+     .agg(F.sum(F.col("first").cast("long")).alias("rows"), F.sum(F.col("row.payment_value") - F.coalesce("before", F.lit(0))).alias("cents"))
+     .write.mode("overwrite").parquet(f"{_log(checkpoint)}/epoch={epoch}"))
+    if covered(epoch) > 1:
+        (read([own, *there(merged_runs(epoch))]).repartition(*(F.col(c) for c in PK_COLUMNS)).groupBy(*PK_COLUMNS).agg(F.max("row").alias("row"))
+         .sortWithinPartitions("order_date").write.mode("overwrite").parquet(_run(checkpoint, epoch)))
+
+
 def kpi_stream(spark: SparkSession, batch_dir: str, checkpoint: str, files_per_trigger: int = 1,
                available_now: bool = True) -> StreamingQuery:
     """Start the stream; its changes by day go to the log beside the checkpoint."""
-    def process(df: DataFrame, epoch: int) -> None:
-        (df.groupBy("date").agg(F.sum("rows").alias("rows"), F.sum("cents").alias("cents"))
-         .write.mode("overwrite").parquet(f"{_log(checkpoint)}/epoch={epoch}"))
-
-    writer = (change_stream(spark, batch_dir, files_per_trigger).writeStream.outputMode("update")
-              .foreachBatch(process).option("checkpointLocation", checkpoint))
+    writer = (change_stream(spark, batch_dir, files_per_trigger).writeStream
+              .foreachBatch(lambda df, epoch: stand(df, checkpoint, epoch)).option("checkpointLocation", checkpoint))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="30 seconds")
     return writer.start()
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import random
 
 import pytest
@@ -78,3 +79,20 @@ def test_dies_after_its_changes_are_written(spark, monkeypatch):
 def test_nothing_yet(spark):
     r = K.live_metrics(spark, work_dir(spark, "t-live-none")).first()
     assert r.total_orders == 0 and r.total_revenue == 0.0
+
+
+def test_runs_are_merged_and_cover_all_epochs(spark):
+    """More epochs than are merged into one run: no key is lost or counted twice, few runs are left, no key calls Python."""
+    batch_dir, ckpt = work_dir(spark, "t-live-runs"), work_dir(spark, "t-live-runs-ckpt")
+    cut = {k: df for k, df in enumerate(batches(spark, 3) + batches(spark, 4) + batches(spark, 5))}
+    for k in sorted(cut, key=lambda k: k * 5 % 12):  # file by file, in an order of its own
+        put(cut[k], batch_dir, k, k)
+    K.kpi_stream(spark, batch_dir, ckpt).awaitTermination()
+    same_as_table(spark, ckpt, cut)
+    for n in range(1, 600):
+        held = sum((list(range(e - K.covered(e) + 1, e + 1)) for e in K.live_runs(n)), [])
+        assert sorted(held) == list(range(n + 1)) and len(K.live_runs(n)) <= 4 * K.MERGE
+    found = os.listdir(f"{ckpt.removeprefix('file:')}-runs")
+    assert {x for x in found if not x.startswith(".")} == {"merged=7", "epoch=8", "epoch=9", "epoch=10", "epoch=11"}
+    import inspect
+    assert "applyInPandas" not in inspect.getsource(K)
