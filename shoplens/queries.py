@@ -855,6 +855,9 @@ def q_create_table(spark, sf_dir):
     return found
 
 
+REVIEWS_PER_FILE = 100_000
+
+
 @register("orders_clean_from_csv", with_oc(f"SELECT {', '.join(CLEAN_COLUMNS)} FROM oc"))
 def q_orders_clean_from_csv(spark, sf_dir):
     """The raw tables as CSV files, review rows with whole document texts
@@ -864,10 +867,14 @@ def q_orders_clean_from_csv(spark, sf_dir):
     n = docs.count()
     comments = docs.select(F.col("doc_id").alias("k"), F.concat(F.lit('a "quoted" word, and:\n'), "text").alias("review_comment_message"))
     reviews = raw["reviews"].withColumn("k", F.pmod(F.col("order_id").cast("long"), F.lit(max(1, n))))
-    raw["reviews"] = reviews.join(comments, "k", "left").select("order_id", "review_comment_message", "review_score")
+    # each review repeats a whole text: a merge join leaves rows of one text together, so that
+    # compression takes the repeats out; a file holds a bounded number of reviews
+    reviews = reviews.repartition(-(-reviews.count() // REVIEWS_PER_FILE) or 1, "k")
+    raw["reviews"] = reviews.join(comments.hint("merge"), "k", "left").select("order_id", "review_comment_message", "review_score")
     base = work_dir(spark, "raw_csv")
     for name, df in raw.items():
-        df.write.option("header", True).option("escape", '"').option("quoteAll", name == "reviews").csv(f"{base}/{RAW_FILES[name]}")
+        (df.write.option("header", True).option("escape", '"').option("quoteAll", name == "reviews")
+         .option("compression", "gzip" if name == "reviews" else "none").csv(f"{base}/{RAW_FILES[name]}"))
     return C.build_orders_clean(read_raw(spark, base))
 
 
