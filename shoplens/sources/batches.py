@@ -22,6 +22,9 @@ from shoplens.schema import DEFAULT_BATCH_SIZE
 BATCH_COLUMN = "batch_id"
 RANGE_COLUMN = "batch_range"
 RANGE = 1000
+#: a row group of a cut's files: a micro-batch of one file is read by several tasks, one
+#: batch without the rest of its file
+ROW_GROUP_BYTES = 8 << 20
 # total order for numbering: date first, then the full de-duplication key
 BATCH_ORDER = ["order_date", "order_id", "product_id", "customer_id"]
 
@@ -49,6 +52,7 @@ def write_batches(batched: DataFrame, path: str) -> None:
     (batched.withColumn(RANGE_COLUMN, F.floor(F.col(BATCH_COLUMN) / F.lit(RANGE)).cast("int"))
      .hint("rebalance", RANGE_COLUMN).sortWithinPartitions(RANGE_COLUMN, BATCH_COLUMN)
      .write.mode("overwrite").option("partitionOverwriteMode", "static")
+     .option("parquet.block.size", ROW_GROUP_BYTES)
      .partitionBy(RANGE_COLUMN).parquet(path))
 
 

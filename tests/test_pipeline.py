@@ -315,3 +315,43 @@ def test_translation_null_key_is_rejected(spark):
     r = V.check_translations(tr).first()
     assert r.null_keys == 1 and not r.passed
     assert V.check_translations(tr.where("product_category_name IS NOT NULL")).first().passed
+
+
+def test_review_files_hold_whole_texts_in_little_room(spark):
+    """Every review row of the CSV files has its whole text; what the repeats take is compressed away."""
+    import glob
+    import os
+
+    from shoplens import queries as Q
+    from shoplens.session import ensure_checkpoint_dir
+
+    sf = "/root/testdata/sf0.001"
+    base = ensure_checkpoint_dir(spark).removeprefix("file:")
+    old = set(glob.glob(f"{base}/shoplens/raw_csv-*"))
+    Q.q_orders_clean_from_csv(spark, sf)
+    path, = set(glob.glob(f"{base}/shoplens/raw_csv-*")) - old
+    at = f"{path}/{Q.RAW_FILES['reviews']}"
+    got = Q.read_raw(spark, path)["reviews"]
+    docs, lines = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/lineitem.parquet").where("l_returnflag = 'R'")
+    n = docs.count()
+    want = lines.join(docs, lines.l_orderkey % n == docs.doc_id, "left").selectExpr("string(l_orderkey) k", "concat('a \"quoted\" word, and:\n', text) c")
+    have = got.selectExpr("order_id k", "review_comment_message c")
+    assert have.exceptAll(want).count() == 0 and want.exceptAll(have).count() == 0
+    text = want.selectExpr("sum(octet_length(c))").first()[0]
+    assert sum(os.path.getsize(f) for f in glob.glob(f"{at}/part-*")) < text / 4
+
+
+def test_a_file_of_a_cut_can_be_read_by_several_tasks(spark, tmp_dir, monkeypatch):
+    import glob
+
+    import pyarrow.parquet as pq
+    from pyspark.sql import functions as F
+
+    from shoplens.sources import batches as B
+
+    monkeypatch.setattr(B, "ROW_GROUP_BYTES", 64 << 10)
+    cut = spark.range(60000).select((F.col("id") / 1000).cast("int").alias("batch_id"), F.sha2(F.col("id").cast("string"), 256).alias("x"))
+    B.write_batches(cut, f"{tmp_dir}/cut")
+    files = [pq.ParquetFile(f) for f in glob.glob(f"{tmp_dir}/cut/*/*.parquet")]
+    assert sum(f.metadata.num_rows for f in files) == 60000 and all(f.metadata.num_row_groups > 3 for f in files)
+    assert B.read_batches(spark, f"{tmp_dir}/cut").exceptAll(cut).count() == 0
