@@ -760,7 +760,7 @@ def q_check_batches(spark, sf_dir):
     """V2 over batches written to and read back from storage."""
     fact = oc(spark, sf_dir)
     path = work_dir(spark, "batches")
-    B.write_batches(B.split_row_batches(fact, BATCH_SIZE), path)
+    B.write_batches(B.split_row_batches(fact, BATCH_SIZE), path, in_order=True)
     return V.check_batches(B.read_batches(spark, path), fact, BATCH_SIZE)
 
 
@@ -772,10 +772,10 @@ FROM (SELECT order_date, CAST(({ROWNUM_SQL} - 1) // {BATCH_SIZE} AS INTEGER) AS
 @register("row_batches_recut", RECUT_SQL)
 def q_row_batches_recut(spark, sf_dir):
     """A cut over an older, finer cut leaves none of its batches."""
-    fact = oc(spark, sf_dir)
+    numbered = B.number_rows(oc(spark, sf_dir))  # both cuts share the order
     path = work_dir(spark, "batches")
-    B.write_batches(B.split_row_batches(fact, BATCH_SIZE // 2), path)
-    B.write_batches(B.split_row_batches(fact, BATCH_SIZE), path)
+    B.write_batches(B.split_row_batches(numbered, BATCH_SIZE // 2), path, in_order=True)
+    B.write_batches(B.split_row_batches(numbered, BATCH_SIZE), path, in_order=True)
     return (B.read_batches(spark, path).groupBy("batch_id")
             .agg(F.count(F.lit(1)).alias("rows"), F.min("order_date").alias("first_date"),
                  F.max("order_date").alias("last_date")))
@@ -787,7 +787,7 @@ FROM (SELECT *, CAST(({ROWNUM_SQL} - 1) // {BATCH_SIZE} AS INTEGER) AS batch_id
 def q_read_batch(spark, sf_dir):
     """One batch of the cut of the whole fact, read by its folder and statistics."""
     path = work_dir(spark, "batches")
-    B.write_batches(B.split_row_batches(oc(spark, sf_dir), BATCH_SIZE), path)
+    B.write_batches(B.split_row_batches(oc(spark, sf_dir), BATCH_SIZE), path, in_order=True)
     return B.read_batch(spark, path, 7).select("order_id", "product_id", "order_date")
 
 

@@ -12,14 +12,18 @@ batches, and the reader still skips to one batch by the files' statistics.
 
 from __future__ import annotations
 
+from contextlib import nullcontext
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shoplens.functions.dates import day
 from shoplens.functions.numbering import global_row_number
 from shoplens.schema import DEFAULT_BATCH_SIZE
+from shoplens.session import folders_as_they_come
 
 BATCH_COLUMN = "batch_id"
+POSITION_COLUMN = "_pos"
 RANGE_COLUMN = "batch_range"
 RANGE = 1000
 #: a row group of a cut's files: a micro-batch of one file is read by several tasks, one
@@ -29,14 +33,18 @@ ROW_GROUP_BYTES = 8 << 20
 BATCH_ORDER = ["order_date", "order_id", "product_id", "customer_id"]
 
 
+def number_rows(oc: DataFrame) -> DataFrame:
+    """Rows sorted by date, with their position: for several cuts of the same rows."""
+    return global_row_number(oc.where(F.col("order_date").isNotNull()), BATCH_ORDER, POSITION_COLUMN)
+
+
 def split_row_batches(oc: DataFrame, batch_size: int = DEFAULT_BATCH_SIZE) -> DataFrame:
-    """Sort by date, number rows, batch = floor(position / size)."""
+    """Sort by date, number rows (unless :func:`number_rows` did), batch = floor(position / size)."""
     if batch_size <= 0:
         raise ValueError("batch_size must be greater than 0")
-    rows = oc.where(F.col("order_date").isNotNull())
-    numbered = global_row_number(rows, BATCH_ORDER, "_pos")
-    return (numbered.withColumn(BATCH_COLUMN, F.floor((F.col("_pos") - 1) / F.lit(batch_size)).cast("int"))
-            .drop("_pos"))
+    numbered = oc if POSITION_COLUMN in oc.columns else number_rows(oc)
+    return (numbered.withColumn(BATCH_COLUMN, F.floor((F.col(POSITION_COLUMN) - 1) / F.lit(batch_size)).cast("int"))
+            .drop(POSITION_COLUMN))
 
 
 def split_daily_batches(oc: DataFrame) -> DataFrame:
@@ -47,13 +55,19 @@ def split_daily_batches(oc: DataFrame) -> DataFrame:
     return rows.join(index, "_day").drop("_day")
 
 
-def write_batches(batched: DataFrame, path: str) -> None:
-    """Write a cut; whatever an earlier cut left in ``path`` goes."""
-    (batched.withColumn(RANGE_COLUMN, F.floor(F.col(BATCH_COLUMN) / F.lit(RANGE)).cast("int"))
-     .hint("rebalance", RANGE_COLUMN).sortWithinPartitions(RANGE_COLUMN, BATCH_COLUMN)
-     .write.mode("overwrite").option("partitionOverwriteMode", "static")
-     .option("parquet.block.size", ROW_GROUP_BYTES)
-     .partitionBy(RANGE_COLUMN).parquet(path))
+def write_batches(batched: DataFrame, path: str, in_order: bool = False) -> None:
+    """Write a cut; whatever an earlier cut left in ``path`` goes.
+
+    ``in_order`` says that the rows are read from sorted files, as those of
+    :func:`split_row_batches` are: a task then holds few ranges and writes them as
+    they come, without another shuffle and sort."""
+    rows = batched.withColumn(RANGE_COLUMN, F.floor(F.col(BATCH_COLUMN) / F.lit(RANGE)).cast("int"))
+    if not in_order:
+        rows = rows.hint("rebalance", RANGE_COLUMN).sortWithinPartitions(RANGE_COLUMN, BATCH_COLUMN)
+    with folders_as_they_come(rows.sparkSession) if in_order else nullcontext():
+        (rows.write.mode("overwrite").option("partitionOverwriteMode", "static")
+         .option("parquet.block.size", ROW_GROUP_BYTES)
+         .partitionBy(RANGE_COLUMN).parquet(path))
 
 
 def read_batches(spark: SparkSession, batch_dir: str) -> DataFrame:

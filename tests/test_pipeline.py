@@ -355,3 +355,22 @@ def test_a_file_of_a_cut_can_be_read_by_several_tasks(spark, tmp_dir, monkeypatc
     files = [pq.ParquetFile(f) for f in glob.glob(f"{tmp_dir}/cut/*/*.parquet")]
     assert sum(f.metadata.num_rows for f in files) == 60000 and all(f.metadata.num_row_groups > 3 for f in files)
     assert B.read_batches(spark, f"{tmp_dir}/cut").exceptAll(cut).count() == 0
+
+
+def test_two_cuts_share_the_order(spark, monkeypatch):
+    """The rows are sorted once, and a cut of sorted files isn't shuffled again."""
+    from pyspark.sql import DataFrame
+
+    fact = clean_frame(spark, [row(f"o{i:02}", "c", "p", f"2024-01-{1 + i % 9:02}", i) for i in range(40)])
+    want = {n: sorted((r.batch_id, r.order_id) for r in B.split_row_batches(fact, n).collect()) for n in (3, 7)}
+    asked, sorts = [], []
+    real, number = DataFrame.hint, B.global_row_number
+    monkeypatch.setattr(DataFrame, "hint", lambda df, name, *a: asked.append(name) or real(df, name, *a))
+    monkeypatch.setattr(B, "global_row_number", lambda *a: sorts.append(a) or number(*a))
+    path, numbered = work_dir(spark, "t-shared"), B.number_rows(fact)
+    before = spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")
+    for n in (3, 7):
+        B.write_batches(B.split_row_batches(numbered, n), path, in_order=True)
+        assert sorted((r.batch_id, r.order_id) for r in B.read_batches(spark, path).collect()) == want[n]
+    assert len(sorts) == 1 and asked == []
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == before
