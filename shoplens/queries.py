@@ -847,7 +847,7 @@ def q_create_table(spark, sf_dir):
     """The table over a folder that already holds the whole clean fact."""
     name = "clean_" + uuid.uuid4().hex[:12]
     path = work_dir(spark, "create_table")
-    write_clean(oc(spark, sf_dir), path)
+    write_clean(oc(spark, sf_dir), path, by_month=True)
     rows = create_table(spark, name, path).groupBy(F.date_format("order_date", "yyyy-MM").alias("month")).agg(
         F.count(F.lit(1)).alias("rows"))
     found = materialize(rows, "create_table_rows")
@@ -901,7 +901,7 @@ def q_upsert_changes(spark, sf_dir):
     target lacks a whole year of them. Applied a second time (replay)."""
     fact = oc(spark, sf_dir).select(*CLEAN_COLUMNS)
     target = work_dir(spark, "upsert-target")
-    write_clean(fact.where(F.date_format("order_date", "yyyy") != "1998"), target)
+    write_clean(fact.where(F.date_format("order_date", "yyyy") != "1998"), target, by_month=True)
     touched = fact.where(F.col("order_id").cast("bigint") % 10 == 0)
     changed = touched.withColumn("price", (F.col("price") + 1).cast("decimal(18,2)")).withColumn(
         "review_score", F.lit(5))
@@ -1366,7 +1366,7 @@ def q_incremental_marts(spark, sf_dir):
 
     fact = oc(spark, sf_dir).select(*CLEAN_COLUMNS)
     target, partials, out = (work_dir(spark, f"incremental-{x}") for x in ("target", "partials", "marts"))
-    write_clean(fact, target)
+    write_clean(fact, target, by_month=True)
     PT.refresh(spark, target, partials)
     hit = fact.where(F.date_format("order_date", "yyyy-MM").isin("1997-03", "1997-05") & (F.col("order_id").cast("bigint") % 3 == 0))
     new = hit.withColumns({"order_id": F.concat("order_id", F.lit("-n")), "customer_id": F.concat("customer_id", F.lit("-n"))})

@@ -8,12 +8,13 @@ month predicate so whole partitions are pruned at planning time.
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextlib import nullcontext
 
 from pyspark.sql import DataFrame, SparkSession
 
 from shoplens.functions.dates import month_start
 from shoplens.schema import CLEAN_COLUMNS
-from shoplens.session import path_exists
+from shoplens.session import folders_as_they_come, path_exists
 
 PARTITION_COLUMN = "order_month"
 
@@ -39,7 +40,8 @@ def with_partition(df: DataFrame) -> DataFrame:
     return df.withColumn(PARTITION_COLUMN, month_start("order_date"))
 
 
-def write_clean(oc: DataFrame, path: str, mode: str = "overwrite", watch: Callable[[DataFrame], DataFrame] = lambda df: df) -> None:
+def write_clean(oc: DataFrame, path: str, mode: str = "overwrite", watch: Callable[[DataFrame], DataFrame] = lambda df: df,
+                by_month: bool = False) -> None:
     """S2 + K1: month partitions, rows sorted by (date, key) inside each file.
 
     ``rebalance`` on the month lets AQE split an oversized month (one month
@@ -47,12 +49,18 @@ def write_clean(oc: DataFrame, path: str, mode: str = "overwrite", watch: Callab
     of sending it to one task, and merges small months. The sort begins with
     the month as the writer asks for, which would sort once more otherwise. ``watch`` may observe
     the rows as they are written (in the writing tasks, so each row once).
+
+    ``by_month`` says that the rows are read from a clean table: its files hold
+    one month each, sorted, and are written as they come, without a shuffle or a sort (a
+    file that joins several files of its month holds one sorted run of each).
     """
-    (watch(with_partition(oc)
-           .hint("rebalance", PARTITION_COLUMN)
-           .sortWithinPartitions(PARTITION_COLUMN, "order_date", "order_id", "product_id"))
-     .write.mode(mode).option("partitionOverwriteMode", "static")  # a full write leaves no old month behind
-     .partitionBy(PARTITION_COLUMN).parquet(path))
+    rows = with_partition(oc)
+    if not by_month:
+        rows = rows.hint("rebalance", PARTITION_COLUMN).sortWithinPartitions(PARTITION_COLUMN, "order_date", "order_id", "product_id")
+    with folders_as_they_come(oc.sparkSession) if by_month else nullcontext():
+        (watch(rows)
+         .write.mode(mode).option("partitionOverwriteMode", "static")  # a full write leaves no old month behind
+         .partitionBy(PARTITION_COLUMN).parquet(path))
 
 
 def read_clean(spark: SparkSession, path: str, columns: list[str] | None = None,

@@ -5,13 +5,16 @@ batch, not the months they lie in:
 
 1. the batch is written once and reduced to one row a key (the database would
    reject a batch that hits one key twice; we keep one and report it);
-2. the keys of the touched months are read with their ``_metadata.file_path`` and
-   joined with the batch's keys: the files with a hit are the *old* files. New
-   keys alone touch no file. A month that has gathered more than ``SMALL_FILES``
-   small files has these rewritten along, so that appends don't pile up;
+2. the batch's keys are looked up in the files of the touched months, as narrow rows
+   (hashes of key, row and file): the files with a hit are the *old* files. New
+   keys alone touch no file. Of a large batch one key in ``PROBE`` is looked up first, the
+   others only where that leaves a file or month open. A month in which every row
+   of the batch stands already (a replay) is left as it is. A month that has gathered more
+   than ``SMALL_FILES`` small files has these rewritten along, so that appends don't pile up;
 3. the rows of the old files whose key isn't in the batch, and the batch, are
    written to ``<target>-stage/data``; ``<target>-stage/old`` lists the old
-   files. Spark's ``_SUCCESS`` file in ``data``, written last, says that both are whole;
+   files. Spark's ``_SUCCESS`` file in ``data``, written last, says that both are whole. As a
+   key lies in one month, rows dealt by month and key hash serve both the merge and the files;
 4. :func:`finish_stage` moves the stage's files into the target, then deletes the
    old files, then the stage.
 
@@ -24,9 +27,10 @@ may stand twice). Replaying a batch gives the same table.
 
 from __future__ import annotations
 
-from urllib.parse import unquote, urlsplit
+from datetime import date
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,6 +41,11 @@ from shoplens.sources.clean_store import PARTITION_COLUMN, with_partition
 #: small files that a month may have before an upsert that touches it merges them
 SMALL_FILES, SMALL_BYTES = 16, 16 << 20
 
+#: of a batch of so many rows, one key in ``PROBE`` is looked up first
+PROBE, PROBE_ROWS = 64, 100_000
+#: bytes of a merged file, and of a new row in it, about
+FILE_BYTES, ROW_BYTES = 24 << 20, 20
+
 STORED = T.StructType([*CLEAN_SCHEMA.fields, T.StructField(PARTITION_COLUMN, T.DateType())])
 
 
@@ -54,8 +63,10 @@ def _stage_path(target_path: str) -> str:
     return f"{target_path.rstrip('/')}-stage"
 
 
-def _write_months(df: DataFrame, path: str) -> None:
-    (df.hint("rebalance", PARTITION_COLUMN).sortWithinPartitions(PARTITION_COLUMN, "order_date", "order_id", "product_id")
+def _write_months(df: DataFrame, path: str, dealt: bool = False) -> None:
+    """``dealt``: the rows lie by month already."""
+    ((df if dealt else df.hint("rebalance", PARTITION_COLUMN))
+     .sortWithinPartitions(PARTITION_COLUMN, "order_date", "order_id", "product_id")
      .write.partitionBy(PARTITION_COLUMN).parquet(path))
 
 
@@ -64,14 +75,17 @@ def _file_system(spark: SparkSession, path: str):
     return hpath, hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def _data_files(spark: SparkSession, path: str) -> list[str]:
-    """``<month folder>/<file>`` of the data files below ``path``."""
+def _data_files(spark: SparkSession, path: str) -> dict[str, tuple[int, str]]:
+    """``<month folder>/<file>`` of the data files below ``path``: bytes, and that
+    name as a URI has it."""
     hpath, fs = _file_system(spark, path)
-    found, walk = [], fs.listFiles(hpath, True)
+    found, walk = {}, fs.listFiles(hpath, True)
     while walk.hasNext():
-        at = walk.next().getPath()
+        status = walk.next()
+        at = status.getPath()
         if not at.getName().startswith(("_", ".")):
-            found.append(f"{at.getParent().getName()}/{at.getName()}")
+            uri = "/".join(at.toUri().toString().split("/")[-2:])
+            found[f"{at.getParent().getName()}/{at.getName()}"] = (status.getLen(), uri)
     return found
 
 
@@ -135,28 +149,98 @@ def merge_frames(target: DataFrame, batch: DataFrame, keys: list[str] | None = N
     return kept.select(*batch.columns).unionByName(batch)
 
 
-def _relative(uri: str) -> str:
-    """``<month folder>/<file>`` of a ``_metadata.file_path``."""
-    return "/".join(unquote(urlsplit(uri).path).split("/")[-2:])
-
-
-def old_files(spark: SparkSession, target_path: str, batch: DataFrame, months: list, keys: list[str]) -> dict:
+def merge_months(touched: DataFrame, batch: DataFrame, keys: list[str], parts: dict) -> DataFrame:
+    """:func:`merge_frames` of rows with their month, for keys that lie in one month: the
+    rows are shuffled once, a month to ``parts`` parts, and sorted by date in each."""
+    columns = [*CLEAN_COLUMNS, PARTITION_COLUMN]
+    both = touched.select(*columns, F.lit(False).alias("_new")).unionByName(batch.select(*columns, F.lit(True).alias("_new")))
+    per_month = touched.sparkSession.createDataFrame(list(parts.items()), f"{PARTITION_COLUMN} date, _parts int")  # a row a month
+    part = F.pmod(F.xxhash64(*keys), F.coalesce("_parts", F.lit(1)))
+    dealt = (both.join(F.broadcast(per_month), PARTITION_COLUMN, "left").withColumn("_part", part)
+             .repartition(2 * sum(parts.values()), PARTITION_COLUMN, "_part"))
+    key = Window.partitionBy(PARTITION_COLUMN, *sorted(keys, key=lambda k: k != "order_date"), "_part")  # the order of the files
+    return (dealt.withColumn("_hit", F.max("_new").over(key))
+            .where(F.col("_new") | ~F.col("_hit") | ~_has_keys(keys)).select(*columns))
+
+
+def _parts(files: dict, rows: dict) -> dict:
+    """Parts of about ``FILE_BYTES`` that a month's old files and new rows come to."""
+    size = {m: n * ROW_BYTES for m, n in rows.items()}
+    for name, n in files.items():
+        size[_month_of(name)] = size.get(_month_of(name), 0) + n
+    return {m: -(-n // FILE_BYTES) or 1 for m, n in size.items()}
+
+
+def _has_keys(keys: list[str]) -> Column:
+    """A row without one of its keys equals no other."""
+    return reduce(Column.__and__, [F.col(k).isNotNull() for k in keys])
+
+
+def _month_of(name: str) -> date | None:
+    value = name.split("/")[0].partition("=")[2]
+    return date.fromisoformat(value) if value[:1].isdigit() else None
+
+
+def _narrow(df: DataFrame, keys: list[str], side: str, some: bool) -> DataFrame:
+    """Hash of the key; two of the row, which must both be equal for equal rows."""
+    nulls = reduce(Column.__add__, [F.when(F.col(c).isNull(), 1 << i).otherwise(0) for i, c in enumerate(CLEAN_COLUMNS)])
+    rows = df.where(_has_keys(keys)).withColumns({
+        "_k": F.xxhash64(*keys), f"_v{side}": F.xxhash64(*CLEAN_COLUMNS, nulls), f"_w{side}": F.xxhash64(nulls, *CLEAN_COLUMNS[::-1])})
+    return (rows.where(F.pmod("_k", F.lit(PROBE)) == 0) if some else rows).drop(*CLEAN_COLUMNS)
+
+
+def _look_up(spark: SparkSession, target_path: str, names: list[str], stored: dict, batch: DataFrame, keys: list[str],
+             some: bool) -> list[tuple]:
+    """(month, file or None, ok): the files that hold keys of a month's batch rows, and
+    whether all these rows stand there, once and equal."""
+    uris = {stored[n][1]: n for n in names}
+    there = spark.read.schema(STORED).option("basePath", target_path).parquet(*(f"{target_path}/{n}" for n in names))
+    there = _narrow(there.withColumn("_file", F.xxhash64(F.substring_index("_metadata.file_path", "/", -2))), keys, "t", some)
+    found = (_narrow(batch, keys, "b", some).join(there.drop(PARTITION_COLUMN), "_k", "left")
+             .groupBy("_k", PARTITION_COLUMN)
+             .agg(F.count("_file").alias("n"), F.min((F.col("_vb") == F.col("_vt")) & (F.col("_wb") == F.col("_wt"))).alias("same"),
+                  F.collect_set("_file").alias("files"))  # one, unless the target repeats a key
+             .select(PARTITION_COLUMN, ((F.col("n") == 1) & F.coalesce("same", F.lit(False))).alias("ok"), F.explode_outer("files").alias("_file"))
+             .groupBy(PARTITION_COLUMN, "_file").agg(F.min("ok").alias("ok")))
+    by_hash = spark.createDataFrame([(u,) for u in uris], "uri string").withColumn("_file", F.xxhash64("uri"))  # a row a file
+    rows = found.join(F.broadcast(by_hash), "_file", "left").collect()
+    return [(r[PARTITION_COLUMN], uris.get(r["uri"]), r["ok"]) for r in rows]
+
+
+def old_files(spark: SparkSession, target_path: str, batch: DataFrame, per_month: dict, keys: list[str]) -> tuple[dict, set]:
     """Files of the touched months: ``rewrite`` (a key of the batch lies there, or
-    one of too many small files) and ``keep``, as {relative name: bytes}. Only the key
-    columns are read."""
-    stored = spark.read.schema(STORED).parquet(target_path).where(F.col(PARTITION_COLUMN).isin(months))
-    there = stored.select(*keys, PARTITION_COLUMN, F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_size").alias("_bytes"))
-    hits = (there.join(batch.select(*keys, F.lit(1).alias("_hit")), keys, "left")
-            .groupBy(PARTITION_COLUMN, "_file", "_bytes").agg(F.max("_hit").alias("hit")).collect())  # a row a file
-    small: dict = {}
-    for r in hits:
-        if r["_bytes"] < SMALL_BYTES:
-            small[r[PARTITION_COLUMN]] = small.get(r[PARTITION_COLUMN], 0) + 1
+    one of too many small files) and ``keep``, as {relative name: bytes}; and the months
+    that the batch changes. ``per_month``: month -> rows of the batch, rows without a key."""
+    stored = {n: f for n, f in _data_files(spark, target_path).items() if _month_of(n) in per_month and _month_of(n)}
+    filled = {_month_of(n) for n in stored}
+    changed = {m for m, (_, loose) in per_month.items() if loose or m not in filled}
+    hit: set = set()
+
+    def look(names: list[str], rows: DataFrame, some: bool) -> None:
+        for month, name, ok in _look_up(spark, target_path, names, stored, rows, keys, some) if names else ():
+            if not ok:
+                changed.add(month)
+            if name:
+                hit.add((month, name))
+
+    if sum(n for n, _ in per_month.values()) >= PROBE_ROWS:
+        look(list(stored), batch, True)
+    if "order_date" in keys:
+        known = {name for month, name in hit if month in changed}
+        rest = [n for n in stored if n not in known]
+        look(rest, batch.where(F.col(PARTITION_COLUMN).isin(list({_month_of(n) for n in rest}))), False)
+    else:  # a key's rows may lie in several months
+        look(list(stored), batch, False)
+    rewrite = {name for month, name in hit if month in changed}
     out: dict = {"rewrite": {}, "keep": {}}
-    for r in hits:
-        many = r["_bytes"] < SMALL_BYTES and small[r[PARTITION_COLUMN]] > SMALL_FILES
-        out["rewrite" if r["hit"] or many else "keep"][_relative(r["_file"])] = r["_bytes"]
-    return out
+    small: dict = {}
+    for n, (size, _) in stored.items():
+        if size < SMALL_BYTES:
+            small[_month_of(n)] = small.get(_month_of(n), 0) + 1
+    for n, (size, _) in stored.items():
+        many = size < SMALL_BYTES and small[_month_of(n)] > SMALL_FILES and _month_of(n) in changed
+        out["rewrite" if n in rewrite or many else "keep"][n] = size
+    return out, changed
 
 
 def upsert(spark: SparkSession, target_path: str, batch: DataFrame, keys: list[str] | None = None,
@@ -166,29 +250,35 @@ def upsert(spark: SparkSession, target_path: str, batch: DataFrame, keys: list[s
     keys, target = keys or PK_COLUMNS, target_path.rstrip("/")
     finish_stage(spark, target)
     remove_path(spark, _stage_path(target))  # one that isn't whole
-    batch = materialize(batch.select(*CLEAN_COLUMNS, *([order_col] if order_col else [])), "upsert_batch")
-    # one small job: row count, distinct keys and the months the batch
-    # touches (a handful of values, bounded by the calendar)
-    st = (with_partition(batch)
-          .agg(F.count(F.lit(1)).alias("rows_in"),
-               F.count_distinct(*[F.col(k) for k in keys]).alias("rows_out"),
-               F.collect_set(PARTITION_COLUMN).alias("months"))
-          .first())
-    months, files = list(st["months"]), {"rewrite": {}, "keep": {}}
-    if st["rows_in"]:
-        # the key-level de-duplication (an aggregate) only when needed
-        clean = with_partition(batch.select(*CLEAN_COLUMNS) if st["rows_in"] == st["rows_out"]
-                               else dedup_batch(batch, keys, order_col))
-        if _has_table(spark, target):
-            files = old_files(spark, target, clean, months, keys)
+    batch = materialize(batch.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in CLEAN_SCHEMA.fields),
+                                     *([order_col] if order_col else [])), "upsert_batch")
+    # rows of each month the batch touches (bounded by the calendar)
+    per_month = {r[PARTITION_COLUMN]: (r["n"], r["loose"]) for r in with_partition(batch).groupBy(PARTITION_COLUMN).agg(
+        F.count(F.lit(1)).alias("n"), F.count(F.when(~_has_keys(keys), 1)).alias("loose")).collect()}
+    rows_in, loose = (sum(v[i] for v in per_month.values()) for i in (0, 1))
+    # as many hashes as rows: as many keys; otherwise the keys themselves are counted
+    rows_out = 0 if not rows_in else batch.agg(F.count_distinct(F.xxhash64(*keys))).first()[0]
+    if loose or rows_out < rows_in:
+        rows_out = batch.agg(F.count_distinct(*[F.col(k) for k in keys])).first()[0]
+    months, files, changed = [m for m in per_month if m], {"rewrite": {}, "keep": {}}, set(per_month)
+    # the key-level de-duplication (an aggregate) only when needed
+    clean = with_partition(batch.select(*CLEAN_COLUMNS) if rows_in == rows_out else dedup_batch(batch, keys, order_col))
+    if rows_in and _has_table(spark, target):
+        files, changed = old_files(spark, target, clean, per_month, keys)
+    if changed:
+        if len(changed) < len(per_month):
+            clean = clean.where(F.col(PARTITION_COLUMN).isin([m for m in changed if m])
+                                | (F.col(PARTITION_COLUMN).isNull() & F.lit(None in changed)))
+        by_month = bool(files["rewrite"]) and "order_date" in keys
         if files["rewrite"]:
             touched = spark.read.schema(STORED).option("basePath", target).parquet(*(f"{target}/{f}" for f in files["rewrite"]))
-            clean = merge_frames(touched, clean, keys)
+            clean = (merge_months(touched, clean, keys, _parts(files["rewrite"], {m: per_month[m][0] for m in changed if m}))
+                     if by_month else merge_frames(touched, clean, keys))
         stage = _stage_path(target)
         _note_old_files(spark, stage, list(files["rewrite"]))
-        _write_months(clean, f"{stage}/data")
+        _write_months(clean, f"{stage}/data", by_month)
         finish_stage(spark, target)
-    return {"rows_in": st["rows_in"], "rows_upserted": st["rows_out"],
-            "duplicate_keys_dropped": st["rows_in"] - st["rows_out"], "months_touched": len(months),
+    return {"rows_in": rows_in, "rows_upserted": rows_out,
+            "duplicate_keys_dropped": rows_in - rows_out, "months_touched": len(months),
             "files_rewritten": len(files["rewrite"]), "bytes_rewritten": sum(files["rewrite"].values()),
             "files_kept": len(files["keep"])}

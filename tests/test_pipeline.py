@@ -374,3 +374,67 @@ def test_two_cuts_share_the_order(spark, monkeypatch):
         assert sorted((r.batch_id, r.order_id) for r in B.read_batches(spark, path).collect()) == want[n]
     assert len(sorts) == 1 and asked == []
     assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == before
+
+
+def test_replayed_months_are_left(spark):
+    """Months whose rows of the batch stand already keep their files; any other value, also a null
+    in another column or a key that stands twice, is written."""
+    target = work_dir(spark, "t-replay")
+    write_clean(three_rows(spark), target)
+    batch = clean_frame(spark, [row("o1", "c", "p1", "2024-01-01", 99), row("o9", "c", "p9", "2024-02-01", 5), row("n", "c", "p", "2024-05-01", 5)])
+    upsert(spark, target, batch)
+    files = files_of(spark, target)
+    stats = upsert(spark, target, batch)
+    assert files_of(spark, target) == files and stats["files_rewritten"] == 0 and stats["rows_upserted"] == 3
+    one = batch.withColumn("payment_value", F.when(F.col("order_id") == "n", F.lit(6)).otherwise(F.col("payment_value")).cast("decimal(18,2)"))
+    upsert(spark, target, one)
+    assert {f.split("/")[0] for f in files_of(spark, target) ^ files} == {"order_month=2024-05-01"}
+    for city, state in ((None, "x"), ("x", None)):  # a hash passes over nulls
+        odd = clean_frame(spark, [row("n", "c", "p", "2024-05-01", 6)]).withColumns(
+            {"customer_city": F.lit(city).cast("string"), "customer_state": F.lit(state).cast("string")})
+        upsert(spark, target, odd)
+        got = read_clean(spark, target).where("order_id = 'n'").collect()
+        assert [(r.customer_city, r.customer_state) for r in got] == [(city, state)]
+    write_clean(odd, target, mode="append")
+    upsert(spark, target, odd)
+    assert read_clean(spark, target).where("order_id = 'n'").count() == 1
+
+
+@pytest.mark.parametrize("probe_rows", [1, 10**9])
+def test_upsert_equals_plain_merge(spark, monkeypatch, probe_rows):
+    from shoplens.sources import upsert as U
+
+    monkeypatch.setattr(U, "PROBE", 3)
+    monkeypatch.setattr(U, "PROBE_ROWS", probe_rows)
+    rows = [row(f"o{i % 40}", "c", f"p{i % 7}", f"2024-0{1 + i % 4}-1{i % 8}", i) for i in range(90)]
+    rows += rows[:4]  # a target may repeat keys
+    target = work_dir(spark, "t-plain")
+    for part in (rows[:50], rows[50:]):
+        write_clean(clean_frame(spark, part), target, mode="append")
+    old = [(r.order_id, r.product_id, r.order_date) for r in clean_frame(spark, rows).collect()]
+    batch = clean_frame(spark, [row(f"o{i % 40}", "c", f"p{i % 7}", f"2024-0{1 + i % 4}-1{i % 8}", i + (i % 5 == 0)) for i in range(0, 60, 2) if i % 4]
+                        + [row(f"new{i}", "c", "p", "2024-02-02", i) for i in range(5)])
+    batch = batch.dropDuplicates(["order_id", "product_id", "order_date"]).cache()
+    want = U.merge_frames(clean_frame(spark, rows), batch)
+    upsert(spark, target, batch)
+    got = read_clean(spark, target, keep_partition=False)
+    assert len(old) == 94 and got.exceptAll(want.select(*got.columns)).count() == want.select(*got.columns).exceptAll(got).count() == 0
+
+
+def test_merge_by_month_is_one_shuffle_and_one_sort(spark):
+    import re
+    from datetime import date
+
+    from shoplens.sources import upsert as U
+    from shoplens.sources.clean_store import with_partition
+
+    def frame(rows):
+        return with_partition(clean_frame(spark, rows)).withColumn("order_id", F.expr("nullif(order_id, 'null')"))
+
+    target = frame([row(f"o{i % 9}", "c", "p", f"2024-0{1 + i % 2}-01", i) for i in range(30)] + [row("null", "c", "p", "2024-01-01", 1)] * 2)
+    batch = frame([row("o1", "c", "p", "2024-02-01", 7), row("null", "c", "p", "2024-01-01", 2)])
+    got = U.merge_months(target, batch, U.PK_COLUMNS, {date(2024, 1, 1): 2, date(2024, 2, 1): 1})
+    want = U.merge_frames(target, batch).select(*got.columns)
+    assert got.exceptAll(want).count() == want.exceptAll(got).count() == 0
+    plan = got.sortWithinPartitions("order_month", "order_date", "order_id", "product_id")._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"Exchange hashpartitioning|Exchange rangepartitioning", plan)) == 1 and len(re.findall(r"\bSort \[", plan)) == 1
