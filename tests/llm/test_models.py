@@ -229,6 +229,75 @@ def test_answers_are_the_counts_of_all_chunks():
     assert all(r["others"] == b"" for r in got if r["chunk"] == 2)
 
 
+def _bundles(seed: int) -> list[tuple]:
+    """(chunk, texts, learn): training, held out and mixed ones; some texts very often, one empty."""
+    rnd = random.Random(seed)
+    many = " ".join(words(rnd, 12)).encode() + b"\n"
+    parts = [[" ".join(words(rnd, 80)).encode() + b"\n" for _ in range(3)] for _ in range(5)]
+    parts[1] += [many] * 400
+    parts[3] += [many, b"\n"]
+    return [(k, t, [k != 2 and not (k == 3 and i % 2) for i in range(len(t))]) for k, t in enumerate(parts)]
+
+
+def _sent(code, bundles: list[tuple], shards: int):
+    import pyarrow as pa
+
+    schema = pa.schema([("chunk", pa.int64()), ("learn", pa.list_(pa.bool_())), ("texts", pa.list_(pa.binary()))])
+    batch = pa.RecordBatch.from_pylist([{"chunk": k, "learn": learn, "texts": t} for k, t, learn in bundles], schema)
+    return pa.Table.from_batches(cm._sent(code, shards)([batch])).sort_by("shard")
+
+
+@pytest.mark.parametrize("shards", [1, 8])
+def test_bundles_know_the_counts_of_all_training_text(shards):
+    """From its own texts and the counts outside of it a bundle has every chunk's keys with their counts in all training text."""
+    import pyarrow as pa
+
+    bundles = _bundles(6)
+    pairs = np.zeros((256, 256), int)
+    for _, texts, _ in bundles:
+        for t in texts:
+            np.add.at(pairs, (np.frombuffer(t[:-1], np.uint8), np.frombuffer(t[1:], np.uint8)), 1)
+    for code in (cm.Code(pairs), cm.Code(np.ones((256, 256), int))):
+        total: Counter = Counter()
+        for key, n in _brute_keys(code, [t for _, texts, learn in bundles for t, own in zip(texts, learn) if own]).items():
+            total[key] = tuple(n)
+        told = cm._answered(cm._opened(code)(iter(_sent(code, bundles, shards).to_batches())), cm._outside)
+        answers = pa.Table.from_batches(told).sort_by([("chunk", "ascending"), ("shard", "ascending")]).to_pylist()
+        for chunk, texts, learn in bundles:
+            bundle = cm.Bundle(code, learn, texts, [r["counts"] for r in answers if r["chunk"] == chunk], shards)
+            for own in (texts[:2], texts[2:], texts):
+                got = bundle.of(cm.Keys(code, cm.Spots(own, in_blocks=False)))
+                want = [tuple(total[key] or (0, 0)) for key in _brute_keys(code, own)]
+                assert sorted(map(tuple, got.tolist())) == sorted(want)
+
+
+def test_a_bundle_sends_a_few_bytes_a_key():
+    """Keys and counts as they are take 16 bytes a key, about 30 a byte of text."""
+    rnd = random.Random(9)
+    vocabulary = words(rnd, 3000)
+    texts = [" ".join(rnd.choice(vocabulary) for _ in range(200)).encode() + b"\n" for _ in range(300)]
+    pairs = np.zeros((256, 256), int)
+    for t in texts:
+        np.add.at(pairs, (np.frombuffer(t[:-1], np.uint8), np.frombuffer(t[1:], np.uint8)), 1)
+    code = cm.Code(pairs)
+    sent = _sent(code, [(0, texts, [True] * 300)], 8)
+    keys = len(cm.Keys(code, cm.Spots(texts, in_blocks=False)).keys)
+    assert sum(len(b) for c in ("pairs", "times") for b in sent[c].to_pylist()) < 4 * keys
+
+
+def test_scores_leave_little_on_disk(spark):
+    from pathlib import Path
+
+    rnd = random.Random(10)
+    vocabulary = words(rnd, 3000)
+    rows = [(k, " ".join(rnd.choice(vocabulary) for _ in range(300))) for k in range(400)]
+    root = Path(spark.sparkContext.getCheckpointDir().removeprefix("file:"))
+    before = set(root.rglob("*"))
+    assert cm.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(2)).count() == 400
+    left = sum(p.stat().st_size for p in set(root.rglob("*")) - before if p.is_file())
+    assert left < 2 * sum(len(t) for _, t in rows)
+
+
 def test_weights_learn_from_every_bit():
     """A text between 256 and 512 bytes is refined once, and each of its bits counts."""
     assert cm.LEARN == cm.EVERY == 1 and cm.BLOCK <= 256
