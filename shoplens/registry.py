@@ -17,7 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from shoplens.operators.clean import build_orders_clean
-from shoplens.session import work_dir
+from shoplens.session import shuffles_dropped, work_dir
 from shoplens.sources.clean_store import read_clean, write_clean
 from shoplens.sources.testdata import raw_from_testdata
 
@@ -34,7 +34,8 @@ def clean_table_path(spark: SparkSession, sf_dir: str) -> str:
     key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
     if key not in _CLEAN_CACHE:
         path = work_dir(spark, "orders_clean")
-        write_clean(clean_fact_uncached(spark, sf_dir), path)
+        with shuffles_dropped(spark):
+            write_clean(clean_fact_uncached(spark, sf_dir), path)
         _CLEAN_CACHE[key] = path
     return _CLEAN_CACHE[key]
 

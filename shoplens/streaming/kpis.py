@@ -9,7 +9,8 @@ summed by day and written to a folder named after its epoch, which a repeated ep
 overwrites, so that every change counts once through failures and restarts. The KPIs are
 sums over these folders: a few numbers a day and epoch.
 
-The standing rows lie in Parquet *runs* beside the checkpoint, sorted by date. An epoch
+The standing rows, as far as they decide which row of a key stands and what it adds, lie
+in Parquet *runs* beside the checkpoint, sorted by date. An epoch
 reads of the runs before it the days between its first and its last one, takes per key
 the largest row there and the largest of all, and writes the rows that stand newly as
 its own run. Every ``MERGE`` epochs their runs become one, every ``MERGE`` of these
@@ -29,13 +30,14 @@ from shoplens.functions.dates import day
 from shoplens.operators.clean import prepare_batch
 from shoplens.operators.marts import growth_of
 from shoplens.schema import CLEAN_COLUMNS, MONEY_COLUMNS, PK_COLUMNS
-from shoplens.session import path_exists, remove_path
+from shoplens.session import path_exists, remove_path, shuffles_dropped
 from shoplens.sources.batches import BATCH_COLUMN
 from shoplens.streaming.loader import stream_batches
 
 REST = [c for c in CLEAN_COLUMNS if c not in PK_COLUMNS]
-#: what orders the rows of a key
-RANK = [BATCH_COLUMN, *REST]
+#: what orders the rows of a key, up to the last column that the KPIs read: rows that only
+#: differ in a later one add the same
+RANK = [BATCH_COLUMN, *REST[:REST.index("payment_value") + 1]]
 CHANGES = "date date, rows long, cents long"
 #: runs that are merged into one
 MERGE = 8
@@ -112,8 +114,12 @@ def stand(rows: DataFrame, checkpoint: str, epoch: int) -> None:
 def kpi_stream(spark: SparkSession, batch_dir: str, checkpoint: str, files_per_trigger: int = 1,
                available_now: bool = True) -> StreamingQuery:
     """Start the stream; its changes by day go to the log beside the checkpoint."""
+    def run(df: DataFrame, epoch: int) -> None:
+        with shuffles_dropped(df.sparkSession):
+            stand(df, checkpoint, epoch)
+
     writer = (change_stream(spark, batch_dir, files_per_trigger).writeStream
-              .foreachBatch(lambda df, epoch: stand(df, checkpoint, epoch)).option("checkpointLocation", checkpoint))
+              .foreachBatch(run).option("checkpointLocation", checkpoint))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="30 seconds")
     return writer.start()
 

@@ -13,7 +13,7 @@ from shoplens.session import work_dir
 from shoplens.sources.clean_store import read_clean
 from shoplens.sources.upsert import upsert
 from shoplens.streaming import kpis as K
-from tests.frames import clean_frame, row
+from tests.frames import clean_frame, left_after, row, shuffle_files
 
 
 def put(df, batch_dir, batch, name):
@@ -96,3 +96,28 @@ def test_runs_are_merged_and_cover_all_epochs(spark):
     assert {x for x in found if not x.startswith(".")} == {"merged=7", "epoch=8", "epoch=9", "epoch=10", "epoch=11"}
     import inspect
     assert "applyInPandas" not in inspect.getsource(K)
+
+
+def test_rows_of_a_key_that_differ_late_or_early(spark):
+    """One batch holds a key several times; which row stands is settled before the columns that the KPIs don't read."""
+    rows = [row("o1", "c1", "p", "2024-01-01", 5, city="a"), row("o1", "c1", "p", "2024-01-01", 5, city="z"),
+            row("o1", "c2", "p", "2024-01-01", 3), row("o2", "c", "p", "2024-01-01", 9, price="1.00"),
+            row("o2", "c", "p", "2024-01-01", 2, price="2.00"), row("o3", "c", "p", "2024-01-02", 4, review=1), row("o3", "c", "p", "2024-01-02", 8, review=0)]
+    batch_dir, ckpt = work_dir(spark, "t-live-ties"), work_dir(spark, "t-live-ties-ckpt")
+    cut = {1: clean_frame(spark, rows), 0: clean_frame(spark, rows[::2]), 2: clean_frame(spark, rows[1:3])}
+    for k in cut:
+        put(cut[k], batch_dir, k, k)
+        K.kpi_stream(spark, batch_dir, ckpt).awaitTermination()
+        same_as_table(spark, ckpt, {j: cut[j] for j in list(cut)[:list(cut).index(k) + 1]})
+
+
+def test_epochs_leave_only_narrow_rows(spark):
+    """Shuffle files of an epoch go with it; the standing rows hold no column that no KPI depends on."""
+    batch_dir, ckpt, cut = work_dir(spark, "t-live-disk"), work_dir(spark, "t-live-disk-ckpt"), batches(spark, 6)
+    for k in range(4):
+        put(cut[k], batch_dir, k, k)
+    before = shuffle_files(spark)
+    K.kpi_stream(spark, batch_dir, ckpt).awaitTermination()
+    assert not left_after(spark, before)
+    held = spark.read.parquet(f"{ckpt}-runs/epoch=3").select("row.*").columns
+    assert held == ["batch_id", "customer_id", "price", "freight_value", "payment_value"]
