@@ -45,9 +45,11 @@ def global_row_number(df: DataFrame, order_cols: list, name: str = "row_number")
         "_pid",
         F.coalesce(F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)),
                    F.lit(0)).alias("_offset"))
-    return (tagged.join(F.broadcast(offsets), "_pid")
-            .withColumn(name, F.col("_offset") + F.col("_local") + 1)
-            .drop("_pid", "_local", "_offset"))
+    numbered = (tagged.join(F.broadcast(offsets), "_pid")
+                .withColumn(name, F.col("_offset") + F.col("_local") + 1)
+                .drop("_pid", "_local", "_offset"))
+    numbered.written_at = tagged.written_at
+    return numbered
 
 
 def exact_percentiles(df: DataFrame, value: str | Column, fractions: dict[str, float]) -> DataFrame:

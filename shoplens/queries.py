@@ -20,7 +20,7 @@ from shoplens.operators import validate as V
 from shoplens.plans import bundle as BU
 from shoplens.plans import forecast as FC
 from shoplens.plans import timeseries as TS
-from shoplens.session import materialize, work_dir
+from shoplens.session import materialize, remove_path, work_dir
 from shoplens.sources import batches as B
 from shoplens.sources.clean_store import create_table, read_clean, write_clean
 from shoplens.sources.raw import read_raw
@@ -921,7 +921,9 @@ def q_stream_ingest(spark, sf_dir):
     log, merge it into an empty table (S7), return the table."""
     fact = oc(spark, sf_dir).select(*CLEAN_COLUMNS)
     batch_dir = work_dir(spark, "stream-batches")
-    B.write_batches(B.split_row_batches(fact, STREAM_BATCH_SIZE), batch_dir)
+    numbered = B.number_rows(fact)
+    B.write_batches(B.split_row_batches(numbered, STREAM_BATCH_SIZE), batch_dir)
+    remove_path(spark, numbered.written_at)
     target, ckpt = work_dir(spark, "stream-target"), work_dir(spark, "stream-ckpt")
     ingest(spark, batch_dir, target, ckpt, files_per_trigger=1)
     return read_clean(spark, target, keep_partition=False)

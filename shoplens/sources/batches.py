@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from shoplens.functions.dates import day
 from shoplens.functions.numbering import global_row_number
 from shoplens.schema import DEFAULT_BATCH_SIZE
-from shoplens.session import folders_as_they_come
+from shoplens.session import folders_as_they_come, shuffles_dropped
 
 BATCH_COLUMN = "batch_id"
 POSITION_COLUMN = "_pos"
@@ -64,7 +64,7 @@ def write_batches(batched: DataFrame, path: str, in_order: bool = False) -> None
     rows = batched.withColumn(RANGE_COLUMN, F.floor(F.col(BATCH_COLUMN) / F.lit(RANGE)).cast("int"))
     if not in_order:
         rows = rows.hint("rebalance", RANGE_COLUMN).sortWithinPartitions(RANGE_COLUMN, BATCH_COLUMN)
-    with folders_as_they_come(rows.sparkSession) if in_order else nullcontext():
+    with shuffles_dropped(rows.sparkSession), folders_as_they_come(rows.sparkSession) if in_order else nullcontext():
         (rows.write.mode("overwrite").option("partitionOverwriteMode", "static")
          .option("parquet.block.size", ROW_GROUP_BYTES)
          .partitionBy(RANGE_COLUMN).parquet(path))

@@ -278,6 +278,7 @@ def upsert(spark: SparkSession, target_path: str, batch: DataFrame, keys: list[s
         _note_old_files(spark, stage, list(files["rewrite"]))
         _write_months(clean, f"{stage}/data", by_month)
         finish_stage(spark, target)
+    remove_path(spark, batch.written_at)
     return {"rows_in": rows_in, "rows_upserted": rows_out,
             "duplicate_keys_dropped": rows_in - rows_out, "months_touched": len(months),
             "files_rewritten": len(files["rewrite"]), "bytes_rewritten": sum(files["rewrite"].values()),

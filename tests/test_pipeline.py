@@ -13,7 +13,7 @@ from shoplens.sources import batches as B
 from shoplens.sources.clean_store import read_clean, write_clean
 from shoplens.sources.upsert import upsert
 from shoplens.streaming.loader import batch_progress, compact, ingest, log_stream, next_batch
-from tests.frames import clean_frame, row
+from tests.frames import clean_frame, left_after, row, shuffle_files
 
 
 def three_rows(spark):
@@ -110,6 +110,22 @@ def test_stream_ingest_end_to_end(spark):
     assert read_clean(spark, target).count() == 3
 
 
+def test_ingest_leaves_its_tables_only(spark):
+    """Shuffle files go with the step that made them, the upsert's copy of the batch with the upsert."""
+    batch_dir, target, ckpt = (work_dir(spark, f"t-left-{x}") for x in ("batches", "target", "ckpt"))
+    work = os.path.dirname(target.removeprefix("file:"))
+    copies = lambda: {x for x in os.listdir(work) if x.startswith("upsert_batch-")}
+    os.makedirs(work, exist_ok=True)
+    there, before = copies(), shuffle_files(spark)
+    numbered = B.number_rows(three_rows(spark))
+    B.write_batches(B.split_row_batches(numbered, 1), batch_dir)
+    log_stream(spark, batch_dir, ckpt).awaitTermination()
+    assert not left_after(spark, before)
+    compact(spark, target, ckpt)
+    assert copies() <= there and os.path.isdir(numbered.written_at.removeprefix("file:"))
+    assert sorted(r.order_id for r in read_clean(spark, target).collect()) == ["o1", "o2", "o3"]
+
+
 @pytest.mark.parametrize("files", [1, 4])
 def test_pointer_names_the_next_batch(spark, files):
     fact = clean_frame(spark, [row(f"o{i}", "c", "p", f"2024-01-{i + 1:02d}", i) for i in range(12)])
