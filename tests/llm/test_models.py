@@ -271,6 +271,41 @@ def test_bundles_know_the_counts_of_all_training_text(shards):
                 assert sorted(map(tuple, got.tolist())) == sorted(want)
 
 
+@pytest.mark.parametrize("bits,n", [(1, 50), (40, 5000), (56, 5000), (62, 70_000), (64, 70_000), (64, 1), (63, 3 << 20)])
+def test_distinct_values_and_their_places(bits, n):
+    """As of numpy, also where a value leaves no room for its place, or not even its lower bits do."""
+    rng = np.random.default_rng(bits + n)
+    some = rng.integers(0, 1 << 63, max(1, n // 3), np.uint64) << np.uint64(1) | rng.integers(0, 2, max(1, n // 3), np.uint64)
+    values = (some >> np.uint64(64 - bits))[(rng.random(n) ** 2 * len(some)).astype(int)]
+    values[n // 2:] ^= rng.integers(0, 2, n - n // 2, np.uint64)  # neighbours in the lowest bit
+    for got, want in zip(cm._unique(values), np.unique(values, return_inverse=True, return_counts=True)):
+        assert np.array_equal(got, want)
+    assert [len(x) for x in cm._unique(values[:0])] == [0, 0, 0]
+
+
+def test_a_bundle_finds_the_bits_of_its_chunks():
+    """Scoring takes the logits of a chunk's bits from the bundle's one table: those that the chunk's own keys have there."""
+    import pyarrow as pa
+
+    bundles = _bundles(7)
+    pairs = np.zeros((256, 256), int)
+    for _, texts, _ in bundles:
+        for t in texts:
+            np.add.at(pairs, (np.frombuffer(t[:-1], np.uint8), np.frombuffer(t[1:], np.uint8)), 1)
+    code = cm.Code(pairs)
+    answers = pa.Table.from_batches(cm._answered(cm._opened(code)(iter(_sent(code, bundles, 8).to_batches())), cm._outside)).sort_by(
+        [("chunk", "ascending"), ("shard", "ascending")]).to_pylist()
+    for chunk, texts, learn in bundles:
+        bundle = cm.Bundle(code, learn, texts, [r["counts"] for r in answers if r["chunk"] == chunk], 8)
+        assert bundle.counts.dtype == np.int32
+        for own in (texts[:2], texts[2:], texts):
+            bits = cm.Bits(code, own)
+            k = cm.Keys(code, bits)
+            packed = cm._packed(*bundle.of(k).T)
+            for at, whole in zip(k.slots(bits), bundle.slots(code, bits), strict=True):
+                assert np.array_equal(packed[at], bundle.values()[whole])
+
+
 def test_a_bundle_sends_a_few_bytes_a_key():
     """Keys and counts as they are take 16 bytes a key, about 30 a byte of text."""
     rnd = random.Random(9)
